@@ -40,11 +40,11 @@ def cohort_not_in(spark, sf):
 
 @query("cohort_not_in_nulls", """WITH keyed AS (
   SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS nation FROM customer),
-none AS (SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 1e9),
-some AS (SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000),
+no_ids AS (SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 1e9),
+plain_ids AS (SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000),
 holes AS (SELECT CASE WHEN s_acctbal > 9000 THEN s_nationkey END AS nation FROM supplier)
-SELECT 'empty' AS ids, count(*) AS kept FROM keyed WHERE nation NOT IN (SELECT nation FROM none)
-UNION ALL SELECT 'plain', count(*) FROM keyed WHERE nation NOT IN (SELECT nation FROM some)
+SELECT 'empty' AS ids, count(*) AS kept FROM keyed WHERE nation NOT IN (SELECT nation FROM no_ids)
+UNION ALL SELECT 'plain', count(*) FROM keyed WHERE nation NOT IN (SELECT nation FROM plain_ids)
 UNION ALL SELECT 'with_null', count(*) FROM keyed WHERE nation NOT IN (SELECT nation FROM holes)""")
 def cohort_not_in_nulls(spark, sf):
     """NOT IN against no ids, plain ids, and ids with a NULL."""

@@ -99,7 +99,8 @@ def minutes(spark: SparkSession, sf: str, event_type: str) -> DataFrame:
     """Events of a type with the minute as position and the user as chromosome group."""
     return table(spark, sf, "events").where(F.col("event_type") == event_type).select(
         F.lit("22").alias("chrom"),
-        F.floor(F.unix_seconds("ts") / 60).cast("long").alias("pos"), "event_id", "user_id", "value")
+        F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("pos"),
+        "event_id", "user_id", "value")
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:

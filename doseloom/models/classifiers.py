@@ -37,13 +37,15 @@ def class_weights(sizes: tuple[int, int], rule: str | Mapping[int, float] | None
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
-                 class_weight: str | Mapping[int, float] | None = None, max_iter: int = 1000):
+                 class_weight: str | Mapping[int, float] | None = None, max_iter: int = 1000,
+                 sizes: tuple[int, int] | None = None):
     """Logistic regression with an L2 penalty of inverse strength ``C``.
 
     MLlib averages the loss over the weights, so the penalty is 1 / (C x sum of
-    weights), taken from the rows that are fitted.
+    weights), taken from the rows that are fitted. ``sizes`` (rows per class)
+    saves a count when many candidates are fitted on the same rows.
     """
-    sizes = class_sizes(df, label)
+    sizes = sizes or class_sizes(df, label)
     w0, w1 = class_weights(sizes, class_weight)
     weighted = assemble(df, features).withColumn(WEIGHT, F.when(F.col(label) == 1, w1).otherwise(w0))
     strength = 1.0 / (C * (sizes[0] * w0 + sizes[1] * w1))

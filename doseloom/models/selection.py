@@ -7,6 +7,7 @@ a fold are scored in one pass, and all scores come from one aggregate.
 
 from __future__ import annotations
 
+import inspect
 import itertools
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -54,7 +55,7 @@ def _run_all(tasks: Sequence[Callable[[], Any]], session, parallelism: int) -> l
 
 
 def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[str, Any]],
-                features: Sequence[str], label: str, id_column: str, parallelism: int = 4,
+                features: Sequence[str], label: str, id_column: str, parallelism: int = 8,
                 scale_inside: bool = True) -> DataFrame:
     """``candidate, fold, id, label, probability`` for every candidate and row.
 
@@ -67,8 +68,11 @@ def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[
         if scale_inside:
             facts = scaling_facts(train, features)
             train, valid = scale(train, facts), scale(valid, facts)
-        models = _run_all([lambda t=train, p=params: fit(t, features, label, **p) for params in grid],
-                          spark, parallelism)
+        known = {}
+        if "sizes" in inspect.signature(fit).parameters:
+            known["sizes"] = classifiers.class_sizes(train, label)
+        models = _run_all([lambda t=train, p={**params, **known}: fit(t, features, label, **p)
+                           for params in grid], spark, parallelism)
         scored, names = valid, []
         for i, model in enumerate(models):
             names.append(f"_p{i}")
@@ -104,7 +108,7 @@ def best_candidate(scores: DataFrame, by: str = "mean_ap") -> int:
 
 
 def search(df: DataFrame, fit: Fit, grid: Mapping[str, Sequence[Any]], features: Sequence[str], label: str,
-           id_column: str, folds: int, seed: int = 42, parallelism: int = 4, scale_inside: bool = False,
+           id_column: str, folds: int, seed: int = 42, parallelism: int = 8, scale_inside: bool = False,
            hard_labels: bool = False) -> tuple[dict[str, Any], DataFrame]:
     """Best parameters by mean average precision, and the score table."""
     options = candidates(grid)

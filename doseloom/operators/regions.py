@@ -114,9 +114,9 @@ def consensus(samples: DataFrame, calls: DataFrame, bases: DataFrame, region: st
     per_chunk = pieces.groupBy("s", "contig", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("from", "to", "text"))).alias("edits"))
     spans = reference_chunks(bases, region, chunk)
-    numbers = F.sequence(F.lit((start - 1) // chunk), F.lit((end - 1) // chunk))
+    numbers = F.sequence(F.lit((start - 1) // chunk).cast("long"), F.lit((end - 1) // chunk).cast("long"))
     frame = (samples.select("s").withColumn("contig", F.lit(contig))
-             .withColumn("chunk", F.explode(numbers).cast("long"))
+             .withColumn("chunk", F.explode(numbers))
              .join(spans, ["contig", "chunk"])
              .join(per_chunk, ["s", "contig", "chunk"], "left"))
     begin = F.struct(F.lit("").alias("out"), F.col("chunk_start").cast("long").alias("at"))

@@ -215,7 +215,8 @@ def fasta(spark: SparkSession, uri: str, chunk: int = 1_000) -> DataFrame:
 
     The file is read by lines in its normal splits, so no contig passes one
     task. Inside a split, running sums give each line's contig and offset; the
-    totals of the splits before it (one row a split) complete them.
+    totals of the splits before it (one row a split) complete them. Files of a
+    folder are taken as one text in the order of their names.
     """
     lines = spark.read.text(uri).select(
         F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"),
@@ -233,7 +234,7 @@ def fasta(spark: SparkSession, uri: str, chunk: int = 1_000) -> DataFrame:
                        ignorenulls=True).over(upto))
     totals = placed.groupBy("file", "split").agg(
         F.sum("size").alias("total"), F.max_by("head", "line").alias("last_head"))
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
     heads = F.when(F.col("last_head").isNotNull(),
                    F.struct(F.col("last_head.name").alias("name"),

@@ -77,7 +77,10 @@ def wide_mixed_rows(spark, sf):
     return incidence.wide_row_homogeneity(wide).withColumn("row_values", F.array_join("row_values", ","))
 
 
-@query("distinct_cells", "SELECT CAST(0 AS int) AS value UNION ALL SELECT 1")
+@query("distinct_cells", f"""WITH {f.PAIRS_SQL}, names AS (SELECT DISTINCT name FROM pairs),
+nodes AS (SELECT DISTINCT node_id FROM pairs)
+SELECT DISTINCT CASE WHEN p.node_id IS NULL THEN 0 ELSE 1 END AS value
+FROM names CROSS JOIN nodes n LEFT JOIN pairs p USING (name, node_id)""")
 def distinct_cells(spark, sf):
     pairs = _pairs(spark, sf)
     wide = incidence.presence_matrix(pairs, incidence.bounded_nodes(pairs)).withColumnRenamed("name", "participant")

@@ -1 +1,174 @@
-"""To do."""
+"""Splits, scaling and classifiers on customers and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doseloom.models import classifiers, features, folds, selection
+from doseloom.operators import metrics, ranking
+from doseloom.plans.storage import cut_lineage
+from standins import frames as f
+from standins import query
+
+LABEL = "quality"
+COLUMNS = ("length", "lines", "digits")
+
+
+def rows(spark, sf):
+    """Labelled documents with three plain features of the whole text."""
+    docs = f.table(spark, sf, "documents").select(
+        "doc_id", F.ln(F.col("n_chars") + 1.0).alias("length"),
+        F.ln(F.size(F.split("text", "\n")) + 1.0).alias("lines"),
+        F.ln(F.length(F.regexp_replace("text", "[^0-9]", "")) + 1.0).alias("digits"))
+    return docs.join(f.table(spark, sf, "labels"), "doc_id").select("doc_id", *COLUMNS, LABEL)
+
+
+_N = "n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1)"
+
+
+@query("stratified_split", f"""WITH {_N}, w AS (SELECT quality, n, n * 0.2 AS want, floor(n * 0.2) AS low FROM n),
+r AS (SELECT *, row_number() OVER (ORDER BY want - low DESC, quality) AS place,
+  ceil(sum(n) OVER () * 0.2) - sum(low) OVER () AS spare FROM w),
+t AS (SELECT quality, n, cast(low + CASE WHEN place <= spare THEN 1 ELSE 0 END AS bigint) AS k FROM r)
+SELECT quality, true AS is_test, k AS count FROM t UNION ALL SELECT quality, false, n - k FROM t""")
+def stratified_split(spark, sf):
+    split = folds.stratified_split(f.table(spark, sf, "labels").select("doc_id", LABEL), "doc_id", LABEL)
+    return split.groupBy(LABEL, "is_test").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("stratified_folds", f"""WITH {_N}
+SELECT quality, cast(fold AS int) AS fold, (n - 1 - fold) // 5 + 1 AS count FROM n, range(5) t(fold)""")
+def stratified_folds(spark, sf):
+    dealt = folds.stratified_folds(f.table(spark, sf, "labels").select("doc_id", LABEL), "doc_id", LABEL)
+    return dealt.groupBy(LABEL, "fold").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("scaled_features", """SELECT c_custkey,
+  round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS c_acctbal,
+  round((total - avg(total) OVER ()) / stddev_pop(total) OVER (), 6) AS total
+FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def scaled_features(spark, sf):
+    total = f.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.sum("o_totalprice").alias("total"))
+    both = f.table(spark, sf, "customer").select("c_custkey", "c_acctbal").join(total, "c_custkey")
+    scaled = features.scale(both, features.scaling_facts(both, ["c_acctbal", "total"]))
+    return scaled.withColumns({c: F.round(c, 6) for c in ("c_acctbal", "total")})
+
+
+def _z_rows(spark, sf):
+    merged = f.scored_phenotype(spark, sf)
+    return cut_lineage(ranking.z_scores(merged, "score", "zscore").select("s", "zscore", "status"))
+
+
+@query("logistic_odds_ratio")
+def logistic_odds_ratio(spark, sf):
+    """Odds ratio per standard deviation of the score."""
+    data = _z_rows(spark, sf)
+    return classifiers.odds_ratios(classifiers.fit_logistic(data, ["zscore"], "status"), ["zscore"], data)
+
+
+@query("logistic_tests")
+def logistic_tests(spark, sf):
+    data = _z_rows(spark, sf)
+    return classifiers.model_tests(classifiers.fit_logistic(data, ["zscore"], "status"), data, ["zscore"], "status")
+
+
+@query("logistic_metrics")
+def logistic_metrics(spark, sf):
+    """Metrics at the Youden threshold and at 0.5 of one fitted model."""
+    data = _z_rows(spark, sf)
+    model = classifiers.fit_logistic(data, ["zscore"], "status")
+    scored = data.withColumn("probability", classifiers.logistic_probability(model, ["zscore"]))
+    cut = metrics.youden_threshold(scored, "status", "probability").select("threshold").scalar()
+    both = metrics.predict_at(scored, "probability", cut).withColumn("rule", F.lit("youden")).unionByName(
+        scored.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
+        .withColumn("rule", F.lit("half")))
+    return metrics.threshold_metrics(both, "status", "prediction", ["rule"])
+
+
+def _train_test(spark, sf):
+    split = cut_lineage(folds.stratified_split(rows(spark, sf), "doc_id", LABEL))
+    return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+
+
+@query("class_weighted")
+def class_weighted(spark, sf):
+    """Balanced logistic regression: report on the test part."""
+    train, test = _train_test(spark, sf)
+    model = classifiers.fit_logistic(train, COLUMNS, LABEL, class_weight="balanced")
+    scored = test.withColumn("probability", classifiers.logistic_probability(model, COLUMNS))
+    return metrics.class_report(metrics.predict_at(scored, "probability", 0.5), LABEL, "prediction")
+
+
+@query("importance")
+def importance(spark, sf):
+    """Coefficients and forest importances, largest coefficient first."""
+    data = cut_lineage(rows(spark, sf))
+    logistic = classifiers.fit_logistic(data, COLUMNS, LABEL, class_weight="balanced")
+    forest = classifiers.fit_forest(data, COLUMNS, LABEL, n_estimators=10, max_depth=5)
+    return classifiers.importance_table(data, COLUMNS, coefficient=logistic.coefficients,
+                                        importance=forest.featureImportances.toArray())
+
+
+@query("cv_scores")
+def cv_scores(spark, sf):
+    """Five-fold area of a balanced logistic regression."""
+    return selection.cross_validated_auc(rows(spark, sf), classifiers.fit_logistic,
+                                         {"class_weight": "balanced"}, COLUMNS, LABEL, "doc_id")
+
+
+@query("logistic_grid")
+def logistic_grid(spark, sf):
+    """All 20 candidates over three folds: mean area and mean average precision."""
+    _, scores = selection.search(rows(spark, sf), classifiers.fit_logistic, selection.LOGISTIC_GRID, COLUMNS,
+                                 LABEL, "doc_id", folds=3, scale_inside=True)
+    return selection.grid_scores(scores)
+
+
+# Small grids: the library's defaults fit up to 300 trees per candidate.
+_FOREST = {"n_estimators": [5, 10], "max_depth": [None, 3], "min_samples_split": [2]}
+_BOOSTING = {"n_estimators": [3], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]}
+_BOOSTED_TREES = {"n_estimators": [3], "max_depth": [2, 3], "min_child_weight": [1, 3]}
+
+
+def _tuned(data, fit, grid):
+    best, _ = selection.search(data, fit, grid, COLUMNS, LABEL, "doc_id", folds=3)
+    return best
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """Logistic, forest and boosting, tuned on the training part, on the test part."""
+    train, test = _train_test(spark, sf)
+    chosen = {"Logistic Regression": (classifiers.fit_logistic, {}),
+              "Random Forest": (classifiers.fit_forest, _tuned(train, classifiers.fit_forest, _FOREST)),
+              "Gradient Boosting": (classifiers.fit_boosted, _tuned(train, classifiers.fit_boosted, _BOOSTING))}
+    out = None
+    for name, (fit, params) in chosen.items():
+        model = fit(train, COLUMNS, LABEL, **params)
+        part = classifiers.with_probability(model, test, COLUMNS).select(
+            F.lit(name).alias("model"), LABEL, "probability")
+        out = part if out is None else out.unionByName(part)
+    return selection.compare_models(out, LABEL)
+
+
+@query("boosted_trees_grid")
+def boosted_trees_grid(spark, sf):
+    _, scores = selection.search(rows(spark, sf), classifiers.fit_boosted, _BOOSTED_TREES, COLUMNS, LABEL,
+                                 "doc_id", folds=3)
+    return selection.grid_scores(scores)
+
+
+@query("pooled_fold_report")
+def pooled_fold_report(spark, sf):
+    """Out-of-fold predictions of two models, pooled over the folds."""
+    folded = selection.save_folds(rows(spark, sf), "doc_id", LABEL, 3)
+    options = {"lr": (classifiers.fit_logistic, {"class_weight": "balanced"}),
+               "trees": (classifiers.fit_boosted, {"n_estimators": 3, "max_depth": 2})}
+    out = None
+    for name, (fit, params) in options.items():
+        part = selection.out_of_fold(folded, 3, fit, [params], COLUMNS, LABEL, "doc_id") \
+            .withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    predicted = metrics.predict_at(out, "probability", 0.5)
+    return metrics.class_report(predicted, LABEL, "prediction", ["model"], ("No", "Yes"))

@@ -34,42 +34,35 @@ def is_het(gt: Column) -> Column:
     return F.coalesce(_first(gt) != _second(gt), F.lit(False))
 
 
-def effect_is_ref(alleles: Column, effect: Column) -> Column:
-    return F.get(alleles, F.lit(0)) == effect
+def effect_place(alleles: Column, effect: Column) -> Column:
+    """Place of the effect allele: 0 in neither, 1 reference, 2 and up alternative.
 
-
-def effect_is_alt(alleles: Column, effect: Column) -> Column:
-    alts = F.slice(alleles, F.lit(2), F.greatest(F.size(alleles) - 1, F.lit(0)))
-    return F.array_contains(alts, effect)
+    NULL without a weight row. Made once per call; the dosage compares numbers.
+    """
+    return F.array_position(alleles, effect).cast("int")
 
 
-def missing_dosage(alleles: Column, effect: Column) -> Column:
+def missing_dosage(place: Column) -> Column:
     """Dosage of a sample without an entry: two copies when the effect is ref."""
-    return F.when(effect.isNull(), None).when(effect_is_ref(alleles, effect), 2).otherwise(0)
+    return F.when(place == 1, 2).when(place.isNotNull(), 0)
 
 
-def effect_dosage(gt: Column, alleles: Column, effect: Column, allele_specific: bool = False) -> Column:
+def effect_dosage(gt: Column, place: Column, allele_specific: bool = False) -> Column:
     """Copies of the effect allele carried by a call; NULL without a weight row.
 
     By default any heterozygote counts one and any homozygous alternative
     counts two when the effect is one of the alternatives, whichever of them
     is carried. ``allele_specific`` counts the copies really carried.
     """
-    ref = effect_is_ref(alleles, effect)
-    alt = effect_is_alt(alleles, effect)
+    a, b = _first(gt), _second(gt)
+    missing = a.isNull() | b.isNull()
     if allele_specific:
-        def carried(index: Column) -> Column:
-            return (F.get(alleles, index) == effect).cast("int")
-
-        return (F.when(effect.isNull(), None)
-                .when(is_missing(gt), F.when(ref, 2).otherwise(0))
-                .otherwise(carried(_first(gt)) + carried(_second(gt))))
-    return (F.when(effect.isNull(), None)
-            .when(is_missing(gt), F.when(ref, 2).otherwise(0))
-            .when(is_het(gt) & (ref | alt), 1)
-            .when(is_hom_ref(gt) & ref, 2)
-            .when(is_hom_var(gt) & alt, 2)
-            .otherwise(0))
+        carried = (a == place - 1).cast("int") + (b == place - 1).cast("int")
+        return F.when(missing, missing_dosage(place)).otherwise(carried)
+    return (F.when(missing, missing_dosage(place))
+            .when(a != b, (place > 0).cast("int"))
+            .when(a == 0, F.when(place == 1, 2).when(place.isNotNull(), 0))
+            .otherwise(F.when(place > 1, 2).when(place.isNotNull(), 0)))
 
 
 def filter_label(ft: Column) -> Column:

@@ -24,7 +24,7 @@ def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Dat
     """Per threshold: tp and fp among scores at or above it, and the totals."""
     by = list(by)
     one = F.col(label) == 1
-    counts = (ranking.present(df, score).where(F.col(label).isNotNull())
+    counts = (ranking.present(df, score, by).where(F.col(label).isNotNull())
               .groupBy(*by, F.col(score).cast("double").alias("threshold"))
               .agg(F.count_if(one).alias("pos"), F.count_if(~one).alias("neg")))
     run = ranking.running_totals(counts, "threshold", ["pos", "neg"], by, descending=True)

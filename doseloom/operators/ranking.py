@@ -51,11 +51,12 @@ def _bucketed(groups: DataFrame, value: str, totals: Sequence[str]) -> DataFrame
     levels = _levels(groups)
     # One step more than the split points need, in case a sample came out larger.
     steps = F.array(*[F.lit(2 ** k) for k in reversed(range(levels + 1))])
-    return groups.withColumn(_SPLITS, _split_points(groups, value, totals, levels)).withColumn(
-        _BUCKET,
-        F.aggregate(steps, F.lit(0), lambda low, step: F.when(
-            F.get(F.col(_SPLITS), low + step - 1) < F.col(value), low + step).otherwise(low)),
-    ).drop(_SPLITS)
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        F.get(F.col(_SPLITS), low + step - 1) < F.col(value), low + step).otherwise(low))
+    # Never NULL, and declared so: the join on the bucket then adds no null test
+    # that would be pushed below the aggregate and run the search on every row.
+    return (groups.withColumn(_SPLITS, _split_points(groups, value, totals, levels))
+            .withColumn(_BUCKET, F.coalesce(found, F.lit(0))).drop(_SPLITS))
 
 
 def running_totals(groups: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (),
@@ -65,7 +66,7 @@ def running_totals(groups: DataFrame, value: str, totals: Sequence[str], by: Seq
     ``groups`` has one row per (``by``, ``value``) with non-null keys. A caller
     that knows an even, order-preserving ``bucket`` of its values passes it.
     """
-    framed = (groups.withColumn(_BUCKET, bucket) if bucket is not None
+    framed = (groups.withColumn(_BUCKET, F.coalesce(bucket, F.lit(0))) if bucket is not None
               else _bucketed(groups, value, totals))
     by = list(by)
 
@@ -89,35 +90,31 @@ def running_totals(groups: DataFrame, value: str, totals: Sequence[str], by: Seq
         *[(F.col(f"_offset_{t}") + F.col(f"_inside_{t}")).alias(f"before_{t}") for t in totals])
 
 
-def present(df: DataFrame, value: str) -> DataFrame:
-    """Rows whose value is neither NULL nor NaN."""
-    kind = dict(df.dtypes)[value]
+def present(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose value is neither NULL nor NaN and whose group is known."""
     keep = F.col(value).isNotNull()
-    if kind in ("double", "float"):
+    if dict(df.dtypes)[value] in ("double", "float"):
         keep = keep & ~F.isnan(value)
+    for column in by:
+        keep = keep & F.col(column).isNotNull()
     return df.where(keep)
 
 
-def value_totals(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct value: its count ``n`` and the count before it."""
-    counts = present(df, value).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_totals(counts, value, ["n"], by)
+def distinct_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct present value, with its count ``n``."""
+    return present(df, value, by).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their rank, ties sharing the average rank."""
-    return value_totals(df, value, by).select(
+    return running_totals(distinct_counts(df, value, by), value, ["n"], by).select(
         *by, value, "n", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
-def _size(df: DataFrame, value: str) -> Column:
-    return present(df, value).agg(F.count(F.lit(1)).alias("n")).scalar()
-
-
 def percentile_ranks(df: DataFrame, value: str, into: str = "percentile") -> DataFrame:
     """Every row with 100 x average rank / count; rows without a value keep NULL."""
-    ranks = average_ranks(df, value).select(
-        value, (F.col("avg_rank") / _size(df, value) * 100.0).alias(into))
+    size = distinct_counts(df, value).agg(F.sum("n").alias("n")).scalar()
+    ranks = average_ranks(df, value).select(value, (F.col("avg_rank") / size * 100.0).alias(into))
     return df.join(ranks, value, "left")
 
 
@@ -131,10 +128,12 @@ def z_scores(df: DataFrame, value: str, into: str = "zscore") -> DataFrame:
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles: an array column ``quantiles``."""
     by = list(by)
-    totals = value_totals(df, value, by)
-    size = totals.groupBy(*by).agg(F.sum("n").alias("_size")) if by else None
-    sized = (totals.join(size, by) if by
-             else totals.withColumn("_size", totals.agg(F.sum("n").alias("n")).scalar()))
+    counts = distinct_counts(df, value, by)
+    totals = running_totals(counts, value, ["n"], by)
+    if by:
+        sized = totals.join(counts.groupBy(*by).agg(F.sum("n").alias("_size")), by)
+    else:
+        sized = totals.withColumn("_size", counts.agg(F.sum("n").alias("n")).scalar())
 
     def at(index: Column) -> Column:
         holds = (F.col("before_n") <= index) & (index < F.col("before_n") + F.col("n"))
@@ -177,7 +176,7 @@ def quantile_cut(df: DataFrame, value: str, bins: int, into: str = "bin",
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std (n-1), min, 25 %, 50 %, 75 %, max with exact quartiles."""
     by = list(by)
-    basic = present(df, value).groupBy(*by).agg(
+    basic = present(df, value, by).groupBy(*by).agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"))

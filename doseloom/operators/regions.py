@@ -11,6 +11,7 @@ from doseloom.operators.cohort import keep_ids
 from doseloom.operators.intervals import in_region
 
 CHUNK = 1_000
+MAX_BROADCAST_CHUNKS = 20_000  # 20 MB of bases
 
 
 def slice_region(calls: DataFrame, region: str, end_inclusive: bool = False,
@@ -113,12 +114,15 @@ def consensus(samples: DataFrame, calls: DataFrame, bases: DataFrame, region: st
               .withColumn("text", F.when(F.col("from") == F.col("start"), F.col("alt")).otherwise("")))
     per_chunk = pieces.groupBy("s", "contig", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("from", "to", "text"))).alias("edits"))
+    first, last = (start - 1) // chunk, (end - 1) // chunk
     spans = reference_chunks(bases, region, chunk)
-    numbers = F.sequence(F.lit((start - 1) // chunk).cast("long"), F.lit((end - 1) // chunk).cast("long"))
+    if last - first < MAX_BROADCAST_CHUNKS:
+        spans = F.broadcast(spans)  # one row a chunk of the region
+    # Edits meet the (sample, chunk) keys first, so no bases are shuffled.
     frame = (samples.select("s").withColumn("contig", F.lit(contig))
-             .withColumn("chunk", F.explode(numbers))
-             .join(spans, ["contig", "chunk"])
-             .join(per_chunk, ["s", "contig", "chunk"], "left"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+             .join(per_chunk, ["s", "contig", "chunk"], "left")
+             .join(spans, ["contig", "chunk"]))
     begin = F.struct(F.lit("").alias("out"), F.col("chunk_start").cast("long").alias("at"))
 
     def bases_between(a: Column, b: Column) -> Column:

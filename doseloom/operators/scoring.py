@@ -35,23 +35,37 @@ def one_weight_per_locus(weights: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("locus_weights"))
             .select(*LOCUS, "w.effect_allele", "w.weight", "locus_weights"))
 
+def chosen_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """One weight per locus, broadcast when the raw table is counted as small.
+
+    The raw count bounds the chosen rows and needs no aggregation.
+    """
+    return broadcast_if_small(one_weight_per_locus(weights), max_broadcast, counted=weights)
+
+
 def annotate_variants(variants: DataFrame, weights: DataFrame) -> DataFrame:
     """Every variant row with the weight at its locus, NULL where there is none."""
-    chosen = broadcast_if_small(one_weight_per_locus(weights))
-    return variants.join(chosen, LOCUS, "left")
+    return variants.join(chosen_weights(weights), LOCUS, "left")
+
 
 def found_variants(variants: DataFrame, weights: DataFrame) -> DataFrame:
     """Variant rows that have a weight, with the weight's columns."""
-    chosen = broadcast_if_small(one_weight_per_locus(weights))
-    return variants.join(chosen, LOCUS).select(*LOCUS, "alleles", "effect_allele", "weight")
+    return variants.join(chosen_weights(weights), LOCUS) \
+        .select(*LOCUS, "alleles", "effect_allele", "weight")
+
+
+def _placed(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows at weighted loci with the place of the effect allele."""
+    return rows.join(chosen, LOCUS).withColumn(
+        "_place", g.effect_place(F.col("alleles"), F.col("effect_allele")))
+
 
 def call_dosages(calls: DataFrame, weights: DataFrame, allele_specific: bool = False) -> DataFrame:
     """Stored calls at weighted loci with dosage and contribution."""
-    chosen = broadcast_if_small(one_weight_per_locus(weights))
-    dosage = g.effect_dosage(F.col("gt"), F.col("alleles"), F.col("effect_allele"), allele_specific)
-    return (calls.join(chosen, LOCUS)
-            .withColumn("dosage", dosage)
-            .withColumn("contribution", F.col("dosage") * F.col("weight")))
+    return (_placed(calls, chosen_weights(weights))
+            .withColumn("dosage", g.effect_dosage(F.col("gt"), F.col("_place"), allele_specific))
+            .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place"))
+
 
 def blocks_of(weights: DataFrame, block_size: int, max_blocks: int) -> list | None:
     """Distinct blocks of the weights, or None when they touch too many.
@@ -85,15 +99,14 @@ def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, wei
     are made before the shuffle, so a sample with very many calls is one row
     per task by then.
     """
-    chosen = broadcast_if_small(one_weight_per_locus(weights), max_broadcast)
-    alleles, effect = F.col("alleles"), F.col("effect_allele")
-    miss = g.missing_dosage(alleles, effect)
-    base = (variants.join(chosen, LOCUS)
-            .agg(F.struct(F.coalesce(F.sum(miss * F.col("weight")), F.lit(0.0)).alias("total"),
+    chosen = chosen_weights(weights, max_broadcast)
+    place, weight = F.col("_place"), F.col("weight")
+    miss = g.missing_dosage(place)
+    base = (_placed(variants, chosen)
+            .agg(F.struct(F.coalesce(F.sum(miss * weight), F.lit(0.0)).alias("total"),
                           F.count("weight").alias("n")).alias("base")).scalar())
-    delta = g.effect_dosage(F.col("gt"), alleles, effect, allele_specific) - miss
-    moved = (calls.join(chosen, LOCUS)
-             .groupBy("s").agg(F.sum(delta * F.col("weight")).alias("delta")))
+    delta = g.effect_dosage(F.col("gt"), place, allele_specific) - miss
+    moved = (_placed(calls, chosen).groupBy("s").agg(F.sum(delta * weight).alias("delta")))
     return (samples.select("s").join(moved, "s", "left")
             .select("s", (base["total"] + F.coalesce("delta", F.lit(0.0))).alias("total_score"),
                     base["n"].alias("variant_count"))

@@ -51,7 +51,7 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
     kind = (F.sum("l_quantity").cast("long") % 5).alias("kind")
     per_pair = (bought.join(who, bought.l_orderkey == who.o_orderkey)
                 .groupBy(F.col("o_custkey").alias("s"), F.col("l_partkey").alias("p_partkey"))
-                .agg(kind, F.max("l_returnflag").alias("flag")))
+                .agg(kind, F.max(F.ascii("l_returnflag")).alias("flag")))  # a number: hash aggregate
     part = variants(spark, sf).withColumn("p_partkey", F.col("position").cast("long"))
 
     def pair(a: int, b: int) -> Column:
@@ -61,7 +61,7 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
           .when(F.col("kind") == 2, pair(1, 1))
           .when((F.col("kind") == 4) & (F.size("alleles") == 3), pair(1, 2))
           .when(F.col("kind") == 4, pair(0, 1)))
-    ft = F.when(F.col("flag") == "A", True).when(F.col("flag") == "N", False)
+    ft = F.when(F.col("flag") == ord("A"), True).when(F.col("flag") == ord("N"), False)
     return per_pair.join(part, "p_partkey").select(
         "contig", "position", "alleles", "s", gt.alias("gt"), ft.alias("ft"))
 

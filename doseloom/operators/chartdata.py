@@ -28,16 +28,16 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers inside ``reach`` x IQR and outlier count per group."""
-    kept = ranking.present(df, value).where(F.col(group).isNotNull())
-    cuts = ranking.quantiles(kept, value, [0.25, 0.5, 0.75], [group]).select(
+    cuts = ranking.quantiles(df, value, [0.25, 0.5, 0.75], [group]).select(
         group, *[F.get("quantiles", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
     spread = reach * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)
-    # Groups are few labels; without a hint a hot one is split by AQE.
-    return (kept.join(cuts, group).groupBy(group, "q1", "q2", "q3")
+    # Distinct values with their counts meet the quartiles, not the rows.
+    return (ranking.distinct_counts(df, value, [group]).join(cuts, group).groupBy(group, "q1", "q2", "q3")
             .agg(F.min(F.when(inside, F.col(value))).cast("double").alias("whisker_low"),
                  F.max(F.when(inside, F.col(value))).cast("double").alias("whisker_high"),
-                 F.count_if(~inside).alias("outliers"), F.count(F.lit(1)).alias("count")))
+                 F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
+                 F.sum("n").alias("count")))
 
 
 def density(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -> DataFrame:

@@ -28,12 +28,6 @@ def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Dat
               .groupBy(*by, F.col(score).cast("double").alias("threshold"))
               .agg(F.count_if(one).alias("pos"), F.count_if(~one).alias("neg")))
     run = ranking.running_totals(counts, "threshold", ["pos", "neg"], by, descending=True)
-    sums = [F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")]
-    if by:
-        run = run.join(counts.groupBy(*by).agg(*sums), by)
-    else:
-        totals = counts.agg(F.struct(*sums).alias("t")).scalar()
-        run = run.withColumn("all_pos", totals["all_pos"]).withColumn("all_neg", totals["all_neg"])
     return (run.withColumn("tp", F.col("before_pos") + F.col("pos"))
             .withColumn("fp", F.col("before_neg") + F.col("neg")))
 

@@ -61,7 +61,8 @@ def _bucketed(groups: DataFrame, value: str, totals: Sequence[str]) -> DataFrame
 
 def running_totals(groups: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False, bucket: Column | None = None) -> DataFrame:
-    """``before_<t>`` for each total: its sum over the values ordered earlier.
+    """``before_<t>``: the sum of a total over the values ordered earlier, and
+    ``all_<t>``: its sum over the whole group.
 
     ``groups`` has one row per (``by``, ``value``) with non-null keys. A caller
     that knows an even, order-preserving ``bucket`` of its values passes it.
@@ -80,14 +81,16 @@ def running_totals(groups: DataFrame, value: str, totals: Sequence[str], by: Seq
     bucket_totals = framed.groupBy(*by, _BUCKET).agg(*[F.sum(t).alias(t) for t in totals])
     offsets = bucket_totals.select(
         *by, _BUCKET,
-        *[F.coalesce(F.sum(t).over(over_buckets), F.lit(0)).alias(f"_offset_{t}") for t in totals])
+        *[F.coalesce(F.sum(t).over(over_buckets), F.lit(0)).alias(f"_offset_{t}") for t in totals],
+        *[F.sum(t).over(Window.partitionBy(*by)).alias(f"all_{t}") for t in totals])
     if not by:
         offsets = F.broadcast(offsets)  # at most 2 ** (_MAX_LEVELS + 1) rows
     inside = framed.select(
         "*", *[F.coalesce(F.sum(t).over(in_bucket), F.lit(0)).alias(f"_inside_{t}") for t in totals])
     return inside.join(offsets, [*by, _BUCKET]).select(
         *groups.columns,
-        *[(F.col(f"_offset_{t}") + F.col(f"_inside_{t}")).alias(f"before_{t}") for t in totals])
+        *[(F.col(f"_offset_{t}") + F.col(f"_inside_{t}")).alias(f"before_{t}") for t in totals],
+        *[f"all_{t}" for t in totals])
 
 
 def present(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -108,13 +111,13 @@ def distinct_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their rank, ties sharing the average rank."""
     return running_totals(distinct_counts(df, value, by), value, ["n"], by).select(
-        *by, value, "n", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
+        *by, value, "n", "all_n", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
 def percentile_ranks(df: DataFrame, value: str, into: str = "percentile") -> DataFrame:
     """Every row with 100 x average rank / count; rows without a value keep NULL."""
-    size = distinct_counts(df, value).agg(F.sum("n").alias("n")).scalar()
-    ranks = average_ranks(df, value).select(value, (F.col("avg_rank") / size * 100.0).alias(into))
+    ranks = average_ranks(df, value).select(
+        value, (F.col("avg_rank") / F.col("all_n") * 100.0).alias(into))
     return df.join(ranks, value, "left")
 
 
@@ -128,12 +131,7 @@ def z_scores(df: DataFrame, value: str, into: str = "zscore") -> DataFrame:
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles: an array column ``quantiles``."""
     by = list(by)
-    counts = distinct_counts(df, value, by)
-    totals = running_totals(counts, value, ["n"], by)
-    if by:
-        sized = totals.join(counts.groupBy(*by).agg(F.sum("n").alias("_size")), by)
-    else:
-        sized = totals.withColumn("_size", counts.agg(F.sum("n").alias("n")).scalar())
+    totals = running_totals(distinct_counts(df, value, by), value, ["n"], by)
 
     def at(index: Column) -> Column:
         holds = (F.col("before_n") <= index) & (index < F.col("before_n") + F.col("n"))
@@ -141,12 +139,12 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
 
     picks, edges = [], []
     for i, p in enumerate(probs):
-        place = (F.col("_size") - 1) * F.lit(float(p))
+        place = (F.col("all_n") - 1) * F.lit(float(p))
         picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"),
                   F.max(place - F.floor(place)).alias(f"_part{i}")]
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         edges.append(low + (high - low) * F.col(f"_part{i}"))
-    return sized.groupBy(*by).agg(*picks).select(*by, F.array(*edges).alias("quantiles"))
+    return totals.groupBy(*by).agg(*picks).select(*by, F.array(*edges).alias("quantiles"))
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -223,12 +221,12 @@ def hash_order(df: DataFrame, id_columns: Sequence[str], by: Sequence[str], seed
     bucket = F.shiftright(key, 64 - levels).cast("int")  # order-preserving, signed
     counts = hashed.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
     before = running_totals(counts, key, ["n"], by, bucket=bucket)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(size_into))
     # Two ids with one hash value are told apart by their own order.
     within = Window.partitionBy(*by, key).orderBy(*id_columns)
     return (hashed.withColumn("_within", F.row_number().over(within))
-            .join(before.drop("n"), [*by, key]).join(sizes, list(by))
+            .join(before.drop("n"), [*by, key])
             .withColumn(into, F.col("before_n") + F.col("_within"))
+            .withColumnRenamed("all_n", size_into)
             .drop(key, "_within", "before_n"))
 
 

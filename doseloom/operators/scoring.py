@@ -73,7 +73,8 @@ def blocks_of(weights: DataFrame, block_size: int, max_blocks: int) -> list | No
     The list is bounded by ``max_blocks`` and prunes partition folders of the
     call table before any join.
     """
-    rows = (weights.select("contig", F.floor(F.col("position") / block_size).alias("block"))
+    rows = (weights.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
+            .select("contig", F.floor(F.col("position") / block_size).alias("block"))
             .distinct().limit(max_blocks + 1).collect())
     return None if len(rows) > max_blocks else [(r.contig, r.block) for r in rows]
 

@@ -17,9 +17,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
                              F.max(value).cast("double").alias("high")).alias("s")).scalar()
     spanned = kept.withColumn("_s", span)
     low, high = F.col("_s.low"), F.col("_s.high")
-    place = F.try_divide((F.col(value) - low) * bins, high - low)
-    number = F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(bins - 1)).cast("int")
     width = (high - low) / bins
+    guess = F.least(F.floor(F.coalesce(F.try_divide((F.col(value) - low) * bins, high - low), F.lit(0.0))),
+                    F.lit(bins - 1)).cast("int")
+    # The edges decide: a value on one may be a bit off after the division.
+    number = (F.when(F.col(value) < low + guess * width, guess - 1)
+              .when((F.col(value) >= low + (guess + 1) * width) & (guess < bins - 1) & (width > 0), guess + 1)
+              .otherwise(guess))
     return (spanned.select(number.alias("bin"), low.alias("_low"), width.alias("_width"))
             .groupBy("bin", "_low", "_width").agg(F.count(F.lit(1)).alias("count"))
             .select("bin", (F.col("_low") + F.col("bin") * F.col("_width")).alias("left_edge"),

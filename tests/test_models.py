@@ -1,0 +1,144 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from doseloom.functions.tails import chi2_tail_1df, t_two_sided
+from doseloom.models import classifiers, features, folds, selection
+from doseloom.operators import metrics
+
+NAMES = ["a", "b"]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(1.2 - x @ [1.0, -0.5]))).astype(int)
+    rows = [(i, float(u), float(v), int(k)) for i, ((u, v), k) in enumerate(zip(x, y))]
+    return x, y, spark.createDataFrame(rows, "id long, a double, b double, y int").cache()
+
+
+def newton(x, y, strength, weights):
+    """Minimise sum w logloss + |coef|^2 / (2 C), intercept free."""
+    design = np.column_stack([np.ones(len(x)), x])
+    penalty = np.diag([0.0] + [1.0 / strength] * x.shape[1])
+    beta = np.zeros(design.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ beta))
+        grad = design.T @ (weights * (p - y)) + penalty @ beta
+        hess = design.T @ (design * (weights * p * (1 - p))[:, None]) + penalty
+        beta = beta - np.linalg.solve(hess, grad)
+    return beta
+
+
+@pytest.mark.parametrize("strength,rule", [(1.0, None), (0.01, "balanced"), (10.0, {0: 1, 1: 5})])
+def test_logistic_is_the_penalised_optimum(table, strength, rule):
+    x, y, df = table
+    model = classifiers.fit_logistic(df, NAMES, "y", strength, rule)
+    n = len(y)
+    w = {None: (1, 1), "balanced": (n / 2 / (y == 0).sum(), n / 2 / (y == 1).sum())}.get(
+        rule if not isinstance(rule, dict) else "x", (1, 5))
+    want = newton(x, y, strength, np.where(y == 1, w[1], w[0]))
+    assert [model.intercept, *model.coefficients] == pytest.approx(want.tolist(), abs=1e-5)
+    ratios = {r.feature: r.odds_ratio for r in classifiers.odds_ratios(model, NAMES, df).collect()}
+    assert ratios["a"] == pytest.approx(math.exp(want[1]), rel=1e-4)
+    own = classifiers.with_probability(model, df, NAMES, "p").withColumn(
+        "q", classifiers.logistic_probability(model, NAMES))
+    assert own.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-12
+
+
+def test_model_tests(table):
+    x, y, df = table
+    model = classifiers.fit_logistic(df, NAMES, "y")
+    row = classifiers.model_tests(model, df, NAMES, "y").first()
+    p = 1 / (1 + np.exp(-(model.intercept + x @ np.array(model.coefficients))))
+    correct = ((p > 0.5) == (y == 1)).sum()
+    assert row.n == 300 and row.accuracy == pytest.approx(correct / 300)
+    assert row.accuracy_chi2_tail == pytest.approx(chi2_tail_1df(float(correct)), rel=1e-9)
+    fitted = np.sum(np.where(y == 1, np.log(p), np.log(1 - p)))
+    null = y.sum() * math.log(y.mean()) + (1 - y).sum() * math.log(1 - y.mean())
+    assert row.likelihood_ratio == pytest.approx(2 * (fitted - null))
+
+
+@pytest.mark.parametrize("t,df,p", [  # from published tables
+    (12.706, 1, 0.05), (2.228, 10, 0.05), (1.96, 1e7, 0.05), (3.169, 10, 0.01), (0.0, 5, 1.0), (1.372, 10, 0.2)])
+def test_t_tail(t, df, p):
+    assert t_two_sided(t, df) == pytest.approx(p, rel=2e-3)
+    assert t_two_sided(-t, df) == t_two_sided(t, df)
+
+
+def test_t_tail_closed_forms_and_chi2():
+    for t in (0.3, 1.0, 4.0, 40.0):
+        assert t_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-9)
+        assert t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
+    assert chi2_tail_1df(3.841459) == pytest.approx(0.05, rel=1e-5)
+
+
+def test_feature_effects(table):
+    x, y, df = table
+    rows = {r.feature: r for r in features.with_p_values(features.feature_effects(df, NAMES, "y")).collect()}
+    for j, name in enumerate(NAMES):
+        one, zero = x[y == 1, j], x[y == 0, j]
+        v1, v0 = one.var(ddof=1), zero.var(ddof=1)
+        pooled = ((len(one) - 1) * v1 + (len(zero) - 1) * v0) / (len(y) - 2)
+        t = (one.mean() - zero.mean()) / math.sqrt(pooled * (1 / len(one) + 1 / len(zero)))
+        assert rows[name].t_stat == pytest.approx(t) and rows[name].p_value == pytest.approx(t_two_sided(t, 298))
+        assert rows[name].cohens_d == pytest.approx((one.mean() - zero.mean()) / math.sqrt((v1 + v0) / 2))
+
+
+def test_scaler_uses_population_deviation(table):
+    x, _, df = table
+    got = features.scale(df, features.scaling_facts(df, NAMES)).orderBy("id").collect()
+    want = (x - x.mean(0)) / x.std(0)
+    assert np.allclose([[r.a, r.b] for r in got], want)
+    flat = df.select("id", F.lit(3.0).alias("a"))
+    assert {r.a for r in features.scale(flat, features.scaling_facts(flat, ["a"])).collect()} == {0.0}
+
+
+def test_split_and_folds_are_exact_and_repeatable(spark):
+    df = spark.createDataFrame([(i, int(i >= 341)) for i in range(399)], "id long, y int")
+    split = folds.stratified_split(df.repartition(9), "id", "y").collect()
+    assert sum(r.is_test for r in split if r.y == 0) == 68 and sum(r.is_test for r in split if r.y == 1) == 12
+    again = folds.stratified_split(df.coalesce(1), "id", "y").collect()
+    assert {r.id: r.is_test for r in split} == {r.id: r.is_test for r in again}
+    dealt = folds.stratified_folds(df, "id", "y", 5).collect()
+    assert len(dealt) == 399
+    for y, sizes in ((0, {68, 69}), (1, {11, 12})):
+        assert {sum(r.fold == k for r in dealt if r.y == y) for k in range(5)} <= sizes
+
+
+def test_out_of_fold_and_search(table):
+    _, _, df = table
+    grid = {"C": [0.001, 1.0], "class_weight": ["balanced", None]}
+    best, scores = selection.search(df, classifiers.fit_logistic, grid, NAMES, "y", "id", folds=3, scale_inside=True)
+    assert scores.count() == 12 and best in selection.candidates(grid)
+    means = {r.candidate: r.mean_ap for r in selection.grid_scores(scores).collect()}
+    assert means[selection.candidates(grid).index(best)] == max(means.values())
+    folded = selection.save_folds(df, "id", "y", 3)
+    pooled = selection.out_of_fold(folded, 3, classifiers.fit_logistic, [best], NAMES, "y", "id")
+    assert pooled.count() == 300 and pooled.select("id").distinct().count() == 300
+    hard = selection.fold_scores(pooled, "y", hard_labels=True).count()
+    assert hard == 3
+    area = metrics.ranking_metrics(pooled, "y", "probability").first().roc_auc
+    assert area > 0.65
+
+
+def test_cross_validated_auc(table):
+    _, _, df = table
+    row = selection.cross_validated_auc(df, classifiers.fit_logistic, {}, NAMES, "y", "id", folds=3)
+    r = row.first()
+    assert r.folds == 3 and 0.6 < r.mean_auc < 1 and r.spread >= 0
+
+
+def test_trees_and_importances(table):
+    _, _, df = table
+    forest = classifiers.fit_forest(df, NAMES, "y", n_estimators=5, max_depth=3)
+    boosted = classifiers.fit_boosted(df, NAMES, "y", n_estimators=3, max_depth=2)
+    for model in (forest, boosted):
+        scored = classifiers.with_probability(model, df, NAMES)
+        assert metrics.ranking_metrics(scored, "y", "probability").first().roc_auc > 0.7
+    shown = classifiers.importance_table(df, NAMES, coefficient=[-3.0, 2.0],
+                                         importance=forest.featureImportances.toArray()).collect()
+    assert [r.feature for r in shown] == ["a", "b"] and sum(r.importance for r in shown) == pytest.approx(1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 _BUCKET = "_bucket"
 _SPLITS = "_splits"
-_MAX_LEVELS = 12
+_MAX_LEVELS = 14
 
 
 def _levels(df: DataFrame) -> int:

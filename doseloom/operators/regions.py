@@ -12,6 +12,7 @@ from doseloom.operators.intervals import in_region
 
 CHUNK = 1_000
 MAX_BROADCAST_CHUNKS = 20_000  # 20 MB of bases
+ISLAND_BLOCK = 50_000
 
 
 def slice_region(calls: DataFrame, region: str, end_inclusive: bool = False,
@@ -48,6 +49,34 @@ def _first_alt(gt: Column) -> Column:
     return F.get(F.filter(gt, lambda a: a > 0), F.lit(0))
 
 
+def _with_islands(edits: DataFrame) -> DataFrame:
+    """Add ``island``: where the run of overlapping variants begins.
+
+    Within blocks of positions, running values give the furthest stop so far
+    and the last island start; one row per sample and block carries both on.
+    """
+    keys = ["s", "contig"]
+    blocked = edits.withColumn("_block", F.floor(F.col("start") / ISLAND_BLOCK))
+    in_block = Window.partitionBy(*keys, "_block").orderBy("start", "stop", "alt")
+    over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    stops = blocked.groupBy(*keys, "_block").agg(F.max("stop").alias("_stop"))
+    carried = stops.select(*keys, "_block", F.max("_stop").over(over_blocks).alias("_carried"))
+    reached = (blocked.withColumn("_inside", F.max("stop").over(before))
+               .join(carried, [*keys, "_block"])
+               .withColumn("_reach", F.greatest("_inside", "_carried")))
+    begins = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
+    marked = reached.withColumn("_begin", begins)
+    lasts = marked.groupBy(*keys, "_block").agg(F.max("_begin").alias("_last"))
+    carried_begin = lasts.select(*keys, "_block", F.max("_last").over(over_blocks).alias("_earlier"))
+    return (marked.withColumn("_here", F.last("_begin", ignorenulls=True).over(upto))
+            .join(carried_begin, [*keys, "_block"])
+            .withColumn("island", F.coalesce("_here", "_earlier"))
+            .select(*edits.columns, "island"))
+
+
 def applied_edits(calls: DataFrame) -> DataFrame:
     """Per sample, the variants that a consensus applies.
 
@@ -62,12 +91,7 @@ def applied_edits(calls: DataFrame) -> DataFrame:
                      F.get("alleles", F.lit(0)).alias("ref"),
                      F.get("alleles", F.col("_index")).alias("alt"))
              .withColumn("stop", F.col("start") + F.length("ref")))
-    order = Window.partitionBy("s", "contig").orderBy("start", "stop", "alt")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    island = F.sum(F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = edits.withColumn("_reach", F.max("stop").over(before)).withColumn("island", island)
-    listed = runs.groupBy("s", "contig", "island").agg(
+    listed = _with_islands(edits).groupBy("s", "contig", "island").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop", "alt", "ref"))).alias("edits"))
     # Fold over the island: keep an edit when it starts at or after the last stop.
     chosen = F.aggregate(

@@ -91,6 +91,17 @@ def prune_calls(calls: DataFrame, weights: DataFrame, block_size: int, max_block
         keep = keep | ((F.col("contig") == contig) & F.col("block").isin(sorted(numbers)))
     return calls.where(keep)
 
+def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """Calls of the wanted samples, when these are few enough to broadcast.
+
+    Otherwise the calls stay as they are: shuffling them all to drop some is
+    dearer than summing them, and the score's last join drops the rest.
+    """
+    if samples.count() > max_broadcast:
+        return calls
+    return calls.join(F.broadcast(samples.select("s")), "s", "left_semi")
+
+
 def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, weights: DataFrame,
                   allele_specific: bool = False, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """``s, total_score, variant_count, normalized_score`` for every sample.

@@ -38,7 +38,7 @@ def score_cohort(spark: SparkSession, genotype_root: str, flagged_uri: str, peop
     weights = readers.located_weight_csv(spark, writers.weights(readers.locate_weights(prepared), f"{root}/weights"))
     writers.weight_intervals(weights, f"{root}/intervals")
     calls = data.calls if block_size is None else scoring.prune_calls(data.calls, weights, block_size)
-    calls = cohort.keep_ids(calls.withColumn("s", F.col("s").cast("string")), samples, "s")
+    calls = scoring.calls_of(calls.withColumn("s", F.col("s").cast("string")), samples)
     points = intervals.point_intervals(weights)
     variants = intervals.at_points(data.variants, points)
     scored = scoring.score_samples(samples, variants, calls, weights, allele_specific)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doseloom.operators import incidence, intervals, scoring
+from doseloom.operators import incidence, intervals, regions, scoring
 from doseloom.plans import storage
 from doseloom.sources import readers, writers
 from standins import frames as f
@@ -12,6 +12,8 @@ from standins import query
 from standins.genetics import _DOSAGE, _FULL, _SCORE_COLUMNS, _dense, _rounded
 from standins.regions import LINES_SQL, REGION
 
+_EDGES_SQL = "edges AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS e FROM spend)"
+
 
 def _uri(spark, label: str) -> str:
     return storage.new_folder(spark, label)
@@ -132,6 +134,66 @@ def file_scores(spark, sf):
     return readers.scores_csv(spark, uri)
 
 
+@query("file_found_variants", f"""WITH {f.VARIANTS_SQL}, {f.WEIGHTS_SQL}
+SELECT contig, position, concat_ws(',', ref, alt1, alt2) AS alleles, effect_allele, weight
+FROM variants JOIN weights USING (contig, position)""")
+def file_found_variants(spark, sf):
+    uri = writers.found_variants(scoring.found_variants(f.variants(spark, sf), f.weights(spark, sf)),
+                                 _uri(spark, "found"))
+    return readers.typed_csv(spark, uri, "contig string, position int, alleles string, "
+                                         "effect_allele string, weight double")
+
+
+@query("file_standardised", f"""WITH {f.SPEND_SQL}, {_EDGES_SQL}
+SELECT cast(s AS varchar) AS s, score AS total_score,
+  round((score - avg(score) OVER ()) / stddev_samp(score) OVER (), 6) AS prs_zscore,
+  round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER () * 100, 6)
+    AS prs_percentile,
+  CASE WHEN score <= e[1] THEN 'Very Low' WHEN score <= e[2] THEN 'Low' WHEN score <= e[3] THEN 'Average'
+       WHEN score <= e[4] THEN 'High' ELSE 'Very High' END AS risk_category FROM spend, edges""")
+def file_standardised(spark, sf):
+    """Standardised scores saved as CSV and read back."""
+    from doseloom.plans.workflows import standardise
+    uri = _uri(spark, "standardised")
+    standardise(f.spend(spark, sf).withColumnRenamed("score", "total_score"), uri)
+    back = readers.typed_csv(spark, uri, "s string, total_score double, prs_zscore double, "
+                                         "prs_percentile double, risk_category string")
+    return back.withColumns({c: F.round(c, 6) for c in ("prs_zscore", "prs_percentile")})
+
+
+@query("file_sample_sequences", f"""WITH {f.VARIANTS_SQL}, {f.CALLS_SQL},
+edits AS (SELECT s, p_partkey, CASE WHEN kind IN (1, 2, 4) THEN alt1 ELSE ref END AS b
+  FROM calls JOIN variants USING (p_partkey) WHERE contig = 'chr6'),
+grid AS (SELECT c_custkey AS s, p_partkey, {f.sql_base('p_partkey')} AS ref
+  FROM customer CROSS JOIN part WHERE p_partkey >= 1)
+SELECT s, string_agg(coalesce(e.b, g.ref), '' ORDER BY p_partkey) AS line
+FROM grid g LEFT JOIN edits e USING (s, p_partkey) GROUP BY s, (p_partkey - 1) // 1000
+UNION ALL SELECT c_custkey, '>chr6' FROM customer""")
+def file_sample_sequences(spark, sf):
+    """One FASTA folder per sample."""
+    from standins.regions import reference_bases, whole_region
+    sequences = regions.consensus(f.samples(spark, sf), f.calls(spark, sf), reference_bases(spark, sf),
+                                  whole_region(spark, sf))
+    uri = writers.sample_sequences(sequences, _uri(spark, "sequences"))
+    return spark.read.schema("value string, s long").text(uri).select("s", F.col("value").alias("line"))
+
+
+@query("file_saved_model")
+def file_saved_model(spark, sf):
+    """A fitted model saved under its data's fingerprint; the second call loads it."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from doseloom.models import classifiers
+    from standins.models import COLUMNS, LABEL, rows
+    data = rows(spark, sf)
+    key = storage.fingerprint(spark, [f"{sf}/documents.parquet", f"{sf}/labels.parquet"], C=1.0, columns=COLUMNS)
+    root = storage.shared_folder(spark) + "/models"
+    for _ in range(2):
+        model = storage.saved_model(spark, root, key, lambda: classifiers.fit_logistic(data, COLUMNS, LABEL),
+                                    LogisticRegressionModel, {"C": 1.0})
+    return classifiers.odds_ratios(model, COLUMNS, data)
+
+
 @query("file_genotypes", f"WITH {_FULL}, {_dense(_DOSAGE)} SELECT {_SCORE_COLUMNS} FROM scores")
 def file_genotypes(spark, sf):
     """Calls stored by (contig, block), pruned by the weights' blocks, scored."""

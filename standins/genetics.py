@@ -188,7 +188,7 @@ FROM ranked, edges""")
 def score_cohort(spark, sf):
     """Select the cohort, score it, standardise, rank and name the risk fifth."""
     kept = _cohort_samples(spark, sf)
-    calls = cohort.keep_ids(f.calls(spark, sf), kept, "s")
+    calls = scoring.calls_of(f.calls(spark, sf), kept)
     scored = scoring.score_samples(kept, f.variants(spark, sf), calls, f.weights(spark, sf))
     # Equal scores may differ in the last bits after summing in another order.
     # The scores are saved once; all statistics below read the saved rows.

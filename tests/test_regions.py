@@ -25,7 +25,8 @@ def walk(bases, calls, start, end):
 
 @pytest.mark.parametrize("chunk", [7, 10, 1000])
 @pytest.mark.parametrize("region", [(1, 200), (23, 150), (60, 61)])
-def test_consensus_is_a_walk(spark, chunk, region):
+def test_consensus_is_a_walk(spark, chunk, region, monkeypatch):
+    monkeypatch.setattr(regions, "ISLAND_BLOCK", 11)  # many blocks in a small region
     rng = random.Random(chunk * 1000 + region[0])
     bases = "".join(rng.choice("ACGT") for _ in range(200))
     rows = []

@@ -8,19 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None) -> DataFrame:
-    """Rows whose key is among the ids (IN subquery). No hint: AQE sees sizes."""
-    wanted = ids.select(F.col(id_key or key).alias(key))
-    return df.join(wanted, key, "left_semi")
+def _by_id(df: DataFrame, ids: DataFrame, key: str, how: str, hot: bool) -> DataFrame:
+    """Semi or anti join without a hint: Spark sees the sizes at run time.
 
+    ``hot`` is for a key that may hold a large share of the rows while the ids
+    come out of a grouping on the same key. Spark splits a skewed partition
+    only where the join reads both shuffles directly; a second key, computed
+    from the first, gives the ids a shuffle of their own.
+    """
+    if not hot:
+        return df.join(ids, key, how)
+    part = F.pmod(F.xxhash64(key), F.lit(1024))
+    return df.withColumn("_part", part).join(ids.withColumn("_part", part), [key, "_part"], how).drop("_part")
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None, hot: bool = False) -> DataFrame:
+    """Rows whose key is among the ids (IN subquery)."""
+    return _by_id(df, ids.select(F.col(id_key or key).alias(key)), key, "left_semi", hot)
 
-def drop_ids(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None) -> DataFrame:
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None, hot: bool = False) -> DataFrame:
     """Rows whose key is not among the ids (NOT EXISTS)."""
-    unwanted = ids.select(F.col(id_key or key).alias(key))
-    return df.join(unwanted, key, "left_anti")
+    return _by_id(df, ids.select(F.col(id_key or key).alias(key)), key, "left_anti", hot)
 
 
-def not_in(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None) -> DataFrame:
+def not_in(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None, hot: bool = False) -> DataFrame:
     """SQL ``NOT IN``: a NULL among the ids leaves nothing, a NULL key is dropped.
 
     Written as a plain anti join plus a one-row test, since Spark's null-aware
@@ -29,7 +41,7 @@ def not_in(df: DataFrame, ids: DataFrame, key: str, id_key: str | None = None) -
     unwanted = ids.select(F.col(id_key or key).alias(key))
     facts = unwanted.agg(F.struct(F.count(F.lit(1)).alias("n"),
                                   F.count_if(F.col(key).isNull()).alias("nulls")).alias("f")).scalar()
-    kept = df.join(unwanted.where(F.col(key).isNotNull()), key, "left_anti")
+    kept = _by_id(df, unwanted.where(F.col(key).isNotNull()), key, "left_anti", hot)
     return kept.where((facts["n"] == 0) | ((facts["nulls"] == 0) & F.col(key).isNotNull()))
 
 

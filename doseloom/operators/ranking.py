@@ -60,15 +60,13 @@ def _bucketed(groups: DataFrame, value: str, totals: Sequence[str]) -> DataFrame
 
 
 def running_totals(groups: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (),
-                   descending: bool = False, bucket: Column | None = None) -> DataFrame:
+                   descending: bool = False) -> DataFrame:
     """``before_<t>``: the sum of a total over the values ordered earlier, and
     ``all_<t>``: its sum over the whole group.
 
-    ``groups`` has one row per (``by``, ``value``) with non-null keys. A caller
-    that knows an even, order-preserving ``bucket`` of its values passes it.
+    ``groups`` has one row per (``by``, ``value``) with non-null keys.
     """
-    framed = (groups.withColumn(_BUCKET, F.coalesce(bucket, F.lit(0))) if bucket is not None
-              else _bucketed(groups, value, totals))
+    framed = _bucketed(groups, value, totals)
     by = list(by)
 
     def order(name: str) -> Column:
@@ -212,22 +210,22 @@ def hash_order(df: DataFrame, id_columns: Sequence[str], by: Sequence[str], seed
     """Exact shuffled position (from 1) of every row inside its group.
 
     The order is that of a seeded hash, so it is repeatable on any cluster and
-    after lost tasks. Hash values are uniform: the buckets are plain ranges of
-    the hash and need no split points. ``id_columns`` must identify a row.
+    after lost tasks. ``id_columns`` must identify a row: then hash values are
+    spread evenly, and plain ranges of the hash are even buckets, also inside a
+    group that holds most rows. The rows are shuffled once.
     """
-    key = "_hash"
+    keys = [*by, _BUCKET]
     levels = _levels(df)
-    hashed = df.withColumn(key, F.xxhash64(*id_columns, F.lit(seed)))
-    bucket = F.shiftright(key, 64 - levels).cast("int")  # order-preserving, signed
-    counts = hashed.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
-    before = running_totals(counts, key, ["n"], by, bucket=bucket)
-    # Two ids with one hash value are told apart by their own order.
-    within = Window.partitionBy(*by, key).orderBy(*id_columns)
-    return (hashed.withColumn("_within", F.row_number().over(within))
-            .join(before.drop("n"), [*by, key])
-            .withColumn(into, F.col("before_n") + F.col("_within"))
-            .withColumnRenamed("all_n", size_into)
-            .drop(key, "_within", "before_n"))
+    hashed = df.withColumn("_hash", F.xxhash64(*id_columns, F.lit(seed))) \
+        .withColumn(_BUCKET, F.shiftright("_hash", 64 - levels).cast("int"))  # keeps the order
+    counts = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy(*by)).alias(size_into))
+    inside = Window.partitionBy(*keys).orderBy("_hash", *id_columns)
+    return (hashed.withColumn("_in_bucket", F.row_number().over(inside)).join(offsets, keys)
+            .withColumn(into, F.col("_offset") + F.col("_in_bucket"))
+            .drop("_hash", _BUCKET, "_in_bucket", "_offset"))
 
 
 def number_keys(df: DataFrame, key: str, into: str) -> DataFrame:

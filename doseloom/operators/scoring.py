@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from doseloom.functions import genotype as g
 from doseloom.operators.guards import require_columns
-from doseloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from doseloom.plans.sizing import BROADCAST_ROWS
 
 LOCUS = ["contig", "position"]
 
@@ -35,34 +35,46 @@ def one_weight_per_locus(weights: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("locus_weights"))
             .select(*LOCUS, "w.effect_allele", "w.weight", "locus_weights"))
 
-def chosen_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """One weight per locus, broadcast when the raw table is counted as small.
+SALTS = 16
 
-    The raw count bounds the chosen rows and needs no aggregation.
+
+def with_weights(rows: DataFrame, weights: DataFrame, max_broadcast: int = BROADCAST_ROWS,
+                 how: str = "inner", salt_by: str | None = None) -> DataFrame:
+    """Rows met with the one weight at their locus.
+
+    The weights are broadcast when the raw table, which bounds the chosen rows
+    and needs no aggregation, is counted as small. Otherwise both sides are
+    shuffled; with ``salt_by`` the rows of one locus go to ``SALTS`` tasks by
+    that column, each with its copy of the weight.
     """
-    return broadcast_if_small(one_weight_per_locus(weights), max_broadcast, counted=weights)
+    chosen = one_weight_per_locus(weights)
+    if weights.count() <= max_broadcast:
+        return rows.join(F.broadcast(chosen), LOCUS, how)
+    if salt_by is None:
+        return rows.join(chosen, LOCUS, how)
+    copies = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*LOCUS, "_salt"], how).drop("_salt")
 
 
 def annotate_variants(variants: DataFrame, weights: DataFrame) -> DataFrame:
     """Every variant row with the weight at its locus, NULL where there is none."""
-    return variants.join(chosen_weights(weights), LOCUS, "left")
+    return with_weights(variants, weights, how="left")
 
 
 def found_variants(variants: DataFrame, weights: DataFrame) -> DataFrame:
     """Variant rows that have a weight, with the weight's columns."""
-    return variants.join(chosen_weights(weights), LOCUS) \
-        .select(*LOCUS, "alleles", "effect_allele", "weight")
+    return with_weights(variants, weights).select(*LOCUS, "alleles", "effect_allele", "weight")
 
 
-def _placed(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows at weighted loci with the place of the effect allele."""
-    return rows.join(chosen, LOCUS).withColumn(
-        "_place", g.effect_place(F.col("alleles"), F.col("effect_allele")))
+def _placed(weighted: DataFrame) -> DataFrame:
+    """Weighted rows with the place of the effect allele."""
+    return weighted.withColumn("_place", g.effect_place(F.col("alleles"), F.col("effect_allele")))
 
 
 def call_dosages(calls: DataFrame, weights: DataFrame, allele_specific: bool = False) -> DataFrame:
     """Stored calls at weighted loci with dosage and contribution."""
-    return (_placed(calls, chosen_weights(weights))
+    return (_placed(with_weights(calls, weights, salt_by="s"))
             .withColumn("dosage", g.effect_dosage(F.col("gt"), F.col("_place"), allele_specific))
             .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place"))
 
@@ -111,14 +123,14 @@ def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, wei
     are made before the shuffle, so a sample with very many calls is one row
     per task by then.
     """
-    chosen = chosen_weights(weights, max_broadcast)
     place, weight = F.col("_place"), F.col("weight")
     miss = g.missing_dosage(place)
-    base = (_placed(variants, chosen)
+    base = (_placed(with_weights(variants, weights, max_broadcast))
             .agg(F.struct(F.coalesce(F.sum(miss * weight), F.lit(0.0)).alias("total"),
                           F.count("weight").alias("n")).alias("base")).scalar())
     delta = g.effect_dosage(F.col("gt"), place, allele_specific) - miss
-    moved = (_placed(calls, chosen).groupBy("s").agg(F.sum(delta * weight).alias("delta")))
+    moved = (_placed(with_weights(calls, weights, max_broadcast, salt_by="s"))
+             .groupBy("s").agg(F.sum(delta * weight).alias("delta")))
     return (samples.select("s").join(moved, "s", "left")
             .select("s", (base["total"] + F.coalesce("delta", F.lit(0.0))).alias("total_score"),
                     base["n"].alias("variant_count"))

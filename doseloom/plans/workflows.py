@@ -135,7 +135,7 @@ def survey_features(spark: SparkSession, tables: Mapping[str, DataFrame],
     """Feature matrix of cases and non-cases; one case cohort defines both sides."""
     answers, cases = survey_answers(tables, concepts), case_persons(tables, concepts)
     return survey.feature_matrix(
-        cohort.keep_ids(answers, cases, "person_id"), cohort.not_in(answers, cases, "person_id"),
+        cohort.keep_ids(answers, cases, "person_id", hot=True), cohort.not_in(answers, cases, "person_id", hot=True),
         survey.ordinal_values(spark), survey.HEALTH_FEATURES, numeric_question=survey.PAIN_QUESTION,
         sentinels=survey.PAIN_SENTINELS, tie_break=["answer_concept_id"])
 

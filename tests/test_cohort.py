@@ -71,14 +71,15 @@ def test_path_tests_differ(spark):
     assert sorted(r.path for r in hierarchy.by_path_substring(nodes, ids).collect()) == ["1.12.5", "1.2.3"]
 
 
+@pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("ids", [[], [1, 2], [1, None]])
-def test_not_in_is_sql(spark, ids):
+def test_not_in_is_sql(spark, ids, hot):
     left = spark.createDataFrame([(1,), (3,), (3,), (None,)], "k int")
     right = spark.createDataFrame([(i,) for i in ids], "k int")
     left.createOrReplaceTempView("not_in_left")
     right.createOrReplaceTempView("not_in_right")
     want = spark.sql("SELECT k FROM not_in_left WHERE k NOT IN (SELECT k FROM not_in_right)").collect()
-    got = cohort.not_in(left, right, "k")
+    got = cohort.not_in(left, right, "k", hot=hot)
     assert sorted(got.collect(), key=str) == sorted(want, key=str)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
@@ -97,3 +98,26 @@ def test_sizes_skip_null_persons(spark):
     df = spark.createDataFrame([(1,), (1,), (None,)], "person_id int")
     row = cohort.cohort_sizes({"a": df}).first()
     assert (row.cohort, row.n_rows, row.n_persons) == ("a", 3, 1)
+
+
+def test_skewed_key_is_split(spark, tmp_path):
+    """A key with most rows is split over tasks although the ids were grouped."""
+    from pyspark.sql import functions as F
+    spark.range(400_000).select(F.when(F.col("id") % 10 < 7, 5).otherwise(F.col("id") % 997).alias("k"), "id") \
+        .write.parquet(str(tmp_path / "rows"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.read.parquet(str(tmp_path / "rows")).repartition(8)
+        ids = spark.range(500).withColumnRenamed("id", "k").distinct()
+        kept = cohort.keep_ids(rows, ids, "k", hot=True)
+        assert kept.count() == cohort.keep_ids(rows, ids, "k").count()
+        kept.collect()
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

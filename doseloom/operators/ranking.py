@@ -217,7 +217,7 @@ def hash_order(df: DataFrame, id_columns: Sequence[str], by: Sequence[str], seed
     keys = [*by, _BUCKET]
     levels = _levels(df)
     hashed = df.withColumn("_hash", F.xxhash64(*id_columns, F.lit(seed))) \
-        .withColumn(_BUCKET, F.shiftright("_hash", 64 - levels).cast("int"))  # keeps the order
+        .withColumn(_BUCKET, F.shiftright("_hash", 64 - levels).cast("int")).repartition(*keys)
     counts = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),

@@ -12,7 +12,7 @@ from doseloom.operators.intervals import in_region
 
 CHUNK = 1_000
 MAX_BROADCAST_CHUNKS = 20_000  # 20 MB of bases
-ISLAND_BLOCK = 50_000
+ISLAND_BLOCK = 1_000_000
 
 
 def slice_region(calls: DataFrame, region: str, end_inclusive: bool = False,
@@ -49,14 +49,27 @@ def _first_alt(gt: Column) -> Column:
     return F.get(F.filter(gt, lambda a: a > 0), F.lit(0))
 
 
-def _with_islands(edits: DataFrame) -> DataFrame:
-    """Add ``island``: where the run of overlapping variants begins.
+def _islands_in_span(edits: DataFrame) -> DataFrame:
+    """Add ``island``, the start of the run of overlapping variants, for edits
+    of a short span: a sample has no more of them than the span has alleles."""
+    order = Window.partitionBy("s", "contig").orderBy("start", "stop", "alt")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (edits.withColumn("_reach", reach).withColumn("_begin", begin)
+            .withColumn("island", F.last("_begin", ignorenulls=True).over(upto))
+            .select(*edits.columns, "island"))
+
+
+def _islands_by_block(edits: DataFrame) -> DataFrame:
+    """The same for any span.
 
     Within blocks of positions, running values give the furthest stop so far
     and the last island start; one row per sample and block carries both on.
     """
     keys = ["s", "contig"]
-    blocked = edits.withColumn("_block", F.floor(F.col("start") / ISLAND_BLOCK))
+    # One shuffle, which every branch below reads again.
+    blocked = edits.withColumn("_block", F.floor(F.col("start") / ISLAND_BLOCK)).repartition(*keys, "_block")
     in_block = Window.partitionBy(*keys, "_block").orderBy("start", "stop", "alt")
     over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -77,9 +90,11 @@ def _with_islands(edits: DataFrame) -> DataFrame:
             .select(*edits.columns, "island"))
 
 
-def applied_edits(calls: DataFrame) -> DataFrame:
+def applied_edits(calls: DataFrame, span: int | None = None) -> DataFrame:
     """Per sample, the variants that a consensus applies.
 
+    ``span`` is the number of positions the calls can lie on, when known.
+
     Variants are taken by position; one that starts inside the reference span
     of an applied one is skipped (the first wins). Overlap can only chain
     inside an island, a run of variants whose spans touch, so the running
@@ -91,7 +106,9 @@ def applied_edits(calls: DataFrame) -> DataFrame:
                      F.get("alleles", F.lit(0)).alias("ref"),
                      F.get("alleles", F.col("_index")).alias("alt"))
              .withColumn("stop", F.col("start") + F.length("ref")))
-    listed = _with_islands(edits).groupBy("s", "contig", "island").agg(
+    short = span is not None and span <= ISLAND_BLOCK
+    islands = _islands_in_span(edits) if short else _islands_by_block(edits)
+    listed = islands.groupBy("s", "contig", "island").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop", "alt", "ref"))).alias("edits"))
     # Fold over the island: keep an edit when it starts at or after the last stop.
     chosen = F.aggregate(
@@ -130,7 +147,8 @@ def consensus(samples: DataFrame, calls: DataFrame, bases: DataFrame, region: st
     """
     contig, start, end = parse_region(region)
     inside = keep_ids(calls, samples, "s").where(in_region(region, end_inclusive=True))
-    edits = applied_edits(inside.where(F.col("position") + F.length(F.get("alleles", F.lit(0))) - 1 <= end))
+    edits = applied_edits(inside.where(F.col("position") + F.length(F.get("alleles", F.lit(0))) - 1 <= end),
+                          span=end - start + 1)
     pieces = (edits.withColumn("chunk", F.explode(F.sequence(
                   F.floor((F.col("start") - 1) / chunk), F.floor((F.col("stop") - 2) / chunk))))
               .withColumn("from", F.greatest("start", F.col("chunk") * chunk + 1))

@@ -38,17 +38,22 @@ def one_weight_per_locus(weights: DataFrame) -> DataFrame:
 SALTS = 16
 
 
-def with_weights(rows: DataFrame, weights: DataFrame, max_broadcast: int = BROADCAST_ROWS,
-                 how: str = "inner", salt_by: str | None = None) -> DataFrame:
+def few_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> bool:
+    """Whether the weights may be broadcast. The raw table bounds the chosen
+    rows and is counted without an aggregation."""
+    return weights.count() <= max_broadcast
+
+
+def with_weights(rows: DataFrame, weights: DataFrame, how: str = "inner", salt_by: str | None = None,
+                 few: bool | None = None) -> DataFrame:
     """Rows met with the one weight at their locus.
 
-    The weights are broadcast when the raw table, which bounds the chosen rows
-    and needs no aggregation, is counted as small. Otherwise both sides are
-    shuffled; with ``salt_by`` the rows of one locus go to ``SALTS`` tasks by
-    that column, each with its copy of the weight.
+    Few weights are broadcast. Otherwise both sides are shuffled; with
+    ``salt_by`` the rows of one locus go to ``SALTS`` tasks by that column,
+    each with its copy of the weight.
     """
     chosen = one_weight_per_locus(weights)
-    if weights.count() <= max_broadcast:
+    if few_weights(weights) if few is None else few:
         return rows.join(F.broadcast(chosen), LOCUS, how)
     if salt_by is None:
         return rows.join(chosen, LOCUS, how)
@@ -123,13 +128,14 @@ def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, wei
     are made before the shuffle, so a sample with very many calls is one row
     per task by then.
     """
+    few = few_weights(weights, max_broadcast)
     place, weight = F.col("_place"), F.col("weight")
     miss = g.missing_dosage(place)
-    base = (_placed(with_weights(variants, weights, max_broadcast))
+    base = (_placed(with_weights(variants, weights, few=few))
             .agg(F.struct(F.coalesce(F.sum(miss * weight), F.lit(0.0)).alias("total"),
                           F.count("weight").alias("n")).alias("base")).scalar())
     delta = g.effect_dosage(F.col("gt"), place, allele_specific) - miss
-    moved = (_placed(with_weights(calls, weights, max_broadcast, salt_by="s"))
+    moved = (_placed(with_weights(calls, weights, salt_by="s", few=few))
              .groupBy("s").agg(F.sum(delta * weight).alias("delta")))
     return (samples.select("s").join(moved, "s", "left")
             .select("s", (base["total"] + F.coalesce("delta", F.lit(0.0))).alias("total_score"),

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from doseloom.sources.readers import locate_weights
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read from the file once per session."""
+    uri = f"{sf.rstrip('/')}/{name}.parquet"
+    if uri not in _SCHEMAS:
+        _SCHEMAS[uri] = spark.read.parquet(uri).schema
+    return spark.read.schema(_SCHEMAS[uri]).parquet(uri)
 
 
 def base(number: Column) -> Column:

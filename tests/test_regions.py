@@ -23,10 +23,11 @@ def walk(bases, calls, start, end):
     return "".join(out) + bases[at - 1:end]
 
 
-@pytest.mark.parametrize("chunk", [7, 10, 1000])
+@pytest.mark.parametrize("block", [11, 1_000_000])
+@pytest.mark.parametrize("chunk", [7, 1000])
 @pytest.mark.parametrize("region", [(1, 200), (23, 150), (60, 61)])
-def test_consensus_is_a_walk(spark, chunk, region, monkeypatch):
-    monkeypatch.setattr(regions, "ISLAND_BLOCK", 11)  # many blocks in a small region
+def test_consensus_is_a_walk(spark, block, chunk, region, monkeypatch):
+    monkeypatch.setattr(regions, "ISLAND_BLOCK", block)  # many blocks, or one
     rng = random.Random(chunk * 1000 + region[0])
     bases = "".join(rng.choice("ACGT") for _ in range(200))
     rows = []

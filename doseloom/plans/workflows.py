@@ -8,6 +8,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doseloom.functions.text import parse_region
 from doseloom.models import classifiers, features, selection
 from doseloom.operators import (association, cohort, hierarchy, incidence, intervals, matching, metrics, ranking,
                                 regions, scoring, survey)
@@ -202,6 +203,6 @@ def region_exports(spark: SparkSession, genotype_root: str, ids: DataFrame, regi
     if bases is not None:
         samples = cohort.keep_ids(data.samples.withColumn("s", F.col("s").cast("string")), wanted, "s")
         sequences = regions.consensus(samples, calls, bases, region)
-        writers.sample_sequences(sequences, f"{root}/sequences")
+        writers.sample_sequences(sequences, f"{root}/sequences", parse_region(region)[1])
         out["sequences"] = sequences
     return out

@@ -116,14 +116,14 @@ def sample_variant_files(calls: DataFrame, uri: str) -> str:
     return uri
 
 
-def sample_sequences(sequences: DataFrame, uri: str) -> str:
-    """One folder of FASTA lines per sample, pieces in order."""
-    heads = sequences.select("s", "contig").distinct().select(
-        "s", "contig", F.lit(0).cast("long").alias("chunk_start"),
-        F.concat(F.lit(">"), F.col("contig")).alias("line"))
-    body = sequences.select("s", "contig", F.col("chunk_start").cast("long").alias("chunk_start"),
-                            F.col("sequence").alias("line")).where(F.length("line") > 0)
-    ordered = (body.unionByName(heads).repartitionByRange("s", "contig", "chunk_start")
+def sample_sequences(sequences: DataFrame, uri: str, start: int) -> str:
+    """One folder of FASTA lines per sample, pieces in order.
+
+    The piece at ``start``, which every sample has, brings the name line.
+    """
+    name = F.when(F.col("chunk_start") == start, F.concat(F.lit(">"), F.col("contig"), F.lit("\n"))).otherwise("")
+    lines = sequences.select("s", "contig", "chunk_start", F.concat(name, F.col("sequence")).alias("line"))
+    ordered = (lines.where(F.length("line") > 0).repartitionByRange("s", "contig", "chunk_start")
                .sortWithinPartitions("s", "contig", "chunk_start"))
     ordered.select("s", "line").write.mode("overwrite").partitionBy("s").text(uri)
     return uri

@@ -174,7 +174,7 @@ def file_sample_sequences(spark, sf):
     from standins.regions import reference_bases, whole_region
     sequences = regions.consensus(f.samples(spark, sf), f.calls(spark, sf), reference_bases(spark, sf),
                                   whole_region(spark, sf))
-    uri = writers.sample_sequences(sequences, _uri(spark, "sequences"))
+    uri = writers.sample_sequences(sequences, _uri(spark, "sequences"), start=1)
     return spark.read.schema("value string, s long").text(uri).select("s", F.col("value").alias("line"))
 
 

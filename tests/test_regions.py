@@ -130,6 +130,6 @@ def test_fasta_in_small_splits(spark, tmp_path):
 def test_sequence_files(spark, tmp_path):
     rows = [(s, "chr6", c, f"{s}{c}") for s in ("x", "y") for c in (2001, 1, 1001)]
     uri = writers.sample_sequences(spark.createDataFrame(rows, "s string, contig string, chunk_start long, sequence string"),
-                                   str(tmp_path / "f"))
+                                   str(tmp_path / "f"), 1)
     lines = [line for f in sorted(glob.glob(f"{uri}/s=x/part-*")) for line in open(f).read().splitlines()]
     assert lines == [">chr6", "x1", "x1001", "x2001"]

@@ -99,6 +99,12 @@ def sparse_matrix(pairs: DataFrame, root: str, names: DataFrame | None = None) -
     return root
 
 
+def _write_tasks(df: DataFrame) -> int:
+    """A fixed task count: many small folders cost time by number, not by size,
+    so the ranges must not be merged because they hold few bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def sample_variant_files(calls: DataFrame, uri: str) -> str:
     """One folder of variant lines per sample, in one job.
 
@@ -110,7 +116,7 @@ def sample_variant_files(calls: DataFrame, uri: str) -> str:
     heads = lines.select("s").distinct().select(
         "s", F.lit("").alias("contig"), F.lit(0).alias("position"),
         F.concat(F.lit(header), F.col("s").cast("string")).alias("line"))
-    ordered = (lines.unionByName(heads).repartitionByRange("s", "contig", "position")
+    ordered = (lines.unionByName(heads).repartitionByRange(_write_tasks(calls), "s", "contig", "position")
                .sortWithinPartitions("s", "contig", "position"))
     ordered.select("s", "line").write.mode("overwrite").partitionBy("s").text(uri)
     return uri
@@ -123,7 +129,8 @@ def sample_sequences(sequences: DataFrame, uri: str, start: int) -> str:
     """
     name = F.when(F.col("chunk_start") == start, F.concat(F.lit(">"), F.col("contig"), F.lit("\n"))).otherwise("")
     lines = sequences.select("s", "contig", "chunk_start", F.concat(name, F.col("sequence")).alias("line"))
-    ordered = (lines.where(F.length("line") > 0).repartitionByRange("s", "contig", "chunk_start")
+    ordered = (lines.where(F.length("line") > 0)
+               .repartitionByRange(_write_tasks(sequences), "s", "contig", "chunk_start")
                .sortWithinPartitions("s", "contig", "chunk_start"))
     ordered.select("s", "line").write.mode("overwrite").partitionBy("s").text(uri)
     return uri

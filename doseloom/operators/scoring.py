@@ -95,6 +95,7 @@ def blocks_of(weights: DataFrame, block_size: int, max_blocks: int) -> list | No
             .distinct().limit(max_blocks + 1).collect())
     return None if len(rows) > max_blocks else [(r.contig, r.block) for r in rows]
 
+
 def prune_calls(calls: DataFrame, weights: DataFrame, block_size: int, max_blocks: int = 2000) -> DataFrame:
     """Static partition filter on (contig, block) for calls stored that way."""
     blocks = blocks_of(weights, block_size, max_blocks)
@@ -108,6 +109,7 @@ def prune_calls(calls: DataFrame, weights: DataFrame, block_size: int, max_block
         keep = keep | ((F.col("contig") == contig) & F.col("block").isin(sorted(numbers)))
     return calls.where(keep)
 
+
 def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Calls of the wanted samples, when these are few enough to broadcast.
 

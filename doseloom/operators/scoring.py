@@ -21,6 +21,9 @@ from doseloom.operators.guards import require_columns
 from doseloom.plans.sizing import BROADCAST_ROWS
 
 LOCUS = ["contig", "position"]
+SALTS = 16
+RISK_LABELS: Sequence[str] = ("Very Low", "Low", "Average", "High", "Very High")
+
 
 def one_weight_per_locus(weights: DataFrame) -> DataFrame:
     """Keep one weight per locus by a fixed order, and count what it replaced.
@@ -35,8 +38,6 @@ def one_weight_per_locus(weights: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("locus_weights"))
             .select(*LOCUS, "w.effect_allele", "w.weight", "locus_weights"))
 
-SALTS = 16
-
 
 def few_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> bool:
     """Whether the weights may be broadcast. The raw table bounds the chosen
@@ -144,5 +145,3 @@ def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, wei
                     base["n"].alias("variant_count"))
             .withColumn("normalized_score",
                         F.try_divide("total_score", F.col("variant_count").cast("double"))))
-
-RISK_LABELS: Sequence[str] = ("Very Low", "Low", "Average", "High", "Very High")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseloom.llm import decontaminate, exact, sharding
+from doseloom.llm import decontaminate, exact, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,11 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digests(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_block_naming, op5_hash_tree, op6_decontamination)}
+def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats)}
 
 SQL: dict[str, str] = {
     "op4_block_naming": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseloom.llm import decontaminate, exact, repeats, sharding
+from doseloom.llm import decontaminate, exact, neardup, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,12 @@ def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.digests(_table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats)}
+def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
+                                                op9_near_duplicates)}
 
 SQL: dict[str, str] = {
     "op4_block_naming": """

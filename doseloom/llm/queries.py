@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseloom.llm import decontaminate, exact, neardup, repeats, sharding
+from doseloom.llm import decontaminate, exact, neardup, quality, repeats, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classified(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op4_block_naming(spark: SparkSession, sf: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf, "documents"))
 
@@ -33,12 +37,16 @@ def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.digests(_table(spark, sf, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classified(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(_table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
-                                                op9_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
+                                                op8_toxicity, op9_near_duplicates)}
 
 SQL: dict[str, str] = {
     "op4_block_naming": """

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseloom.llm import decontaminate, exact, neardup, quality, repeats, sharding, toxicity
+from doseloom.llm import decontaminate, exact, neardup, packing, quality, rangecoder, repeats, sharding, toxicity
+from doseloom.plans.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,22 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classified(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; the files are on every executor, beside the libraries."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pieces(_table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op3_range_coder(spark: SparkSession, sf: str) -> DataFrame:
+    uri = new_folder(spark, "token-ids")
+    rangecoder.write_ids(_table(spark, sf, "documents"), uri, tokenizer_file("byte_bpe_50k.json"))
+    return rangecoder.read_ids(spark, uri).drop("ids")
+
+
 def op4_block_naming(spark: SparkSession, sf: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf, "documents"))
 
@@ -45,8 +62,9 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(_table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
-                                                op8_toxicity, op9_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality, op2_curve_packing, op3_range_coder, op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
+    op8_toxicity, op9_near_duplicates)}
 
 SQL: dict[str, str] = {
     "op4_block_naming": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseloom.llm import decontaminate, exact, neardup, packing, quality, rangecoder, repeats, sharding, toxicity
+from doseloom.llm import decontaminate, exact, neardup, packing, pii, quality, rangecoder, repeats, sharding, toxicity
 from doseloom.plans.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +62,13 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(_table(spark, sf, "documents"))
 
 
+def op10_contextual_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digests(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_curve_packing, op3_range_coder, op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
-    op8_toxicity, op9_near_duplicates)}
+    op8_toxicity, op9_near_duplicates, op10_contextual_pii)}
 
 SQL: dict[str, str] = {
     "op4_block_naming": """

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseloom.llm.tables import saved, text_rows
+from doseloom.llm.tables import saved, text_rows, whole_text
 
 Digest = Callable[[Column], Column]
 
@@ -103,18 +103,17 @@ def duplicates(docs: DataFrame, block_bytes: int = 4096, digest: Digest = F.xxha
 
 
 def without_duplicates(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns.
+    """The rows of ``docs`` that stay, all columns: of equal texts the row with the largest ``doc_id``.
 
-    A kept id that comes back on several equal rows stays once; rows of one id with
-    another text are judged by that text.
+    Of rows that repeat a kept id and text any one stays.
     """
-    out = docs.columns
     marked = saved(identities(docs, block_bytes), "identities")
-    best = marked.groupBy("blocks", "name").agg(F.max("doc_id").alias("doc_id"))
-    stay = saved(marked.join(best.withColumnRenamed("doc_id", "_keep"), ["blocks", "name"])
-                 .where(F.col("doc_id").eqNullSafe(F.col("_keep"))).select("doc_id", "tag").distinct(), "stay")
-    tagged = docs.withColumns({"_tag": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")),
-                               "_key": F.col("doc_id").cast("long")})
-    stay = stay.select(F.col("doc_id").alias("_stay"), F.col("tag").alias("_stay_tag"))
-    kept = tagged.join(stay, (F.col("_tag") == F.col("_stay_tag")) & F.col("_key").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_tag"]).select(*out)
+    best = marked.groupBy("blocks", "name").agg(F.max("doc_id").alias("_keep"))
+    stay = marked.join(saved(best, "copy-groups"), ["blocks", "name"]).where(F.col("doc_id").eqNullSafe(F.col("_keep")))
+    stay = saved(stay.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("rows")), "stay")
+    tagged = docs.withColumns({"_tag": F.xxhash64(whole_text().cast("binary")), "_key": F.col("doc_id").cast("long")})
+    ids = stay.select(F.col("doc_id").alias("_stay"), F.col("tag").alias("_stay_tag"))
+    kept = tagged.join(ids, (F.col("_tag") == F.col("_stay_tag")) & F.col("_key").eqNullSafe(F.col("_stay")), "left_semi")
+    if not stay.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key", "_tag"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,6 +36,7 @@ from doseloom.llm.text import U, Texts, distinct, mix, portions
 BITS = 22
 FACTORS = 4
 SHARDS = 8
+_LEAST_STEPS = 100
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = True
 WORD[0x80:] = True
@@ -81,8 +82,9 @@ def _sigmoid(x):
 
 
 def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np.ndarray, rate: float, l2: float,
-           batch: int = 64) -> None:
-    """One pass of AdaGrad over batches of the logistic loss."""
+           batch: int = 32) -> None:
+    """AdaGrad over batches of the logistic loss; few rows are gone through several times."""
+    order = np.tile(order, max(1, -(-_LEAST_STEPS * batch // max(1, len(order)))))
     gw, gv, gb = np.full(len(model.weight), 1e-6), np.full(model.factor.shape, 1e-6), 1e-6
     for a in range(0, len(order), batch):
         own = order[a:a + batch]

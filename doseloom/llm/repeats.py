@@ -47,13 +47,13 @@ _HITS = pa.schema([("portion", pa.int32()), ("keys", pa.binary()), ("hot", pa.bi
 _STRINGS = pa.schema([("bucket", pa.int32()), ("portion", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()),
                       ("high", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("hot", pa.binary())])
 _GROUPS = pa.schema([("portion", pa.int32()), ("groups", pa.binary()), ("hot", pa.binary())])
-_GROUP = np.dtype([("name", "<u8"), ("group", "<u8"), ("first", "<i8"), ("at", "<u4"), ("size", "<u4")])
+_GROUP = np.dtype([("name", "<u8"), ("group", "<u8"), ("parent", "<u8"), ("first", "<i8"), ("at", "<u4"), ("size", "<u4")])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
-                   ("groups", pa.list_(pa.struct([("group", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-                                                  ("first_doc", pa.int64())]))),
+                   ("groups", pa.list_(pa.struct([("group", pa.int64()), ("parent", pa.int64()), ("start", pa.int64()),
+                                                  ("length", pa.int64()), ("first_doc", pa.int64())]))),
                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                    ("kept_sha256", pa.string())])
-_SQL_DOCS = ("doc_id long, n_bytes long, groups array<struct<group:long,start:long,length:long,first_doc:long>>, "
+_SQL_DOCS = ("doc_id long, n_bytes long, groups array<struct<group:long,parent:long,start:long,length:long,first_doc:long>>, "
              "spans array<struct<start:long,end:long>>, kept_sha256 string")
 _RUN = 64  # windows in one string at most, for texts that repeat one k-gram without end
 
@@ -141,6 +141,10 @@ def _least(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return keys[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.diff(np.append(at, len(keys)))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
@@ -187,12 +191,17 @@ def _take(interval: list, other: list) -> None:
         interval[4] = -1
 
 
-def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_bytes: int) -> list[tuple]:
-    """Maximal repeat groups of distinct strings: (string, at, size, first document, digest).
+def _digest(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") or 1
+
+
+def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal repeat groups of distinct strings that may share passages.
 
-    One row per string and group it takes part in; groups reach two documents.
+    The rows (string number, and group, parent, first document, at, size) list each
+    occurrence with its deepest group and with every group around it that reaches an earlier
+    document; a group's ``parent`` is the next group around it, 0 if there is none.
     """
-    found = [(k, 0, len(strings[k]), int(low[k])) for k in np.flatnonzero(low < high)]
     sizes = np.array([len(s) for s in strings])
     longest = int(sizes.max())
     buffer = np.frombuffer(b"".join(strings) + bytes(longest), np.uint8)
@@ -209,19 +218,52 @@ def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_b
     differ = rows[1:] != rows[:-1]
     lcp[1:] = np.where(differ.any(1), differ.argmax(1), longest)
     lcp[1:] = np.minimum(lcp[1:], np.minimum(size[1:], size[:-1]))
-    before = np.where(at > 0, buffer[begin[string] + at - 1].astype(np.int64), -1)
-    for a, b, depth, first, last, diverse in interval_groups(lcp, low[string], high[string], before, min_bytes):
-        if diverse and first < last:
-            found += [(int(string[k]), int(at[k]), depth, first) for k in range(a, b + 1)]
-    return [(k, at, size, first, int.from_bytes(hashlib.blake2b(strings[k][at:at + size], digest_size=8).digest(), "little"))
-            for k, at, size, first in found]
+    del rows, differ
+    place = begin[string] + at
+    before = np.where(at > 0, buffer[place - 1].astype(np.int64), -1)
+    found = [x for x in interval_groups(lcp, low[string], high[string], before, min_bytes) if x[5] and x[3] < x[4]]
+    # A string that several documents hold is itself a group: the leaf of its first suffix.
+    leaves = np.flatnonzero((at == 0) & (low[string] < high[string]))
+    found += [(k, k, n, f, f + 1, True) for k, n, f in zip(leaves.tolist(), size[leaves].tolist(), low[string[leaves]].tolist())]
+    found.sort(key=lambda x: (x[0], -x[1], x[2]))  # groups around others come first
+    owner = np.full(len(string), -1)
+    parent, digest = [], []
+    for k, (a, b, depth, *_) in enumerate(found):
+        parent.append(int(owner[a]))
+        digest.append(_digest(buffer[place[a]:place[a] + depth].tobytes()))
+        owner[a:b + 1] = k
+    numbers, out = [], []
+    at_once = np.flatnonzero(owner >= 0)
+    around, first = np.array([*parent, -1]), np.array([x[3] for x in found] + [0], np.int64)
+    depth, digest = np.array([x[2] for x in found] + [0]), np.array([*digest, 0], U)
+    now, told = owner[at_once], np.full(len(at_once), np.iinfo(np.int64).max)
+    while len(at_once):
+        tell = first[now] < told
+        own, group = at_once[tell], now[tell]
+        part = np.zeros(len(own), _GROUP)
+        part["group"], part["parent"], part["first"] = digest[group], digest[around[group]], first[group]
+        part["at"], part["size"] = at[own], depth[group]
+        numbers.append(string[own])
+        out.append(part)
+        told, now = np.minimum(told, first[now]), around[now]
+        at_once, told, now = at_once[now >= 0], told[now >= 0], now[now >= 0]
+    return (np.concatenate(numbers), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, _GROUP))
+
+
+def _whole(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of strings that share no window with another: those that several documents hold."""
+    own = np.flatnonzero(low < high)
+    part = np.zeros(len(own), _GROUP)
+    part["group"], part["first"] = [_digest(strings[k]) for k in own], low[own]
+    part["size"] = [len(strings[k]) for k in own]
+    return own, part
 
 
 def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_000, windows_at_once: int = 250_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, groups, spans, kept_sha256``.
 
-    ``groups`` are the occurrences of maximal repeat groups (group, start, length, first
-    document); ``spans`` the maximal byte ranges covered by strings of ``min_bytes`` bytes
+    ``groups`` are the occurrences of maximal repeat groups (group, the group around it, start,
+    length, first document), as ``suffix_groups`` lists them; ``spans`` the maximal byte ranges covered by strings of ``min_bytes`` bytes
     that also stand in a document with a smaller id; ``kept_sha256`` is of the other bytes.
     """
     spark = docs.sparkSession
@@ -310,51 +352,57 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
         low, high = _joined(table, "low", "<i8"), _joined(table, "high", "<i8")
         place = np.repeat(np.array(table.column("portion").to_pylist()), [len(x) // 4 for x in table.column("sizes").to_pylist()])
         raw = b"".join(table.column("bytes").to_pylist())
+        told = [{"portion": p, "groups": b"", "hot": h} for p, h in
+                zip(table.column("portion").to_pylist(), table.column("hot").to_pylist()) if h]
         begin = np.cumsum(sizes) - sizes
         order = np.argsort(keys, kind="stable")
         load = np.cumsum((sizes - min_bytes + 1)[order])
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        told = [{"portion": p, "groups": b"", "hot": h} for p, h in
-                zip(table.column("portion").to_pylist(), table.column("hot").to_pylist()) if h]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        new = np.ones(len(order), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        places, out = [], []
         a = 0
         while a < len(order):  # some keys at a time, each key whole
-            b = int(np.searchsorted(load, (load[a - 1] if a else 0) + windows_at_once, "right"))
-            b = max(b, a + 1)
+            b = max(int(np.searchsorted(load, (load[a - 1] if a else 0) + windows_at_once, "right")), a + 1)
             while b < len(order) and not new[b]:
                 b += 1
             own = order[a:b]
             ids: dict[bytes, int] = {}
             which = np.array([ids.setdefault(raw[begin[k]:begin[k] + sizes[k]], len(ids)) for k in own.tolist()])
-            least, most = np.full(len(ids), _NO_ID), np.full(len(ids), np.iinfo(np.int64).min)
+            strings = list(ids)
+            least, most, key = np.full(len(ids), _NO_ID), np.full(len(ids), np.iinfo(np.int64).min), np.zeros(len(ids), U)
             np.minimum.at(least, which, low[own])
             np.maximum.at(most, which, high[own])
-            groups = suffix_groups(list(ids), least, most, min_bytes)
-            if groups:
-                string, at, size, first, digest = (np.array(c) for c in zip(*groups))
-                strings = list(ids)
-                lengths = np.array([len(s) for s in strings])
-                ends = np.cumsum(lengths)
-                named = Texts(np.frombuffer(b"".join(strings), np.uint8), np.array([0, ends[-1]]))
-                runs = Runs.__new__(Runs)
-                runs.total = np.zeros(ends[-1] + 1, U)
-                np.cumsum((named.data.astype(U) + U(1)) * _power(int(ends[-1]), "up"), out=runs.total[1:])
-                runs.start, runs.count = ends - lengths, lengths - min_bytes + 1
-                names = runs.names(min_bytes)
-                rows = np.zeros(len(groups), _GROUP)
-                rows["name"], rows["group"], rows["first"] = names[string], digest.astype(U), first
-                rows["at"], rows["size"] = at, size
-                by = np.argsort(string, kind="stable")
-                rows, string = rows[by], string[by]
-                lo, hi = np.searchsorted(string, which), np.searchsorted(string, which, "right")
-                have = np.flatnonzero(hi > lo)
-                times = (hi - lo)[have]
-                pick = np.repeat(lo[have], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                out.append((np.repeat(place[own][have], times), rows[pick]))
+            key[which] = keys[own]
+            _, back, among = np.unique(key, return_inverse=True, return_counts=True)
+            alone = among[back] == 1  # no other string has this key, so none shares a window
+            found = []
+            for part, groups in ((np.flatnonzero(alone), _whole), (np.flatnonzero(~alone), None)):
+                if len(part):
+                    some = [strings[k] for k in part.tolist()]
+                    number, rows = groups(some, least[part], most[part]) if groups else \
+                        suffix_groups(some, least[part], most[part], min_bytes)
+                    found.append((part[number], rows))
+            string, rows = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            lengths = np.array([len(s) for s in strings])
+            ends = np.cumsum(lengths)
+            runs = Runs.__new__(Runs)
+            data = np.frombuffer(b"".join(strings), np.uint8)
+            runs.total = np.zeros(len(data) + 1, U)
+            np.cumsum((data.astype(U) + U(1)) * _power(len(data), "up"), out=runs.total[1:])
+            runs.start, runs.count = ends - lengths, lengths - min_bytes + 1
+            rows["name"] = runs.names(min_bytes)[string]
+            by = np.argsort(string, kind="stable")
+            rows, string = rows[by], string[by]
+            lo, hi = np.searchsorted(string, which), np.searchsorted(string, which, "right")
+            have = np.flatnonzero(hi > lo)
+            times = (hi - lo)[have]
+            pick = np.repeat(lo[have], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            places.append(np.repeat(place[own][have], times))
+            out.append(rows[pick])
             a = b
         if not out:
             return _table(told, _GROUPS)
-        places, rows = np.concatenate([p for p, _ in out]), np.concatenate([r for _, r in out])
+        places, rows = np.concatenate(places), np.concatenate(out)
         order, cuts = _dealt(places, n)
         return _table(told + [{"portion": p, "groups": rows[order[x:y]].tobytes(), "hot": b""}
                               for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x], _GROUPS)
@@ -376,23 +424,23 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
                     d = int(runs.doc[k])
                     place = int(runs.start[k] - texts.offsets[d])
                     for r in rows[first[at[k]]:upto[at[k]]].tolist():
-                        found[d].append((r[1], place + r[3], r[4], r[2]))
+                        found[d].append((r[1], r[2], place + r[4], r[5], r[3]))
             data = texts.data
             for d in range(len(texts)):
                 a, b, doc = int(texts.offsets[d]), int(texts.offsets[d + 1]), int(ids[d])
                 raw, spans = data[a:b].tobytes(), []
-                for start, end in sorted((s, s + size) for _, s, size, least in found[d] if least < doc):
+                for start, end in sorted((s, s + size) for _, _, s, size, least in found[d] if least < doc):
                     if spans and start <= spans[-1][1]:
                         spans[-1][1] = max(end, spans[-1][1])
                     else:
                         spans.append([start, end])
                 cuts = [0, *(x for s in spans for x in s), b - a]
                 kept = hashlib.sha256(b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))).hexdigest()
-                groups = sorted(set(found[d]), key=lambda g: (g[1], g[2], g[0]))
+                groups = sorted(set(found[d]), key=lambda g: (g[2], g[3], g[0]))
                 out.append({"doc_id": None if doc == _NO_ID else doc, "n_bytes": b - a, "kept_sha256": kept,
                             "spans": [{"start": s, "end": e} for s, e in spans],
-                            "groups": [{"group": int(np.uint64(g).astype(np.int64)), "start": s, "length": size,
-                                        "first_doc": None if f == _NO_ID else f} for g, s, size, f in groups]})
+                            "groups": [{"group": _signed(g), "parent": _signed(p) if p else None, "start": s, "length": size,
+                                        "first_doc": None if f == _NO_ID else f} for g, p, s, size, f in groups]})
         return _table(out, _DOCS)
 
     keys = base.groupBy("portion").applyInArrow(listed, "bucket int, portion int, keys binary, low binary, high binary")

@@ -60,15 +60,22 @@ def test_groups_hold_equal_bytes_and_all_their_places(spark):
     rows = fixture()
     raw = {r[0]: (r[1] or "").encode() for r in rows}
     got = repeats.repeats(spark.createDataFrame(rows, SCHEMA)).collect()
-    groups = {}
+    members, size, inside = {}, {}, {}
     for r in got:
         for g in r.groups:
-            groups.setdefault(g.group, set()).add((r.doc_id, raw[r.doc_id][g.start:g.start + g.length]))
-    assert groups
-    for members in groups.values():
-        strings = {s for _, s in members}
-        assert len(strings) == 1 and len(strings.pop()) >= 50
-        assert len({d for d, _ in members}) > 1
+            members.setdefault(g.group, set()).add((r.doc_id, g.start))
+            size[g.group] = g.length
+            inside.setdefault(g.parent, set()).add(g.group)
+    assert members
+
+    def places(group):
+        return members.get(group, set()).union(*(places(g) for g in inside.get(group, ())))
+
+    for group in members:
+        found = places(group)
+        strings = {raw[d][at:at + size[group]] for d, at in found}
+        assert len(strings) == 1 and len(strings.pop()) == size[group] >= 50
+        assert len({d for d, _ in found}) > 1
 
 
 def test_repeated_and_null_ids(spark):

@@ -227,15 +227,18 @@ def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_b
     found += [(k, k, n, f, f + 1, True) for k, n, f in zip(leaves.tolist(), size[leaves].tolist(), low[string[leaves]].tolist())]
     found.sort(key=lambda x: (x[0], -x[1], x[2]))  # groups around others come first
     owner = np.full(len(string), -1)
-    parent, digest = [], []
-    for k, (a, b, depth, *_) in enumerate(found):
+    kept, parent, digest = [], [], []
+    for a, b, depth, first, *_ in found:
+        if owner[a] >= 0 and kept[owner[a]][0] == depth:
+            continue  # a leaf as long as the group around it: the same passage
         parent.append(int(owner[a]))
         digest.append(_digest(buffer[place[a]:place[a] + depth].tobytes()))
-        owner[a:b + 1] = k
+        owner[a:b + 1] = len(kept)
+        kept.append((depth, first))
     numbers, out = [], []
     at_once = np.flatnonzero(owner >= 0)
-    around, first = np.array([*parent, -1]), np.array([x[3] for x in found] + [0], np.int64)
-    depth, digest = np.array([x[2] for x in found] + [0]), np.array([*digest, 0], U)
+    around, digest = np.array([*parent, -1]), np.array([*digest, 0], U)
+    depth, first = np.array([x[0] for x in kept] + [0]), np.array([x[1] for x in kept] + [0], np.int64)
     now, told = owner[at_once], np.full(len(at_once), np.iinfo(np.int64).max)
     while len(at_once):
         tell = first[now] < told

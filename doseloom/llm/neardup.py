@@ -2,28 +2,31 @@
 
 A document's set is its distinct word shingles; its signature holds the least value of
 ``K`` hash functions over that set. Each (coordinate, value) pair is a posting list of
-documents, and two documents collide once for each list they share.
+documents, and two documents collide once for each coordinate they share.
 
 * Copies are one class: documents with the same word sequence are judged once.
 * Skip: a document with fewer than ``match`` coordinates that anyone else has can't reach
-  ``match`` collisions, so it posts nothing. Prefix: of ``K`` lists two documents share at
-  least ``match``, so they share one of the ``K - match + 1`` rarest of either; only these
-  are posted.
-* Pairs come out of the lists in steps that never list a group against itself. First each
-  document meets only its lists' leaders. Confirmed links make components. Then in each
-  list documents outside its largest component meet the list's documents of other
-  components, until no pair across components is left unjudged: pairs inside a component
-  can't change it.
-* A pair whose signatures agree in ``match`` coordinates or more is confirmed or refuted on
-  its full shingle sets, with whole-number arithmetic.
-
-With 64 coordinates and ``match`` 38, a pair at a similarity of 0.85 is missed with a
-probability under 1e-7; every reported link is exact.
+  ``match`` collisions, so it posts nothing. Prefix: only the first ``PREFIX`` coordinates are
+  posted; the collisions of a pair that meets there are counted over whole signatures.
+* First each document meets only its lists' leaders, a pair per posting. Pairs with ``match``
+  collisions or more are confirmed or refuted on their full shingle sets, with whole-number
+  arithmetic, and the links make components.
+* A pair inside a component can't change it, so from then on only lists with several
+  components matter, and in these only pairs across components. They are never listed: blocks of
+  such a list are compared with each other inside the tasks, each pair in its first common list,
+  by collisions, then by a longer signature, then on full sets; only links come out. This
+  looks at every pair across components that meets in a list, so no further round is needed.
+
+``match`` lies six standard deviations below what a pair at the threshold shares, and the
+longer signature's bound as well: such a pair is missed with a probability under 1e-6, at 0.85 as
+at 0.8; every reported link is exact. Documents that are nearly, but not quite, similar enough
+have to be told apart pair by pair: that part grows with the square of a group of such
+documents, and is spread over blocks.
 
 Defined results: null and empty texts have no set, are linked with nothing and stay; an id
-that comes with several texts is linked by one of them (the least digest); a null ``doc_id`` is linked with nothing and stays; an empty table
-gives no rows; columns other than ``doc_id`` and ``text`` are not read, and
-``without_near_copies`` keeps all columns.
+that comes with several texts is linked by one of them (the least digest); a null ``doc_id`` is
+linked with nothing and stays; an empty table gives no rows; columns other than ``doc_id`` and
+``text`` are not read, and ``without_near_copies`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -40,14 +43,19 @@ from doseloom.llm.tables import as_batch, buckets, saved, text_rows
 from doseloom.llm.text import LOWER, U, Texts, distinct, mix, portions, windows
 
 K = 64
+LONG = 512  # coordinates of the longer signature, a byte each
+PREFIX = 12
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
-_SEEDS = (mix(np.arange(1, K + 1, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
-_ODD = (mix(np.arange(K + 1, 2 * K + 1, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32) | np.uint32(1)
+_SEEDS, _ODD = (mix(np.arange(1, K + LONG + 1, dtype=U) * U(c)) >> U(32) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+_SEEDS, _ODD = _SEEDS.astype(np.uint32), _ODD.astype(np.uint32) | np.uint32(1)
 _INFO = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("signature", pa.binary())])
 _LISTS = pa.schema([("bucket", pa.int32()), ("portion", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 _COUNTS = pa.schema([("portion", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
-_POSTED = pa.schema([("doc", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
+_POSTED = pa.schema([("doc", pa.int64()), ("token", pa.int64()), ("place", pa.int32())])
+_SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.list_(pa.int64())), ("cls", pa.binary()), ("long", pa.binary())])
+_NEAR = pa.schema([("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc", pa.int64()), ("pairs", pa.binary())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def shingle_sets(texts: Texts, n: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -64,14 +72,21 @@ def shingle_sets(texts: Texts, n: int) -> Iterator[tuple[np.ndarray, bytes]]:
         yield (distinct(every[a:b - n + 1]) if b - a >= n else windows(words[a:b], b - a)), digest
 
 
-def _signature(shingles: np.ndarray) -> bytes:
+def least_match(coordinates: int, percent: int) -> int:
+    """Six standard deviations below the coordinates that a pair at the threshold shares."""
+    share = percent / 100
+    return int(coordinates * share - 6 * (coordinates * share * (1 - share)) ** 0.5)
+
+
+def _least_values(shingles: np.ndarray, first: int, last: int) -> np.ndarray:
     x = (shingles >> U(32)).astype(np.uint32)
-    least = np.full(K, np.uint32(0xFFFFFFFF))
-    for a in range(0, len(x), 4096):
-        h = (x[a:a + 4096][None, :] ^ _SEEDS[:, None]) * _ODD[:, None]
+    least = np.full(last - first, np.uint32(0xFFFFFFFF))
+    step = max(1, (1 << 18) // (last - first))
+    for a in range(0, len(x), step):
+        h = (x[a:a + step][None, :] ^ _SEEDS[first:last, None]) * _ODD[first:last, None]
         h ^= h >> np.uint32(15)
         np.minimum(least, h.min(1), out=least)
-    return least.tobytes()
+    return least
 
 
 def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -83,14 +98,14 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
             for shingles, digest in shingle_sets(texts, shingle):
                 sizes.append(len(shingles))
                 classes.append(digest or None)
-                marks.append(_signature(shingles) if len(shingles) else None)
+                marks.append(_least_values(shingles, 0, K).tobytes() if len(shingles) else None)
             yield as_batch({"doc_id": batch.column(0), "n_shingles": sizes, "cls": classes, "signature": marks}, _INFO)
 
     return text_rows(docs).mapInArrow(made, "doc_id long, n_shingles long, cls binary, signature binary")
 
 
 def postings(reps: DataFrame, match: int) -> DataFrame:
-    """``doc, token, df``: the prefix of each document's lists that others share, rarest first.
+    """``doc, token, place``: the lists of each document's first coordinates that others share.
 
     The documents are dealt to portions. A portion sends each of its tokens once, with a
     count, and gets back how many documents have it, so a token that a third of all
@@ -140,7 +155,7 @@ def postings(reps: DataFrame, match: int) -> DataFrame:
     def prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         if not left.num_rows or not right.num_rows:
-            return pa.table([empty] * 3, schema=_POSTED)
+            return pa.table([empty, empty, empty.astype(np.int32)], schema=_POSTED)
         keys = np.frombuffer(b"".join(right.column("tokens").to_pylist()), U)
         df = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
         order = np.argsort(keys)
@@ -150,18 +165,14 @@ def postings(reps: DataFrame, match: int) -> DataFrame:
         at[at == len(keys)] = 0
         many = np.where(keys[at] == tokens, df[at], 1)
         shared = (many > 1).sum(1)
-        docs, posted, counts = [empty], [empty], [empty]
-        for row in np.flatnonzero(shared >= match):
-            order = np.lexsort((tokens[row], many[row]))[:K - match + 1]
-            order = order[many[row][order] > 1]  # a list of its own meets nobody
-            docs.append(np.full(len(order), left.column("doc")[int(row)].as_py(), np.int64))
-            posted.append(tokens[row][order].view(np.int64))
-            counts.append(many[row][order])
-        return pa.table([np.concatenate(docs), np.concatenate(posted), np.concatenate(counts)], schema=_POSTED)
+        row, place = np.nonzero((many[:, :PREFIX] > 1) & (shared >= match)[:, None])
+        docs = left.column("doc").to_numpy()
+        return pa.table([docs[row], tokens[row, place].view(np.int64), place.astype(np.int32)], schema=_POSTED)
 
     lists = base.groupBy("portion").applyInArrow(listed, "bucket int, portion int, tokens binary, counts binary")
     shared = lists.groupBy("bucket").applyInArrow(counted, "portion int, tokens binary, counts binary")
-    return base.groupBy("portion").cogroup(shared.groupBy("portion")).applyInArrow(prefixes, "doc long, token long, df long")
+    return base.groupBy("portion").cogroup(shared.groupBy("portion")).applyInArrow(
+        prefixes, "doc long, token long, place int")
 
 
 def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
@@ -182,6 +193,82 @@ def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, match: int, p
         .where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
+def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
+    """All links (a, b) between documents that share a list and are in different components.
+
+    A list is cut into blocks by a hash of the document; a task gets two blocks of one list.
+    """
+    spark = posted.sparkSession
+    lists = saved(posted.join(labels, "doc", "left")
+                  .select("token", "place", "doc", F.coalesce("label", "doc").alias("label")), "labelled-lists")
+    sizes = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    spread = max(1, round((buckets(spark, 1) / 4) ** 0.5))  # block pairs for the tasks of a quarter of the partitions
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"),
+                                       F.sum("n").alias("n")).where("labels > 1") \
+        .select("token", F.col("top.label").alias("top"),
+                F.greatest(F.ceil(F.col("n") / 4096), F.least(F.ceil(F.col("n") / 256), F.lit(spread))).cast("int").alias("blocks"))
+    mixed = saved(mixed, "mixed-lists")
+    facts = marks.select(F.col("rep").alias("doc"), "signature").join(sets.select("doc", "long"), "doc")
+    rows = lists.join(mixed, "token").join(facts, "doc") \
+        .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")) \
+        .select("token", "place", "doc", (F.col("label") != F.col("top")).alias("outside"), "label", "signature", "long", "block",
+                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    least_long = least_match(LONG, percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Pairs of two blocks that collide often enough, and the documents they need."""
+        col = {c: table.column(c).to_numpy() for c in ("doc", "label", "block", "outside")}
+        short = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, K)
+        long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
+        token, i, j, place = (table.column(c)[0].as_py() for c in ("token", "i", "j", "place"))
+        left, right = np.flatnonzero(col["block"] == i), np.flatnonzero(col["block"] == j)
+        found = [np.zeros((0, 2), np.int64)]
+        for a in left.tolist():
+            rest = right if i != j else right[col["doc"][right] > col["doc"][a]]
+            rest = rest[(col["label"][rest] != col["label"][a]) & (col["outside"][rest] | col["outside"][a])]
+            if place:  # an earlier list has looked at those that meet there
+                rest = rest[~(short[rest, :place] == short[a, :place]).any(1)]
+            rest = rest[(short[rest] == short[a]).sum(1, dtype=np.uint8) >= match]
+            rest = rest[(long[rest] == long[a]).sum(1, dtype=np.uint16) >= least_long]
+            if len(rest):
+                found.append(np.stack([np.full(len(rest), col["doc"][a]), col["doc"][rest]], 1))
+        pairs = np.concatenate(found)
+        if not len(pairs):
+            return _NEAR.empty_table()
+        docs = distinct(pairs.ravel())
+        n = len(docs) + 1
+        return pa.table([np.full(n, token), np.full(n, i, np.int32), np.full(n, j, np.int32),
+                         pa.array([*docs.tolist(), None], pa.int64()), pa.array([None] * len(docs) + [pairs.tobytes()], pa.binary())],
+                        schema=_NEAR)
+
+    def judge(table: pa.Table) -> pa.Table:
+        """The pairs whose full sets are similar enough."""
+        pairs = np.frombuffer(b"".join(p for p in table.column("pairs").to_pylist() if p), np.int64).reshape(-1, 2)
+        have = dict(zip(table.column("doc").to_pylist(), table.column("shingles")))
+        have = {d: v.values.to_numpy() for d, v in have.items() if d is not None}
+        links = [np.zeros((0, 2), np.int64)]
+        starts = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])) if len(pairs) else []
+        for x, y in zip(starts, [*starts[1:], len(pairs)]):
+            one = np.sort(have[pairs[x, 0]])
+            for z in range(x, y, 256):
+                others = [have[d] for d in pairs[z:min(z + 256, y), 1].tolist()]
+                lengths = np.array([len(o) for o in others])
+                flat = np.concatenate(others)
+                at = np.searchsorted(one, flat)
+                at[at == len(one)] = 0
+                common = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(lengths) - lengths)
+                links.append(pairs[z:min(z + 256, y)][100 * common >= percent * (len(one) + lengths - common)])
+        links = np.concatenate(links)
+        return pa.table([links.min(1), links.max(1)] if len(links) else [links[:, 0], links[:, 1]], schema=_LINKS)
+
+    near = saved(rows.groupBy("token", "i", "j").applyInArrow(compare, "token long, i int, j int, doc long, pairs binary"), "near-blocks")
+    whole = near.where("doc is not null").join(sets.select("doc", "shingles"), "doc") \
+        .select("token", "i", "j", "doc", F.lit(None).cast("binary").alias("pairs"), "shingles") \
+        .unionByName(near.where("doc is null").withColumn("shingles", F.lit(None).cast("array<long>")))
+    return whole.groupBy("token", "i", "j").applyInArrow(judge, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``doc, label``: the least document each linked one reaches.
 
@@ -208,8 +295,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, shingle: int = 3, percent: int = 85, match: int = 38) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    match = least_match(K, percent)
     info = saved(signatures(docs, shingle), "signatures")
     # An id that comes with several texts is linked by the one whose digest is least.
     one_text = info.where("cls is not null and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("cls"))
@@ -225,39 +313,20 @@ def classes(docs: DataFrame, shingle: int = 3, percent: int = 85, match: int = 3
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches):
-            rows = [(d, s.view(np.int64), c) for d, (s, c) in zip(batch.column(0).to_pylist(), shingle_sets(texts, shingle)) if c]
-            yield pa.RecordBatch.from_pydict({"doc": [r[0] for r in rows], "shingles": [r[1] for r in rows],
-                                              "cls": [r[2] for r in rows]},
-                                             schema=pa.schema([("doc", pa.int64()), ("shingles", pa.list_(pa.int64())), ("cls", pa.binary())]))
+            rows = [(d, s, c) for d, (s, c) in zip(batch.column(0).to_pylist(), shingle_sets(texts, shingle)) if c]
+            yield as_batch({"doc": [r[0] for r in rows], "shingles": [r[1].view(np.int64) for r in rows], "cls": [r[2] for r in rows],
+                            "long": [_least_values(r[1], K, K + LONG).astype(np.uint8).tobytes() for r in rows]}, _SETS)
 
     texts = text_rows(docs)
     wanted = texts.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi") \
-        .mapInArrow(listed, "doc long, shingles array<long>, cls binary")
-    sets = saved(wanted.join(named, ["doc", "cls"], "left_semi").dropDuplicates(["doc"]).select("doc", "shingles"), "sets")
+        .mapInArrow(listed, "doc long, shingles array<long>, cls binary, long binary")
+    sets = saved(wanted.join(named, ["doc", "cls"], "left_semi").dropDuplicates(["doc"]).select("doc", "shingles", "long"), "sets")
 
     leaders = posted.groupBy("token").agg(F.min("doc").alias("a"))
     meet = posted.join(saved(leaders, "leaders"), "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    judged = saved(meet, "pairs")
-    links = saved(confirmed(judged, marks, sets, match, percent), "links")
-    while True:
-        labels = components(links)
-        lists = saved(posted.join(labels, "doc", "left")
-                      .select("token", "doc", F.coalesce("label", "doc").alias("label")), "labelled-lists")
-        sizes = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")) \
-            .where("labels > 1").select("token", F.col("top.label").alias("top"))
-        several = saved(lists.join(saved(largest, "largest"), "token"), "mixed-lists")
-        outside = several.where("label <> top").select("token", F.col("doc").alias("x"), F.col("label").alias("xl"))
-        across = outside.join(several.select("token", F.col("doc").alias("y"), F.col("label").alias("yl")), "token") \
-            .where("xl <> yl").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = saved(across.join(judged, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        more = saved(confirmed(fresh, marks, sets, match, percent), "links")
-        judged = judged.unionByName(fresh)
-        if more.isEmpty():
-            break
-        links = saved(links.unionByName(more), "links")
+    links = saved(confirmed(meet, marks, sets, match, percent), "links")
+    more = saved(across(posted, components(links), marks, sets, match, percent), "links")
+    labels = components(links.unionByName(more))
     heads = saved(reps.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
                   .select("cls", F.coalesce("label", "rep").alias("component_id")), "heads")
     own = one_text.join(heads, "cls").select(F.col("doc_id").alias("_id"), F.col("component_id"))
@@ -267,8 +336,8 @@ def classes(docs: DataFrame, shingle: int = 3, percent: int = 85, match: int = 3
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, match: int = 34) -> DataFrame:
+def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each group the document with the least id."""
-    gone = saved(classes(docs, shingle, percent, match).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(),
+    gone = saved(classes(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(),
                  "near-copies")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

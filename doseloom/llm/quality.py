@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from doseloom.llm.tables import as_batch, held_out, saved, text_rows, whole_text
 from doseloom.llm.text import LOWER, U, Texts, mix, portions
 
-BITS = 20
+BITS = 18
 SHARDS = 8
 _KIND = np.full(256, 2, np.uint8)  # 0 space or control, 1 letter, digit or non-ASCII byte, 2 other mark
 _KIND[:0x21] = _KIND[0x7F] = 0
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
                             "shares": [f[1] for f in found]}, schema)
 
     rows = labelled(docs, labels, column, sample).select("doc_id", "label", "text")
-    rows = saved(rows.mapInArrow(vectors, "shard int, doc_id long, label int, slots array<int>, shares array<float>"), "vectors")
+    rows = saved(rows.mapInArrow(vectors, "shard int, doc_id long, label int, slots array<int>, shares array<float>"), "vectors") \
+        .repartition(SHARDS, "shard")
     size = (1 << BITS) + 1
     state = Ftrl(size)
     spark = docs.sparkSession
@@ -145,11 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
             for k in order.tolist():
                 own.learn(np.array(slots[k] + [size - 1]), np.array(shares[k] + [1.0]), marks[k])
             at = np.flatnonzero((own.n != common.value[1]) | (own.z != common.value[0]))
-            return pa.table({"rows": [len(marks)], "slots": [at.astype(np.int32).tobytes()], "z": [own.z[at].tobytes()],
-                             "n": [own.n[at].tobytes()]})
+            return pa.table({"slots": [at.astype(np.int32).tobytes()], "z": [own.z[at].tobytes()], "n": [own.n[at].tobytes()]})
 
         z, n, shards = np.zeros(size), np.zeros(size), 0
-        for part in rows.groupBy("shard").applyInArrow(learned, "rows long, slots binary, z binary, n binary").toLocalIterator():
+        # One row per shard, of the model's size at most.
+        for part in rows.groupBy("shard").applyInArrow(learned, "slots binary, z binary, n binary").collect():
             at = np.frombuffer(part.slots, np.int32)
             z[at] += np.frombuffer(part.z) - state.z[at]
             n[at] += np.frombuffer(part.n) - state.n[at]
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
 def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id, score`` per row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 4 MB at 20 bits
+    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 1 MB at 18 bits
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value

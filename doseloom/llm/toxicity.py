@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
                             "slots": [distinct(slots[a:b]) for a, b in zip(begin[:-1], begin[1:])]}, schema)
 
     rows = saved(labelled(docs, labels, column, sample).select("doc_id", "label", "text")
-                 .mapInArrow(listed, "shard int, doc_id long, label int, slots array<int>"), "terms")
+                 .mapInArrow(listed, "shard int, doc_id long, label int, slots array<int>"), "terms").repartition(SHARDS, "shard")
     total = rows.count()
     if not total:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
             _train(own, lists, table.column("label").to_numpy(), order, rate, l2 / max(1, len(lists)))
             return pa.table({"bias": [float(own.bias)], "weight": [own.weight.tobytes()], "factor": [own.factor.tobytes()]})
 
-        parts = list(rows.groupBy("shard").applyInArrow(learned, "bias double, weight binary, factor binary").toLocalIterator())
+        parts = rows.groupBy("shard").applyInArrow(learned, "bias double, weight binary, factor binary").collect()
         weight = np.mean([np.frombuffer(p.weight) for p in parts], 0)
         factor = np.mean([np.frombuffer(p.factor) for p in parts], 0).reshape(-1, FACTORS)
         model = Machine(slots, weight, factor, float(np.mean([p.bias for p in parts])))

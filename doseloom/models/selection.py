@@ -86,15 +86,15 @@ def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[
     return out
 
 
-def fold_scores(predictions: DataFrame, label: str, by: Sequence[str] = ("candidate", "fold"),
+def fold_scores(pooled: DataFrame, label: str, by: Sequence[str] = ("candidate", "fold"),
                 hard_labels: bool = False) -> DataFrame:
     """ROC area and average precision per candidate and fold.
 
-    ``hard_labels`` scores 0/1 predictions instead of probabilities.
+    ``hard_labels`` scores 0/1 calls instead of probabilities.
     """
     if hard_labels:
-        predictions = predictions.withColumn("probability", (F.col("probability") > 0.5).cast("double"))
-    return metrics.ranking_metrics(predictions, label, "probability", by)
+        pooled = pooled.withColumn("probability", (F.col("probability") > 0.5).cast("double"))
+    return metrics.ranking_metrics(pooled, label, "probability", by)
 
 
 def grid_scores(scores: DataFrame) -> DataFrame:
@@ -113,9 +113,9 @@ def search(df: DataFrame, fit: Fit, grid: Mapping[str, Sequence[Any]], features:
     """Best parameters by mean average precision, and the score table."""
     options = candidates(grid)
     folded = save_folds(df, id_column, label, folds, seed)
-    predictions = out_of_fold(folded, folds, fit, options, features, label, id_column, parallelism, scale_inside)
+    pooled = out_of_fold(folded, folds, fit, options, features, label, id_column, parallelism, scale_inside)
     uri = new_folder(df.sparkSession, "grid-scores")
-    fold_scores(predictions, label, hard_labels=hard_labels).write.parquet(uri)
+    fold_scores(pooled, label, hard_labels=hard_labels).write.parquet(uri)
     scores = df.sparkSession.read.parquet(uri)
     return options[best_candidate(scores)], scores
 
@@ -124,13 +124,13 @@ def cross_validated_auc(df: DataFrame, fit: Fit, params: Mapping[str, Any], feat
                         label: str, id_column: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Mean fold area and twice its population deviation."""
     folded = save_folds(df, id_column, label, folds, seed)
-    predictions = out_of_fold(folded, folds, fit, [params], features, label, id_column, scale_inside=False)
-    scores = fold_scores(predictions, label)
+    pooled = out_of_fold(folded, folds, fit, [params], features, label, id_column, scale_inside=False)
+    scores = fold_scores(pooled, label)
     return scores.agg(F.count(F.lit(1)).alias("folds"), F.avg("roc_auc").alias("mean_auc"),
                       (2 * F.stddev_pop("roc_auc")).alias("spread"))
 
 
-def compare_models(predictions: DataFrame, label: str, by: str = "model") -> DataFrame:
+def compare_models(pooled: DataFrame, label: str, by: str = "model") -> DataFrame:
     """One row per model: ROC area and average precision."""
-    return metrics.ranking_metrics(predictions, label, "probability", [by]) \
+    return metrics.ranking_metrics(pooled, label, "probability", [by]) \
         .select(by, "roc_auc", "average_precision")

@@ -11,10 +11,13 @@ from doseloom.operators import association, ranking
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins between the extremes; the last one is closed."""
+    """Equal-width bins between the extremes, empty ones too; the last one is closed.
+
+    ``bin, left_edge, right_edge, count``; no rows without values.
+    """
     kept = ranking.present(df, value).select(value)
-    span = kept.agg(F.struct(F.min(value).cast("double").alias("low"),
-                             F.max(value).cast("double").alias("high")).alias("s")).scalar()
+    extremes = kept.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
+    span = extremes.select(F.struct("low", "high").alias("s")).scalar()
     spanned = kept.withColumn("_s", span)
     low, high = F.col("_s.low"), F.col("_s.high")
     width = (high - low) / bins
@@ -24,10 +27,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     number = (F.when(F.col(value) < low + guess * width, guess - 1)
               .when((F.col(value) >= low + (guess + 1) * width) & (guess < bins - 1) & (width > 0), guess + 1)
               .otherwise(guess))
-    return (spanned.select(number.alias("bin"), low.alias("_low"), width.alias("_width"))
-            .groupBy("bin", "_low", "_width").agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", (F.col("_low") + F.col("bin") * F.col("_width")).alias("left_edge"),
-                    (F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("right_edge"), "count"))
+    counts = spanned.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    step = (F.col("high") - F.col("low")) / bins
+    grid = extremes.where("low is not null").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return (grid.join(counts, "bin", "left")
+            .select("bin", (F.col("low") + F.col("bin") * step).alias("left_edge"),
+                    (F.col("low") + (F.col("bin") + 1) * step).alias("right_edge"),
+                    F.coalesce("n", F.lit(0)).cast("long").alias("count")))
 
 
 def box_stats(df: DataFrame, value: str, group: str, reach: float = 1.5) -> DataFrame:
@@ -47,8 +53,8 @@ def box_stats(df: DataFrame, value: str, group: str, reach: float = 1.5) -> Data
 def density(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth, exact sum.
 
-    Distinct values carry their counts; each meets the fixed grid points, and
-    partial sums per grid point are made in the task that holds the values.
+    Distinct values carry their counts; partial sums of all grid points are made in
+    the task that holds the values.
     """
     kept = ranking.present(df, value)
     facts = kept.agg(F.struct(
@@ -58,13 +64,20 @@ def density(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -> Dat
     counts = kept.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("_f", facts)
     h = F.col("_f.h")
     low, high = F.col("_f.low") - cut * h, F.col("_f.high") + cut * h
-    points = counts.select(value, "n", "_f", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    at = low + F.col("point") * (high - low) / (grid - 1)
-    distance = (at - F.col(value)) / h
-    kernel = F.exp(-0.5 * distance * distance)
     scale = F.col("_f.n") * h * F.sqrt(F.lit(2.0) * F.pi())
-    return (points.select("point", at.alias("x"), (kernel * F.col("n") / scale).alias("part"))
-            .groupBy("point").agg(F.min("x").alias("x"), F.sum("part").alias("density")))
+
+    def at(point: int):
+        return low + point * (high - low) / (grid - 1)
+
+    def part(point: int):
+        distance = (at(point) - F.col(value)) / h
+        return F.exp(-0.5 * distance * distance) * F.col("n") / scale
+
+    # One row per distinct value goes into the sums of all grid points.
+    sums = counts.agg(*[F.sum(part(i)).alias(f"d{i}") for i in range(grid)], F.min(low).alias("low"), F.max(high).alias("high"))
+    rows = F.array(*[F.struct(F.lit(i).alias("point"), (F.col("low") + i * (F.col("high") - F.col("low")) / (grid - 1)).alias("x"),
+                              F.col(f"d{i}").alias("density")) for i in range(grid)])
+    return sums.where("low is not null").select(F.inline(rows))
 
 
 def score_percentile_points(scores: DataFrame, id_column: str, value: str) -> DataFrame:

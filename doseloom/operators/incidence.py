@@ -6,14 +6,12 @@ matrices are made from it only at a sink, in bounded pieces.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseloom.operators import ranking
 
-MAX_PIVOT_COLUMNS = 10_000  # Spark's own default bound for a pivot
+BLOCK_COLUMNS = 5_000  # columns of one block of a wide matrix
 
 
 def node_pairs(records: DataFrame) -> DataFrame:
@@ -53,20 +51,45 @@ def sparse_matrix(pairs: DataFrame, rows: DataFrame, columns: DataFrame) -> Data
             .select("row_id", "col_id"))
 
 
-def bounded_nodes(pairs: DataFrame, limit: int = MAX_PIVOT_COLUMNS) -> list[str]:
-    """Sorted distinct nodes for a wide matrix; too many raise."""
-    found = [r.node_id for r in pairs.select("node_id").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} nodes: use the long pairs or sparse_matrix")
-    return sorted(found)
+def _numbered(pairs: DataFrame, width: int) -> DataFrame:
+    columns = ranking.number_keys(pairs, "node_id", "col_id")
+    return columns.select("node_id", F.floor(F.col("col_id") / width).cast("int").alias("block"),
+                          (F.col("col_id") % width).cast("int").alias("place"))
 
 
-def presence_matrix(pairs: DataFrame, nodes: Sequence[str], names: DataFrame | None = None) -> DataFrame:
-    """Wide 0/1 matrix over the given nodes, one row per name."""
-    wide = pairs.groupBy("name").pivot("node_id", list(nodes)).agg(F.lit(1))
-    if names is not None:
-        wide = names.select("name").distinct().join(wide, "name", "left")
-    return wide.select("name", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(str(n)) for n in nodes])
+def matrix_columns(pairs: DataFrame, width: int = BLOCK_COLUMNS) -> DataFrame:
+    """``block, nodes``: the nodes of each block of columns, in string order."""
+    return (_numbered(pairs, width).groupBy("block")
+            .agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("n"))
+            .select("block", F.col("n.node_id").alias("nodes")))
+
+
+def matrix_blocks(pairs: DataFrame, names: DataFrame | None = None, width: int = BLOCK_COLUMNS) -> DataFrame:
+    """The 0/1 matrix as ``name, block, cells``: one row per name and block of columns.
+
+    Any number of nodes: a row holds ``width`` cells at most, and no list of nodes
+    leaves the executors.
+    """
+    columns = _numbered(pairs, width)
+    widths = columns.groupBy("block").agg(F.count(F.lit(1)).cast("int").alias("width"))
+    ones = (pairs.select("name", "node_id").distinct().join(columns, "node_id")
+            .groupBy("name", "block").agg(F.collect_list("place").alias("on")))
+    last = widths.agg(F.max("block")).scalar()
+    rows = (names if names is not None else pairs).select("name").distinct() \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    on = F.map_from_arrays("on", F.array_repeat(F.lit(1), F.size("on")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1),
+                        lambda i: F.coalesce(F.when(F.col("on").isNotNull(), F.try_element_at(on, i)), F.lit(0)))
+    return (rows.join(widths, "block").join(ones, ["name", "block"], "left")
+            .select("name", "block", cells.alias("cells")))
+
+
+def block_row_homogeneity(blocks: DataFrame) -> DataFrame:
+    """Ones, zeros and the distinct values of each name's row, over its blocks."""
+    ones = F.size(F.filter("cells", lambda v: v == 1))
+    out = blocks.groupBy("name").agg(F.sum(ones).alias("ones"), F.sum(F.size("cells") - ones).alias("zeros"))
+    values = F.filter(F.array(F.when(F.col("zeros") > 0, 0), F.when(F.col("ones") > 0, 1)), lambda v: v.isNotNull())
+    return out.withColumn("row_values", values).withColumn("mixed", F.size("row_values") > 1)
 
 
 def row_homogeneity(pairs: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -94,10 +117,13 @@ def wide_row_homogeneity(matrix: DataFrame, participant: str = "participant") ->
         .withColumn("mixed", F.size("row_values") > 1)
 
 
-def distinct_cells(matrix: DataFrame, participant: str = "participant") -> DataFrame:
-    """Distinct values over all cells of a wide matrix."""
-    cells = F.array(*[F.col(f"`{c}`") for c in matrix.columns if c != participant])
-    return matrix.select(F.explode(cells).alias("value")).distinct()
+def distinct_cells(pairs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Distinct values over all cells, from counts: a matrix with fewer ones than cells has a 0."""
+    ones = pairs.agg(F.count_distinct("name", "node_id").alias("ones"), F.count_distinct("node_id").alias("width"))
+    size = (names if names is not None else pairs).agg(F.count_distinct("name").alias("n")).scalar()
+    cells = ones.withColumn("cells", size * F.col("width"))
+    values = F.array(F.when(F.col("cells") > F.col("ones"), 0), F.when(F.col("ones") > 0, 1))
+    return cells.select(F.explode(F.filter(values, lambda v: v.isNotNull())).alias("value"))
 
 
 def column_types(matrix: DataFrame, participant: str = "participant") -> dict[str, int]:

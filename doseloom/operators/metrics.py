@@ -32,22 +32,34 @@ def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Dat
             .withColumn("fp", F.col("before_neg") + F.col("neg")))
 
 
+def _ends(run: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per curve."""
+    return run.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 0").drop("n") if by else \
+        run.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+
+
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``threshold, fpr, tpr`` per distinct score, from the highest down.
 
-    The curve starts at (0, 0) with no threshold; collinear points are kept.
+    The curve starts at (0, 0) under an infinite threshold; collinear points are kept.
     """
     run = _cumulative(df, label, score, by)
-    return run.select(*by, "threshold",
-                      F.try_divide(F.col("fp").cast("double"), F.col("all_neg")).alias("fpr"),
-                      F.try_divide(F.col("tp").cast("double"), F.col("all_pos")).alias("tpr"))
+    points = run.select(*by, "threshold",
+                        F.try_divide(F.col("fp").cast("double"), F.col("all_neg")).alias("fpr"),
+                        F.try_divide(F.col("tp").cast("double"), F.col("all_pos")).alias("tpr"))
+    return points.unionByName(_ends(run, by).select(*by, F.lit(float("inf")).alias("threshold"),
+                                                    F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def precision_recall_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``threshold, precision, recall`` per distinct score, and the end: recall 0 at precision 1
+    under an infinite threshold."""
     run = _cumulative(df, label, score, by)
-    return run.select(*by, "threshold",
+    points = run.select(*by, "threshold",
                       (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"),
                       F.try_divide(F.col("tp").cast("double"), F.col("all_pos")).alias("recall"))
+    return points.unionByName(_ends(run, by).select(*by, F.lit(float("inf")).alias("threshold"),
+                                                    F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -83,26 +95,26 @@ def youden_threshold(df: DataFrame, label: str, score: str, by: Sequence[str] =
         F.when(start, 0.0).otherwise(F.try_divide(F.col("b.fp").cast("double"), F.col("b.all_neg"))).alias("fpr"))
 
 
-def predict_at(df: DataFrame, score: str, threshold: Column | float, into: str = "prediction") -> DataFrame:
+def label_above(df: DataFrame, score: str, threshold: Column | float, into: str = "called") -> DataFrame:
     """1 at or above the threshold, else 0."""
     cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     return df.withColumn("_cut", cut).withColumn(
         into, F.when(F.col(score) >= F.col("_cut"), 1).otherwise(0)).drop("_cut")
 
 
-def confusion(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+def confusion(df: DataFrame, label: str, called: str, by: Sequence[str] = ()) -> DataFrame:
     """``tn, fp, fn, tp`` in one pass."""
-    y, p = F.col(label) == 1, F.col(prediction) == 1
+    y, p = F.col(label) == 1, F.col(called) == 1
     return df.groupBy(*by).agg(
         F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
         F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"))
 
 
-def threshold_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """Metrics of hard predictions; undefined ones are 0."""
+def threshold_metrics(df: DataFrame, label: str, called: str, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of hard calls; undefined ones are 0."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     recall, specificity = _ratio(tp, tp + fn), _ratio(tn, tn + fp)
-    return confusion(df, label, prediction, by).select(
+    return confusion(df, label, called, by).select(
         *by, "tn", "fp", "fn", "tp",
         _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
@@ -114,7 +126,7 @@ def threshold_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[s
         _ratio(tn, tn + fn).alias("npv"))
 
 
-def class_report(df: DataFrame, label: str, prediction: str, by: Sequence[str] = (),
+def class_report(df: DataFrame, label: str, called: str, by: Sequence[str] = (),
                  names: Sequence[str] = ("0", "1")) -> DataFrame:
     """Precision, recall, F1 and support per class, plus accuracy, macro and
     weighted rows, all from the four counts."""
@@ -134,4 +146,4 @@ def class_report(df: DataFrame, label: str, prediction: str, by: Sequence[str] =
     rows = F.array(row(names[0], *zero), row(names[1], *one),
                    row("accuracy", accuracy, accuracy, accuracy, total),
                    row("macro avg", *macro, total), row("weighted avg", *weighted, total))
-    return confusion(df, label, prediction, by).select(*by, F.inline(rows))
+    return confusion(df, label, called, by).select(*by, F.inline(rows))

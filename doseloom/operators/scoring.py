@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseloom.functions import genotype as g
-from doseloom.operators.guards import require_columns
+from doseloom.operators.guards import conforms
 from doseloom.plans.sizing import BROADCAST_ROWS
 
 LOCUS = ["contig", "position"]
@@ -31,7 +31,7 @@ def one_weight_per_locus(weights: DataFrame) -> DataFrame:
     The locus lookup returns a single row; the smallest (effect allele, weight)
     is taken so that reruns agree. NULL loci match nothing and are dropped.
     """
-    require_columns(weights, ["weight", "contig", "position", "effect_allele"])
+    conforms(weights, "weight void, contig void, position void, effect_allele void")
     return (weights.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
             .groupBy(*LOCUS)
             .agg(F.min(F.struct("effect_allele", "weight")).alias("w"),
@@ -85,41 +85,22 @@ def call_dosages(calls: DataFrame, weights: DataFrame, allele_specific: bool = F
             .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place"))
 
 
-def blocks_of(weights: DataFrame, block_size: int, max_blocks: int) -> list | None:
-    """Distinct blocks of the weights, or None when they touch too many.
+def prune_calls(calls: DataFrame, weights: DataFrame, block_size: int) -> DataFrame:
+    """Calls whose (contig, block) holds a weight, for calls stored in blocks of ``block_size``.
 
-    The list is bounded by ``max_blocks`` and prunes partition folders of the
-    call table before any join.
+    A semi join, whatever the number of blocks: where the weights' blocks are few, Spark
+    broadcasts them and turns them into a partition filter of the scan.
     """
-    rows = (weights.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
-            .select("contig", F.floor(F.col("position") / block_size).alias("block"))
-            .distinct().limit(max_blocks + 1).collect())
-    return None if len(rows) > max_blocks else [(r.contig, r.block) for r in rows]
-
-
-def prune_calls(calls: DataFrame, weights: DataFrame, block_size: int, max_blocks: int = 2000) -> DataFrame:
-    """Static partition filter on (contig, block) for calls stored that way."""
-    blocks = blocks_of(weights, block_size, max_blocks)
-    if blocks is None:
-        return calls
-    by_contig: dict[str, list[int]] = {}
-    for contig, block in blocks:
-        by_contig.setdefault(contig, []).append(block)
-    keep = F.lit(False)
-    for contig, numbers in sorted(by_contig.items()):
-        keep = keep | ((F.col("contig") == contig) & F.col("block").isin(sorted(numbers)))
-    return calls.where(keep)
+    blocks = (weights.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
+              .select("contig", F.floor(F.col("position") / block_size).alias("block")).distinct())
+    return calls.join(blocks, ["contig", "block"], "left_semi")
 
 
 def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """Calls of the wanted samples, when these are few enough to broadcast.
-
-    Otherwise the calls stay as they are: shuffling them all to drop some is
-    dearer than summing them, and the score's last join drops the rest.
-    """
-    if samples.count() > max_broadcast:
-        return calls
-    return calls.join(F.broadcast(samples.select("s")), "s", "left_semi")
+    """Calls of the wanted samples. The samples are broadcast when they are counted as few;
+    beyond that both sides are shuffled."""
+    wanted = samples.select("s").distinct()
+    return calls.join(F.broadcast(wanted) if samples.count() <= max_broadcast else wanted, "s", "left_semi")
 
 
 def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, weights: DataFrame,

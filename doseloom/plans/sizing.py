@@ -2,21 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 # Rows of a weight table or variant list (a few short columns, under 100 bytes
 # each) that still make a hash relation an executor can hold several times.
 BROADCAST_ROWS = 1_000_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
-                       counted: DataFrame | None = None) -> DataFrame:
-    """Hint ``df`` for broadcast when a distributed count proves it small.
-
-    ``counted`` is a cheaper frame that has at least as many rows.
-
-    Beyond the bound the frame comes back without a hint, and the join is the
-    usual shuffle join, whose skewed partitions AQE splits.
-    """
-    return F.broadcast(df) if (df if counted is None else counted).count() <= max_rows else df

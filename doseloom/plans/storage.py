@@ -15,18 +15,21 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
-
-    A machine-local folder is only made up for a ``local`` master.
-    """
+    """The folder all executors can reach, as the session names it; none is made up."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="doseloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """For sessions on one machine that name no folder, such as trial runs: take a temporary one.
+
+    On a cluster nothing is taken, and ``shared_folder`` asks for the setting.
+    """
+    unset = spark.conf.get(CHECKPOINT_SETTING, None) is None and spark.sparkContext.getCheckpointDir() is None
+    if unset and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="doseloom-"))
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -55,7 +58,7 @@ def exists(spark: SparkSession, uri: str) -> bool:
 
 
 def fingerprint(spark: SparkSession, inputs: Sequence[str] = (), **parameters: Any) -> str:
-    """Hash of the parameters and of each input's path, bytes, files and time.
+    """Hash of the parameters and of each input file's path, length and time, in all folders below.
 
     A step saved under this key is never served for another score id, another
     grid or changed input files.
@@ -63,9 +66,11 @@ def fingerprint(spark: SparkSession, inputs: Sequence[str] = (), **parameters: A
     seen = []
     for uri in inputs:
         fs, path = _path(spark, uri)
-        summary = fs.getContentSummary(path)
-        seen.append([uri, summary.getLength(), summary.getFileCount(),
-                     fs.getFileStatus(path).getModificationTime()])
+        files, found = fs.listFiles(path, True), []
+        while files.hasNext():
+            status = files.next()
+            found.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+        seen.append([uri, sorted(found)])
     text = json.dumps({"inputs": seen, "parameters": parameters}, sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()[:24]
 

@@ -27,7 +27,8 @@ def score_cohort(spark: SparkSession, genotype_root: str, flagged_uri: str, peop
     """Drop flagged samples, keep the cohort, score it, save scores and found variants.
 
     Samples and blocks are filtered before any join with the weights; the score
-    table is written once and every later step reads it.
+    table is written once and every later step reads it. Blocks are pruned by the size that
+    is stored with the calls; another ``block_size`` raises.
     """
     data = readers.genotypes(spark, genotype_root)
     flagged = readers.flagged_samples(spark, flagged_uri)
@@ -38,7 +39,9 @@ def score_cohort(spark: SparkSession, genotype_root: str, flagged_uri: str, peop
     prepared = readers.prepare_weights(readers.scoring_file(spark, scoring_uri))
     weights = readers.located_weight_csv(spark, writers.weights(readers.locate_weights(prepared), f"{root}/weights"))
     writers.weight_intervals(weights, f"{root}/intervals")
-    calls = data.calls if block_size is None else scoring.prune_calls(data.calls, weights, block_size)
+    if block_size is not None and block_size != data.block_size:
+        raise ValueError(f"calls are stored in blocks of {data.block_size}, not {block_size}")
+    calls = scoring.prune_calls(data.calls, weights, data.block_size) if data.block_size else data.calls
     calls = scoring.calls_of(calls.withColumn("s", F.col("s").cast("string")), samples)
     points = intervals.point_intervals(weights)
     variants = intervals.at_points(data.variants, points)
@@ -53,7 +56,7 @@ def standardise(scores: DataFrame, output_uri: str | None = None,
                 labels: Sequence[str] = scoring.RISK_LABELS) -> DataFrame:
     """z-score, percentile and risk category of every scored sample, saved as CSV."""
     out = ranking.z_scores(scores, "total_score", "prs_zscore")
-    out = ranking.percentile_ranks(out, "prs_zscore", "prs_percentile")
+    out = ranking.percentile_ranks(out, "total_score", "prs_percentile")  # the saved score: the same order
     out = ranking.quantile_cut(out, "prs_zscore", len(labels), "_bin", labels, "risk_category").drop("_bin")
     out = out.select(*scores.columns, "prs_zscore", "prs_percentile", "risk_category")
     if output_uri is not None:
@@ -71,8 +74,8 @@ def evaluate(standardised: DataFrame, phenotype: DataFrame, status: str = "statu
     scored = storage.cut_lineage(
         merged.withColumn("probability", classifiers.logistic_probability(model, [z])))
     cut = metrics.youden_threshold(scored, status, "probability")
-    at_best = metrics.predict_at(scored, "probability", cut.select("threshold").scalar())
-    at_half = scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    at_best = metrics.label_above(scored, "probability", cut.select("threshold").scalar())
+    at_half = scored.withColumn("called", (F.col("probability") > 0.5).cast("int"))
     return {
         "totals": association.cohort_totals(merged, status),
         "roc": metrics.roc_points(merged, status, z),
@@ -83,10 +86,10 @@ def evaluate(standardised: DataFrame, phenotype: DataFrame, status: str = "statu
         "odds_per_sd": classifiers.odds_ratios(model, [z], merged),
         "tests": classifiers.model_tests(model, merged, [z], status),
         "youden": cut,
-        "metrics_youden": metrics.threshold_metrics(at_best, status, "prediction"),
-        "metrics_half": metrics.threshold_metrics(at_half, status, "prediction"),
-        "report_youden": metrics.class_report(at_best, status, "prediction"),
-        "report_half": metrics.class_report(at_half, status, "prediction"),
+        "metrics_youden": metrics.threshold_metrics(at_best, status, "called"),
+        "metrics_half": metrics.threshold_metrics(at_half, status, "called"),
+        "report_youden": metrics.class_report(at_best, status, "called"),
+        "report_half": metrics.class_report(at_half, status, "called"),
     }
 
 
@@ -147,7 +150,7 @@ def compare_survey_models(matrix: DataFrame, feature_names: Sequence[str] = surv
                           tree_grid: Mapping[str, Sequence[Any]] | None = None,
                           rounds: int = selection.BOOSTED_TREE_ROUNDS) -> dict[str, Any]:
     """Tune logistic regression and boosted trees, pool their out-of-fold
-    predictions, and report metrics, curves and per-feature statistics."""
+    calls, and report metrics, curves and per-feature statistics."""
     data = storage.cut_lineage(matrix)
     trees = {**(tree_grid or selection.BOOSTED_TREE_GRID), "n_estimators": [rounds]}
     fits = {"lr": (classifiers.fit_logistic, logistic_grid or selection.LOGISTIC_GRID),
@@ -164,13 +167,13 @@ def compare_survey_models(matrix: DataFrame, feature_names: Sequence[str] = surv
         importances[name] = (model.coefficients.toArray() if name == "lr"
                              else model.featureImportances.toArray())
     pooled = storage.cut_lineage(pooled)
-    predicted = pooled.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    predicted = pooled.withColumn("called", (F.col("probability") > 0.5).cast("int"))
     effects = features.with_p_values(features.feature_effects(scaled, feature_names, label))
     table = classifiers.importance_table(data, feature_names, lr_coefficient=importances["lr"],
                                          tree_importance=importances["trees"])
-    return {"best": best, "predictions": pooled,
+    return {"best": best, "pooled": pooled,
             "ranking": selection.compare_models(pooled, label),
-            "report": metrics.class_report(predicted, label, "prediction", ["model"]),
+            "report": metrics.class_report(predicted, label, "called", ["model"]),
             "roc": metrics.roc_points(pooled, label, "probability", ["model"]),
             "precision_recall": metrics.precision_recall_points(pooled, label, "probability", ["model"]),
             "features": table.join(effects, "feature").orderBy("p_value", "feature")}

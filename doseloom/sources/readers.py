@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doseloom.functions import genotype as g
 from doseloom.functions import text
-from doseloom.operators.guards import require_columns
+from doseloom.operators.guards import conforms
 from doseloom.operators.intervals import valid_intervals
+from doseloom.plans.storage import exists
 from doseloom.sources import schemas
 
 
@@ -20,12 +21,17 @@ class Genotypes(NamedTuple):
     variants: DataFrame
     samples: DataFrame
     calls: DataFrame
+    block_size: int | None = None
 
 
 def genotypes(spark: SparkSession, root: str) -> Genotypes:
-    """Three Parquet tables below ``root``; calls may be stored by (contig, block)."""
-    return Genotypes(*(spark.read.parquet(f"{root.rstrip('/')}/{part}")
-                       for part in ("variants", "samples", "calls")))
+    """Three Parquet tables below ``root``, and the block size if calls are stored by (contig, block)."""
+    root, size = root.rstrip("/"), None
+    if exists(spark, f"{root}/layout"):
+        size = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout").first().block_size
+    kinds = {"variants": schemas.VARIANTS, "samples": schemas.SAMPLES,
+             "calls": schemas.CALLS + (", block bigint" if size else "")}
+    return Genotypes(*(spark.read.schema(kind).parquet(f"{root}/{part}") for part, kind in kinds.items()), size)
 
 
 def warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -58,7 +64,7 @@ def scoring_file(spark: SparkSession, uri: str) -> DataFrame:
     raw = (spark.read.option("sep", "\t").option("comment", "#").option("header", True)
            .option("inferSchema", False).csv(uri))
     needed = [c for c in schemas.SCORING_FILE if c != "other_allele" or c in raw.columns]
-    require_columns(raw, needed)
+    conforms(raw, ", ".join(f"{c} string" for c in needed))
     return raw.select(*[F.col(c).try_cast(schemas.SCORING_FILE[c]).alias(c) for c in needed])
 
 
@@ -71,7 +77,7 @@ def prepare_weights(scoring: DataFrame, keep_other_allele: bool = False) -> Data
 
 def locate_weights(weights: DataFrame) -> DataFrame:
     """Add ``contig`` (with ``chr``) and ``position`` (= ``bp``)."""
-    require_columns(weights, ["chr", "bp"])
+    conforms(weights, "chr void, bp void")
     return (weights.withColumn("contig", text.with_chr(F.col("chr").cast("string")))
             .withColumn("position", F.col("bp")))
 
@@ -92,8 +98,7 @@ def weight_csv(spark: SparkSession, uri: str) -> DataFrame:
 
 def located_weight_csv(spark: SparkSession, uri: str) -> DataFrame:
     """Weight CSV that already has ``contig`` and ``position``."""
-    return require_columns(typed_csv(spark, uri, schemas.PREPARED_WEIGHTS),
-                           ["weight", "contig", "position", "effect_allele"])
+    return conforms(typed_csv(spark, uri, schemas.PREPARED_WEIGHTS), schemas.PREPARED_WEIGHTS)
 
 
 def processed_weights(spark: SparkSession, uri: str, chrom: str | None = None) -> DataFrame:
@@ -158,24 +163,33 @@ def preview(spark: SparkSession, uri: str, lines: int = 25) -> DataFrame:
     return spark.read.text(uri).limit(lines)
 
 
+def _vcf_lines(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of all files below ``uri``, and each file's sample names (one row per file)."""
+    lines = spark.read.text(uri).select("value", F.col("_metadata.file_path").alias("file"))
+    header = lines.where(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.max("value").alias("value"))
+    names = F.split("value", "\t")
+    return lines, header.select("file", F.slice(names, F.lit(10), F.size(names)).alias("names"))
+
+
+def _folder(file: str) -> Column:
+    return F.regexp_replace(file, "/[^/]*$", "")
+
+
 def vcf(spark: SparkSession, uri: str, region: str | None = None, end_inclusive: bool = True) -> DataFrame:
-    """Calls of a multi-sample VCF text (plain or gzip-compatible).
+    """Calls of VCF text (plain or gzip-compatible): a file, or a folder of files.
 
-    Sample names come from the header line as a one-row subquery; each variant
-    line is met with them by place. Cells without a call (``.``) are kept with a
-    NULL genotype.
+    Each file has a header line of its own, and its variant lines are met with that
+    header's names by place; a file without one, as a writer leaves when it splits a sample's
+    lines, goes by the one header of its folder. Cells without a call (``.``) are kept with a NULL genotype.
     """
-    lines = spark.read.text(uri)
-    names = (lines.where(F.col("value").startswith("#CHROM"))
-             .agg(F.max(F.split("value", "\t")).alias("h"))
-             .select(F.slice("h", F.lit(10), F.size("h")).alias("names")).scalar())
+    lines, headers = _vcf_lines(spark, uri)
     body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     fields = F.split("value", "\t")
 
     def at(i: int):
         return F.get(fields, F.lit(i))
 
-    rows = body.select(at(0).alias("contig"), at(1).cast("int").alias("position"),
+    rows = body.select("file", at(0).alias("contig"), at(1).cast("int").alias("position"),
                        F.when(at(4) == ".", F.array(at(3)))
                        .otherwise(F.concat(F.array(at(3)), F.split(at(4), ","))).alias("alleles"),
                        F.split(at(8), ":").alias("format"),
@@ -183,7 +197,10 @@ def vcf(spark: SparkSession, uri: str, region: str | None = None, end_inclusive:
     if region is not None:
         from doseloom.operators.intervals import in_region
         rows = rows.where(in_region(region, end_inclusive))
-    cells = (rows.withColumn("names", names)
+    whole = headers.groupBy(_folder("file").alias("folder")).agg(
+        F.max("names").alias("folder_names"), F.min("names").alias("least")).where("folder_names = least").drop("least")
+    cells = (rows.join(headers, "file", "left").withColumn("folder", _folder("file")).join(whole, "folder", "left")
+             .withColumn("names", F.coalesce("names", "folder_names"))
              .select("contig", "position", "alleles", "format",
                      F.explode(F.arrays_zip("names", "cells")).alias("cell")))
     parts = F.split("cell.cells", ":")
@@ -199,11 +216,12 @@ def vcf(spark: SparkSession, uri: str, region: str | None = None, end_inclusive:
 
 
 def vcf_samples(spark: SparkSession, uri: str) -> DataFrame:
-    """Sample names of a VCF with their place in the header, from 0."""
-    header = spark.read.text(uri).where(F.col("value").startswith("#CHROM")) \
-        .agg(F.max("value").alias("value"))
-    names = F.split("value", "\t")
-    return header.select(F.posexplode(F.slice(names, F.lit(10), F.size(names))).alias("place", "s"))
+    """Sample names with their place, from 0: files in the order of their paths, names as in the header."""
+    _, headers = _vcf_lines(spark, uri)
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    begun = headers.select("names", F.coalesce(F.sum(F.size("names")).over(ahead), F.lit(0)).alias("begin"))
+    return begun.select("begin", F.posexplode("names").alias("nth", "s")) \
+        .select((F.col("begin") + F.col("nth")).cast("int").alias("place"), "s")
 
 
 def first_sample(samples: DataFrame) -> DataFrame:

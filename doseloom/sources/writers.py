@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseloom.operators import incidence, regions
 from doseloom.operators.intervals import point_intervals
+from doseloom.sources import schemas
 
 
 def csv(df: DataFrame, uri: str, header: bool = True, sep: str = ",") -> str:
@@ -49,9 +50,11 @@ def genotypes(variants: DataFrame, samples: DataFrame, calls: DataFrame, root: s
               block_size: int = 1_000_000) -> str:
     """Genotype tables; calls in (contig, block) folders, sorted by position.
 
-    Ranges over (contig, position, sample) split a crowded block over tasks.
+    Ranges over (contig, position, sample) split a crowded block over tasks. The block size is
+    kept with the tables, so that a reader prunes by the size that was written.
     """
     root = root.rstrip("/")
+    parquet(calls.sparkSession.createDataFrame([(block_size,)], schemas.LAYOUT).coalesce(1), f"{root}/layout")
     parquet(variants, f"{root}/variants")
     parquet(samples, f"{root}/samples")
     blocked = calls.withColumn("block", F.floor(F.col("position") / block_size))
@@ -81,11 +84,24 @@ def node_lists_text(pairs: DataFrame, uri: str, piece: int = 10_000) -> str:
     return uri
 
 
-def presence_csv(pairs: DataFrame, uri: str, names: DataFrame | None = None) -> str:
-    """Wide 0/1 matrix CSV; raises when there are too many nodes for columns."""
-    nodes = incidence.bounded_nodes(pairs)
-    matrix = incidence.presence_matrix(pairs, nodes, names).withColumnRenamed("name", "participant")
-    return csv(matrix.repartitionByRange("participant").sortWithinPartitions("participant"), uri)
+def presence_csv(pairs: DataFrame, uri: str, names: DataFrame | None = None, width: int = incidence.BLOCK_COLUMNS) -> str:
+    """0/1 matrix as CSV in blocks of ``width`` columns: one folder ``block=k`` each, with a
+    header line in every file."""
+    def field(value: Column) -> Column:
+        """A CSV field, quoted where it has to be; the escape is Spark's own, a backslash."""
+        escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        return F.when(value.rlike("[\",\\\\\\r\\n]"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(value)
+
+    blocks = incidence.matrix_blocks(pairs, names, width)
+    rows = blocks.select("block", F.lit(1).alias("kind"), F.col("name").alias("at"),
+                         F.concat_ws(",", field(F.col("name")), F.array_join("cells", ",")).alias("line"))
+    heads = incidence.matrix_columns(pairs, width).select(
+        "block", F.lit(0).alias("kind"), F.lit("").alias("at"),
+        F.concat_ws(",", F.lit("participant"), F.array_join(F.transform("nodes", field), ",")).alias("line"))
+    # A block's header must lead its file: a block is one file, of as many rows as there are names.
+    ordered = rows.unionByName(heads).repartition("block").sortWithinPartitions("block", "kind", "at")
+    ordered.select("block", "line").write.mode("overwrite").partitionBy("block").text(uri)
+    return uri
 
 
 def sparse_matrix(pairs: DataFrame, root: str, names: DataFrame | None = None) -> str:

@@ -99,7 +99,7 @@ o AS (SELECT name, count(*) AS ones FROM pairs GROUP BY 1)
 SELECT name, cast(ones AS int) AS ones, cast(width - ones AS int) AS zeros FROM o, w""")
 def file_matrix(spark, sf):
     uri = writers.presence_csv(incidence.node_pairs(f.records(spark, sf)), _uri(spark, "matrix"))
-    wide = readers.incidence_matrix(spark, uri)
+    wide = readers.incidence_matrix(spark, f"{uri}/block=0")  # the given tables have a hundred nodes
     return incidence.wide_row_homogeneity(wide).select("name", "ones", "zeros")
 
 
@@ -201,7 +201,7 @@ def file_genotypes(spark, sf):
     root = writers.genotypes(f.variants(spark, sf), f.samples(spark, sf), f.calls(spark, sf),
                              _uri(spark, "genotypes"), block)
     stored, weights = readers.genotypes(spark, root), f.weights(spark, sf)
-    pruned = scoring.prune_calls(stored.calls, weights, block)
+    pruned = scoring.prune_calls(stored.calls, weights, stored.block_size)
     return _rounded(scoring.score_samples(stored.samples, stored.variants, pruned, weights))
 
 
@@ -224,6 +224,30 @@ def file_sample_variants(spark, sf):
     return lines.where(~F.col("value").startswith("#")).select("s", F.col("value").alias("line"))
 
 
+@query("file_sample_vcf", f"""WITH lines AS ({LINES_SQL})
+SELECT cast(s AS varchar) AS s, split_part(line, chr(9), 1) AS contig, cast(split_part(line, chr(9), 2) AS int) AS position,
+  split_part(split_part(line, chr(9), 10), ':', 1) AS gt FROM lines
+WHERE split_part(line, chr(9), 1) = 'chr6' AND cast(split_part(line, chr(9), 2) AS int) BETWEEN 31 AND 930""")
+def file_sample_vcf(spark, sf):
+    """The folder of one variant file per sample, read back: every call under its own sample."""
+    from doseloom.functions import genotype
+    from doseloom.operators.regions import slice_region
+    uri = writers.sample_variant_files(slice_region(f.calls(spark, sf), REGION), _uri(spark, "samples"))
+    back = readers.vcf(spark, f"{uri}/*")
+    return back.select("s", "contig", "position", F.coalesce(genotype.gt_text(F.col("gt")), F.lit("./.")).alias("gt"))
+
+
+@query("vcf_sample_list", f"""WITH lines AS ({LINES_SQL})
+SELECT count(DISTINCT s) AS samples, cast(min(cast(s AS varchar)) AS varchar) AS first_sample FROM lines
+WHERE split_part(line, chr(9), 1) = 'chr6' AND cast(split_part(line, chr(9), 2) AS int) BETWEEN 31 AND 930""")
+def vcf_sample_list(spark, sf):
+    """How many samples the files name, and the one that comes first by path."""
+    from doseloom.operators.regions import slice_region
+    uri = writers.sample_variant_files(slice_region(f.calls(spark, sf), REGION), _uri(spark, "samples"))
+    samples = readers.vcf_samples(spark, f"{uri}/*")
+    return samples.agg(F.count_distinct("s").alias("samples"), F.min("s").alias("first_sample"))
+
+
 _NATION_SQL = f"""{f.VARIANTS_SQL}, kinds AS (
   SELECT c_nationkey AS nation, l_partkey AS p_partkey, cast(sum(l_quantity) AS bigint) % 4 AS kind
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"""
@@ -238,7 +262,7 @@ def file_vcf(spark, sf):
     line = f.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     order = f.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     who = f.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    names = [f"NATION_{i}" for i in range(25)]
+    names = sorted(r.n_name for r in f.table(spark, sf, "nation").select("n_name").collect())
     nation = f.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     kind = F.sum("l_quantity").cast("long") % 4
     cell = F.when(kind == 0, "0/0:9").when(kind == 1, "0|1:9").when(kind == 2, "1/1:9").otherwise("./.")

@@ -41,10 +41,9 @@ SELECT name, string_agg(CASE WHEN p.node_id IS NULL THEN '0' ELSE '1' END, '' OR
 FROM names CROSS JOIN nodes n LEFT JOIN pairs p USING (name, node_id) GROUP BY 1""")
 def presence_matrix(spark, sf):
     """The wide matrix, shown as one string of bits so that the width is no schema."""
-    pairs = _pairs(spark, sf)
-    nodes = incidence.bounded_nodes(pairs)
-    wide = incidence.presence_matrix(pairs, nodes)
-    return wide.select("name", F.concat(*[F.col(f"`{n}`").cast("string") for n in nodes]).alias("bits"))
+    blocks = incidence.matrix_blocks(_pairs(spark, sf), width=16).select("name", "block", F.array_join("cells", "").alias("bits"))
+    return blocks.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("b")) \
+        .select("name", F.array_join("b.bits", "").alias("bits"))
 
 
 @query("sparse_matrix", f"""WITH {f.PAIRS_SQL},
@@ -73,8 +72,9 @@ SELECT name, cast(ones AS int) AS ones, cast(width - ones AS int) AS zeros, ones
   CASE WHEN width > ones THEN '0,1' ELSE '1' END AS row_values FROM o, w""")
 def wide_mixed_rows(spark, sf):
     pairs = _pairs(spark, sf)
-    wide = incidence.presence_matrix(pairs, incidence.bounded_nodes(pairs)).withColumnRenamed("name", "participant")
-    return incidence.wide_row_homogeneity(wide).withColumn("row_values", F.array_join("row_values", ","))
+    out = incidence.block_row_homogeneity(incidence.matrix_blocks(pairs, width=16))
+    return out.withColumns({"row_values": F.array_join("row_values", ","), "ones": F.col("ones").cast("int"),
+                            "zeros": F.col("zeros").cast("int")})
 
 
 @query("distinct_cells", f"""WITH {f.PAIRS_SQL}, names AS (SELECT DISTINCT name FROM pairs),
@@ -82,9 +82,7 @@ nodes AS (SELECT DISTINCT node_id FROM pairs)
 SELECT DISTINCT CASE WHEN p.node_id IS NULL THEN 0 ELSE 1 END AS value
 FROM names CROSS JOIN nodes n LEFT JOIN pairs p USING (name, node_id)""")
 def distinct_cells(spark, sf):
-    pairs = _pairs(spark, sf)
-    wide = incidence.presence_matrix(pairs, incidence.bounded_nodes(pairs)).withColumnRenamed("name", "participant")
-    return incidence.distinct_cells(wide)
+    return incidence.distinct_cells(_pairs(spark, sf))
 
 
 @query("node_summary", f"""WITH {f.PAIRS_SQL}, names AS (SELECT DISTINCT name FROM pairs),

@@ -19,13 +19,15 @@ def _rounded(df, *columns):
 
 
 @query("roc_curve", f"""WITH {_CURVE}
-SELECT threshold, round(fp * 1.0 / an, 6) AS fpr, round(tp * 1.0 / ap, 6) AS tpr FROM run""")
+SELECT threshold, round(fp * 1.0 / an, 6) AS fpr, round(tp * 1.0 / ap, 6) AS tpr FROM run
+UNION ALL SELECT 'Infinity'::double, 0.0, 0.0""")
 def roc_curve(spark, sf):
     return _rounded(metrics.roc_points(f.labelled(spark, sf), "quality", "n_chars"), "fpr", "tpr")
 
 
 @query("pr_curve", f"""WITH {_CURVE}
-SELECT threshold, round(tp * 1.0 / (tp + fp), 6) AS precision, round(tp * 1.0 / ap, 6) AS recall FROM run""")
+SELECT threshold, round(tp * 1.0 / (tp + fp), 6) AS precision, round(tp * 1.0 / ap, 6) AS recall FROM run
+UNION ALL SELECT 'Infinity'::double, 1.0, 0.0""")
 def pr_curve(spark, sf):
     return _rounded(metrics.precision_recall_points(f.labelled(spark, sf), "quality", "n_chars"),
                     "precision", "recall")
@@ -42,15 +44,26 @@ _MODELS_SQL = f"""{f.LABELLED_SQL}, m AS (SELECT 'quality' AS model, quality AS
   UNION ALL SELECT 'toxic', toxic, n_chars FROM labelled)"""
 
 
-@query("roc_curves_by_model", f"""WITH {_MODELS_SQL}, c AS (
+_BY_MODEL = f"""WITH {_MODELS_SQL}, c AS (
   SELECT model, cast(n_chars AS double) AS threshold, sum(y) AS pos, sum(1 - y) AS neg FROM m GROUP BY 1, 2),
 run AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS ap,
-  sum(neg) OVER (PARTITION BY model) AS an FROM c WINDOW w AS (PARTITION BY model ORDER BY threshold DESC))
-SELECT model, threshold, round(fp * 1.0 / an, 6) AS fpr, round(tp * 1.0 / ap, 6) AS tpr FROM run""")
+  sum(neg) OVER (PARTITION BY model) AS an FROM c WINDOW w AS (PARTITION BY model ORDER BY threshold DESC))"""
+
+
+@query("roc_curves_by_model", f"""{_BY_MODEL}
+SELECT model, threshold, round(fp * 1.0 / an, 6) AS fpr, round(tp * 1.0 / ap, 6) AS tpr FROM run
+UNION ALL SELECT DISTINCT model, 'Infinity'::double, 0.0, 0.0 FROM m""")
 def roc_curves_by_model(spark, sf):
     return _rounded(metrics.roc_points(_models(spark, sf), "y", "n_chars", ["model"]), "fpr", "tpr")
 
 
+@query("pr_curves_by_model", f"""{_BY_MODEL}
+SELECT model, threshold, round(tp * 1.0 / (tp + fp), 6) AS precision, round(tp * 1.0 / ap, 6) AS recall FROM run
+UNION ALL SELECT DISTINCT model, 'Infinity'::double, 1.0, 0.0 FROM m""")
+def pr_curves_by_model(spark, sf):
+    return _rounded(metrics.precision_recall_points(_models(spark, sf), "y", "n_chars", ["model"]), "precision", "recall")
+
+
 @query("roc_auc", f"""WITH {_MODELS_SQL}, r AS (
   SELECT model, y, rank() OVER (PARTITION BY model ORDER BY n_chars)
     + (count(*) OVER (PARTITION BY model, n_chars) - 1) / 2.0 AS rk FROM m),
@@ -85,7 +98,7 @@ def youden(spark, sf):
 def _predicted(spark, sf):
     rows = f.labelled(spark, sf)
     cut = metrics.youden_threshold(rows, "quality", "n_chars").select("threshold").scalar()
-    return metrics.predict_at(rows, "n_chars", cut)
+    return metrics.label_above(rows, "n_chars", cut)
 
 
 _COUNTS = f"""{_BEST}, k AS (SELECT
@@ -96,14 +109,14 @@ _COUNTS = f"""{_BEST}, k AS (SELECT
 
 
 @query("predicted_labels", f"""WITH {_BEST}
-SELECT doc_id, cast(n_chars >= threshold AS int) AS prediction FROM labelled, (SELECT threshold FROM best)""")
+SELECT doc_id, cast(n_chars >= threshold AS int) AS called FROM labelled, (SELECT threshold FROM best)""")
 def predicted_labels(spark, sf):
-    return _predicted(spark, sf).select("doc_id", "prediction")
+    return _predicted(spark, sf).select("doc_id", "called")
 
 
 @query("confusion", f"WITH {_COUNTS} SELECT tn, fp, fn, tp FROM k")
 def confusion(spark, sf):
-    return metrics.confusion(_predicted(spark, sf), "quality", "prediction")
+    return metrics.confusion(_predicted(spark, sf), "quality", "called")
 
 
 @query("threshold_metrics", f"""WITH {_COUNTS} SELECT tn, fp, fn, tp,
@@ -112,7 +125,7 @@ def confusion(spark, sf):
   round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(tn / (tn + fp), 6) AS specificity,
   round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS ppv, round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS npv FROM k""")
 def threshold_metrics(spark, sf):
-    out = metrics.threshold_metrics(_predicted(spark, sf), "quality", "prediction")
+    out = metrics.threshold_metrics(_predicted(spark, sf), "quality", "called")
     return _rounded(out, *out.columns[4:])
 
 
@@ -126,5 +139,5 @@ u AS (SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS suppor
   UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n FROM p)
 SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM u""")
 def class_report(spark, sf):
-    return _rounded(metrics.class_report(_predicted(spark, sf), "quality", "prediction"),
+    return _rounded(metrics.class_report(_predicted(spark, sf), "quality", "called"),
                     "precision", "recall", "f1")

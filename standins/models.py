@@ -80,10 +80,10 @@ def logistic_metrics(spark, sf):
     model = classifiers.fit_logistic(data, ["zscore"], "status")
     scored = data.withColumn("probability", classifiers.logistic_probability(model, ["zscore"]))
     cut = metrics.youden_threshold(scored, "status", "probability").select("threshold").scalar()
-    both = metrics.predict_at(scored, "probability", cut).withColumn("rule", F.lit("youden")).unionByName(
-        scored.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
+    both = metrics.label_above(scored, "probability", cut).withColumn("rule", F.lit("youden")).unionByName(
+        scored.withColumn("called", F.when(F.col("probability") > 0.5, 1).otherwise(0))
         .withColumn("rule", F.lit("half")))
-    return metrics.threshold_metrics(both, "status", "prediction", ["rule"])
+    return metrics.threshold_metrics(both, "status", "called", ["rule"])
 
 
 def _train_test(spark, sf):
@@ -97,7 +97,7 @@ def class_weighted(spark, sf):
     train, test = _train_test(spark, sf)
     model = classifiers.fit_logistic(train, COLUMNS, LABEL, class_weight="balanced")
     scored = test.withColumn("probability", classifiers.logistic_probability(model, COLUMNS))
-    return metrics.class_report(metrics.predict_at(scored, "probability", 0.5), LABEL, "prediction")
+    return metrics.class_report(metrics.label_above(scored, "probability", 0.5), LABEL, "called")
 
 
 @query("importance")
@@ -161,7 +161,7 @@ def boosted_trees_grid(spark, sf):
 
 @query("pooled_fold_report")
 def pooled_fold_report(spark, sf):
-    """Out-of-fold predictions of two models, pooled over the folds."""
+    """Out-of-fold calls of two models, pooled over the folds."""
     folded = selection.save_folds(rows(spark, sf), "doc_id", LABEL, 3)
     options = {"lr": (classifiers.fit_logistic, {"class_weight": "balanced"}),
                "trees": (classifiers.fit_boosted, {"n_estimators": 3, "max_depth": 2})}
@@ -170,5 +170,5 @@ def pooled_fold_report(spark, sf):
         part = selection.out_of_fold(folded, 3, fit, [params], COLUMNS, LABEL, "doc_id") \
             .withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    predicted = metrics.predict_at(out, "probability", 0.5)
-    return metrics.class_report(predicted, LABEL, "prediction", ["model"], ("No", "Yes"))
+    predicted = metrics.label_above(out, "probability", 0.5)
+    return metrics.class_report(predicted, LABEL, "called", ["model"], ("No", "Yes"))

@@ -168,10 +168,13 @@ def tail_odds_ratio(spark, sf):
 
 @query("histogram", f"""WITH {f.SPEND_SQL},
 span AS (SELECT min(score) AS low, max(score) AS high FROM spend)
-SELECT cast(least(floor((score - low) * 50 / (high - low)), 49) AS int) AS bin, count(*) AS count
-FROM spend, span GROUP BY 1""")
+counts AS (SELECT cast(least(floor((score - low) * 50 / (high - low)), 49) AS int) AS bin, count(*) AS n FROM spend, span GROUP BY 1)
+SELECT cast(g.bin AS int) AS bin, round(low + g.bin * (high - low) / 50, 4) AS left_edge,
+  round(low + (g.bin + 1) * (high - low) / 50, 4) AS right_edge, coalesce(n, 0) AS count
+FROM range(50) g(bin) CROSS JOIN span LEFT JOIN counts ON counts.bin = g.bin""")
 def histogram(spark, sf):
-    return chartdata.histogram(f.spend(spark, sf), "score").select("bin", "count")
+    out = chartdata.histogram(f.spend(spark, sf), "score")
+    return out.withColumns({c: F.round(c, 4) for c in ("left_edge", "right_edge")})
 
 
 @query("box_stats", """WITH cuts AS (SELECT lang, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2,

@@ -10,11 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from doseloom.session import build_session
+    shared = str(tmp_path_factory.mktemp("shared"))
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4",
                             spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-                            spark__driver__memory="8g")
+                            spark__driver__memory="8g", spark__checkpoint__dir=shared)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

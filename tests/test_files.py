@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from doseloom.functions.text import bare_chrom, parse_region, with_chr
 from doseloom.models import classifiers
-from doseloom.plans import sizing, storage
+from doseloom.plans import storage
 from doseloom.sources import readers, writers
 
 SCORING = """###PGS CATALOG SCORING FILE
@@ -93,8 +93,25 @@ def test_checkpoint_is_reliable(spark):
     assert storage.exists(spark, storage.shared_folder(spark))
 
 
-def test_broadcast_only_when_counted_small(spark):
-    df = spark.range(10)
-    small = spark.range(100).join(sizing.broadcast_if_small(df, 10), "id")
-    large = sizing.broadcast_if_small(df, 9)
-    assert "strategy=broadcast" in small._jdf.queryExecution().logical().toString() and large is df
+def test_each_vcf_file_has_its_own_names(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    for name, cells in (("A", "0/1"), ("B", "1/1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.vcf").write_text(f"{head}{name}\nchr1\t5\t.\tA\tC\t.\t.\t.\tGT\t{cells}\n")
+    got = {r.s: r.gt for r in readers.vcf(spark, str(tmp_path / "*")).collect()}
+    assert got == {"A": [0, 1], "B": [1, 1]}
+    samples = readers.vcf_samples(spark, str(tmp_path / "*"))
+    assert [(r.place, r.s) for r in samples.orderBy("place").collect()] == [(0, "A"), (1, "B")]
+    assert readers.first_sample(samples).first().s == "A"
+
+
+def test_a_changed_nested_file_changes_the_fingerprint(spark, tmp_path):
+    import os
+    part = tmp_path / "t" / "day=1"
+    part.mkdir(parents=True)
+    (part / "x.csv").write_text("abc")
+    os.utime(part / "x.csv", (1, 1))
+    before = storage.fingerprint(spark, [str(tmp_path / "t")])
+    assert before == storage.fingerprint(spark, [str(tmp_path / "t")])
+    (part / "x.csv").write_text("abd")
+    assert before != storage.fingerprint(spark, [str(tmp_path / "t")])

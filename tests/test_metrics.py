@@ -50,8 +50,11 @@ def test_auc_properties(data):
 def test_curves_and_youden(data):
     y, s, df = data
     want = {t: (fp / (len(y) - sum(y)), tp / sum(y)) for t, tp, fp in brute_points(y, s)}
-    assert flat({r.threshold: (r.fpr, r.tpr) for r in metrics.roc_points(df, "y", "s").collect()}) == pytest.approx(flat(want))
+    got = {r.threshold: (r.fpr, r.tpr) for r in metrics.roc_points(df, "y", "s").collect()}
+    assert got.pop(float("inf")) == (0.0, 0.0)
+    assert flat(got) == pytest.approx(flat(want))
     pr = {r.threshold: (r.precision, r.recall) for r in metrics.precision_recall_points(df, "y", "s").collect()}
+    assert pr.pop(float("inf")) == (1.0, 0.0)
     assert flat(pr) == pytest.approx(flat({t: (tp / (tp + fp), tp / sum(y)) for t, tp, fp in brute_points(y, s)}))
     best = max(want, key=lambda t: (round(want[t][1] - want[t][0], 12), t))
     assert metrics.youden_threshold(df, "y", "s").first().threshold == best
@@ -61,7 +64,8 @@ def test_one_class_only(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.7)], "y int, s double")
     row = metrics.ranking_metrics(df, "y", "s").first()
     assert row.roc_auc is None and row.average_precision == 1.0
-    assert {r.fpr for r in metrics.roc_points(df, "y", "s").collect()} == {None}
+    assert {r.fpr for r in metrics.roc_points(df, "y", "s").where("threshold < 1").collect()} == {None}
+    assert metrics.roc_points(df.where("s > 1"), "y", "s").count() == 0
 
 
 def test_useless_score_has_infinite_threshold(spark):
@@ -122,10 +126,10 @@ def test_histogram_is_numpy(data):
     _, s, df = data
     want, edges = np.histogram(s, bins=50)
     got = {r.bin: (r["count"], r.left_edge) for r in chartdata.histogram(df, "s").collect()}
-    assert [got.get(i, (0,))[0] for i in range(50)] == want.tolist()
+    assert [got[i][0] for i in range(50)] == want.tolist()
     assert all(got[i][1] == pytest.approx(edges[i]) for i in got)
 
 
 def test_constant_histogram(spark):
     df = spark.createDataFrame([(2.0,)] * 5, "s double")
-    assert [(r.bin, r["count"]) for r in chartdata.histogram(df, "s").collect()] == [(0, 5)]
+    assert [(r.bin, r["count"]) for r in chartdata.histogram(df, "s").orderBy("bin").collect()] == [(0, 5)] + [(i, 0) for i in range(1, 50)]

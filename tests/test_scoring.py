@@ -127,12 +127,18 @@ def test_block_pruning_keeps_the_score(spark, fixture, tmp_path):
     samples, variants, calls, weights = fixture
     root = writers.genotypes(variants, samples, calls, str(tmp_path / "g"), block_size=2)
     data = readers.genotypes(spark, root)
-    pruned = scoring.prune_calls(data.calls, weights, 2)
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [(" in plan
+    assert data.block_size == 2 and dict(data.calls.dtypes)["contig"] == "string"
+    pruned = scoring.prune_calls(data.calls, weights, data.block_size)
+    assert 0 < pruned.count() < data.calls.count()
     got = {r.s: r.total_score for r in scoring.score_samples(data.samples, data.variants, pruned, weights).collect()}
     assert got == pytest.approx({s: t for s, (t, _) in dense(fixture).items()})
-    assert scoring.prune_calls(data.calls, weights, 2, max_blocks=1) is data.calls
+
+
+def test_calls_of_samples_do_not_depend_on_a_count(spark, fixture):
+    _, _, calls, _ = fixture
+    some = calls.select("s").distinct().limit(2)
+    few, many = (sorted(map(str, scoring.calls_of(calls, some, n).collect())) for n in (1000, 0))
+    assert few == many and 0 < len(few) < calls.count()
 
 
 def test_missing_column(spark):

@@ -102,23 +102,40 @@ def test_node_pairs(records):
 
 def test_matrices_and_row_check(spark, records, tmp_path):
     pairs, names = incidence.node_pairs(records), incidence.names_with_mapping(records)
-    nodes = incidence.bounded_nodes(pairs)
-    assert nodes == ["10", "2", "3"]  # string order
-    want = {"p1": (1, 1, 1), "p2": (0, 0, 0), "p5": (0, 0, 1)}
-    wide = incidence.presence_matrix(pairs, nodes, names)
-    assert {r.name: tuple(r)[1:] for r in wide.collect()} == want
-    uri = writers.presence_csv(pairs, str(tmp_path / "m"), names)
+    nodes = ["10", "2", "3"]  # string order
+    want = {"p1": [1, 1, 1], "p2": [0, 0, 0], "p5": [0, 0, 1]}
+    blocks = incidence.matrix_blocks(pairs, names, 2)
+    assert {(r.name, r.block): r.cells for r in blocks.collect()} == \
+        {(n, b): v[2 * b:2 * b + 2] for n, v in want.items() for b in (0, 1)}
+    uri = writers.presence_csv(pairs, str(tmp_path / "m"), names, 2)
+    assert [readers.incidence_matrix(spark, f"{uri}/block={b}").columns for b in (0, 1)] == \
+        [["participant", "10", "2"], ["participant", "3"]]
+    uri = writers.presence_csv(pairs, str(tmp_path / "w"), names) + "/block=0"
     back = readers.incidence_matrix(spark, uri)
     assert back.columns == ["participant", *nodes] and incidence.column_types(back) == {"int": 3}
-    for check in (incidence.wide_row_homogeneity(back), incidence.row_homogeneity(pairs, names)):
+    for check in (incidence.wide_row_homogeneity(back), incidence.row_homogeneity(pairs, names),
+                  incidence.block_row_homogeneity(blocks)):
         assert {r.name: (r.ones, r.zeros, r.mixed) for r in check.collect()} == \
             {"p1": (3, 0, False), "p2": (0, 3, False), "p5": (1, 2, True)}
-    assert sorted(r.value for r in incidence.distinct_cells(back).collect()) == [0, 1]
+    assert sorted(r.value for r in incidence.distinct_cells(pairs, names).collect()) == [0, 1]
+    assert [r.value for r in incidence.distinct_cells(pairs.where("name = 'p1'")).collect()] == [1]
     rows, cols = incidence.matrix_axes(pairs, names)
     ones = {tuple(r) for r in incidence.sparse_matrix(pairs, rows, cols).collect()}
     assert ones == {(0, 0), (0, 1), (0, 2), (2, 2)}
-    with pytest.raises(ValueError, match="more than 2"):
-        incidence.bounded_nodes(pairs, 2)
+
+
+def test_matrix_of_very_many_nodes(spark, tmp_path):
+    """More columns than a pivot takes, names and nodes that need quotes."""
+    pairs = spark.range(12_001).select(F.concat(F.lit('p,"'), F.col("id") % 3).alias("name"),
+                                       F.concat(F.lit("n,"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("node_id"))
+    uri = writers.presence_csv(pairs, str(tmp_path / "big"))
+    total, width = {}, 0
+    for b in range(3):
+        back = readers.incidence_matrix(spark, f"{uri}/block={b}")
+        width += len(back.columns) - 1
+        for r in back.collect():
+            total[r[0]] = total.get(r[0], 0) + sum(r[1:])
+    assert width == 12_001 and total == {'p,"0': 4001, 'p,"1': 4000, 'p,"2': 4000}
 
 
 def test_lists_in_pieces_and_text(spark, records, tmp_path):

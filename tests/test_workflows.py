@@ -114,5 +114,5 @@ def test_survey_to_models(spark, tmp_path):
     out = workflows.compare_survey_models(matrix, folds=3, logistic_grid={"C": [0.1, 1.0], "class_weight": ["balanced"]},
                                           tree_grid={"max_depth": [2], "min_child_weight": [1]}, rounds=3)
     assert {r.model for r in out["ranking"].collect()} == {"lr", "trees"}
-    assert out["predictions"].count() == 240 and out["features"].count() == 8
+    assert out["pooled"].count() == 240 and out["features"].count() == 8
     assert out["report"].count() == 10 and set(out["best"]) == {"lr", "trees"}

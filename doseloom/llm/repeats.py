@@ -3,10 +3,12 @@
 A passage of ``min_bytes`` bytes that stands in two documents has the same smallest
 k-gram hash (its key) in both. So the work can be dealt without losing a match:
 
+0. of texts that are equal as a whole, only the document with the least id takes part: the
+   others repeat it from end to end;
 1. each portion of the documents lists the keys of its windows of ``min_bytes`` bytes;
 2. per key bucket, keys that reach two documents are told back to their portions;
 3. a portion cuts each run of windows that share such a key into one string and sends
-   every distinct string once, with the least and the greatest document that hold it;
+   every distinct string once, with the least document that holds it and whether there are several;
 4. per key bucket, the suffixes of these strings are sorted, the common prefixes of
    neighbours give the interval tree in one stack scan, and every interval of at least
    ``min_bytes`` whose occurrences differ in the byte before them (else a longer
@@ -37,16 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseloom.llm.tables import buckets, text_rows
+from doseloom.llm.tables import buckets, saved, text_rows
 from doseloom.llm.text import U, Texts, _power, mix, portions
 
 _NO_ID = np.iinfo(np.int64).max
-_KEYS = pa.schema([("bucket", pa.int32()), ("portion", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()),
-                   ("high", pa.binary())])
-_HITS = pa.schema([("portion", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
-_STRINGS = pa.schema([("bucket", pa.int32()), ("portion", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()),
-                      ("high", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("hot", pa.binary())])
-_GROUPS = pa.schema([("portion", pa.int32()), ("groups", pa.binary()), ("hot", pa.binary())])
+def _rows(**kinds) -> tuple[pa.Schema, str]:
+    """An Arrow schema and its DDL."""
+    names = {int: (pa.int32(), "int"), bytes: (pa.binary(), "binary")}
+    return (pa.schema([(k, names[v][0]) for k, v in kinds.items()]), ", ".join(f"{k} {names[v][1]}" for k, v in kinds.items()))
+
+
+_KEYS, _SQL_KEYS = _rows(bucket=int, portion=int, keys=bytes, several=bytes)
+_HITS, _SQL_HITS = _rows(portion=int, keys=bytes, hot=bytes, copies=bytes)
+_STRINGS, _SQL_STRINGS = _rows(bucket=int, portion=int, keys=bytes, low=bytes, several=bytes, sizes=bytes, bytes=bytes, hot=bytes)
+_GROUPS, _SQL_GROUPS = _rows(portion=int, groups=bytes, hot=bytes, copies=bytes)
+_COPY = np.dtype([("doc_id", "<i8"), ("tag", "<i8"), ("first", "<i8")])
 _GROUP = np.dtype([("name", "<u8"), ("group", "<u8"), ("parent", "<u8"), ("first", "<i8"), ("at", "<u4"), ("size", "<u4")])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                    ("groups", pa.list_(pa.struct([("group", pa.int64()), ("parent", pa.int64()), ("start", pa.int64()),
@@ -262,49 +269,91 @@ def _whole(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.
     return own, part
 
 
-def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_000, windows_at_once: int = 250_000) -> DataFrame:
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(blobs: list[bytes], sizes: list[int]) -> np.ndarray:
+    parts = [np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(blobs, sizes)]
+    return np.concatenate([np.zeros(0, np.uint8), *parts]).astype(np.int64)
+
+
+def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(sorted_keys, keys)
+    at[at == len(sorted_keys)] = 0
+    return sorted_keys[at] == keys
+
+
+def _copies(base: DataFrame, min_bytes: int) -> DataFrame:
+    """Per portion, the rows whose whole text also stands in a document with a smaller id, with the least such id."""
+    info = saved(base.where(F.octet_length("text") >= min_bytes).where("doc_id is not null")
+                 .select("portion", "doc_id", "tag", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
+    first = info.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    later = info.join(saved(first, "first-texts"), "sha").where("doc_id > first")
+    return saved(later.groupBy("portion").agg(F.array_sort(F.collect_set(F.struct("doc_id", "tag", "first"))).alias("c"))
+                 .select("portion", F.col("c.doc_id").alias("doc_id"), F.col("c.tag").alias("tag"), F.col("c.first").alias("first")),
+                 "copies")
+
+
+def _copy_rows(table: pa.Table) -> dict[tuple[int, int], int]:
+    """(doc_id, tag) of each copy in a portion, and the least document with its text."""
+    rows = _joined(table, "copies", _COPY) if table.num_rows else np.zeros(0, _COPY)
+    return {(d, t): f for d, t, f in rows.tolist()}
+
+
+def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_000, windows_at_once: int = 250_000,
+            with_groups: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, groups, spans, kept_sha256``.
 
     ``groups`` are the occurrences of maximal repeat groups (group, the group around it, start,
-    length, first document), as ``suffix_groups`` lists them; ``spans`` the maximal byte ranges covered by strings of ``min_bytes`` bytes
-    that also stand in a document with a smaller id; ``kept_sha256`` is of the other bytes.
+    length, first document), as ``suffix_groups`` lists them; a copy of a whole text has
+    that text as its group. Without ``with_groups`` they stay unnamed, which saves shuffling names.
+    ``spans`` are the maximal byte ranges covered by strings of ``min_bytes`` bytes that also
+    stand in a document with a smaller id; ``kept_sha256`` is of the other bytes.
     """
     spark = docs.sparkSession
     n = buckets(spark, 1)
-    base = text_rows(docs).withColumn("portion", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-
-    def listed(table: pa.Table) -> pa.Table:
-        portion = table.column("portion")[0].as_py()
+    base = text_rows(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"),
+                                  F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("portion"))
+
+    def texts_of_portion(table: pa.Table, copies: dict) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+        """The portion's rows without the copies."""
+        if copies:
+            pairs = zip(table.column("doc_id").to_pylist(), table.column("tag").to_pylist())
+            table = table.filter(pa.array([p not in copies for p in pairs], pa.bool_()))
+        return portions(table.to_batches(), 1 << 21)
+
+    def listed(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([], _KEYS)
+        portion = left.column("portion")[0].as_py()
         keys, low = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for batch, texts in portions(table.to_batches(), 1 << 21):
+        for batch, texts in texts_of_portion(left, _copy_rows(right)):
             runs = Runs(texts, min_bytes, gram)
             keys.append(runs.key)
             low.append(_ids(batch)[runs.doc])
         ids = np.concatenate(low)
         keys, least, most, _ = _least(np.concatenate(keys), ids, ids)
         order, cut = _dealt((keys % U(n)).astype(np.int64), n)
-        keys, least, most = keys[order], least[order], most[order]
-        return _table([{"bucket": b, "portion": portion, "keys": keys[x:y].tobytes(),
-                        "low": np.packbits(least[x:y] < most[x:y]).tobytes(), "high": b""}
+        keys, several = keys[order], (least < most)[order]
+        return _table([{"bucket": b, "portion": portion, "keys": keys[x:y].tobytes(), "several": _bits(several[x:y])}
                        for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x], _KEYS)
 
     def shared(table: pa.Table) -> pa.Table:
         places = table.column("portion").to_pylist()
         lists = [np.frombuffer(k, U) for k in table.column("keys").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(f, np.uint8))[:len(k)].astype(np.int64)
-                   for k, f in zip(lists, table.column("low").to_pylist())]
-        every, flag = np.concatenate(lists), np.concatenate(several)
-        keys, _, most, count = _least(every, flag, flag)
+        flag = _flags(table.column("several").to_pylist(), [len(k) for k in lists])
+        keys, _, most, count = _least(np.concatenate(lists), flag, flag)
         again = (count > 1) | (most > 0)
         keys, count = keys[again], count[again]
         busy = keys[count > hot]
         out = []
         for place, have in zip(places, lists):
-            at = np.searchsorted(keys, have)
-            at[at == len(keys)] = 0
-            hits = have[keys[at] == have] if len(keys) else have[:0]
+            hits = have[_among(keys, have)]
             if len(hits):
-                out.append({"portion": place, "keys": hits.tobytes(), "hot": np.intersect1d(hits, busy).tobytes()})
+                out.append({"portion": place, "keys": hits.tobytes(), "hot": np.intersect1d(hits, busy).tobytes(), "copies": b""})
         return _table(out, _HITS)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -312,14 +361,10 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
             return _table([], _STRINGS)
         portion = left.column("portion")[0].as_py()
         hits, busy = np.sort(_joined(right, "keys", "<u8")), _joined(right, "hot", "<u8")
-        seen: dict[bytes, list] = {}
-        for batch, texts in portions(left.to_batches(), 1 << 21):
+        seen: dict[bytes, list] = {}  # string -> key, least document, whether there are several
+        for batch, texts in texts_of_portion(left, _copy_rows(right)):
             ids, runs = _ids(batch), Runs(texts, min_bytes, gram)
-            if not len(runs.key):
-                continue
-            at = np.searchsorted(hits, runs.key)
-            at[at == len(hits)] = 0
-            runs = runs.only(hits[at] == runs.key).singled(busy)
+            runs = runs.only(_among(hits, runs.key)).singled(busy)
             data, names = texts.data.tobytes(), runs.names(min_bytes)
             keys = np.where(runs.hot, names, runs.key)
             ends = runs.start + runs.count + min_bytes - 1
@@ -327,35 +372,33 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
                 string = data[a:b]
                 have = seen.get(string)
                 if have is None:
-                    seen[string] = [key, doc, doc]
-                elif doc < have[1]:
-                    have[1] = doc
-                elif doc > have[2]:
-                    have[2] = doc
-        if not seen:
-            return _table([], _STRINGS)
-        strings = list(seen)
-        facts = list(seen.values())
-        keys = np.array([f[0] for f in facts], U)
-        low, high = np.array([f[1] for f in facts], np.int64), np.array([f[2] for f in facts], np.int64)
+                    seen[string] = [key, doc, False]
+                elif doc != have[1]:
+                    have[1], have[2] = min(doc, have[1]), True
+        strings, facts = list(seen), list(seen.values())
+        keys, low = np.array([f[0] for f in facts], U), np.array([f[1] for f in facts], np.int64)
+        several = np.array([f[2] for f in facts], bool)
         order, cuts = _dealt((keys % U(n)).astype(np.int64), n)
-        empty = dict.fromkeys(("keys", "low", "high", "sizes", "bytes", "hot"), b"")
+        short = (keys // U(n)).astype(np.uint32)  # keys only bring strings together; a shared one does no harm
+        empty = dict.fromkeys(("keys", "low", "several", "sizes", "bytes", "hot"), b"")
         out = [{"bucket": portion, "portion": portion, **empty, "hot": busy.tobytes()}] if len(busy) else []
         for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
             if y > x:
                 own = order[x:y]
                 parts = [strings[k] for k in own.tolist()]
-                out.append({"bucket": b, "portion": portion, "keys": keys[own].tobytes(), "low": low[own].tobytes(),
-                            "high": high[own].tobytes(), "sizes": np.array([len(s) for s in parts], "<u4").tobytes(),
+                out.append({"bucket": b, "portion": portion, "keys": short[own].tobytes(), "low": low[own].tobytes(),
+                            "several": _bits(several[own]), "sizes": np.array([len(p) for p in parts], "<u2").tobytes(),
                             "bytes": b"".join(parts), "hot": b""})
         return _table(out, _STRINGS)
 
     def grouped(table: pa.Table) -> pa.Table:
-        sizes, keys = _joined(table, "sizes", "<u4").astype(np.int64), _joined(table, "keys", "<u8")
-        low, high = _joined(table, "low", "<i8"), _joined(table, "high", "<i8")
-        place = np.repeat(np.array(table.column("portion").to_pylist()), [len(x) // 4 for x in table.column("sizes").to_pylist()])
+        counts = [len(x) // 2 for x in table.column("sizes").to_pylist()]
+        sizes, keys = _joined(table, "sizes", "<u2").astype(np.int64), _joined(table, "keys", "<u4")
+        low = _joined(table, "low", "<i8")
+        high = low + _flags(table.column("several").to_pylist(), counts)
+        place = np.repeat(np.array(table.column("portion").to_pylist()), counts)
         raw = b"".join(table.column("bytes").to_pylist())
-        told = [{"portion": p, "groups": b"", "hot": h} for p, h in
+        told = [{"portion": p, "groups": b"", "hot": h, "copies": b""} for p, h in
                 zip(table.column("portion").to_pylist(), table.column("hot").to_pylist()) if h]
         begin = np.cumsum(sizes) - sizes
         order = np.argsort(keys, kind="stable")
@@ -369,10 +412,11 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
             while b < len(order) and not new[b]:
                 b += 1
             own = order[a:b]
+            a = b
             ids: dict[bytes, int] = {}
             which = np.array([ids.setdefault(raw[begin[k]:begin[k] + sizes[k]], len(ids)) for k in own.tolist()])
             strings = list(ids)
-            least, most, key = np.full(len(ids), _NO_ID), np.full(len(ids), np.iinfo(np.int64).min), np.zeros(len(ids), U)
+            least, most, key = np.full(len(ids), _NO_ID), np.full(len(ids), np.iinfo(np.int64).min), np.zeros(len(ids), np.uint32)
             np.minimum.at(least, which, low[own])
             np.maximum.at(most, which, high[own])
             key[which] = keys[own]
@@ -386,13 +430,14 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
                         suffix_groups(some, least[part], most[part], min_bytes)
                     found.append((part[number], rows))
             string, rows = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            lengths = np.array([len(s) for s in strings])
-            ends = np.cumsum(lengths)
-            runs = Runs.__new__(Runs)
+            if not with_groups:
+                rows["group"], rows["parent"] = 0, 0
+            lengths = np.array([len(x) for x in strings])
             data = np.frombuffer(b"".join(strings), np.uint8)
+            runs = Runs.__new__(Runs)
             runs.total = np.zeros(len(data) + 1, U)
             np.cumsum((data.astype(U) + U(1)) * _power(len(data), "up"), out=runs.total[1:])
-            runs.start, runs.count = ends - lengths, lengths - min_bytes + 1
+            runs.start, runs.count = np.cumsum(lengths) - lengths, lengths - min_bytes + 1
             rows["name"] = runs.names(min_bytes)[string]
             by = np.argsort(string, kind="stable")
             rows, string = rows[by], string[by]
@@ -400,23 +445,32 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
             have = np.flatnonzero(hi > lo)
             times = (hi - lo)[have]
             pick = np.repeat(lo[have], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            places.append(np.repeat(place[own][have], times))
-            out.append(rows[pick])
-            a = b
+            # What a portion's own documents start is of use to it only as a group.
+            rows, spots = rows[pick], np.repeat(place[own][have], times)
+            useful = np.ones(len(rows), bool) if with_groups else rows["first"] < np.repeat(high[own][have], times)
+            places.append(spots[useful])
+            out.append(rows[useful])
         if not out:
             return _table(told, _GROUPS)
         places, rows = np.concatenate(places), np.concatenate(out)
         order, cuts = _dealt(places, n)
-        return _table(told + [{"portion": p, "groups": rows[order[x:y]].tobytes(), "hot": b""}
+        return _table(told + [{"portion": p, "groups": rows[order[x:y]].tobytes(), "hot": b"", "copies": b""}
                               for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x], _GROUPS)
 
     def marked(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([], _DOCS)
         rows = np.sort(_joined(right, "groups", _GROUP), order="name") if right.num_rows else np.zeros(0, _GROUP)
-        names, first = np.unique(rows["name"], return_index=True) if len(rows) else (np.zeros(0, U), np.zeros(0, np.int64))
-        upto = np.append(first[1:], len(rows))
-        busy, out = _joined(right, "hot", "<u8"), []
+        new = np.ones(len(rows), bool)
+        new[1:] = rows["name"][1:] != rows["name"][:-1]
+        first = np.flatnonzero(new)
+        names, upto = rows["name"][first], np.append(first[1:], len(rows))
+        busy = _joined(right, "hot", "<u8") if right.num_rows else np.zeros(0, U)
+        copies = _copy_rows(right)
+        out = []
         for batch, texts in portions(left.to_batches(), 1 << 21):
             ids = _ids(batch)
+            tags = batch.column(batch.schema.get_field_index("tag")).to_pylist()
             found: list[list] = [[] for _ in range(len(texts))]
             if len(names):
                 runs = Runs(texts, min_bytes, gram).singled(busy)
@@ -426,36 +480,46 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
                 for k in np.flatnonzero(names[at] == called).tolist():
                     d = int(runs.doc[k])
                     place = int(runs.start[k] - texts.offsets[d])
-                    for r in rows[first[at[k]]:upto[at[k]]].tolist():
-                        found[d].append((r[1], r[2], place + r[4], r[5], r[3]))
+                    for row in rows[first[at[k]]:upto[at[k]]].tolist():
+                        found[d].append((row[1], row[2], place + row[4], row[5], row[3]))
             data = texts.data
             for d in range(len(texts)):
                 a, b, doc = int(texts.offsets[d]), int(texts.offsets[d + 1]), int(ids[d])
                 raw, spans = data[a:b].tobytes(), []
-                for start, end in sorted((s, s + size) for _, _, s, size, least in found[d] if least < doc):
+                whole = copies.get((doc, tags[d]))
+                if whole is not None:
+                    found[d] = [(_digest(raw) if with_groups else 0, 0, 0, b - a, whole)]
+                for start, end in sorted((x, x + size) for _, _, x, size, least in found[d] if least < doc):
                     if spans and start <= spans[-1][1]:
                         spans[-1][1] = max(end, spans[-1][1])
                     else:
                         spans.append([start, end])
-                cuts = [0, *(x for s in spans for x in s), b - a]
+                cuts = [0, *(x for y in spans for x in y), b - a]
                 kept = hashlib.sha256(b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))).hexdigest()
-                groups = sorted(set(found[d]), key=lambda g: (g[2], g[3], g[0]))
+                groups = sorted(set(found[d]), key=lambda g: (g[2], g[3], g[0])) if with_groups else []
                 out.append({"doc_id": None if doc == _NO_ID else doc, "n_bytes": b - a, "kept_sha256": kept,
-                            "spans": [{"start": s, "end": e} for s, e in spans],
-                            "groups": [{"group": _signed(g), "parent": _signed(p) if p else None, "start": s, "length": size,
-                                        "first_doc": None if f == _NO_ID else f} for g, p, s, size, f in groups]})
+                            "spans": [{"start": x, "end": y} for x, y in spans],
+                            "groups": [{"group": _signed(g), "parent": _signed(p) if p else None, "start": x, "length": size,
+                                        "first_doc": None if f == _NO_ID else f} for g, p, x, size, f in groups]})
         return _table(out, _DOCS)
 
-    keys = base.groupBy("portion").applyInArrow(listed, "bucket int, portion int, keys binary, low binary, high binary")
-    hits = keys.groupBy("bucket").applyInArrow(shared, "portion int, keys binary, hot binary")
-    strings = base.groupBy("portion").cogroup(hits.groupBy("portion")).applyInArrow(
-        cut, "bucket int, portion int, keys binary, low binary, high binary, sizes binary, bytes binary, hot binary")
-    groups = strings.groupBy("bucket").applyInArrow(grouped, "portion int, groups binary, hot binary")
+    def packed(table: pa.Table) -> pa.Table:
+        rows = np.zeros(len(table.column("doc_id")[0]), _COPY)
+        for name in _COPY.names:
+            rows[name] = table.column(name)[0].values.to_numpy()
+        return _table([{"portion": table.column("portion")[0].as_py(), "keys": b"", "hot": b"", "copies": rows.tobytes()}], _HITS)
+
+    copies = _copies(base, min_bytes).groupBy("portion").applyInArrow(packed, _SQL_HITS)
+    keys = base.groupBy("portion").cogroup(copies.groupBy("portion")).applyInArrow(listed, _SQL_KEYS)
+    hits = keys.groupBy("bucket").applyInArrow(shared, _SQL_HITS).unionByName(copies)
+    strings = base.groupBy("portion").cogroup(hits.groupBy("portion")).applyInArrow(cut, _SQL_STRINGS)
+    groups = strings.groupBy("bucket").applyInArrow(grouped, _SQL_GROUPS) \
+        .unionByName(copies.select("portion", F.col("keys").alias("groups"), "hot", "copies"))
     return base.groupBy("portion").cogroup(groups.groupBy("portion")).applyInArrow(marked, _SQL_DOCS)
 
 
 def digests(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    return repeats(docs, min_bytes).select("doc_id", "n_bytes", removed.alias("n_removed"),
+    return repeats(docs, min_bytes, with_groups=False).select("doc_id", "n_bytes", removed.alias("n_removed"),
                                            F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

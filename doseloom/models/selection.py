@@ -109,10 +109,13 @@ def best_candidate(scores: DataFrame, by: str = "mean_ap") -> int:
 
 def search(df: DataFrame, fit: Fit, grid: Mapping[str, Sequence[Any]], features: Sequence[str], label: str,
            id_column: str, folds: int, seed: int = 42, parallelism: int = 8, scale_inside: bool = False,
-           hard_labels: bool = False) -> tuple[dict[str, Any], DataFrame]:
-    """Best parameters by mean average precision, and the score table."""
+           hard_labels: bool = False, folded: DataFrame | None = None) -> tuple[dict[str, Any], DataFrame]:
+    """Best parameters by mean average precision, and the score table.
+
+    ``folded`` is the same frame with its folds, if ``save_folds`` has written them already.
+    """
     options = candidates(grid)
-    folded = save_folds(df, id_column, label, folds, seed)
+    folded = save_folds(df, id_column, label, folds, seed) if folded is None else folded
     pooled = out_of_fold(folded, folds, fit, options, features, label, id_column, parallelism, scale_inside)
     uri = new_folder(df.sparkSession, "grid-scores")
     fold_scores(pooled, label, hard_labels=hard_labels).write.parquet(uri)

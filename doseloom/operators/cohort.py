@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doseloom.plans.sizing import BROADCAST_ROWS
+
 
 def _by_id(df: DataFrame, ids: DataFrame, key: str, how: str, hot: bool) -> DataFrame:
     """Semi or anti join without a hint: Spark sees the sizes at run time.
@@ -69,7 +71,7 @@ def event_cohort(events: DataFrame, concepts: DataFrame | None = None,
     """Distinct persons with an event of the given concepts."""
     rows = events.where(F.col("is_standard") == is_standard)
     if concepts is not None:
-        rows = keep_ids(rows, concepts, "concept_id")
+        rows = keep_ids(rows, concepts, "concept_id", hot=True)  # few concepts, very many events each
     else:
         rows = rows.where(F.col("concept_id").isin(*concept_ids))
     if value_source_ids is not None:
@@ -79,10 +81,17 @@ def event_cohort(events: DataFrame, concepts: DataFrame | None = None,
 
 def with_dimension(df: DataFrame, dimension: DataFrame, dimension_key: str, label: str,
                    targets: Mapping[str, str]) -> DataFrame:
-    """Left-join one dimension once per foreign key: ``{foreign key: label name}``."""
+    """Left-join one dimension once per foreign key: ``{foreign key: label name}``.
+
+    The dimension is first cut to the keys in use, counted in one job. Where these are few,
+    as codes mostly are, the cut is broadcast and the rows stay where they are.
+    """
+    used = df.agg(*[F.count_distinct(k).alias(k) for k in targets]).first()
     for foreign_key, name in targets.items():
-        side = dimension.select(F.col(dimension_key).alias(foreign_key), F.col(label).alias(name))
-        df = df.join(side, foreign_key, "left")
+        keys = df.select(foreign_key).where(F.col(foreign_key).isNotNull()).distinct()
+        side = dimension.select(F.col(dimension_key).alias(foreign_key), F.col(label).alias(name)) \
+            .join(keys, foreign_key, "left_semi")
+        df = df.join(F.broadcast(side) if used[foreign_key] <= BROADCAST_ROWS else side, foreign_key, "left")
     return df
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,20 +52,8 @@ def _first_alt(gt: Column) -> Column:
     return F.get(F.filter(gt, lambda a: a > 0), F.lit(0))
 
 
-def _islands_in_span(edits: DataFrame) -> DataFrame:
-    """Add ``island``, the start of the run of overlapping variants, for edits
-    of a short span: a sample has no more of them than the span has alleles."""
-    order = Window.partitionBy("s", "contig").orderBy("start", "stop", "alt")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begin = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (edits.withColumn("_reach", reach).withColumn("_begin", begin)
-            .withColumn("island", F.last("_begin", ignorenulls=True).over(upto))
-            .select(*edits.columns, "island"))
-
-
-def _islands_by_block(edits: DataFrame) -> DataFrame:
-    """The same for any span.
+def _islands(edits: DataFrame) -> DataFrame:
+    """Add ``island``, the start of the run of overlapping variants that an edit is in.
 
     Within blocks of positions, running values give the furthest stop so far
     and the last island start; one row per sample and block carries both on.
@@ -90,15 +81,28 @@ def _islands_by_block(edits: DataFrame) -> DataFrame:
             .select(*edits.columns, "island"))
 
 
-def applied_edits(calls: DataFrame, span: int | None = None) -> DataFrame:
-    """Per sample, the variants that a consensus applies.
+def _first_wins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edits in order of their islands: an edit stays when it starts at or after the last kept stop."""
+    island, last = None, 0
+    for batch in batches:
+        keep = []
+        for key, start, stop in zip(zip(*(batch.column(i).to_pylist() for i in range(3))),
+                                    batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            fits = key != island or start >= last
+            if fits:
+                island, last = key, stop
+            keep.append(fits)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
 
-    ``span`` is the number of positions the calls can lie on, when known.
+def applied_edits(calls: DataFrame) -> DataFrame:
+    """Per sample, the variants that a consensus applies.
 
     Variants are taken by position; one that starts inside the reference span
     of an applied one is skipped (the first wins). Overlap can only chain
-    inside an island, a run of variants whose spans touch, so the running
-    choice is made per island and not per sample.
+    inside an island, a run of variants whose spans touch: an edit alone in its
+    island is applied, the others stream past in order, with the last
+    stop as the only state.
     """
     edits = (calls.withColumn("_index", _first_alt(F.col("gt")))
              .where(F.col("_index").isNotNull())
@@ -106,16 +110,12 @@ def applied_edits(calls: DataFrame, span: int | None = None) -> DataFrame:
                      F.get("alleles", F.lit(0)).alias("ref"),
                      F.get("alleles", F.col("_index")).alias("alt"))
              .withColumn("stop", F.col("start") + F.length("ref")))
-    short = span is not None and span <= ISLAND_BLOCK
-    islands = _islands_in_span(edits) if short else _islands_by_block(edits)
-    listed = islands.groupBy("s", "contig", "island").agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop", "alt", "ref"))).alias("edits"))
-    # Fold over the island: keep an edit when it starts at or after the last stop.
-    chosen = F.aggregate(
-        "edits", F.filter(F.col("edits"), lambda _: F.lit(False)),
-        lambda kept, e: F.when((F.size(kept) == 0) | (e["start"] >= F.get(kept, F.size(kept) - 1)["stop"]),
-                               F.concat(kept, F.array(e))).otherwise(kept))
-    return listed.select("s", "contig", F.explode(chosen).alias("e")).select("s", "contig", "e.*")
+    keys = ["s", "contig", "island"]
+    counted = _islands(edits).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    columns = [*keys, "start", "stop", "alt", "ref"]
+    alone = counted.where("_n = 1").select(*columns)
+    crowded = counted.where("_n > 1").select(*columns).repartition(*keys).sortWithinPartitions(*keys, "start", "stop", "alt", "ref")
+    return alone.unionByName(crowded.mapInArrow(_first_wins, crowded.schema)).drop("island")
 
 
 def reference_chunks(bases: DataFrame, region: str, chunk: int = CHUNK) -> DataFrame:
@@ -147,8 +147,7 @@ def consensus(samples: DataFrame, calls: DataFrame, bases: DataFrame, region: st
     """
     contig, start, end = parse_region(region)
     inside = keep_ids(calls, samples, "s").where(in_region(region, end_inclusive=True))
-    edits = applied_edits(inside.where(F.col("position") + F.length(F.get("alleles", F.lit(0))) - 1 <= end),
-                          span=end - start + 1)
+    edits = applied_edits(inside.where(F.col("position") + F.length(F.get("alleles", F.lit(0))) - 1 <= end))
     pieces = (edits.withColumn("chunk", F.explode(F.sequence(
                   F.floor((F.col("start") - 1) / chunk), F.floor((F.col("stop") - 2) / chunk))))
               .withColumn("from", F.greatest("start", F.col("chunk") * chunk + 1))

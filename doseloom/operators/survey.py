@@ -88,6 +88,25 @@ def feature_matrix(cases: DataFrame, controls: DataFrame, values: DataFrame, fea
     return out.na.drop("any") if complete else out
 
 
+def case_feature_matrix(answers: DataFrame, cases: DataFrame, values: DataFrame, features: Sequence[str],
+                        person: str = "person_id", label: str = "has_t1d", complete: bool = True,
+                        numeric_question: str | None = None, numeric_name: str = "pain",
+                        sentinels: Sequence[str] = (), at: str = "survey_datetime",
+                        tie_break: Sequence[str] = ()) -> DataFrame:
+    """The same matrix for everyone who answered, with one cohort of case ids deciding the label.
+
+    The answers are not split into cases and controls: the label joins one row per person.
+    """
+    latest = latest_answers(answers, person, at=at, tie_break=tie_break)
+    long = feature_rows(latest, values, numeric_question, numeric_name, sentinels, person)
+    wide = long.groupBy(person).pivot("feature", list(features)).agg(F.first("value"))
+    people = answers.select(person).where(F.col(person).isNotNull()).distinct()
+    flags = cases.select(person, F.lit(1).alias(label)).where(F.col(person).isNotNull()).distinct()
+    out = people.join(flags, person, "left").join(wide, person, "left") \
+        .select(person, *features, F.coalesce(label, F.lit(0)).alias(label))
+    return out.na.drop("any") if complete else out
+
+
 def unpivot(matrix: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     return matrix.unpivot(list(keep), list(features), "feature", "value")
 

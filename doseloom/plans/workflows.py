@@ -131,16 +131,15 @@ def case_persons(tables: Mapping[str, DataFrame], concepts: SurveyConcepts) -> D
 
 def survey_answers(tables: Mapping[str, DataFrame], concepts: SurveyConcepts) -> DataFrame:
     questions = hierarchy.survey_questions(tables["cb_criteria"], concepts.surveys)
-    return cohort.keep_ids(tables["ds_survey"], questions, "question_concept_id", "concept_id")
+    return cohort.keep_ids(tables["ds_survey"], questions, "question_concept_id", "concept_id", hot=True)
 
 
 def survey_features(spark: SparkSession, tables: Mapping[str, DataFrame],
                     concepts: SurveyConcepts = TYPE1_DIABETES_SURVEY) -> DataFrame:
     """Feature matrix of cases and non-cases; one case cohort defines both sides."""
     answers, cases = survey_answers(tables, concepts), case_persons(tables, concepts)
-    return survey.feature_matrix(
-        cohort.keep_ids(answers, cases, "person_id", hot=True), cohort.not_in(answers, cases, "person_id", hot=True),
-        survey.ordinal_values(spark), survey.HEALTH_FEATURES, numeric_question=survey.PAIN_QUESTION,
+    return survey.case_feature_matrix(
+        answers, cases, survey.ordinal_values(spark), survey.HEALTH_FEATURES, numeric_question=survey.PAIN_QUESTION,
         sentinels=survey.PAIN_SENTINELS, tie_break=["answer_concept_id"])
 
 
@@ -159,7 +158,8 @@ def compare_survey_models(matrix: DataFrame, feature_names: Sequence[str] = surv
     best, pooled, importances = {}, None, {}
     scaled = features.scale(data, features.scaling_facts(data, feature_names))
     for name, (fit, grid) in fits.items():
-        best[name], _ = selection.search(data, fit, grid, feature_names, label, id_column, folds, scale_inside=True)
+        best[name], _ = selection.search(data, fit, grid, feature_names, label, id_column, folds, scale_inside=True,
+                                         folded=folded)
         part = selection.out_of_fold(folded, folds, fit, [best[name]], feature_names, label, id_column) \
             .withColumn("model", F.lit(name))
         pooled = part if pooled is None else pooled.unionByName(part)

@@ -165,16 +165,16 @@ def file_standardised(spark, sf):
 edits AS (SELECT s, p_partkey, CASE WHEN kind IN (1, 2, 4) THEN alt1 ELSE ref END AS b
   FROM calls JOIN variants USING (p_partkey) WHERE contig = 'chr6'),
 grid AS (SELECT c_custkey AS s, p_partkey, {f.sql_base('p_partkey')} AS ref
-  FROM customer CROSS JOIN part WHERE p_partkey >= 1)
+  FROM customer CROSS JOIN part WHERE p_partkey BETWEEN 101 AND 1600)
 SELECT s, string_agg(coalesce(e.b, g.ref), '' ORDER BY p_partkey) AS line
 FROM grid g LEFT JOIN edits e USING (s, p_partkey) GROUP BY s, (p_partkey - 1) // 1000
 UNION ALL SELECT c_custkey, '>chr6' FROM customer""")
 def file_sample_sequences(spark, sf):
     """One FASTA folder per sample."""
-    from standins.regions import reference_bases, whole_region
+    from standins.regions import CONSENSUS_REGION, reference_bases
     sequences = regions.consensus(f.samples(spark, sf), f.calls(spark, sf), reference_bases(spark, sf),
-                                  whole_region(spark, sf))
-    uri = writers.sample_sequences(sequences, _uri(spark, "sequences"), start=1)
+                                  CONSENSUS_REGION)
+    uri = writers.sample_sequences(sequences, _uri(spark, "sequences"), start=101)
     return spark.read.schema("value string, s long").text(uri).select("s", F.col("value").alias("line"))
 
 

@@ -105,7 +105,7 @@ def importance(spark, sf):
     """Coefficients and forest importances, largest coefficient first."""
     data = cut_lineage(rows(spark, sf))
     logistic = classifiers.fit_logistic(data, COLUMNS, LABEL, class_weight="balanced")
-    forest = classifiers.fit_forest(data, COLUMNS, LABEL, n_estimators=10, max_depth=5)
+    forest = classifiers.fit_forest(data, COLUMNS, LABEL, n_estimators=100)
     return classifiers.importance_table(data, COLUMNS, coefficient=logistic.coefficients,
                                         importance=forest.featureImportances.toArray())
 
@@ -119,9 +119,9 @@ def cv_scores(spark, sf):
 
 @query("logistic_grid")
 def logistic_grid(spark, sf):
-    """All 20 candidates over three folds: mean area and mean average precision."""
+    """All 20 candidates over five folds: mean area and mean average precision."""
     _, scores = selection.search(rows(spark, sf), classifiers.fit_logistic, selection.LOGISTIC_GRID, COLUMNS,
-                                 LABEL, "doc_id", folds=3, scale_inside=True)
+                                 LABEL, "doc_id", folds=5, scale_inside=True)
     return selection.grid_scores(scores)
 
 

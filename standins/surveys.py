@@ -76,9 +76,8 @@ FEATURES = [*f.ANSWER_FEATURES, "amount"]
 def matrix(spark, sf, complete: bool = True):
     answers = _numeric_answers(spark, sf)
     ids = _case_ids(spark, sf)
-    return survey.feature_matrix(
-        cohort.keep_ids(answers, ids, "person_id", hot=True), cohort.not_in(answers, ids, "person_id", hot=True),
-        f.answer_values(spark), FEATURES, complete=complete, numeric_question="Visit: Purchase",
+    return survey.case_feature_matrix(
+        answers, ids, f.answer_values(spark), FEATURES, complete=complete, numeric_question="Visit: Purchase",
         numeric_name="amount", sentinels=("Skip", "No matching concept"), tie_break=["event_id"])
 
 

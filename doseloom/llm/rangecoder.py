@@ -37,7 +37,7 @@ MAGIC, VERSION = b"IDRC", 1
 BLOCK = 2048
 _HEAD = struct.Struct("<4sHHIIQ")  # magic, version, flags, documents, blocks, ids
 _NULL = -(1 << 63)
-_SLOTS, _SUCC = 256, 1024
+_SLOTS, _SUCC = 256, 512
 _ONE = 4096  # the four chances add up to this
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
@@ -47,62 +47,68 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 class Models:
-    """Predictors and adaptive tables of all lanes."""
+    """Predictors and adaptive tables of all lanes, in 32-bit integers.
+
+    A successor table's entry is ``id * 4 + sureness``.
+    """
 
     def __init__(self, lanes: int):
-        self.at = np.arange(lanes)
-        self.recent = np.full(lanes * _SLOTS, -1, np.int64)
-        self.next1, self.next2 = np.full(lanes * _SUCC, -1, np.int64), np.full(lanes * _SUCC, -1, np.int64)
-        self.sure1, self.sure2 = np.zeros(lanes * _SUCC, np.int64), np.zeros(lanes * _SUCC, np.int64)
-        fair = np.array([_ONE // 4] * 4)
-        self.tables = [np.tile(fair, (lanes * c, 1)) for c in (16, 16, 16)]
-        self.weight = np.full((3, lanes), 80, np.int64)
-        self.last, self.before, self.case, self.case2 = (np.zeros(lanes, np.int64) for _ in range(4))
+        self.at = np.arange(lanes, dtype=np.int32)
+        self.at4, self.at16, self.at_slots, self.at_next = self.at * 4, self.at * 16, self.at * _SLOTS, self.at * _SUCC
+        self.recent = np.full(lanes * _SLOTS, -1, np.int32)
+        self.next1, self.next2 = np.full(lanes * _SUCC, -4, np.int32), np.full(lanes * _SUCC, -4, np.int32)
+        self.tables = [np.full((lanes * 16, 4), _ONE // 4, np.int32) for _ in range(3)]
+        self.weight = [np.full(lanes, 80, np.int32) for _ in range(2)]
+        self.last, self.before, self.case, self.case2 = (np.zeros(lanes, np.int32) for _ in range(4))
+        self.cumulative = np.zeros((5, lanes), np.int32)
 
     def predict(self) -> np.ndarray:
         """Cumulative chances (5 x lanes) of the four cases."""
-        self.i1 = self.at * _SUCC + ((self.last * 40503 >> 5) & (_SUCC - 1))
-        self.i2 = self.at * _SUCC + (((self.last * 40503 + self.before * 10007) >> 4) & (_SUCC - 1))
-        self.p1, self.p2 = self.next1[self.i1], self.next2[self.i2]
-        c1, c2 = self.sure1[self.i1], self.sure2[self.i2]
-        same = (self.p1 == self.p2).astype(np.int64)
-        self.where = [self.at * 16 + self.case * 4 + self.case2, self.at * 16 + c1 * 4 + self.case,
-                      self.at * 16 + c2 * 4 + same * 2 + (c1 > 1)]
+        mixed = self.last * 40503
+        self.i1 = self.at_next + (mixed >> 5 & (_SUCC - 1))
+        self.i2 = self.at_next + ((mixed + self.before * 10007) >> 4 & (_SUCC - 1))
+        one, two = self.next1[self.i1], self.next2[self.i2]
+        self.p1, self.p2, self.s1, self.s2 = one >> 2, two >> 2, one & 3, two & 3
+        self.where = (self.at16 + self.case * 4 + self.case2, self.at16 + self.s1 * 4 + self.case,
+                      self.at16 + self.s2 * 4 + (self.p1 == self.p2) * np.int32(2) + (self.s1 > 1))
         self.said = [t[i] for t, i in zip(self.tables, self.where)]
-        third = 256 - self.weight[0] - self.weight[1]
-        mixed = (self.said[0] * self.weight[0][:, None] + self.said[1] * self.weight[1][:, None]
-                 + self.said[2] * third[:, None]) >> 8
+        w0, w1 = self.weight
+        mixed = (self.said[0] * w0[:, None] + self.said[1] * w1[:, None] + self.said[2] * (256 - w0 - w1)[:, None]) >> 8
         self.chance = 1 + (mixed * 4000 >> 12)
-        self.chance[:, 3] = _ONE - self.chance[:, :3].sum(1)
-        cumulative = np.zeros((5, len(self.at)), np.int64)
-        np.cumsum(self.chance.T, axis=0, out=cumulative[1:])
-        return cumulative
-
-    def judge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Case, payload and payload bits of the ids that come next."""
-        slot = (ids * 40503 >> 7) & (_SLOTS - 1)
-        known = self.recent[self.at * _SLOTS + slot] == ids
-        case = np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(known, 2, 3)))
-        return case, np.where(case == 2, slot, np.where(case == 3, ids, 0)), np.array([0, 0, 8, 20])[case]
+        c = self.cumulative
+        c[1] = self.chance[:, 0]
+        np.add(c[1], self.chance[:, 1], out=c[2])
+        np.add(c[2], self.chance[:, 2], out=c[3])
+        c[4] = _ONE
+        np.subtract(c[4], c[3], out=self.chance[:, 3])
+        return c
+
+    def judge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Case and payload of the ids that come next."""
+        slot = ids * 40503 >> 7 & (_SLOTS - 1)
+        known = self.recent[self.at_slots + slot] == ids
+        case = np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(known, 2, 3))).astype(np.int32)
+        return case, np.where(case == 2, slot, np.where(case == 3, ids, 0))
 
     def ids_of(self, case: np.ndarray, payload: np.ndarray) -> np.ndarray:
-        recent = self.recent[self.at * _SLOTS + (payload & (_SLOTS - 1))]
+        recent = self.recent[self.at_slots + (payload & (_SLOTS - 1))]
         return np.where(case == 0, self.p2, np.where(case == 1, self.p1, np.where(case == 2, recent, payload)))
 
     def learn(self, ids: np.ndarray, case: np.ndarray) -> None:
-        mixed = self.chance[self.at, case]
+        pick = self.at4 + case
+        mixed = self.chance.ravel()[pick]
         for k in range(2):
-            gain = (self.said[k][self.at, case] - mixed) >> 6
-            self.weight[k] = np.clip(self.weight[k] + gain, 16, 112)
+            gain = (self.said[k].ravel()[pick] - mixed) >> 6
+            self.weight[k] = np.minimum(np.maximum(self.weight[k] + gain, 16), 112)
         for table, i, said in zip(self.tables, self.where, self.said):
             said -= said >> 5
-            said[self.at, case] += _ONE >> 5
+            said.ravel()[pick] += _ONE >> 5
             table[i] = said
-        for nxt, sure, i, p in ((self.next1, self.sure1, self.i1, self.p1), (self.next2, self.sure2, self.i2, self.p2)):
-            hit, s = p == ids, sure[i]
-            nxt[i] = np.where(hit | (s > 0), np.where(hit, ids, p), ids)
-            sure[i] = np.where(hit, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
-        self.recent[self.at * _SLOTS + ((ids * 40503 >> 7) & (_SLOTS - 1))] = ids
+        for nxt, i, p, s in ((self.next1, self.i1, self.p1, self.s1), (self.next2, self.i2, self.p2, self.s2)):
+            hit = p == ids
+            # Right: surer. Wrong: less sure, and replaced when it wasn't sure at all.
+            nxt[i] = np.where(hit, p * 4 + np.minimum(s + 1, 3), np.where(s > 0, p * 4 + s - 1, ids * 4))
+        self.recent[self.at_slots + (ids * 40503 >> 7 & (_SLOTS - 1))] = ids
         self.before, self.last = self.last, ids
         self.case2, self.case = self.case, case
 
@@ -136,8 +142,12 @@ class Coder:
 
 
 def _steps(cumulative: np.ndarray, case: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begin = cumulative[case, at]
-    return begin.astype(_U), (cumulative[case + 1, at] - begin).astype(_U)
+    flat, place = cumulative.ravel(), case * np.int32(len(at)) + at
+    begin = flat[place]
+    return begin.astype(_U), (flat[place + np.int32(len(at))] - begin).astype(_U)
+
+
+_BITS = np.array([0, 0, 8, 20], _U)  # of the payload, by case
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -148,7 +158,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     if not lanes:
         return []
     steps = min(BLOCK, len(ids))
-    table = np.zeros(lanes * BLOCK, np.int64)
+    table = np.zeros(lanes * BLOCK, np.int32)
     table[:len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, BLOCK).T)
     models, coder = Models(lanes), Coder(lanes)
@@ -156,18 +166,17 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     one = np.ones(lanes, _U)
 
     def out(settled: np.ndarray) -> None:
-        while len(settled):
+        if len(settled):
             words[settled, used[settled]] = (coder.low[settled] >> _U(32)).astype(np.uint32)
             used[settled] += 1
             coder.shift(settled)
-            settled = settled[:0]
 
     for t in range(steps):
         row = table[t]
         cumulative = models.predict()
-        case, payload, bits = models.judge(row)
+        case, payload = models.judge(row)
         out(coder.narrow(coder.range >> _U(12), *_steps(cumulative, case, models.at)))
-        out(coder.narrow(coder.range >> bits.astype(_U), payload.astype(_U), one))
+        out(coder.narrow(coder.range >> _BITS[case], payload.astype(_U), one))
         models.learn(row, case)
     for _ in range(2):
         words[coder.at, used] = (coder.low >> _U(32)).astype(np.uint32)
@@ -197,7 +206,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     models, coder = Models(lanes), Coder(lanes)
     code = words[:, 0].astype(_U) << _U(32) | words[:, 1].astype(_U)
     used = np.full(lanes, 2)
-    table = np.zeros((steps, lanes), np.int64)
+    table = np.zeros((steps, lanes), np.int32)
     one = np.ones(lanes, _U)
 
     def take(settled: np.ndarray) -> None:
@@ -210,14 +219,14 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     for t in range(steps):
         cumulative = models.predict()
         unit = coder.range >> _U(12)
-        value = np.minimum((code - coder.low) // unit, _U(_ONE - 1)).astype(np.int64)
-        case = (value >= cumulative[1]).astype(np.int64) + (value >= cumulative[2]) + (value >= cumulative[3])
+        value = np.minimum((code - coder.low) // unit, _U(_ONE - 1)).astype(np.int32)
+        case = (value >= cumulative[1]).astype(np.int32) + (value >= cumulative[2]) + (value >= cumulative[3])
         take(coder.narrow(unit, *_steps(cumulative, case, models.at)))
-        bits = np.array([0, 0, 8, 20])[case]
-        unit = coder.range >> bits.astype(_U)
-        payload = np.minimum((code - coder.low) // unit, ((1 << bits) - 1).astype(_U))
+        bits = _BITS[case]
+        unit = coder.range >> bits
+        payload = np.minimum((code - coder.low) // unit, (_U(1) << bits) - _U(1))
         take(coder.narrow(unit, payload, one))
-        row = models.ids_of(case, payload.astype(np.int64))
+        row = models.ids_of(case, payload.astype(np.int32))
         table[t] = row
         models.learn(row, case)
     out = []
@@ -258,7 +267,7 @@ def documents_of(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 
 
 def write_ids(docs: DataFrame, uri: str, tokenizer: str, spaces: str = "kept", end_id: int = 0,
-              segment_ids: int = 4_000_000) -> None:
+              segment_ids: int = 2_000_000) -> None:
     """Encode and write all documents below ``uri`` in ascending ``doc_id`` order.
 
     A segment closes after ``segment_ids`` ids, at the end of a document.

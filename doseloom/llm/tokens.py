@@ -26,13 +26,13 @@ _ASCII_WHITE = _WHITE.copy()
 _ASCII_WHITE[0x80:] = False
 _WIDE = np.zeros(256, bool)  # lead bytes of white space beyond ASCII
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_MOST_IDS = 12_000_000
+_MOST_IDS = 14_000_000
 
 
 class Encoder:
     """A tokenizer file and its memory of parts."""
 
-    def __init__(self, path: str, spaces: str, slots: int = 1 << 20):
+    def __init__(self, path: str, spaces: str, slots: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
         if spaces not in ("dropped", "kept"):
@@ -40,6 +40,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.mark = " \x01 " if spaces == "dropped" else "\n"
         self.mark_ids = self._ids(self.mark if spaces == "kept" else "\x01")
         self.slots = slots
@@ -48,8 +49,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.key, self.head = np.zeros(self.slots, U), np.zeros(self.slots, U)
-        self.start, self.count = np.zeros(self.slots, np.int64), np.full(self.slots, -1, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.count = np.zeros(self.slots, np.int32), np.full(self.slots, -1, np.int16)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -117,7 +118,7 @@ class Encoder:
         short = np.minimum(size, 8)
         eight = np.where(short == 8, eight, eight & ((U(1) << (short % 8 * 8).astype(U)) - U(1)))
         slot = (key >> self.shift).astype(np.int64)
-        start, count = self.start[slot], self.count[slot]
+        start, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
         miss = np.flatnonzero((self.key[slot] != key) | (self.head[slot] != eight) | (count < 0))
         if len(miss):
             order = miss[np.argsort(key[miss], kind="stable")]
@@ -131,16 +132,18 @@ class Encoder:
                 self.forget()
                 return self.encode(texts)
             if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(ids), self.used, 1 << 16), np.uint32)])
+                self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(ids), self.used, 1 << 16), self.kind)])
             self.pool[self.used:self.used + len(ids)] = ids
             starts = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
-            at = slot[fresh]
-            self.key[at], self.head[at], self.start[at], self.count[at] = key[fresh], eight[fresh], starts, counts
+            keep = counts < 1 << 15  # a longer part is not remembered
+            at = slot[fresh[keep]]
+            self.key[at], self.head[at] = key[fresh[keep]], eight[fresh[keep]]
+            self.start[at], self.count[at] = starts[keep], counts[keep]
             start[order], count[order] = starts[which], counts[which]
         total = np.append(0, np.cumsum(count, dtype=np.int64))
         place = np.arange(total[-1]) + np.repeat(start - total[:-1], count)
-        return self.pool[place], total[np.searchsorted(begin, texts.offsets)]
+        return self.pool[place].astype(np.uint32), total[np.searchsorted(begin, texts.offsets)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

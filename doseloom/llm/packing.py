@@ -112,8 +112,12 @@ def encoded(docs: DataFrame, tokenizer: str, spaces: str, end_id: int) -> DataFr
     return rows.mapInArrow(ids_of, "doc_id long, part int, curve long, place long, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, spaces: str = "dropped", end_id: int = 1, length: int = 2048) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``."""
+def pack(docs: DataFrame, tokenizer: str, spaces: str = "dropped", end_id: int = 1, length: int = 2048,
+         with_ids: bool = True) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
+
+    Without ``with_ids`` the last column is null.
+    """
     rows = saved(encoded(docs, tokenizer, spaces, end_id), "encoded")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     begins = rows.groupBy("part").agg(F.sum("n").alias("total")) \
@@ -130,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, spaces: str = "dropped", end_id: int =
                 for a, b in zip(edges[:-1], edges[1:]):
                     piece = ids[a:b]
                     for name, value in zip(out, (doc, a, b - a, crc_of(piece), len(ids), (at + a) // length,
-                                                 (at + a) % length, piece.astype(np.int32))):
+                                                 (at + a) % length, piece.astype(np.int32) if with_ids else None)):
                         out[name].append(value)
                 held += len(ids)
                 if held > 1_000_000:
@@ -145,4 +149,4 @@ def pack(docs: DataFrame, tokenizer: str, spaces: str = "dropped", end_id: int =
 
 def pieces(docs: DataFrame, tokenizer: str, spaces: str = "dropped", end_id: int = 1, length: int = 2048) -> DataFrame:
     """The pieces without their ids."""
-    return pack(docs, tokenizer, spaces, end_id, length).drop("ids")
+    return pack(docs, tokenizer, spaces, end_id, length, with_ids=False).drop("ids")

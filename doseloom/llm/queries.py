@@ -34,7 +34,7 @@ def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op3_range_coder(spark: SparkSession, sf: str) -> DataFrame:
     uri = new_folder(spark, "token-ids")
     rangecoder.write_ids(_table(spark, sf, "documents"), uri, tokenizer_file("byte_bpe_50k.json"))
-    return rangecoder.read_ids(spark, uri).drop("ids")
+    return rangecoder.read_ids(spark, uri, with_ids=False).drop("ids")
 
 
 def op4_block_naming(spark: SparkSession, sf: str) -> DataFrame:

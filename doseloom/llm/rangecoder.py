@@ -306,8 +306,8 @@ def write_ids(docs: DataFrame, uri: str, tokenizer: str, spaces: str = "kept", e
     rows.mapInArrow(written, FILE_SCHEMA).write.parquet(uri)
 
 
-def read_ids(spark: SparkSession, uri: str) -> DataFrame:
-    """Per document of the files: ``doc_id, start, n_tokens, ids_crc32`` and its ``ids``."""
+def read_ids(spark: SparkSession, uri: str, with_ids: bool = True) -> DataFrame:
+    """Per document of the files: ``doc_id, start, n_tokens, ids_crc32`` and its ``ids`` (null without ``with_ids``)."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(uri)
     sizes = rows.groupBy("part", "segment").agg(F.sum("n_ids").alias("n"))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("total"))
@@ -328,7 +328,7 @@ def read_ids(spark: SparkSession, uri: str) -> DataFrame:
                     own = slice(a, a + 500)
                     yield as_batch({"doc_id": names[own], "start": (begin + ends - lengths)[own], "n_tokens": lengths[own],
                                     "ids_crc32": [crc_of(p) for p in parts[own]],
-                                    "ids": [p.astype(np.int32) for p in parts[own]]}, schema)
+                                    "ids": [p.astype(np.int32) if with_ids else None for p in parts[own]]}, schema)
 
     return rows.join(begins, ["part", "segment"]).select("begin", "payload").mapInArrow(
         decoded, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

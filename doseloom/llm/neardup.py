@@ -193,10 +193,29 @@ def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, match: int, p
         .where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Links that connect the same documents as all of them do, fewer than there are documents."""
+    above: dict[int, int] = {}
+
+    def top(d: int) -> int:
+        while (up := above.setdefault(d, d)) != d:
+            above[d] = d = above.setdefault(up, up)
+        return d
+
+    keep = []
+    for k, (a, b) in enumerate(links.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            above[b] = a
+            keep.append(k)
+    return links[keep]
+
+
 def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
-    """All links (a, b) between documents that share a list and are in different components.
+    """Links (a, b) that connect all documents that share a list, are in different components and are similar enough.
 
-    A list is cut into blocks by a hash of the document; a task gets two blocks of one list.
+    A list is cut into blocks by a hash of the document; a task gets two blocks of one list. It
+    looks at all their pairs and returns as many links as connect what it found.
     """
     spark = posted.sparkSession
     lists = saved(posted.join(labels, "doc", "left")
@@ -259,7 +278,7 @@ def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFra
                 at[at == len(one)] = 0
                 common = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(lengths) - lengths)
                 links.append(pairs[z:min(z + 256, y)][100 * common >= percent * (len(one) + lengths - common)])
-        links = np.concatenate(links)
+        links = _forest(np.concatenate(links))
         return pa.table([links.min(1), links.max(1)] if len(links) else [links[:, 0], links[:, 1]], schema=_LINKS)
 
     near = saved(rows.groupBy("token", "i", "j").applyInArrow(compare, "token long, i int, j int, doc long, pairs binary"), "near-blocks")

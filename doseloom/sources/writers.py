@@ -56,8 +56,8 @@ def genotypes(variants: DataFrame, samples: DataFrame, calls: DataFrame, root: s
     root = root.rstrip("/")
     parquet(calls.sparkSession.createDataFrame([(block_size,)], schemas.LAYOUT).coalesce(1), f"{root}/layout")
     parquet(variants, f"{root}/variants")
-    parquet(samples, f"{root}/samples")
-    blocked = calls.withColumn("block", F.floor(F.col("position") / block_size))
+    parquet(samples.withColumn("s", F.col("s").cast("string")), f"{root}/samples")
+    blocked = calls.withColumn("s", F.col("s").cast("string")).withColumn("block", F.floor(F.col("position") / block_size))
     (blocked.repartitionByRange("contig", "position", "s")
      .sortWithinPartitions("contig", "position", "s")
      .write.mode("overwrite").partitionBy("contig", "block").parquet(f"{root}/calls"))

@@ -202,7 +202,8 @@ def file_genotypes(spark, sf):
                              _uri(spark, "genotypes"), block)
     stored, weights = readers.genotypes(spark, root), f.weights(spark, sf)
     pruned = scoring.prune_calls(stored.calls, weights, stored.block_size)
-    return _rounded(scoring.score_samples(stored.samples, stored.variants, pruned, weights))
+    return _rounded(scoring.score_samples(stored.samples, stored.variants, pruned, weights)) \
+        .withColumn("s", F.col("s").cast("long"))
 
 
 @query("file_saved_step", f"WITH {f.SPEND_SQL} SELECT s, score FROM spend")

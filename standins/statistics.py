@@ -167,7 +167,7 @@ def tail_odds_ratio(spark, sf):
 
 
 @query("histogram", f"""WITH {f.SPEND_SQL},
-span AS (SELECT min(score) AS low, max(score) AS high FROM spend)
+span AS (SELECT min(score) AS low, max(score) AS high FROM spend),
 counts AS (SELECT cast(least(floor((score - low) * 50 / (high - low)), 49) AS int) AS bin, count(*) AS n FROM spend, span GROUP BY 1)
 SELECT cast(g.bin AS int) AS bin, round(low + g.bin * (high - low) / 50, 4) AS left_edge,
   round(low + (g.bin + 1) * (high - low) / 50, 4) AS right_edge, coalesce(n, 0) AS count

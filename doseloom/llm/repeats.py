@@ -6,7 +6,8 @@ k-gram hash (its key) in both. So the work can be dealt without losing a match:
 0. of texts that are equal as a whole, only the document with the least id takes part: the
    others repeat it from end to end;
 1. each portion of the documents lists the keys of its windows of ``min_bytes`` bytes;
-2. per key bucket, keys that reach two documents are told back to their portions;
+2. per key bucket, keys that reach two documents are told back to their portions, with those
+   whose windows make more than ``hot`` strings (summed over the portions);
 3. a portion cuts each run of windows that share such a key into one string and sends
    every distinct string once, with the least document that holds it and whether there are several;
 4. per key bucket, the suffixes of these strings are sorted, the common prefixes of
@@ -16,9 +17,10 @@ k-gram hash (its key) in both. So the work can be dealt without losing a match:
 5. the groups go back to the portions, which find all occurrences in their texts.
 
 The texts are shuffled once: Spark reuses that exchange for steps 1, 3 and 5. A key
-that reaches more than ``hot`` places is cut into single windows, dealt by their own
+with more than ``hot`` strings is cut into single windows, dealt by their own
 hash, so no key brings its contexts together in one task; a string or window goes out
-once per portion however often it stands there. Both ways give the same rows.
+once per portion however often it stands there. Both ways give the same spans. Where
+groups are named, windows would name pieces of a passage, so keys stay whole there.
 
 On the way back a string is named by a 64-bit digest of its bytes.
 
@@ -49,7 +51,7 @@ def _rows(**kinds) -> tuple[pa.Schema, str]:
     return (pa.schema([(k, names[v][0]) for k, v in kinds.items()]), ", ".join(f"{k} {names[v][1]}" for k, v in kinds.items()))
 
 
-_KEYS, _SQL_KEYS = _rows(bucket=int, portion=int, keys=bytes, several=bytes)
+_KEYS, _SQL_KEYS = _rows(bucket=int, portion=int, keys=bytes, several=bytes, strings=bytes)
 _HITS, _SQL_HITS = _rows(portion=int, keys=bytes, hot=bytes, copies=bytes)
 _STRINGS, _SQL_STRINGS = _rows(bucket=int, portion=int, keys=bytes, low=bytes, several=bytes, sizes=bytes, bytes=bytes, hot=bytes)
 _GROUPS, _SQL_GROUPS = _rows(portion=int, groups=bytes, hot=bytes, copies=bytes)
@@ -62,6 +64,7 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                    ("kept_sha256", pa.string())])
 _SQL_DOCS = ("doc_id long, n_bytes long, groups array<struct<group:long,parent:long,start:long,length:long,first_doc:long>>, "
              "spans array<struct<start:long,end:long>>, kept_sha256 string")
+_HOT = 20_000
 _RUN = 64  # windows in one string at most, for texts that repeat one k-gram without end
 
 
@@ -303,52 +306,60 @@ def _copy_rows(table: pa.Table) -> dict[tuple[int, int], int]:
     return {(d, t): f for d, t, f in rows.tolist()}
 
 
-def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_000, windows_at_once: int = 250_000,
-            with_groups: bool = True) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, groups, spans, kept_sha256``.
+def _texts_of_portion(table: pa.Table, copies: dict) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The portion's rows without the copies."""
+    if copies:
+        pairs = zip(table.column("doc_id").to_pylist(), table.column("tag").to_pylist())
+        table = table.filter(pa.array([p not in copies for p in pairs], pa.bool_()))
+    return portions(table.to_batches(), 1 << 21)
 
-    ``groups`` are the occurrences of maximal repeat groups (group, the group around it, start,
-    length, first document), as ``suffix_groups`` lists them; a copy of a whole text has
-    that text as its group. Without ``with_groups`` they stay unnamed, which saves shuffling names.
-    ``spans`` are the maximal byte ranges covered by strings of ``min_bytes`` bytes that also
-    stand in a document with a smaller id; ``kept_sha256`` is of the other bytes.
-    """
-    spark = docs.sparkSession
-    n = buckets(spark, 1)
-    base = text_rows(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"),
+
+def _based(docs: DataFrame, n: int) -> DataFrame:
+    return text_rows(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"),
                                   F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("portion"))
 
-    def texts_of_portion(table: pa.Table, copies: dict) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-        """The portion's rows without the copies."""
-        if copies:
-            pairs = zip(table.column("doc_id").to_pylist(), table.column("tag").to_pylist())
-            table = table.filter(pa.array([p not in copies for p in pairs], pa.bool_()))
-        return portions(table.to_batches(), 1 << 21)
 
+def _copy_hits(base: DataFrame, min_bytes: int) -> DataFrame:
+    def packed(table: pa.Table) -> pa.Table:
+        rows = np.zeros(len(table.column("doc_id")[0]), _COPY)
+        for name in _COPY.names:
+            rows[name] = table.column(name)[0].values.to_numpy()
+        return _table([{"portion": table.column("portion")[0].as_py(), "keys": b"", "hot": b"", "copies": rows.tobytes()}], _HITS)
+
+    return _copies(base, min_bytes).groupBy("portion").applyInArrow(packed, _SQL_HITS)
+
+
+def shared_keys(base: DataFrame, copies: DataFrame, n: int, min_bytes: int = 50, gram: int = 24, hot: int = _HOT) -> DataFrame:
+    """Per portion and bucket, the keys that reach two documents, and which of them have more than ``hot`` strings."""
     def listed(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table([], _KEYS)
         portion = left.column("portion")[0].as_py()
-        keys, low = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for batch, texts in texts_of_portion(left, _copy_rows(right)):
+        keys, low, names = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)]
+        for batch, texts in _texts_of_portion(left, _copy_rows(right)):
             runs = Runs(texts, min_bytes, gram)
             keys.append(runs.key)
             low.append(_ids(batch)[runs.doc])
-        ids = np.concatenate(low)
-        keys, least, most, _ = _least(np.concatenate(keys), ids, ids)
+            names.append(runs.names(min_bytes))
+        ids, each = np.concatenate(low), np.concatenate(keys)
+        keys, least, most, _ = _least(each, ids, ids)
+        own = np.sort(each[np.unique(np.concatenate(names), return_index=True)[1]])  # the key of each distinct string
+        strings = np.diff(np.append(np.searchsorted(own, keys), len(own))).astype("<u4")
         order, cut = _dealt((keys % U(n)).astype(np.int64), n)
-        keys, several = keys[order], (least < most)[order]
-        return _table([{"bucket": b, "portion": portion, "keys": keys[x:y].tobytes(), "several": _bits(several[x:y])}
+        keys, several, strings = keys[order], (least < most)[order], strings[order]
+        return _table([{"bucket": b, "portion": portion, "keys": keys[x:y].tobytes(), "several": _bits(several[x:y]),
+                        "strings": strings[x:y].tobytes()}
                        for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x], _KEYS)
 
     def shared(table: pa.Table) -> pa.Table:
         places = table.column("portion").to_pylist()
         lists = [np.frombuffer(k, U) for k in table.column("keys").to_pylist()]
         flag = _flags(table.column("several").to_pylist(), [len(k) for k in lists])
-        keys, _, most, count = _least(np.concatenate(lists), flag, flag)
+        each = np.concatenate(lists)
+        keys, _, most, count = _least(each, flag, flag)
+        strings = np.bincount(np.searchsorted(keys, each), _joined(table, "strings", "<u4"), len(keys))
         again = (count > 1) | (most > 0)
-        keys, count = keys[again], count[again]
-        busy = keys[count > hot]
+        keys, busy = keys[again], keys[again & (strings > hot)]
         out = []
         for place, have in zip(places, lists):
             hits = have[_among(keys, have)]
@@ -356,13 +367,31 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
                 out.append({"portion": place, "keys": hits.tobytes(), "hot": np.intersect1d(hits, busy).tobytes(), "copies": b""})
         return _table(out, _HITS)
 
+    keys = base.groupBy("portion").cogroup(copies.groupBy("portion")).applyInArrow(listed, _SQL_KEYS)
+    return keys.groupBy("bucket").applyInArrow(shared, _SQL_HITS)
+
+
+def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = _HOT, windows_at_once: int = 250_000,
+            with_groups: bool = True) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_bytes, groups, spans, kept_sha256``.
+
+    ``groups`` are the occurrences of maximal repeat groups (group, the group around it, start,
+    length, first document), as ``suffix_groups`` lists them; a copy of a whole text has
+    that text as its group. Without ``with_groups`` they stay unnamed, which saves shuffling names.
+    ``spans`` are the maximal byte ranges covered by strings of ``min_bytes`` bytes that also
+    stand in a document with a smaller id; ``kept_sha256`` is of the other bytes.
+    """
+    spark = docs.sparkSession
+    n = buckets(spark, 1)
+    base = _based(docs, n)
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return _table([], _STRINGS)
         portion = left.column("portion")[0].as_py()
         hits, busy = np.sort(_joined(right, "keys", "<u8")), _joined(right, "hot", "<u8")
         seen: dict[bytes, list] = {}  # string -> key, least document, whether there are several
-        for batch, texts in texts_of_portion(left, _copy_rows(right)):
+        for batch, texts in _texts_of_portion(left, _copy_rows(right)):
             ids, runs = _ids(batch), Runs(texts, min_bytes, gram)
             runs = runs.only(_among(hits, runs.key)).singled(busy)
             data, names = texts.data.tobytes(), runs.names(min_bytes)
@@ -503,15 +532,9 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = 20_
                                         "first_doc": None if f == _NO_ID else f} for g, p, x, size, f in groups]})
         return _table(out, _DOCS)
 
-    def packed(table: pa.Table) -> pa.Table:
-        rows = np.zeros(len(table.column("doc_id")[0]), _COPY)
-        for name in _COPY.names:
-            rows[name] = table.column(name)[0].values.to_numpy()
-        return _table([{"portion": table.column("portion")[0].as_py(), "keys": b"", "hot": b"", "copies": rows.tobytes()}], _HITS)
-
-    copies = _copies(base, min_bytes).groupBy("portion").applyInArrow(packed, _SQL_HITS)
-    keys = base.groupBy("portion").cogroup(copies.groupBy("portion")).applyInArrow(listed, _SQL_KEYS)
-    hits = keys.groupBy("bucket").applyInArrow(shared, _SQL_HITS).unionByName(copies)
+    copies = _copy_hits(base, min_bytes)
+    most = np.iinfo(np.int64).max if with_groups else hot
+    hits = shared_keys(base, copies, n, min_bytes, gram, most).unionByName(copies)
     strings = base.groupBy("portion").cogroup(hits.groupBy("portion")).applyInArrow(cut, _SQL_STRINGS)
     groups = strings.groupBy("bucket").applyInArrow(grouped, _SQL_GROUPS) \
         .unionByName(copies.select("portion", F.col("keys").alias("groups"), "hot", "copies"))

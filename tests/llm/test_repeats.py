@@ -90,3 +90,23 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert repeats.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_phrase_in_more_contexts_than_one_key_may_hold(spark):
+    rng = random.Random(11)
+    phrase = "all rights are reserved by the owners of this very page!"
+    rows = [(d, f"{rng.getrandbits(160):040x}{phrase}{rng.getrandbits(160):040x}", None, None) for d in range(21_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    base = repeats._based(docs, 4)
+    hits = repeats.shared_keys(base, repeats._copy_hits(base, 50), 4).collect()
+    assert any(r.hot for r in hits)
+    got = sorted(map(tuple, repeats.digests(docs).collect()))
+    assert got == removed(rows)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_spans_without_names(spark, hot):
+    rows = fixture()
+    got = repeats.repeats(spark.createDataFrame(rows, SCHEMA), hot=hot, with_groups=False).collect()
+    mine = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got)
+    assert mine == removed(rows)

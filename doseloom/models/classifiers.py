@@ -6,7 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,30 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, n_estimators
         maxDepth=max_depth, minInstancesPerNode=min_child_weight, seed=seed).fit(assemble(df, features))
 
 
+def first_trees(model: Any, count: int) -> Any:
+    """The forest or boosted model of the first ``count`` trees of ``model``."""
+    have = model._java_obj
+    if count >= model.getNumTrees:
+        return model
+    gateway, trees = SparkContext._active_spark_context._gateway, have.trees()
+    kind = gateway.jvm.org.apache.spark.ml
+    if isinstance(model, GBTClassificationModel):
+        own = gateway.new_array(kind.regression.DecisionTreeRegressionModel, count)
+        weights = gateway.new_array(gateway.jvm.double, count)
+        for i in range(count):
+            own[i], weights[i] = trees[i], float(have.treeWeights()[i])
+        fewer = kind.classification.GBTClassificationModel(have.uid(), own, weights, have.numFeatures(), 2)
+    else:
+        own = gateway.new_array(kind.classification.DecisionTreeClassificationModel, count)
+        for i in range(count):
+            own[i] = trees[i]
+        fewer = kind.classification.RandomForestClassificationModel(have.uid(), own, have.numFeatures(), have.numClasses())
+    out = model._copyValues(type(model)(fewer))
+    out._set(**{"maxIter" if out.hasParam("maxIter") else "numTrees": count})
+    out._transfer_params_to_java()
+    return out
+
+
 def with_probability(model: Any, df: DataFrame, features: Sequence[str], into: str = "probability") -> DataFrame:
     """Add the model's probability of class 1."""
     kept = df.columns

@@ -2,7 +2,8 @@
 
 Folds are a column of a saved table, written by fold, so that a fit reads only
 its training folders and a score only its validation folder. All candidates of
-a fold are scored in one pass, and all scores come from one aggregate.
+a fold are scored in one pass, and all scores come from one aggregate. Candidates that
+differ only in the number of trees share one fit of the most trees: a smaller one is its first trees.
 """
 
 from __future__ import annotations
@@ -39,6 +40,24 @@ def candidates(grid: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
+def _shared_fits(fit: Fit, grid: Sequence[Mapping[str, Any]]) -> tuple[list[dict[str, Any]], list[int]]:
+    """The parameters to fit, and which of these each candidate uses."""
+    fits, which = [], []
+    for params in grid:
+        if fit not in (classifiers.fit_forest, classifiers.fit_boosted) or "n_estimators" not in params:
+            fits.append(dict(params))
+            which.append(len(fits) - 1)
+            continue
+        rest = {k: v for k, v in params.items() if k != "n_estimators"}
+        same = [i for i, p in enumerate(fits) if "n_estimators" in p and {k: v for k, v in p.items() if k != "n_estimators"} == rest]
+        if same:
+            fits[same[0]]["n_estimators"] = max(fits[same[0]]["n_estimators"], params["n_estimators"])
+        else:
+            fits.append(dict(params))
+        which.append(same[0] if same else len(fits) - 1)
+    return fits, which
+
+
 def save_folds(df: DataFrame, id_column: str, label: str, folds: int, seed: int = 42) -> DataFrame:
     """Assign folds and keep the frame as a table in the shared folder, by fold."""
     spark = df.sparkSession
@@ -63,6 +82,7 @@ def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[
     """
     spark = folded.sparkSession
     parts = []
+    fits, which = _shared_fits(fit, grid)
     for fold in range(folds):
         train, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         if scale_inside:
@@ -72,9 +92,11 @@ def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[
         if "sizes" in inspect.signature(fit).parameters:
             known["sizes"] = classifiers.class_sizes(train, label)
         models = _run_all([lambda t=train, p={**params, **known}: fit(t, features, label, **p)
-                           for params in grid], spark, parallelism)
+                           for params in fits], spark, parallelism)
         scored, names = valid, []
-        for i, model in enumerate(models):
+        for i, (params, own) in enumerate(zip(grid, which)):
+            fewer = params.get("n_estimators") if fits[own].get("n_estimators") != params.get("n_estimators") else None
+            model = classifiers.first_trees(models[own], fewer) if fewer else models[own]
             names.append(f"_p{i}")
             scored = classifiers.with_probability(model, scored, features, names[-1])
         long = scored.unpivot([id_column, label, "fold"], names, "_candidate", "probability")

@@ -125,14 +125,11 @@ def logistic_grid(spark, sf):
     return selection.grid_scores(scores)
 
 
-# Small grids: the library's defaults fit up to 300 trees per candidate.
-_FOREST = {"n_estimators": [5, 10], "max_depth": [None, 3], "min_samples_split": [2]}
-_BOOSTING = {"n_estimators": [3], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]}
-_BOOSTED_TREES = {"n_estimators": [3], "max_depth": [2, 3], "min_child_weight": [1, 3]}
+_BOOSTED_TREES = {**selection.BOOSTED_TREE_GRID, "n_estimators": [selection.BOOSTED_TREE_ROUNDS]}
 
 
 def _tuned(data, fit, grid):
-    best, _ = selection.search(data, fit, grid, COLUMNS, LABEL, "doc_id", folds=3)
+    best, _ = selection.search(data, fit, grid, COLUMNS, LABEL, "doc_id", folds=5)
     return best
 
 
@@ -141,8 +138,8 @@ def model_comparison(spark, sf):
     """Logistic, forest and boosting, tuned on the training part, on the test part."""
     train, test = _train_test(spark, sf)
     chosen = {"Logistic Regression": (classifiers.fit_logistic, {}),
-              "Random Forest": (classifiers.fit_forest, _tuned(train, classifiers.fit_forest, _FOREST)),
-              "Gradient Boosting": (classifiers.fit_boosted, _tuned(train, classifiers.fit_boosted, _BOOSTING))}
+              "Random Forest": (classifiers.fit_forest, _tuned(train, classifiers.fit_forest, selection.FOREST_GRID)),
+              "Gradient Boosting": (classifiers.fit_boosted, _tuned(train, classifiers.fit_boosted, selection.BOOSTING_GRID))}
     out = None
     for name, (fit, params) in chosen.items():
         model = fit(train, COLUMNS, LABEL, **params)
@@ -155,19 +152,20 @@ def model_comparison(spark, sf):
 @query("boosted_trees_grid")
 def boosted_trees_grid(spark, sf):
     _, scores = selection.search(rows(spark, sf), classifiers.fit_boosted, _BOOSTED_TREES, COLUMNS, LABEL,
-                                 "doc_id", folds=3)
+                                 "doc_id", folds=5)
     return selection.grid_scores(scores)
 
 
 @query("pooled_fold_report")
 def pooled_fold_report(spark, sf):
-    """Out-of-fold calls of two models, pooled over the folds."""
-    folded = selection.save_folds(rows(spark, sf), "doc_id", LABEL, 3)
-    options = {"lr": (classifiers.fit_logistic, {"class_weight": "balanced"}),
-               "trees": (classifiers.fit_boosted, {"n_estimators": 3, "max_depth": 2})}
+    """Out-of-fold calls of two tuned models, pooled over the folds."""
+    data = rows(spark, sf)
+    folded = selection.save_folds(data, "doc_id", LABEL, 5)
+    options = {"lr": (classifiers.fit_logistic, selection.LOGISTIC_GRID), "trees": (classifiers.fit_boosted, _BOOSTED_TREES)}
     out = None
-    for name, (fit, params) in options.items():
-        part = selection.out_of_fold(folded, 3, fit, [params], COLUMNS, LABEL, "doc_id") \
+    for name, (fit, grid) in options.items():
+        params, _ = selection.search(data, fit, grid, COLUMNS, LABEL, "doc_id", folds=5, scale_inside=True, folded=folded)
+        part = selection.out_of_fold(folded, 5, fit, [params], COLUMNS, LABEL, "doc_id") \
             .withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     predicted = metrics.label_above(out, "probability", 0.5)

@@ -142,3 +142,40 @@ def test_trees_and_importances(table):
     shown = classifiers.importance_table(df, NAMES, coefficient=[-3.0, 2.0],
                                          importance=forest.featureImportances.toArray()).collect()
     assert [r.feature for r in shown] == ["a", "b"] and sum(r.importance for r in shown) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("fit", [classifiers.fit_forest, classifiers.fit_boosted])
+def test_fewer_trees_are_the_first_of_more(table, fit):
+    _, _, df = table
+    more = fit(df, NAMES, "y", n_estimators=6, max_depth=3)
+    fewer = classifiers.first_trees(more, 3)
+    assert fewer.getNumTrees == 3 and [t.toDebugString for t in fewer.trees] == [t.toDebugString for t in more.trees[:3]]
+    got = [r.probability for r in classifiers.with_probability(fewer, df.orderBy("id"), NAMES).collect()]
+    if fit is classifiers.fit_boosted:
+        model = fit(df, NAMES, "y", n_estimators=3, max_depth=3)
+        want = [r.probability for r in classifiers.with_probability(model, df.orderBy("id"), NAMES).collect()]
+    else:
+        want = np.mean([[t.predictProbability(r["_features"])[1] for r in classifiers.assemble(df.orderBy("id"), NAMES).collect()]
+                        for t in more.trees[:3]], axis=0)
+    assert got == pytest.approx(list(want), abs=1e-9)
+
+
+def test_candidates_share_the_fit_with_most_trees(table):
+    _, _, df = table
+    grid = {"n_estimators": [2, 4], "max_depth": [2, 3]}
+    fits, which = selection._shared_fits(classifiers.fit_boosted, selection.candidates(grid))
+    assert [f["n_estimators"] for f in fits] == [4, 4] and which == [0, 1, 0, 1]
+    _, scores = selection.search(df, classifiers.fit_boosted, grid, NAMES, "y", "id", folds=2)
+    assert scores.count() == 8
+
+
+def test_registered_searches_are_whole(monkeypatch):
+    from standins import models
+    asked = []
+    monkeypatch.setattr(models, "rows", lambda *_: None)
+    monkeypatch.setattr(selection, "grid_scores", lambda scores: scores)
+    monkeypatch.setattr(selection, "search", lambda df, fit, grid, *_, folds, **__: asked.append((fit, grid, folds)) or ({}, None))
+    models.boosted_trees_grid(None, None)
+    models._tuned(None, classifiers.fit_forest, selection.FOREST_GRID)
+    trees = {"max_depth": [3, 4, 5], "min_child_weight": [1, 3, 5], "n_estimators": [200]}
+    assert asked == [(classifiers.fit_boosted, trees, 5), (classifiers.fit_forest, selection.FOREST_GRID, 5)]

@@ -7,8 +7,11 @@ each pair of terms, so a pair can count where neither term does: an insult next
 name weighs more than the sum of both. All pairs cost one pass:
 ``(sum of factors) ** 2 - sum of squared factors``, halved and summed.
 
-Only terms that the sample has in at least ``least`` documents, and whose share of labels is at least
-``strange_by`` standard deviations from the mean, are in the model; it is trained by AdaGrad steps over small batches, on at most ``sample`` labelled rows outside the
+All terms that the sample has in at least ``least`` documents are in the model, also those that say
+nothing alone. It is trained by AdaGrad steps over small batches, first on the terms whose share of labels
+is ``strange_by`` standard deviations from the mean, then on all; soft thresholds keep at 0 what
+labels don't move among the others. Of the models after the first stage and each later pass, the one with
+the least loss on a tenth of the rows, which is not trained on, is taken. The fit reads at most ``sample`` labelled rows outside the
 held-out part (the documented bound of the fit), in ``SHARDS`` tasks whose models are averaged
 after each pass.
 
@@ -37,6 +40,7 @@ BITS = 22
 FACTORS = 4
 SHARDS = 8
 _LEAST_STEPS = 100
+_WEIGHT_L1, _FACTOR_L1 = 0.3, 0.5
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = True
 WORD[0x80:] = True
@@ -81,11 +85,21 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np.ndarray, rate: float, l2: float,
-           batch: int = 32) -> None:
-    """AdaGrad over batches of the logistic loss; few rows are gone through several times."""
+def _shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0)
+
+
+def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np.ndarray, told: np.ndarray, l2: float,
+           everything: bool, batch: int = 32) -> None:
+    """AdaGrad over batches of the logistic loss; few rows are gone through several times.
+
+    Terms in ``told`` say something alone: they are trained by themselves at first, then with
+    ``everything``, where only the others shrink.
+    """
     order = np.tile(order, max(1, -(-_LEAST_STEPS * batch // max(1, len(order)))))
-    gw, gv, gb = np.full(len(model.weight), 1e-6), np.full(model.factor.shape, 1e-6), 1e-6
+    rate, least = (1.0, 1.0) if everything else (0.3, 1e-6)
+    docs = docs if everything else [d[told[d]] for d in docs]
+    gw, gv, gb = np.full(len(model.weight), least), np.full(model.factor.shape, least), 1e-6
     for a in range(0, len(order), batch):
         own = order[a:a + batch]
         lengths = np.array([len(docs[k]) for k in own])
@@ -100,18 +114,20 @@ def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np
         known, back = np.unique(rows, return_inverse=True)
         step = np.bincount(back, error[at], len(known)) + l2 * model.weight[known]
         gw[known] += step * step
-        model.weight[known] -= rate * step / np.sqrt(gw[known])
+        pace, shrink = rate / np.sqrt(gw[known]), everything * ~told[known]
+        model.weight[known] = _shrunk(model.weight[known] - pace * step, pace * shrink * _WEIGHT_L1)
         step = np.zeros((len(known), FACTORS))
         np.add.at(step, back, error[at][:, None] * (total[at] - v))
         step += l2 * model.factor[known]
         gv[known] += step * step
-        model.factor[known] -= 0.2 * rate * step / np.sqrt(gv[known])
+        pace = 0.2 * rate / np.sqrt(gv[known])
+        model.factor[known] = _shrunk(model.factor[known] - pace * step, pace * shrink[:, None] * _FACTOR_L1)
         gb += error.sum() ** 2
         model.bias -= rate * error.sum() / np.sqrt(gb)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = 20_000, least: int = 8, passes: int = 6,
-        rate: float = 0.3, l2: float = 0.02, strange_by: float = 5.0) -> Machine:
+        passes_on_all: int = 5, l2: float = 0.02, strange_by: float = 5.0) -> Machine:
     spark = docs.sparkSession
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("label", pa.int32()), ("slots", pa.list_(pa.int32()))])
 
@@ -127,16 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
     total = rows.count()
     if not total:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
-    # What a term says of the label; at most 2 ** 16 terms, those that say most, are in the model.
+    # Every term of ``least`` documents is in the model, also one that says nothing alone: a pair of such may.
     share = rows.agg(F.avg("label")).first()[0]
-    said = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot") \
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least)
     strange = F.abs(F.col("k") - F.col("n") * F.lit(share)) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
-    said = said.withColumn("z", strange).where(F.col("z") >= strange_by).orderBy(F.desc("z"), "slot").limit(1 << 16)
-    slots = np.array(sorted(r.slot for r in said.select("slot").collect()), np.int64)
+    known = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot") \
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least) \
+        .select("slot", (strange >= strange_by).alias("told")).toArrow().sort_by("slot")
+    slots, told = (known.column(c).to_numpy() for c in ("slot", "told"))
+    slots, told = slots.astype(np.int64), told.astype(bool)
     rng = np.random.default_rng(11)
-    model = Machine(slots, np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), FACTORS)), 0.0)
-    for turn in range(passes):
+    factor = rng.normal(0, 1, (len(slots), FACTORS)) * np.where(told, 0.01, 0)[:, None]  # the others begin with the second stage
+    model = Machine(slots, np.zeros(len(slots)), factor, 0.0)
+    best, least_loss = model, np.inf
+    for turn in range(passes + passes_on_all + 1):  # the last one only weighs the model
         common = spark.sparkContext.broadcast(model)
 
         def learned(table: pa.Table) -> pa.Table:
@@ -145,16 +164,29 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
             index = own.index()
             lists = [index[np.array(s, np.int64)] for s in table.column("slots").to_pylist()]
             lists = [r[r >= 0] for r in lists]
-            order = np.argsort(mix(table.column("doc_id").to_numpy().astype(U) + U(turn)))
-            _train(own, lists, table.column("label").to_numpy(), order, rate, l2 / max(1, len(lists)))
-            return pa.table({"bias": [float(own.bias)], "weight": [own.weight.tobytes()], "factor": [own.factor.tobytes()]})
-
-        parts = rows.groupBy("shard").applyInArrow(learned, "bias double, weight binary, factor binary").collect()
+            ids, marks = table.column("doc_id").to_numpy().astype(U), table.column("label").to_numpy()
+            aside = mix(ids + U(99)) % U(10) == 0
+            margins = np.array([start.value(lists[k]) for k in np.flatnonzero(aside)])
+            loss = float(np.logaddexp(0, np.where(marks[aside] == 1, -margins, margins)).sum())
+            order = np.argsort(mix(ids + U(turn)))
+            order = order[~aside[order]]
+            if turn == passes:
+                noise = np.random.default_rng(12).normal(0, 0.1, own.factor.shape)
+                own.factor[~told] = noise[~told]
+            if turn < passes + passes_on_all and len(order):
+                _train(own, lists, marks, order, told, l2 / len(lists), turn >= passes)
+            return pa.table({"loss": [loss], "bias": [float(own.bias)], "weight": [own.weight.tobytes()],
+                             "factor": [own.factor.tobytes()]})
+
+        parts = rows.groupBy("shard").applyInArrow(learned, "loss double, bias double, weight binary, factor binary").collect()
+        loss = sum(p.loss for p in parts)
+        if turn >= passes and loss < least_loss:
+            best, least_loss = model, loss
         weight = np.mean([np.frombuffer(p.weight) for p in parts], 0)
         factor = np.mean([np.frombuffer(p.factor) for p in parts], 0).reshape(-1, FACTORS)
         model = Machine(slots, weight, factor, float(np.mean([p.bias for p in parts])))
         common.unpersist()
-    return model
+    return best
 
 
 def _values(model: Machine, index: np.ndarray, texts: Texts) -> np.ndarray:
@@ -169,7 +201,7 @@ def _values(model: Machine, index: np.ndarray, texts: Texts) -> np.ndarray:
 
 def scores(docs: DataFrame, model: Machine) -> DataFrame:
     """``doc_id, score`` per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** 16 terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value.index()

@@ -66,3 +66,17 @@ def test_factors_count_pairs():
     rows = np.array([0, 2, 3])
     pairs = sum(model.factor[i] @ model.factor[j] for k, i in enumerate(rows) for j in rows[k + 1:])
     assert abs(model.value(rows) - 0.25 - pairs) < 1e-9
+
+
+def test_words_that_are_toxic_only_together(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["the", "on", "é", "ing", "st", "re"]) for _ in range(rng.randint(1, 4)))
+    rows, labels = [], []
+    for d in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [word() for _ in range(rng.randint(3, 20))] + ["people"] * a + ["vermin"] * b
+        rng.shuffle(words)
+        rows.append((d, " ".join(words), None))
+        labels.append((d, 1, int(a == b)))  # each word is in as many toxic as other documents
+    got = toxicity.classified(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
+    assert sum(r.predicted == labels[r.doc_id][2] for r in got) >= 0.9 * len(got) > 250

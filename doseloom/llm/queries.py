@@ -1,4 +1,4 @@
-"""The ten operators as queries on the given tables, and what SQL can say of them."""
+"""The operators as queries on the given tables, and what SQL can say of them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseloom.llm import decontaminate, exact, neardup, packing, pii, quality, rangecoder, repeats, sharding, toxicity
+from doseloom.llm import (decontaminate, exact, merkle, neardup, negatives, packing, pii, quality, rangecoder, repeats, sharding,
+                          sql, toxicity, urlfilter)
 from doseloom.plans.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,13 +67,31 @@ def op10_contextual_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(_table(spark, sf, "documents"))
 
 
+def op11_octopus_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.proved(_table(spark, sf, "documents"))
+
+
+#: The rules of the query.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op12_redirect_filter(spark: SparkSession, sf: str) -> DataFrame:
+    found = urlfilter.judged(_table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_slot_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.mined(_table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_curve_packing, op3_range_coder, op4_block_naming, op5_hash_tree, op6_decontamination, op7_repeats,
-    op8_toxicity, op9_near_duplicates, op10_contextual_pii)}
+    op8_toxicity, op9_near_duplicates, op10_contextual_pii, op11_octopus_manifest,
+    op12_redirect_filter, op13_slot_negatives)}
 
 SQL: dict[str, str] = {
-    "op4_block_naming": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op4_block_naming": sql.EXACT,
+    "op11_octopus_manifest": sql.MERKLE,
+    "op12_redirect_filter": sql.url_filter(URL_RULES),
+    "op13_slot_negatives": sql.NEGATIVES,
 }

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseloom.functions.tails import chi2_p_value
+from doseloom.models.newton import class_weights
 
 FEATURES, WEIGHT = "_features", "_weight"
 
@@ -27,16 +28,6 @@ def class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
     return row.n0, row.n1
 
 
-def class_weights(sizes: tuple[int, int], rule: str | Mapping[int, float] | None) -> tuple[float, float]:
-    """Weight per class: none, ``balanced`` (n / (2 n_class)), or given ones."""
-    n0, n1 = sizes
-    if rule is None:
-        return 1.0, 1.0
-    if rule == "balanced":
-        return (n0 + n1) / (2.0 * n0), (n0 + n1) / (2.0 * n1)
-    return float(rule.get(0, 1.0)), float(rule.get(1, 1.0))
-
-
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
                  class_weight: str | Mapping[int, float] | None = None, max_iter: int = 1000,
                  sizes: tuple[int, int] | None = None):
@@ -112,7 +103,7 @@ def logistic_probability(model: Any, features: Sequence[str]) -> Column:
 
 
 def odds_ratios(model: Any, features: Sequence[str], df: DataFrame) -> DataFrame:
-    """exp(coefficient) per feature: the odds ratio per unit, or per SD of a z-score."""
+    """exp(coefficient) per feature: the odds ratio per unit, or per SD of a z-score; any model with coefficients."""
     rows = [(f, float(c), math.exp(c)) for f, c in zip(features, model.coefficients)]
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, odds_ratio double")
 

@@ -1,30 +1,33 @@
 """Grid search and cross-validation with exact scorers.
 
-Folds are a column of a saved table, written by fold, so that a fit reads only
-its training folders and a score only its validation folder. All candidates of
-a fold are scored in one pass, and all scores come from one aggregate. Candidates that
-differ only in the number of trees share one fit of the most trees: a smaller one is its first trees.
+Folds are a column of a saved table, written by fold. Logistic candidates are fitted together by Newton steps
+(``newton``), boosted ones together as well (``boosting``). Other models are fitted one by one in a pool over folds and
+candidates: each fit reads its training folders only, scores its validation folder and writes these rows on their own. All
+scores come from one aggregate. Candidates that differ only in the number of trees share one fit of the most trees: a smaller
+one is its first trees.
 """
 
 from __future__ import annotations
 
-import inspect
 import itertools
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseloom.models import classifiers
+from doseloom.models import boosting, classifiers, newton
 from doseloom.models.features import scale, scaling_facts
 from doseloom.models.folds import stratified_folds
 from doseloom.operators import metrics
 from doseloom.plans.storage import new_folder
 
 Fit = Callable[..., Any]
+_PART_BYTES = 64 << 20
 
 # The parameter grids.
 LOGISTIC_GRID = {"class_weight": ["balanced", {0: 1, 1: 5}, {0: 1, 1: 10}, {0: 1, 1: 15}],
@@ -33,6 +36,7 @@ FOREST_GRID = {"n_estimators": [100, 300], "max_depth": [None, 10], "min_samples
 BOOSTING_GRID = {"n_estimators": [100, 300], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]}
 BOOSTED_TREE_GRID = {"max_depth": [3, 4, 5], "min_child_weight": [1, 3, 5]}
 BOOSTED_TREE_ROUNDS = 200
+BOOSTED_TREE_REST = {"learning_rate": 0.3, "newton": True}  # cuts weighed by Hessians, the rate left as it is
 # End of fixed values.
 
 
@@ -44,7 +48,7 @@ def _shared_fits(fit: Fit, grid: Sequence[Mapping[str, Any]]) -> tuple[list[dict
     """The parameters to fit, and which of these each candidate uses."""
     fits, which = [], []
     for params in grid:
-        if fit not in (classifiers.fit_forest, classifiers.fit_boosted) or "n_estimators" not in params:
+        if fit not in (classifiers.fit_forest, classifiers.fit_boosted, boosting.fit_boosted) or "n_estimators" not in params:
             fits.append(dict(params))
             which.append(len(fits) - 1)
             continue
@@ -73,6 +77,11 @@ def _run_all(tasks: Sequence[Callable[[], Any]], session, parallelism: int) -> l
         return [f.result() for f in futures]
 
 
+def _table_parts(df: DataFrame, features: Sequence[str]) -> int:
+    """Partitions for a table's features, by counted bytes: a fit of few rows is one task per step."""
+    return max(1, math.ceil(df.count() * (len(features) + 2) * 8 / _PART_BYTES))
+
+
 def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[str, Any]],
                 features: Sequence[str], label: str, id_column: str, parallelism: int = 8,
                 scale_inside: bool = True) -> DataFrame:
@@ -80,32 +89,33 @@ def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[
 
     The scaler sees the training folds only.
     """
-    spark = folded.sparkSession
-    parts = []
+    columns = [id_column, label, "fold", "probability", "candidate"]
+    if fit is classifiers.fit_logistic:
+        models = newton.fit_many(folded, features, label, grid, range(folds), scale_inside)
+        return newton.out_of_fold(folded, models, features, [id_column, label]).select(*columns)
     fits, which = _shared_fits(fit, grid)
-    for fold in range(folds):
-        train, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+    if fit is boosting.fit_boosted:
+        ends, found = boosting.fit_many(folded, features, label, fits, range(folds))
+        models = [replace(m.first(grid[c].get("n_estimators", len(m.feature))), candidate=c)
+                  for m in found for c, own in enumerate(which) if own == m.candidate]
+        return boosting.with_probability(folded, ends, models, features, [id_column, label, "fold"], by_fold=True).select(*columns)
+    spark, parts = folded.sparkSession, _table_parts(folded, features)
+    uri = new_folder(spark, "out-of-fold")
+
+    def one(fold: int, own: int) -> None:
+        train, valid = folded.where(F.col("fold") != fold).coalesce(parts), folded.where(F.col("fold") == fold)
         if scale_inside:
             facts = scaling_facts(train, features)
             train, valid = scale(train, facts), scale(valid, facts)
-        known = {}
-        if "sizes" in inspect.signature(fit).parameters:
-            known["sizes"] = classifiers.class_sizes(train, label)
-        models = _run_all([lambda t=train, p={**params, **known}: fit(t, features, label, **p)
-                           for params in fits], spark, parallelism)
-        scored, names = valid, []
-        for i, (params, own) in enumerate(zip(grid, which)):
-            fewer = params.get("n_estimators") if fits[own].get("n_estimators") != params.get("n_estimators") else None
-            model = classifiers.first_trees(models[own], fewer) if fewer else models[own]
-            names.append(f"_p{i}")
-            scored = classifiers.with_probability(model, scored, features, names[-1])
-        long = scored.unpivot([id_column, label, "fold"], names, "_candidate", "probability")
-        parts.append(long.withColumn("candidate", F.substring("_candidate", F.lit(3), F.length("_candidate"))
-                                     .cast("int")).drop("_candidate"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        model = fit(train, features, label, **fits[own])
+        for candidate, (params, used) in enumerate(zip(grid, which)):
+            if used == own:
+                fewer = params.get("n_estimators") != fits[own].get("n_estimators")
+                classifiers.with_probability(classifiers.first_trees(model, params["n_estimators"]) if fewer else model, valid, features) \
+                    .select(id_column, label, "probability").coalesce(parts).write.parquet(f"{uri}/fold={fold}/candidate={candidate}")
+
+    _run_all([lambda f=fold, k=own: one(f, k) for fold in range(folds) for own in range(len(fits))], spark, parallelism)
+    return spark.read.parquet(uri).select(*columns)
 
 
 def fold_scores(pooled: DataFrame, label: str, by: Sequence[str] = ("candidate", "fold"),
@@ -129,20 +139,29 @@ def best_candidate(scores: DataFrame, by: str = "mean_ap") -> int:
     return grid_scores(scores).orderBy(F.desc(by), "candidate").first().candidate
 
 
-def search(df: DataFrame, fit: Fit, grid: Mapping[str, Sequence[Any]], features: Sequence[str], label: str,
-           id_column: str, folds: int, seed: int = 42, parallelism: int = 8, scale_inside: bool = False,
-           hard_labels: bool = False, folded: DataFrame | None = None) -> tuple[dict[str, Any], DataFrame]:
-    """Best parameters by mean average precision, and the score table.
+def search_with_calls(df: DataFrame, fit: Fit, grid: Mapping[str, Sequence[Any]], features: Sequence[str], label: str,
+                      id_column: str, folds: int, seed: int = 42, parallelism: int = 8, scale_inside: bool = False,
+                      hard_labels: bool = False, folded: DataFrame | None = None) -> tuple[dict[str, Any], DataFrame, DataFrame]:
+    """Best parameters by mean average precision, the score table, and the best candidate's out-of-fold rows.
 
     ``folded`` is the same frame with its folds, if ``save_folds`` has written them already.
     """
-    options = candidates(grid)
+    spark, options = df.sparkSession, candidates(grid)
     folded = save_folds(df, id_column, label, folds, seed) if folded is None else folded
-    pooled = out_of_fold(folded, folds, fit, options, features, label, id_column, parallelism, scale_inside)
-    uri = new_folder(df.sparkSession, "grid-scores")
+    calls, uri = new_folder(spark, "grid-calls"), new_folder(spark, "grid-scores")
+    out_of_fold(folded, folds, fit, options, features, label, id_column, parallelism, scale_inside) \
+        .write.partitionBy("candidate").parquet(calls)
+    pooled = spark.read.parquet(calls)
     fold_scores(pooled, label, hard_labels=hard_labels).write.parquet(uri)
-    scores = df.sparkSession.read.parquet(uri)
-    return options[best_candidate(scores)], scores
+    scores = spark.read.parquet(uri)
+    best = best_candidate(scores)
+    return options[best], scores, pooled.where(F.col("candidate") == best)
+
+
+def search(df: DataFrame, fit: Fit, grid: Mapping[str, Sequence[Any]], features: Sequence[str], label: str,
+           id_column: str, folds: int, **more: Any) -> tuple[dict[str, Any], DataFrame]:
+    """Best parameters by mean average precision, and the score table."""
+    return search_with_calls(df, fit, grid, features, label, id_column, folds, **more)[:2]
 
 
 def cross_validated_auc(df: DataFrame, fit: Fit, params: Mapping[str, Any], features: Sequence[str],

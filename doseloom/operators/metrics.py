@@ -32,10 +32,14 @@ def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Dat
             .withColumn("fp", F.col("before_neg") + F.col("neg")))
 
 
-def _ends(run: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per curve."""
-    return run.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 0").drop("n") if by else \
-        run.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+def _with_start(run: DataFrame, by: Sequence[str], point: dict[str, Column], start: dict[str, float]) -> DataFrame:
+    """One row per threshold, and the curve's start beside the highest one."""
+    def row(values: dict[str, Column]) -> Column:
+        return F.struct(*[v.cast("double").alias(c) for c, v in values.items()])
+
+    first = F.col("before_pos") + F.col("before_neg") == 0
+    own, edge = row(point), row({c: F.lit(v) for c, v in start.items()})
+    return run.select(*by, F.inline(F.when(first, F.array(edge, own)).otherwise(F.array(own))))
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -43,23 +47,19 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 
     The curve starts at (0, 0) under an infinite threshold; collinear points are kept.
     """
-    run = _cumulative(df, label, score, by)
-    points = run.select(*by, "threshold",
-                        F.try_divide(F.col("fp").cast("double"), F.col("all_neg")).alias("fpr"),
-                        F.try_divide(F.col("tp").cast("double"), F.col("all_pos")).alias("tpr"))
-    return points.unionByName(_ends(run, by).select(*by, F.lit(float("inf")).alias("threshold"),
-                                                    F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
+    return _with_start(_cumulative(df, label, score, by), by, {
+        "threshold": F.col("threshold"), "fpr": F.try_divide(F.col("fp").cast("double"), F.col("all_neg")),
+        "tpr": F.try_divide(F.col("tp").cast("double"), F.col("all_pos"))},
+        {"threshold": float("inf"), "fpr": 0.0, "tpr": 0.0})
 
 
 def precision_recall_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``threshold, precision, recall`` per distinct score, and the end: recall 0 at precision 1
     under an infinite threshold."""
-    run = _cumulative(df, label, score, by)
-    points = run.select(*by, "threshold",
-                      (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                      F.try_divide(F.col("tp").cast("double"), F.col("all_pos")).alias("recall"))
-    return points.unionByName(_ends(run, by).select(*by, F.lit(float("inf")).alias("threshold"),
-                                                    F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
+    return _with_start(_cumulative(df, label, score, by), by, {
+        "threshold": F.col("threshold"), "precision": F.col("tp").cast("double") / (F.col("tp") + F.col("fp")),
+        "recall": F.try_divide(F.col("tp").cast("double"), F.col("all_pos"))},
+        {"threshold": float("inf"), "precision": 1.0, "recall": 0.0})
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

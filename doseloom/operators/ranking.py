@@ -204,15 +204,16 @@ def hash_order(df: DataFrame, id_columns: Sequence[str], by: Sequence[str], seed
                into: str = "ordinal", size_into: str = "group_size") -> DataFrame:
     """Exact shuffled position (from 1) of every row inside its group.
 
-    The order is that of a seeded hash, so it is repeatable on any cluster and
-    after lost tasks. ``id_columns`` must identify a row: then hash values are
+    The order is that of a seeded hash (the first 60 bits of md5 of seed and ids, joined by ``:``), so it is repeatable on any
+    cluster, in any engine and after lost tasks. ``id_columns`` must identify a row: then hash values are
     spread evenly, and plain ranges of the hash are even buckets, also inside a
     group that holds most rows. The rows are shuffled once.
     """
     keys = [*by, _BUCKET]
     levels = _levels(df)
-    hashed = df.withColumn("_hash", F.xxhash64(*id_columns, F.lit(seed))) \
-        .withColumn(_BUCKET, F.shiftright("_hash", 64 - levels).cast("int")).repartition(*keys)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_columns]).cast("binary"))
+    hashed = df.withColumn("_hash", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")) \
+        .withColumn(_BUCKET, F.shiftright("_hash", 60 - levels).cast("int")).repartition(*keys)
     counts = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),

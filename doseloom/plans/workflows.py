@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseloom.functions.text import parse_region
-from doseloom.models import classifiers, features, selection
+from doseloom.models import boosting, classifiers, features, newton, selection
 from doseloom.operators import (association, cohort, hierarchy, incidence, intervals, matching, metrics, ranking,
                                 regions, scoring, survey)
 from doseloom.plans import storage
@@ -70,7 +70,7 @@ def evaluate(standardised: DataFrame, phenotype: DataFrame, status: str = "statu
     merged = association.merge_phenotype(standardised, phenotype, status, keep_unrecorded)
     merged = storage.cut_lineage(merged.select("s", "prs_zscore", F.col(status).cast("int").alias(status)))
     z = "prs_zscore"
-    model = classifiers.fit_logistic(merged, [z], status)
+    model = newton.fit_one(merged, [z], status)
     scored = storage.cut_lineage(
         merged.withColumn("probability", classifiers.logistic_probability(model, [z])))
     cut = metrics.youden_threshold(scored, status, "probability")
@@ -151,21 +151,20 @@ def compare_survey_models(matrix: DataFrame, feature_names: Sequence[str] = surv
     """Tune logistic regression and boosted trees, pool their out-of-fold
     calls, and report metrics, curves and per-feature statistics."""
     data = storage.cut_lineage(matrix)
-    trees = {**(tree_grid or selection.BOOSTED_TREE_GRID), "n_estimators": [rounds]}
-    fits = {"lr": (classifiers.fit_logistic, logistic_grid or selection.LOGISTIC_GRID),
-            "trees": (classifiers.fit_boosted, trees)}
+    trees = {**(tree_grid or selection.BOOSTED_TREE_GRID), "n_estimators": [rounds],
+             **{k: [v] for k, v in selection.BOOSTED_TREE_REST.items()}}
     folded = selection.save_folds(data, id_column, label, folds)
-    best, pooled, importances = {}, None, {}
     scaled = features.scale(data, features.scaling_facts(data, feature_names))
-    for name, (fit, grid) in fits.items():
-        best[name], _ = selection.search(data, fit, grid, feature_names, label, id_column, folds, scale_inside=True,
-                                         folded=folded)
-        part = selection.out_of_fold(folded, folds, fit, [best[name]], feature_names, label, id_column) \
-            .withColumn("model", F.lit(name))
-        pooled = part if pooled is None else pooled.unionByName(part)
-        model = fit(scaled, feature_names, label, **best[name])
-        importances[name] = (model.coefficients.toArray() if name == "lr"
-                             else model.featureImportances.toArray())
+    best_lr, _, lr_calls = selection.search_with_calls(
+        data, classifiers.fit_logistic, logistic_grid or selection.LOGISTIC_GRID, feature_names, label, id_column, folds,
+        scale_inside=True, folded=folded)
+    best_trees, _, tree_calls = selection.search_with_calls(
+        data, boosting.fit_boosted, trees, feature_names, label, id_column, folds, folded=folded)
+    best = {"lr": best_lr, "trees": best_trees}
+    # The search has scored every row by models fitted without its fold; the best candidate's rows are the pooled calls.
+    pooled = lr_calls.withColumn("model", F.lit("lr")).unionByName(tree_calls.withColumn("model", F.lit("trees")))
+    importances = {"lr": newton.fit_one(scaled, feature_names, label, **best_lr).coefficients,
+                   "trees": boosting.fit_boosted(data, feature_names, label, **best_trees)[1].importances(len(feature_names))}
     pooled = storage.cut_lineage(pooled)
     predicted = pooled.withColumn("called", (F.col("probability") > 0.5).cast("int"))
     effects = features.with_p_values(features.feature_effects(scaled, feature_names, label))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from doseloom.models import features
 from doseloom.operators import cohort, survey
+from standins import fits, query
 from standins import frames as f
-from standins import query
 
 _LATEST = f"""{f.ANSWERS_SQL}, latest AS (
   SELECT person_id, question, arg_max(answer, (survey_datetime, event_id)) AS answer
@@ -148,7 +148,9 @@ def feature_effect(spark, sf):
                       F.round("t_stat", 6).alias("t_stat"), "degrees", F.round("cohens_d", 6).alias("cohens_d"))
 
 
-@query("feature_p_values")
+@query("feature_p_values", f"""WITH {_EFFECT_SQL}, t AS (SELECT *, cast(n1 + n0 - 2 AS double) AS degrees,
+  (mean1 - mean0) / sqrt(((n1 - 1) * var1 + (n0 - 1) * var0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t_stat FROM g)
+SELECT feature, round(t_stat, 6) AS t_stat, degrees, round({fits.t_tail('t_stat', 'degrees')}, 9) AS p_value FROM t""")
 def feature_p_values(spark, sf):
-    """The t tail has no SQL function; tests check it against known values."""
-    return features.with_p_values(features.feature_effects(_effect_rows(spark, sf), _EFFECT_COLUMNS, "y"))
+    out = features.with_p_values(features.feature_effects(_effect_rows(spark, sf), _EFFECT_COLUMNS, "y"))
+    return out.select("feature", F.round("t_stat", 6).alias("t_stat"), "degrees", F.round("p_value", 9).alias("p_value"))

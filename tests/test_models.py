@@ -1,11 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from doseloom.functions.tails import chi2_tail_1df, t_two_sided
-from doseloom.models import classifiers, features, folds, selection
+from doseloom.functions.tails import chi2_p_value, erfc, t_p_value
+from doseloom.models import boosting, classifiers, features, folds, newton, selection
 from doseloom.operators import metrics
 
 NAMES = ["a", "b"]
@@ -20,7 +21,7 @@ def table(spark):
     return x, y, spark.createDataFrame(rows, "id long, a double, b double, y int").cache()
 
 
-def newton(x, y, strength, weights):
+def optimum(x, y, strength, weights):
     """Minimise sum w logloss + |coef|^2 / (2 C), intercept free."""
     design = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag([0.0] + [1.0 / strength] * x.shape[1])
@@ -40,7 +41,9 @@ def test_logistic_is_the_penalised_optimum(table, strength, rule):
     n = len(y)
     w = {None: (1, 1), "balanced": (n / 2 / (y == 0).sum(), n / 2 / (y == 1).sum())}.get(
         rule if not isinstance(rule, dict) else "x", (1, 5))
-    want = newton(x, y, strength, np.where(y == 1, w[1], w[0]))
+    want = optimum(x, y, strength, np.where(y == 1, w[1], w[0]))
+    own = newton.fit_one(df, NAMES, "y", strength, rule)
+    assert [own.intercept, *own.coefficients] == pytest.approx(want.tolist(), abs=1e-10)
     assert [model.intercept, *model.coefficients] == pytest.approx(want.tolist(), abs=1e-5)
     ratios = {r.feature: r.odds_ratio for r in classifiers.odds_ratios(model, NAMES, df).collect()}
     assert ratios["a"] == pytest.approx(math.exp(want[1]), rel=1e-4)
@@ -56,24 +59,52 @@ def test_model_tests(table):
     p = 1 / (1 + np.exp(-(model.intercept + x @ np.array(model.coefficients))))
     correct = ((p > 0.5) == (y == 1)).sum()
     assert row.n == 300 and row.accuracy == pytest.approx(correct / 300)
-    assert row.accuracy_chi2_tail == pytest.approx(chi2_tail_1df(float(correct)), rel=1e-9)
+    assert row.accuracy_chi2_tail == pytest.approx(math.erfc(math.sqrt(correct / 2)), rel=1e-9)
     fitted = np.sum(np.where(y == 1, np.log(p), np.log(1 - p)))
     null = y.sum() * math.log(y.mean()) + (1 - y).sum() * math.log(1 - y.mean())
     assert row.likelihood_ratio == pytest.approx(2 * (fitted - null))
 
 
+def tail(spark, t, df):
+    rows = spark.createDataFrame([(float(t), float(df)), (-float(t), float(df))], "t double, df double")
+    found = [r[0] for r in rows.select(t_p_value(F.col("t"), F.col("df"))).collect()]
+    assert found[0] == found[1]
+    return found[0]
+
+
 @pytest.mark.parametrize("t,df,p", [  # from published tables
     (12.706, 1, 0.05), (2.228, 10, 0.05), (1.96, 1e7, 0.05), (3.169, 10, 0.01), (0.0, 5, 1.0), (1.372, 10, 0.2)])
-def test_t_tail(t, df, p):
-    assert t_two_sided(t, df) == pytest.approx(p, rel=2e-3)
-    assert t_two_sided(-t, df) == t_two_sided(t, df)
+def test_t_tail(spark, t, df, p):
+    assert tail(spark, t, df) == pytest.approx(p, rel=2e-3)
 
 
-def test_t_tail_closed_forms_and_chi2():
+def test_t_tail_closed_forms_and_chi2(spark):
     for t in (0.3, 1.0, 4.0, 40.0):
-        assert t_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-9)
-        assert t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
-    assert chi2_tail_1df(3.841459) == pytest.approx(0.05, rel=1e-5)
+        assert tail(spark, t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-9)
+        assert tail(spark, t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
+    assert tail(spark, math.inf, 3) == 0.0
+    edge = spark.createDataFrame([(None, 3.0), (float("nan"), 3.0), (1.0, 0.0)], "t double, df double")
+    assert [r[0] for r in edge.select(t_p_value(F.col("t"), F.col("df"))).collect()] == [None] * 3
+    xs = [0.0, 1e-9, 0.01, 1.0, 3.841459, 7.9, 8.1, 50.0, 900.0, -1.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(chi2_p_value(F.col("x"))).collect()
+    assert [r[0] for r in got] == pytest.approx([math.erfc(math.sqrt(max(x, 0) / 2)) for x in xs], rel=1e-12)
+    zs = [0.0, 0.5, 1.999, 2.0, 2.5, 6.0, 20.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(erfc(F.col("z"))).collect()
+    assert [r[0] for r in got] == pytest.approx([math.erfc(z) for z in zs], rel=1e-12)
+
+
+def test_tails_need_no_python_worker(spark):
+    plan = spark.range(1).select(t_p_value(F.rand(), F.lit(3.0)), chi2_p_value(F.rand()))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
+def t_by_steps(t, df, steps=200_000):
+    """The tail as one minus a Simpson sum of the density from -t to t."""
+    x = np.linspace(0, abs(t), steps + 1)
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - (df + 1) / 2 * np.log1p(x * x / df)) / math.sqrt(df * math.pi)
+    weight = np.where(np.arange(steps + 1) % 2, 4.0, 2.0)
+    weight[[0, -1]] = 1.0
+    return 1 - 2 * float(density @ weight) * abs(t) / steps / 3
 
 
 def test_feature_effects(table):
@@ -84,7 +115,7 @@ def test_feature_effects(table):
         v1, v0 = one.var(ddof=1), zero.var(ddof=1)
         pooled = ((len(one) - 1) * v1 + (len(zero) - 1) * v0) / (len(y) - 2)
         t = (one.mean() - zero.mean()) / math.sqrt(pooled * (1 / len(one) + 1 / len(zero)))
-        assert rows[name].t_stat == pytest.approx(t) and rows[name].p_value == pytest.approx(t_two_sided(t, 298))
+        assert rows[name].t_stat == pytest.approx(t) and rows[name].p_value == pytest.approx(t_by_steps(t, 298), rel=1e-6)
         assert rows[name].cohens_d == pytest.approx((one.mean() - zero.mean()) / math.sqrt((v1 + v0) / 2))
 
 
@@ -165,8 +196,10 @@ def test_candidates_share_the_fit_with_most_trees(table):
     grid = {"n_estimators": [2, 4], "max_depth": [2, 3]}
     fits, which = selection._shared_fits(classifiers.fit_boosted, selection.candidates(grid))
     assert [f["n_estimators"] for f in fits] == [4, 4] and which == [0, 1, 0, 1]
-    _, scores = selection.search(df, classifiers.fit_boosted, grid, NAMES, "y", "id", folds=2)
-    assert scores.count() == 8
+    for fit in (boosting.fit_boosted, classifiers.fit_forest):
+        best, scores, pooled = selection.search_with_calls(df, fit, grid, NAMES, "y", "id", folds=2)
+        assert scores.count() == 8 and best in selection.candidates(grid)
+        assert pooled.count() == 300 and pooled.select("id").distinct().count() == 300
 
 
 def test_registered_searches_are_whole(monkeypatch):
@@ -177,5 +210,105 @@ def test_registered_searches_are_whole(monkeypatch):
     monkeypatch.setattr(selection, "search", lambda df, fit, grid, *_, folds, **__: asked.append((fit, grid, folds)) or ({}, None))
     models.boosted_trees_grid(None, None)
     models._tuned(None, classifiers.fit_forest, selection.FOREST_GRID)
-    trees = {"max_depth": [3, 4, 5], "min_child_weight": [1, 3, 5], "n_estimators": [200]}
-    assert asked == [(classifiers.fit_boosted, trees, 5), (classifiers.fit_forest, selection.FOREST_GRID, 5)]
+    trees = {"max_depth": [3, 4, 5], "min_child_weight": [1, 3, 5], "n_estimators": [200], "learning_rate": [0.3], "newton": [True]}
+    assert asked == [(boosting.fit_boosted, trees, 5), (classifiers.fit_forest, selection.FOREST_GRID, 3)]
+
+
+def test_many_logistic_fits_are_each_its_own(spark, table):
+    """All pairs of one search against a plain Newton fit of each on its scaled training rows."""
+    x, y, df = table
+    folded = folds.stratified_folds(df, "id", "y", 3)
+    fold = np.array([r.fold for r in folded.orderBy("id").collect()])
+    grid = [{"C": 0.01, "class_weight": "balanced"}, {"C": 10.0, "class_weight": {0: 1, 1: 15}}, {}]
+    fits = newton.fit_many(folded.repartition(5), NAMES, "y", grid, range(3), scale_inside=True)
+    assert [(f.candidate, f.fold) for f in fits] == [(c, k) for k in range(3) for c in range(3)]
+    for f in fits:
+        use, params = fold != f.fold, grid[f.candidate]
+        mean, sd = x[use].mean(0), x[use].std(0)
+        n1, n0 = (y[use] == 1).sum(), (y[use] == 0).sum()
+        rule = params.get("class_weight")
+        w = {"balanced": (use.sum() / 2 / n0, use.sum() / 2 / n1), None: (1, 1)}.get(rule if not isinstance(rule, dict) else 0, (1, 15))
+        want = optimum((x[use] - mean) / sd, y[use], params.get("C", 1.0), np.where(y[use] == 1, w[1], w[0]))
+        coefficients = want[1:] / sd
+        assert f.coefficients == pytest.approx(tuple(coefficients), abs=1e-9)
+        assert f.intercept == pytest.approx(want[0] - coefficients @ mean, abs=1e-9)
+    calls = newton.out_of_fold(folded, fits, NAMES, ["id"]).collect()
+    assert len(calls) == 900
+    named = {(f.candidate, f.fold): f for f in fits}
+    for r in calls[:50]:
+        f = named[r.candidate, r.fold]
+        assert r.probability == pytest.approx(1 / (1 + math.exp(-(f.intercept + x[r.id] @ f.coefficients))))
+
+
+def test_one_class_and_missing_values(spark, table):
+    _, _, df = table
+    one = df.withColumn("y", F.lit(1))
+    for fit in (lambda: newton.fit_one(one, NAMES, "y"), lambda: boosting.fit_boosted(one, NAMES, "y"),
+                lambda: newton.fit_one(df.limit(0), NAMES, "y"), lambda: classifiers.fit_logistic(one, NAMES, "y", class_weight="balanced")):
+        with pytest.raises(newton.EmptyClassError):
+            fit()
+    holes = df.unionByName(spark.createDataFrame([(900, None, 1.0, 1), (901, 1.0, 1.0, None)], df.schema))
+    assert newton.fit_one(holes, NAMES, "y").coefficients == pytest.approx(newton.fit_one(df, NAMES, "y").coefficients, abs=1e-12)
+    ends, model = boosting.fit_boosted(holes, NAMES, "y", n_estimators=2)
+    got = boosting.with_probability(holes, ends, [model], NAMES, ["id"]).where("id >= 900").orderBy("id").collect()
+    assert got[0].probability is None and 0 < got[1].probability < 1
+    apart = spark.createDataFrame([(float(k), int(k > 5)) for k in range(12)], "a double, y int")  # separable: the penalty holds
+    assert 0.5 < newton.fit_one(apart, ["a"], "y", C=100.0).coefficients[0] < 50
+
+
+def plain_boosting(x, y, rounds, rate, depth, least, second):
+    """Margins of exact greedy boosting, cuts tried one by one."""
+    margin = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+    l2 = 1.0 if second else 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def leaf(rows):
+            return -rate * g[rows].sum() / (h[rows].sum() + l2)
+
+        def split(rows, level):
+            if level == depth:
+                return [(rows, leaf(rows))]
+            weigh = (lambda r: h[r].sum() + l2) if second else len
+            size = (lambda r: h[r].sum()) if second else len
+            best = (1e-9, None)
+            for f in range(x.shape[1]):
+                for cut in np.unique(x[rows, f])[:-1]:
+                    a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if min(size(a), size(b)) >= least:
+                        gain = sum(g[r].sum() ** 2 / weigh(r) for r in (a, b)) - g[rows].sum() ** 2 / weigh(rows)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (a, b))
+            if best[1] is None:
+                return [(rows, leaf(rows))]
+            return split(best[1][0], level + 1) + split(best[1][1], level + 1)
+
+        for rows, value in split(np.arange(len(y)), 0):
+            margin[rows] += value
+    return margin
+
+
+@pytest.mark.parametrize("second,least", [(True, 3), (False, 1)])
+def test_boosting_is_exact_greedy_and_alike_in_both_ways(spark, second, least):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 2)).round(2)
+    y = (rng.random(120) < 1 / (1 + np.exp(-2 * x[:, 0] * x[:, 1]))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(k), i % 3) for i, ((a, b), k) in enumerate(zip(x, y))],
+                               "id long, a double, b double, y int, fold int").repartition(3)
+    grid = [{"n_estimators": 12, "max_depth": 3, "min_child_weight": least, "newton": second, "learning_rate": 0.3},
+            {"n_estimators": 3, "max_depth": 2, "min_child_weight": least, "newton": second}]
+    for few in (boosting.FEW_BYTES, 0):
+        ends, models = boosting.fit_many(df, NAMES, "y", grid, (0, boosting.ALL_ROWS), few_bytes=few)
+        got = boosting.with_probability(df.drop("fold"), ends, [m for m in models if m.fold == boosting.ALL_ROWS], NAMES, ["id"]).collect()
+        for c, params in enumerate(grid):
+            want = 1 / (1 + np.exp(-plain_boosting(x, y, params["n_estimators"], params.get("learning_rate", 0.1), params["max_depth"],
+                                                   least, second)))
+            assert [r.probability for r in sorted(got, key=lambda r: r.id) if r.candidate == c] == pytest.approx(list(want), abs=1e-9)
+        use = np.arange(120) % 3 != 0
+        own = boosting.with_probability(df, ends, [m for m in models if m.fold == 0], NAMES, ["id"], by_fold=True).collect()
+        assert sorted({r.id for r in own}) == list(range(0, 120, 3)) and len(own) == 80
+        other = plain_boosting(x[use], y[use], 12, 0.3, 3, least, second)
+        assert models[0].margins(boosting.binned([pa.array(x[use, 0]), pa.array(x[use, 1])], ends)) == pytest.approx(other, abs=1e-9)
+        assert models[0].first(5).margins(np.zeros((1, 2), np.uint8)).shape == (1,)
+        assert models[0].importances(2).sum() == pytest.approx(1)

@@ -9,8 +9,6 @@ import standins
 # Queries of subpackages are tested beside them.
 QUERIES = {name: build for name, build in entry.queries().items() if name in standins.QUERIES}
 SQL = standins.SQL
-# Queries that fit several models; covered by test_models on small fixtures.
-SLOW = {"logistic_grid", "model_comparison", "boosted_trees_grid", "pooled_fold_report", "cv_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +21,7 @@ def test_same_rows_as_sql(spark, sf, con, name):
     assert oracle_check.compare(QUERIES[name](spark, sf), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_without_sql(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from doseloom.functions import genotype as g
 from doseloom.functions.text import parse_region
 from doseloom.operators.cohort import keep_ids
 from doseloom.operators.intervals import in_region
+from doseloom.plans.storage import cut_lineage
 
 CHUNK = 1_000
 MAX_BROADCAST_CHUNKS = 20_000  # 20 MB of bases
@@ -81,18 +79,48 @@ def _islands(edits: DataFrame) -> DataFrame:
             .select(*edits.columns, "island"))
 
 
-def _first_wins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edits in order of their islands: an edit stays when it starts at or after the last kept stop."""
-    island, last = None, 0
-    for batch in batches:
-        keep = []
-        for key, start, stop in zip(zip(*(batch.column(i).to_pylist() for i in range(3))),
-                                    batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            fits = key != island or start >= last
-            if fits:
-                island, last = key, stop
-            keep.append(fits)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def _pointers(edits: DataFrame) -> DataFrame:
+    """Add ``idx``, an edit's number within its sample and contig, and ``jump``, that of the next edit that starts at or after its stop.
+
+    Both are counts of the starts before a position, from one sweep over starts and stops together, in blocks.
+    """
+    keys = ["s", "contig"]
+    starts = edits.select(*keys, "row", F.col("start").alias("_pos"), F.lit(1).alias("_kind"), "stop", "alt", "ref")
+    stops = edits.select(*keys, "row", F.col("stop").alias("_pos"), F.lit(0).alias("_kind"), "stop", "alt", "ref")
+    events = starts.unionByName(stops).withColumn("_block", F.floor(F.col("_pos") / ISLAND_BLOCK)).repartition(*keys, "_block")
+    # A stop comes before the starts at its place, so it counts those before it only.
+    in_block = Window.partitionBy(*keys, "_block").orderBy("_pos", "_kind", "stop", "alt", "ref", "row") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = events.groupBy(*keys, "_block").agg(F.sum("_kind").alias("_n")) \
+        .select(*keys, "_block", F.coalesce(F.sum("_n").over(over_blocks), F.lit(0)).alias("_before"))
+    counted = events.withColumn("_in", F.sum("_kind").over(in_block)).join(offsets, [*keys, "_block"])
+    count = F.col("_before") + F.col("_in")
+    return edits.join(counted.groupBy("row").agg(F.max(F.when(F.col("_kind") == 1, count - 1)).alias("idx"),
+                                                 F.max(F.when(F.col("_kind") == 0, count)).alias("jump")), "row")
+
+
+def _first_wins(crowded: DataFrame) -> DataFrame:
+    """Of overlapping edits, those that a walk in order keeps: each starts at or after the last kept stop.
+
+    The walk is a chain of jumps from the first edit of an island. Jumps are doubled: once edits at a distance under
+    2 ** k are marked, those 2 ** k jumps further are marked as well, so a chain of n edits takes log n joins, and an island is
+    as many rows to spread as it has edits.
+    """
+    columns, keys = crowded.columns, ["s", "contig", "island"]
+    state = _pointers(cut_lineage(crowded.withColumn("row", F.monotonically_increasing_id())))
+    head = F.col("idx") == F.min("idx").over(Window.partitionBy(*keys))
+    here = state.select(*keys, F.col("idx").alias("jump"), F.lit(True).alias("_there"))
+    # A jump out of the island leads nowhere: the next island has a head of its own.
+    state = cut_lineage(state.withColumn("kept", head).join(here, [*keys, "jump"], "left")
+                        .withColumn("jump", F.when(F.col("_there"), F.col("jump"))).drop("_there"))
+    while not state.where("jump is not null").isEmpty():
+        reached = state.where("kept and jump is not null").select(*keys, F.col("jump").alias("idx"), F.lit(True).alias("_reached"))
+        far = state.where("jump is not null").select(*keys, F.col("idx").alias("jump"), F.col("jump").alias("_far"))
+        state = cut_lineage(state.join(reached, [*keys, "idx"], "left").join(far, [*keys, "jump"], "left")
+                            .withColumn("kept", F.col("kept") | F.col("_reached").isNotNull())
+                            .withColumn("jump", F.col("_far")).drop("_reached", "_far"))
+    return state.where("kept").select(*columns)
 
 
 def applied_edits(calls: DataFrame) -> DataFrame:
@@ -101,8 +129,7 @@ def applied_edits(calls: DataFrame) -> DataFrame:
     Variants are taken by position; one that starts inside the reference span
     of an applied one is skipped (the first wins). Overlap can only chain
     inside an island, a run of variants whose spans touch: an edit alone in its
-    island is applied, the others stream past in order, with the last
-    stop as the only state.
+    island is applied, of the others a chain of jumps from the island's first one.
     """
     edits = (calls.withColumn("_index", _first_alt(F.col("gt")))
              .where(F.col("_index").isNotNull())
@@ -110,12 +137,11 @@ def applied_edits(calls: DataFrame) -> DataFrame:
                      F.get("alleles", F.lit(0)).alias("ref"),
                      F.get("alleles", F.col("_index")).alias("alt"))
              .withColumn("stop", F.col("start") + F.length("ref")))
-    keys = ["s", "contig", "island"]
-    counted = _islands(edits).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    columns = [*keys, "start", "stop", "alt", "ref"]
+    keys, columns = ["s", "contig", "island"], ["s", "contig", "start", "stop", "alt", "ref"]
+    counted = cut_lineage(_islands(edits).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     alone = counted.where("_n = 1").select(*columns)
-    crowded = counted.where("_n > 1").select(*columns).repartition(*keys).sortWithinPartitions(*keys, "start", "stop", "alt", "ref")
-    return alone.unionByName(crowded.mapInArrow(_first_wins, crowded.schema)).drop("island")
+    crowded = counted.where("_n > 1").select(*keys, "start", "stop", "alt", "ref")
+    return alone if crowded.isEmpty() else alone.unionByName(_first_wins(crowded).select(*columns))
 
 
 def reference_chunks(bases: DataFrame, region: str, chunk: int = CHUNK) -> DataFrame:

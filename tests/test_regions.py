@@ -52,6 +52,32 @@ def test_consensus_is_a_walk(spark, block, chunk, region, monkeypatch):
     assert set(got) == {"s1", "s2", "s4"}
 
 
+@pytest.mark.parametrize("block", [50, 1_000_000])
+def test_one_long_island_is_a_chain_of_jumps(spark, monkeypatch, block):
+    """An island of thousands of edits: the walk's choice, and no task holds the island."""
+    monkeypatch.setattr(regions, "ISLAND_BLOCK", block)
+    rng, rows = random.Random(9), []
+    for p in range(1, 4000, 2):
+        rows.append(("chr6", p, ["A" * rng.randint(3, 9), "C"], "s1", [1, 1], None))
+    rows += [("chr6", p, ["AA", "C"], "s2", [1, 1], None) for p in range(1, 60)]  # every second one
+    rows += [("chr6", 7, ["AAA", "G"], "s3", [1, 1], None)] * 2 + [("chr7", 8, ["A", "G"], "s3", [0, 1], None)]
+    df = regions.applied_edits(spark.createDataFrame(rows, CALLS).repartition(6))
+    got, want = sorted((r.s, r.contig, r.start) for r in df.collect()), []
+    for s in ("s1", "s2", "s3"):
+        last = {}
+        for c, p, alleles, t, *_ in sorted((r for r in rows if r[3] == s), key=lambda r: (r[0], r[1], len(r[2][0]))):
+            if p >= last.get(c, 0):
+                want.append((s, c, p))
+                last[c] = p + len(alleles[0])
+    assert got == sorted(want)
+
+
+def test_applied_edits_run_no_python(spark):
+    rows = [("chr6", p, ["AAA", "C"], "s", [1, 1], None) for p in range(1, 30)]
+    plan = regions.applied_edits(spark.createDataFrame(rows, CALLS))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_slice_and_count(spark):
     rows = [("chr6", p, ["A", "C"], s, [0, 1], None) for p in (99, 100, 150, 200) for s in ("a", "b")]
     calls = spark.createDataFrame(rows, CALLS)

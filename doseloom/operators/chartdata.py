@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +55,33 @@ def box_stats(df: DataFrame, value: str, group: str, reach: float = 1.5) -> Data
 def density(df: DataFrame, value: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth, exact sum.
 
-    Distinct values carry their counts; each meets the fixed grid points, and
-    partial sums per grid point are made in the task that holds the values.
+    A task adds up the kernels of its distinct values in one array of ``grid`` numbers and returns that array; the
+    arrays are added element by element. Values that do not differ have no density: no rows.
     """
     kept = ranking.present(df, value)
-    facts = kept.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("low"),
-        F.max(value).cast("double").alias("high"),
-        (F.stddev_samp(value) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h")).alias("f")).scalar()
-    counts = kept.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("_f", facts)
-    h = F.col("_f.h")
-    low, high = F.col("_f.low") - cut * h, F.col("_f.high") + cut * h
-    points = counts.select(value, "n", "_f", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    at = low + F.col("point") * (high - low) / (grid - 1)
-    distance = (at - F.col(value)) / h
-    kernel = F.exp(-0.5 * distance * distance)
-    scale = F.col("_f.n") * h * F.sqrt(F.lit(2.0) * F.pi())
-    return (points.select("point", at.alias("x"), (kernel * F.col("n") / scale).alias("part"))
-            .groupBy("point").agg(F.min("x").alias("x"), F.sum("part").alias("density")))
+    facts = kept.agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"),
+        (F.stddev_samp(value) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h")).where("h > 0") \
+        .select("n", "h", (F.col("low") - cut * F.col("h")).alias("low"),
+                ((F.col("high") - F.col("low") + 2 * cut * F.col("h")) / (grid - 1)).alias("step"))
+    one = facts.agg(F.first(F.struct("n", "h", "low", "step"))).scalar()
+    counts = kept.groupBy(F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = counts.withColumn("f", one).where("f is not null").select("value", "n", "f.h", "f.low", "f.step")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(grid)
+        for batch in batches:
+            x, n, h, low, step = (c.to_numpy() for c in batch.columns)
+            for a in range(0, len(x), 1024):
+                at = low[0] + np.arange(grid) * step[0]
+                distance = (at[None, :] - x[a:a + 1024, None]) / h[0]
+                total += n[a:a + 1024] @ np.exp(-0.5 * distance * distance)
+        yield pa.RecordBatch.from_pydict({"kernels": [total.tolist()]})
+
+    parts = rows.mapInArrow(summed, "kernels array<double>").select(F.posexplode("kernels").alias("point", "part"))
+    scale = F.col("f.n") * F.col("f.h") * F.sqrt(F.lit(2.0) * F.pi())
+    return (parts.groupBy("point").agg(F.sum("part").alias("total")).withColumn("f", one).where("f is not null")
+            .select("point", (F.col("f.low") + F.col("point") * F.col("f.step")).alias("x"), (F.col("total") / scale).alias("density")))
 
 
 def score_percentile_points(scores: DataFrame, id_column: str, value: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from doseloom.functions import genotype as g
 from doseloom.operators.guards import conforms
 from doseloom.plans.sizing import BROADCAST_ROWS
+from doseloom.plans.storage import cut_lineage
+from doseloom.sources.readers import Genotypes
 
 LOCUS = ["contig", "position"]
 SALTS = 16
@@ -45,22 +47,37 @@ def few_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> bool
     return weights.count() <= max_broadcast
 
 
+def hot_loci(rows: DataFrame, salt_by: str, one_in: int = 64) -> DataFrame:
+    """Loci that hold so many rows that they would fill a shuffle task, with their rows in a hash sample.
+
+    One in ``one_in`` rows is counted by locus; a locus is hot with more than a quarter of the rows that a shuffle task
+    gets on average. At most four times as many loci as tasks can be hot, however many rows there are.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sampled = rows.where(F.pmod(F.xxhash64(*LOCUS, salt_by), F.lit(one_in)) == 0).groupBy(*LOCUS).agg(F.count(F.lit(1)).alias("sampled"))
+    total = sampled.agg(F.sum("sampled")).scalar()
+    return sampled.where((F.col("sampled") * (4 * tasks) > total) & (F.col("sampled") > 1))
+
+
 def with_weights(rows: DataFrame, weights: DataFrame, how: str = "inner", salt_by: str | None = None,
                  few: bool | None = None) -> DataFrame:
     """Rows met with the one weight at their locus.
 
-    Few weights are broadcast. Otherwise both sides are shuffled; with
-    ``salt_by`` the rows of one locus go to ``SALTS`` tasks by that column,
-    each with its copy of the weight.
+    Few weights are broadcast. Otherwise both sides are shuffled and merged; with
+    ``salt_by`` the rows of each hot locus go to ``SALTS`` tasks by that column,
+    each with its copy of the weight, and all other weights are sent once.
     """
     chosen = one_weight_per_locus(weights)
     if few_weights(weights) if few is None else few:
         return rows.join(F.broadcast(chosen), LOCUS, how)
     if salt_by is None:
-        return rows.join(chosen, LOCUS, how)
-    copies = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, [*LOCUS, "_salt"], how).drop("_salt")
+        return rows.join(chosen.hint("merge"), LOCUS, how)
+    hot = F.broadcast(cut_lineage(hot_loci(rows, salt_by).select(*LOCUS, F.lit(True).alias("_hot"))))
+    copies = chosen.join(hot, LOCUS, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))).drop("_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = rows.join(hot, LOCUS, "left").withColumn("_salt", salt).drop("_hot")
+    return salted.join(copies.hint("merge"), [*LOCUS, "_salt"], how).drop("_salt")
 
 
 def annotate_variants(variants: DataFrame, weights: DataFrame) -> DataFrame:
@@ -85,15 +102,18 @@ def call_dosages(calls: DataFrame, weights: DataFrame, allele_specific: bool = F
             .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place"))
 
 
-def prune_calls(calls: DataFrame, weights: DataFrame, block_size: int) -> DataFrame:
-    """Calls whose (contig, block) holds a weight, for calls stored in blocks of ``block_size``.
+def prune_calls(data: Genotypes, weights: DataFrame) -> DataFrame:
+    """Calls whose (contig, block) holds a weight; all calls where they are not stored in blocks.
 
-    A semi join, whatever the number of blocks: where the weights' blocks are few, Spark
+    The block size is the stored one. A semi join, whatever the number of blocks: where the weights' blocks are few, Spark
     broadcasts them and turns them into a partition filter of the scan.
     """
-    blocks = (weights.where(F.col("contig").isNotNull() & F.col("position").isNotNull())
-              .select("contig", F.floor(F.col("position") / block_size).alias("block")).distinct())
-    return calls.join(blocks, ["contig", "block"], "left_semi")
+    if not data.block_size:
+        return data.calls
+    # Positions count from 1; a comparison, unlike a null test, lets Spark expect that the blocks prune folders.
+    blocks = (weights.where(F.col("contig").isNotNull() & (F.col("position") > 0))
+              .select("contig", F.floor(F.col("position") / data.block_size).alias("block")).distinct())
+    return data.calls.join(blocks, ["contig", "block"], "left_semi")
 
 
 def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:

@@ -41,7 +41,7 @@ def score_cohort(spark: SparkSession, genotype_root: str, flagged_uri: str, peop
     writers.weight_intervals(weights, f"{root}/intervals")
     if block_size is not None and block_size != data.block_size:
         raise ValueError(f"calls are stored in blocks of {data.block_size}, not {block_size}")
-    calls = scoring.prune_calls(data.calls, weights, data.block_size) if data.block_size else data.calls
+    calls = scoring.prune_calls(data, weights)
     calls = scoring.calls_of(calls.withColumn("s", F.col("s").cast("string")), samples)
     points = intervals.point_intervals(weights)
     variants = intervals.at_points(data.variants, points)

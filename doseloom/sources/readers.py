@@ -11,7 +11,7 @@ from doseloom.functions import genotype as g
 from doseloom.functions import text
 from doseloom.operators.guards import conforms
 from doseloom.operators.intervals import valid_intervals
-from doseloom.plans.storage import exists
+from doseloom.plans.storage import exists, folder_names
 from doseloom.sources import schemas
 
 
@@ -147,13 +147,19 @@ def alignments(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def incidence_matrix(spark: SparkSession, uri: str) -> DataFrame:
-    """Wide 0/1 CSV; the first column is the participant."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(uri)
+    """Wide 0/1 CSV, all files below ``uri``; the first column is the participant."""
+    raw = spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", True).csv(uri)
     first, *nodes = raw.columns
     return raw.select(F.col(f"`{first}`").alias("participant"),
                       *[F.col(f"`{n}`").cast("int").alias(n) for n in nodes])
 
 
+def incidence_blocks(spark: SparkSession, uri: str) -> list[DataFrame]:
+    """Every block of columns of a matrix written by ``writers.presence_csv``, in order."""
+    numbers = sorted(int(name.removeprefix("block=")) for name in folder_names(spark, uri) if name.startswith("block="))
+    return [incidence_matrix(spark, f"{uri.rstrip('/')}/block={k}") for k in numbers]
+
+
 def scores_csv(spark: SparkSession, uri: str) -> DataFrame:
     return typed_csv(spark, uri, schemas.SCORES)
 

@@ -84,23 +84,30 @@ def node_lists_text(pairs: DataFrame, uri: str, piece: int = 10_000) -> str:
     return uri
 
 
-def presence_csv(pairs: DataFrame, uri: str, names: DataFrame | None = None, width: int = incidence.BLOCK_COLUMNS) -> str:
-    """0/1 matrix as CSV in blocks of ``width`` columns: one folder ``block=k`` each, with a
-    header line in every file."""
+def presence_csv(pairs: DataFrame, uri: str, names: DataFrame | None = None, width: int = incidence.BLOCK_COLUMNS,
+                 file_rows: int = 100_000) -> str:
+    """0/1 matrix as CSV in blocks of ``width`` columns: folders ``block=k/piece=j``, a header line in every file.
+
+    Names are numbered in string order, and ``file_rows`` of them make a piece; each (block, piece) is a file of its own with its
+    header first, so a block of any number of names is written by as many tasks as it has pieces.
+    """
     def field(value: Column) -> Column:
         """A CSV field, quoted where it has to be; the escape is Spark's own, a backslash."""
         escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         return F.when(value.rlike("[\",\\\\\\r\\n]"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(value)
 
-    blocks = incidence.matrix_blocks(pairs, names, width)
-    rows = blocks.select("block", F.lit(1).alias("kind"), F.col("name").alias("at"),
-                         F.concat_ws(",", field(F.col("name")), F.array_join("cells", ",")).alias("line"))
+    rows, _ = incidence.matrix_axes(pairs, names)
+    pieces = rows.select("name", F.floor(F.col("row_id") / file_rows).cast("int").alias("piece"))
+    blocks = incidence.matrix_blocks(pairs, names, width).join(pieces, "name")
+    lines = blocks.select("block", "piece", F.lit(1).alias("kind"), F.col("name").alias("at"),
+                          F.concat_ws(",", field(F.col("name")), F.array_join("cells", ",")).alias("line"))
+    last = pieces.agg(F.max("piece")).scalar()
     heads = incidence.matrix_columns(pairs, width).select(
-        "block", F.lit(0).alias("kind"), F.lit("").alias("at"),
+        "block", F.explode(F.sequence(F.lit(0), last)).alias("piece"), F.lit(0).alias("kind"), F.lit("").alias("at"),
         F.concat_ws(",", F.lit("participant"), F.array_join(F.transform("nodes", field), ",")).alias("line"))
-    # A block's header must lead its file: a block is one file, of as many rows as there are names.
-    ordered = rows.unionByName(heads).repartition("block").sortWithinPartitions("block", "kind", "at")
-    ordered.select("block", "line").write.mode("overwrite").partitionBy("block").text(uri)
+    ordered = lines.unionByName(heads).repartition(_write_tasks(pairs), "block", "piece") \
+        .sortWithinPartitions("block", "piece", "kind", "at")
+    ordered.select("block", "piece", "line").write.mode("overwrite").partitionBy("block", "piece").text(uri)
     return uri
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from doseloom.operators import incidence, intervals, regions, scoring
 from doseloom.plans import storage
-from doseloom.sources import readers, writers
+from doseloom.sources import readers, schemas, writers
+from standins import fits, query
 from standins import frames as f
-from standins import query
 from standins.genetics import _DOSAGE, _FULL, _SCORE_COLUMNS, _dense, _rounded
 from standins.regions import LINES_SQL, REGION
 
@@ -98,9 +98,12 @@ def file_node_lists(spark, sf):
 o AS (SELECT name, count(*) AS ones FROM pairs GROUP BY 1)
 SELECT name, cast(ones AS int) AS ones, cast(width - ones AS int) AS zeros FROM o, w""")
 def file_matrix(spark, sf):
-    uri = writers.presence_csv(incidence.node_pairs(f.records(spark, sf)), _uri(spark, "matrix"))
-    wide = readers.incidence_matrix(spark, f"{uri}/block=0")  # the given tables have a hundred nodes
-    return incidence.wide_row_homogeneity(wide).select("name", "ones", "zeros")
+    uri = writers.presence_csv(incidence.node_pairs(f.records(spark, sf)), _uri(spark, "matrix"), width=24, file_rows=200)
+    checked = None
+    for wide in readers.incidence_blocks(spark, uri):
+        part = incidence.wide_row_homogeneity(wide).select("name", "ones", "zeros")
+        checked = part if checked is None else checked.unionByName(part)
+    return checked.groupBy("name").agg(F.sum("ones").cast("int").alias("ones"), F.sum("zeros").cast("int").alias("zeros"))
 
 
 @query("file_sparse_matrix", f"""WITH {f.PAIRS_SQL} SELECT name, node_id FROM pairs""")
@@ -178,7 +181,9 @@ def file_sample_sequences(spark, sf):
     return spark.read.schema("value string, s long").text(uri).select("s", F.col("value").alias("line"))
 
 
-@query("file_saved_model")
+@query("file_saved_model", f"""WITH RECURSIVE {fits.ROWS}, models AS (SELECT 0 AS model, 1.0 AS lam),
+design AS (SELECT 0 AS model, quality AS y, 1.0 AS w, length, lines, digits FROM rows), {fits.newton(("length", "lines", "digits"))}
+SELECT unnest(['length', 'lines', 'digits']) AS feature, unnest([round(b1, 3), round(b2, 3), round(b3, 3)]) AS coefficient FROM fitted""")
 def file_saved_model(spark, sf):
     """A fitted model saved under its data's fingerprint; the second call loads it."""
     from pyspark.ml.classification import LogisticRegressionModel
@@ -191,7 +196,66 @@ def file_saved_model(spark, sf):
     for _ in range(2):
         model = storage.saved_model(spark, root, key, lambda: classifiers.fit_logistic(data, COLUMNS, LABEL),
                                     LogisticRegressionModel, {"C": 1.0})
-    return classifiers.odds_ratios(model, COLUMNS, data)
+    return classifiers.odds_ratios(model, COLUMNS, data).select("feature", F.round("coefficient", 3).alias("coefficient"))
+
+
+def _warehouse(spark, sf):
+    """The tables as a stored warehouse, and its views: customers as persons, orders as records and conditions."""
+    customer, orders = f.table(spark, sf, "customer"), f.table(spark, sf, "orders")
+    open_order = F.col("o_orderstatus") == "O"
+    frames = {
+        "person": customer.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").cast("long").alias("gender_concept_id")),
+        "concept": f.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("concept_id"), F.col("n_name").alias("concept_name")),
+        "cb_search_person": customer.select(F.col("c_custkey").alias("person_id"), (F.col("c_acctbal") >= 0).cast("int").alias("has_ehr_data"),
+                                            (F.col("c_nationkey") % 3 > 0).cast("int").alias("has_whole_genome_variant")),
+        "cb_search_all_events": orders.select(F.col("o_custkey").alias("person_id"), F.col("o_orderdate").cast("date").alias("entry_date"),
+                                              F.ascii("o_orderpriority").cast("long").alias("concept_id"), open_order.cast("int").alias("is_standard")),
+        "condition_occurrence": f.conditions(spark, sf)}
+    root = _uri(spark, "warehouse")
+    for name, schema in schemas.WAREHOUSE.items():
+        wanted = spark.createDataFrame([], schema)
+        have = frames.get(name, wanted)
+        wanted.unionByName(have.select(*[F.col(c.name).cast(c.dataType) for c in wanted.schema if c.name in have.columns]),
+                           allowMissingColumns=True).write.parquet(f"{root}/{name}")
+    return readers.warehouse(spark, root)
+
+
+@query("warehouse_in", """SELECT c_custkey AS person_id FROM customer WHERE c_custkey IN (
+  SELECT c_custkey FROM customer WHERE c_acctbal >= 0 AND c_nationkey % 3 > 0)""")
+def warehouse_in(spark, sf):
+    """A cohort as SQL text over the warehouse's views: IN with a subquery."""
+    _warehouse(spark, sf)
+    return spark.sql("""SELECT person_id FROM person WHERE person_id IN (
+        SELECT DISTINCT person_id FROM cb_search_person WHERE has_ehr_data = 1 AND has_whole_genome_variant = 1)""")
+
+
+@query("warehouse_not_in", """SELECT c_custkey AS person_id, n_name AS group_name FROM customer JOIN nation ON n_nationkey = c_nationkey
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority || '/' || o_orderstatus IN ('1-URGENT/P', '2-HIGH/P'))""")
+def warehouse_not_in(spark, sf):
+    """Controls as SQL text: NOT IN, with the name of a concept."""
+    _warehouse(spark, sf)
+    return spark.sql("""SELECT p.person_id, c.concept_name AS group_name FROM person p JOIN concept c ON c.concept_id = p.gender_concept_id
+        WHERE p.person_id NOT IN (SELECT person_id FROM condition_occurrence
+                                  WHERE condition_source_value IN ('1-URGENT/P', '2-HIGH/P') AND person_id IS NOT NULL)""")
+
+
+@query("warehouse_union", """SELECT o_custkey AS person_id FROM orders WHERE o_orderstatus = 'O' AND substr(o_orderpriority, 1, 1) IN ('1', '2')
+UNION SELECT c_custkey FROM customer WHERE c_acctbal >= 0""")
+def warehouse_union(spark, sf):
+    """Cases of two sources as SQL text: UNION DISTINCT."""
+    _warehouse(spark, sf)
+    return spark.sql("""SELECT person_id FROM cb_search_all_events WHERE is_standard = 1 AND concept_id IN (49, 50)
+        UNION DISTINCT SELECT person_id FROM cb_search_person WHERE has_ehr_data = 1""")
+
+
+@query("file_target_chromosome", f"""WITH {f.WEIGHTS_SQL}
+SELECT chr AS chrom, position AS pos, effect_allele, weight FROM weights WHERE chr = '22'""")
+def file_target_chromosome(spark, sf):
+    """Only the weights of one chromosome, named with or without ``chr`` in the file."""
+    rows = f.weights(spark, sf).select(
+        F.when(F.col("position") % 2 == 0, F.upper("contig")).otherwise(F.col("chr")).alias("chr"), F.col("position").alias("pos"),
+        "effect_allele", "weight", F.lit("v").alias("id"))
+    return readers.processed_weights(spark, writers.csv(rows, _uri(spark, "processed")), chrom="22").drop("id")
 
 
 @query("file_genotypes", f"WITH {_FULL}, {_dense(_DOSAGE)} SELECT {_SCORE_COLUMNS} FROM scores")
@@ -201,7 +265,7 @@ def file_genotypes(spark, sf):
     root = writers.genotypes(f.variants(spark, sf), f.samples(spark, sf), f.calls(spark, sf),
                              _uri(spark, "genotypes"), block)
     stored, weights = readers.genotypes(spark, root), f.weights(spark, sf)
-    pruned = scoring.prune_calls(stored.calls, weights, stored.block_size)
+    pruned = scoring.prune_calls(stored, weights)
     return _rounded(scoring.score_samples(stored.samples, stored.variants, pruned, weights)) \
         .withColumn("s", F.col("s").cast("long"))
 
@@ -246,7 +310,9 @@ def vcf_sample_list(spark, sf):
     from doseloom.operators.regions import slice_region
     uri = writers.sample_variant_files(slice_region(f.calls(spark, sf), REGION), _uri(spark, "samples"))
     samples = readers.vcf_samples(spark, f"{uri}/*")
-    return samples.agg(F.count_distinct("s").alias("samples"), F.min("s").alias("first_sample"))
+    first = samples.where(F.col("s") == samples.agg(F.min("s")).scalar())  # each file names one sample, at place 1
+    return samples.agg(F.count_distinct("s").alias("samples")) \
+        .withColumn("first_sample", readers.first_sample(first).scalar())
 
 
 _NATION_SQL = f"""{f.VARIANTS_SQL}, kinds AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,7 @@ from pyspark.sql.types import StructType
 from doseloom.sources.readers import locate_weights
 
 
+ELSEWHERE = 1_000_000_000  # beyond every part key and price
 _SCHEMAS: dict[str, StructType] = {}
 
 
@@ -35,10 +38,11 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_weights(spark: SparkSession, sf: str, position: str = "p_partkey") -> DataFrame:
-    """Parts other than the ECONOMY ones as rows of a scoring file."""
-    return table(spark, sf, "part").where(F.col("p_type") != "ECONOMY").select(
+    """All parts as rows of a scoring file; every sixth one lies where no variant is, so some variants have no weight."""
+    away = F.when(F.col("p_partkey") % 6 == 5, ELSEWHERE).otherwise(0)
+    return table(spark, sf, "part").select(
         F.replace("p_brand", F.lit("Brand#"), F.lit("")).alias("chr"),
-        F.floor(position).cast("int").alias("bp"),
+        (F.floor(position) + away).cast("int").alias("bp"),
         base(F.col("p_size")).alias("effect_allele"),
         ((F.col("p_size") - 25) / 10.0).cast("double").alias("weight"))
 
@@ -103,10 +107,14 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(table(spark, sf, "labels"), "doc_id")
 
 
-def minutes(spark: SparkSession, sf: str, event_type: str) -> DataFrame:
-    """Events of a type with the minute as position and the user as chromosome group."""
-    return table(spark, sf, "events").where(F.col("event_type") == event_type).select(
-        F.lit("22").alias("chrom"),
+#: All event types: those that stand for weights, and those that stand for the variant list.
+WEIGHT_EVENTS, VARIANT_EVENTS = ("purchase", "error"), ("click", "view", "signup")
+
+
+def minutes(spark: SparkSession, sf: str, event_types: Sequence[str]) -> DataFrame:
+    """Events of some types with the minute as position, users dealt to 22 chromosomes."""
+    return table(spark, sf, "events").where(F.col("event_type").isin(*event_types)).select(
+        (F.col("user_id") % 22 + 1).cast("string").alias("chrom"),
         F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("pos"),
         "event_id", "user_id", "value")
 
@@ -155,9 +163,9 @@ VARIANTS_SQL = f"""variants AS (
 def weights_sql(position: str = "p_partkey") -> str:
     return f"""weights AS (
   SELECT replace(p_brand, 'Brand#', '') AS chr, 'chr' || replace(p_brand, 'Brand#', '') AS contig,
-         cast(floor({position}) AS int) AS position, {sql_base('p_size')} AS effect_allele,
-         cast((p_size - 25) / 10.0 AS double) AS weight
-  FROM part WHERE p_type <> 'ECONOMY')"""
+         cast(floor({position}) + CASE WHEN p_partkey % 6 = 5 THEN {ELSEWHERE} ELSE 0 END AS int) AS position,
+         {sql_base('p_size')} AS effect_allele, cast((p_size - 25) / 10.0 AS double) AS weight
+  FROM part)"""
 
 
 WEIGHTS_SQL = weights_sql()
@@ -184,6 +192,7 @@ PAIRS_SQL = """pairs AS (
   WHERE json_extract_string(props, '$.k') IS NOT NULL)"""
 
 
-def minutes_sql(name: str, event_type: str) -> str:
-    return f"""{name} AS (SELECT '22' AS chrom, cast(floor(epoch(ts) / 60) AS bigint) AS pos,
-  event_id, user_id, value FROM events WHERE event_type = '{event_type}')"""
+def minutes_sql(name: str, event_types: Sequence[str]) -> str:
+    kinds = ", ".join(f"'{t}'" for t in event_types)
+    return f"""{name} AS (SELECT cast(user_id % 22 + 1 AS varchar) AS chrom, cast(floor(epoch(ts) / 60) AS bigint) AS pos,
+  event_id, user_id, value FROM events WHERE event_type IN ({kinds}))"""

@@ -1,4 +1,4 @@
-"""Purchases as weights against clicks as the variant list, minute positions."""
+"""Purchases and errors as weights against all other events as the variant list, minute positions on 22 chromosomes."""
 
 from __future__ import annotations
 
@@ -9,17 +9,17 @@ from standins import frames as f
 from standins import query
 
 WINDOW = 5
-_BASE = f"{f.minutes_sql('weights', 'purchase')}, {f.minutes_sql('clicks', 'click')}"
+_BASE = f"{f.minutes_sql('weights', f.WEIGHT_EVENTS)}, {f.minutes_sql('clicks', f.VARIANT_EVENTS)}"
 _MATCHED = f"""{_BASE}, near AS (
   SELECT w.event_id, min(abs(c.pos - w.pos)) AS distance, min_by(c.pos, (abs(c.pos - w.pos), c.pos)) AS nearest_pos
-  FROM weights w JOIN clicks c ON c.pos BETWEEN w.pos - {WINDOW} AND w.pos + {WINDOW} GROUP BY 1),
+  FROM weights w JOIN clicks c ON c.chrom = w.chrom AND c.pos BETWEEN w.pos - {WINDOW} AND w.pos + {WINDOW} GROUP BY 1),
 matched AS (SELECT w.*, distance, nearest_pos, CASE WHEN distance = 0 THEN 'Exact Match'
   WHEN distance IS NOT NULL THEN 'Approximate Match' ELSE 'No Match' END AS match_type
   FROM weights w LEFT JOIN near USING (event_id))"""
 
 
 def _sides(spark, sf):
-    return f.minutes(spark, sf, "purchase"), f.minutes(spark, sf, "click")
+    return f.minutes(spark, sf, f.WEIGHT_EVENTS), f.minutes(spark, sf, f.VARIANT_EVENTS)
 
 
 @query("match_exact", f"WITH {_BASE} SELECT chrom, pos FROM weights INTERSECT SELECT chrom, pos FROM clicks")
@@ -35,10 +35,10 @@ def match_window(spark, sf):
 
 
 @query("match_summary", f"""WITH {_MATCHED}, t AS (SELECT count(*) AS n FROM weights)
-SELECT n AS weight_rows, count(DISTINCT CASE WHEN distance = 0 THEN pos END) AS exact_positions,
-       round(count(DISTINCT CASE WHEN distance = 0 THEN pos END) * 100.0 / n, 6) AS exact_percent,
-       count(DISTINCT CASE WHEN distance > 0 THEN pos END) AS approximate_positions,
-       round(count(DISTINCT CASE WHEN distance > 0 THEN pos END) * 100.0 / n, 6) AS approximate_percent,
+SELECT n AS weight_rows, count(DISTINCT CASE WHEN distance = 0 THEN chrom || ':' || pos END) AS exact_positions,
+       round(count(DISTINCT CASE WHEN distance = 0 THEN chrom || ':' || pos END) * 100.0 / n, 6) AS exact_percent,
+       count(DISTINCT CASE WHEN distance > 0 THEN chrom || ':' || pos END) AS approximate_positions,
+       round(count(DISTINCT CASE WHEN distance > 0 THEN chrom || ':' || pos END) * 100.0 / n, 6) AS approximate_percent,
        round(avg(CASE WHEN distance > 0 THEN distance END), 6) AS mean_distance,
        round(count(CASE WHEN distance = 0 THEN 1 END) * 100.0 / n, 6) AS exact_row_percent,
        round(count(CASE WHEN distance > 0 THEN 1 END) * 100.0 / n, 6) AS approximate_row_percent

@@ -115,3 +115,40 @@ def test_a_changed_nested_file_changes_the_fingerprint(spark, tmp_path):
     assert before == storage.fingerprint(spark, [str(tmp_path / "t")])
     (part / "x.csv").write_text("abd")
     assert before != storage.fingerprint(spark, [str(tmp_path / "t")])
+
+
+def test_one_writer_wins(spark, tmp_path):
+    """Two writers of one step at once: one whole step, nothing left aside."""
+    import threading
+    root, ready, rows = str(tmp_path / "steps"), threading.Barrier(2), {}
+
+    def build(k):
+        ready.wait(60)  # both have seen that the step is not there
+        return spark.range(5 * k).withColumn("writer", F.lit(k))
+
+    def write(k):
+        rows[k] = sorted(map(tuple, storage.saved_step(spark, root, "step", lambda: build(k)).collect()))
+
+    writers_ = [threading.Thread(target=write, args=(k,)) for k in (1, 2)]
+    [t.start() for t in writers_]
+    [t.join(120) for t in writers_]
+    assert rows[1] == rows[2] and len({w for _, w in rows[1]}) == 1 and len(rows[1]) == 5 * rows[1][0][1]
+    assert storage.folder_names(spark, root) == ["step"]
+
+
+def test_unfinished_and_unused_steps_go(spark, tmp_path):
+    root = str(tmp_path / "steps")
+    for key in ("used", "unused"):
+        storage.saved_step(spark, root, key, lambda: spark.range(3))
+    spark.range(2).write.parquet(f"{root}/.aside-lost-writer")
+    assert storage.drop_steps(spark, root, ["used"], older_than_hours=1) == []
+    assert storage.drop_steps(spark, root, ["used"], older_than_hours=0) == [".aside-lost-writer", "unused"]
+    assert storage.folder_names(spark, root) == ["used"] and storage.drop_steps(spark, str(tmp_path / "none")) == []
+
+
+def test_scratch_tables_go_with_the_block(spark):
+    with storage.scratch(spark):
+        uri = storage.new_folder(spark, "step")
+        spark.range(3).write.parquet(uri)
+        assert spark.read.parquet(uri).count() == 3
+    assert not storage.exists(spark, uri)

@@ -122,6 +122,16 @@ def test_density_integrates_to_one_and_is_exact(data):
     assert d == pytest.approx(want) and np.trapezoid(d, x) == pytest.approx(1, abs=0.01)
 
 
+def test_density_of_values_that_do_not_differ_has_no_rows(spark):
+    for rows in ([], [(1.0,)], [(2.0,), (2.0,), (None,)]):
+        assert chartdata.density(spark.createDataFrame(rows, "x double"), "x").count() == 0
+
+
+def test_density_makes_no_row_per_value_and_point(data):
+    plan = chartdata.density(data[2], "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("MapInArrow")
+
+
 def test_histogram_is_numpy(data):
     _, s, df = data
     want, edges = np.histogram(s, bins=50)

@@ -128,12 +128,55 @@ def test_block_pruning_keeps_the_score(spark, fixture, tmp_path):
     root = writers.genotypes(variants, samples, calls, str(tmp_path / "g"), block_size=2)
     data = readers.genotypes(spark, root)
     assert data.block_size == 2 and dict(data.calls.dtypes)["contig"] == "string"
-    pruned = scoring.prune_calls(data.calls, weights, data.block_size)
+    pruned = scoring.prune_calls(data, weights)
     assert 0 < pruned.count() < data.calls.count()
     got = {r.s: r.total_score for r in scoring.score_samples(data.samples, data.variants, pruned, weights).collect()}
     assert got == pytest.approx({s: t for s, (t, _) in dense(fixture).items()})
 
 
+def test_only_hot_loci_are_salted(spark):
+    rows = spark.range(40_000).select(F.lit("chr1").alias("contig"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("position"),
+                                      F.col("id").cast("string").alias("s"))
+    hot = scoring.hot_loci(rows, "s").collect()
+    assert [(r.contig, r.position) for r in hot] == [("chr1", 7)]
+    weights = spark.range(0, 40_000, 5).select(F.lit("chr1").alias("contig"), (F.col("id") + 2).cast("int").alias("position"),
+                                               F.lit("A").alias("effect_allele"), F.lit(1.0).alias("weight"))
+    met = scoring.with_weights(rows, weights, salt_by="s", few=False)
+    plain = scoring.with_weights(rows, weights, few=True)
+    assert met.collect() and met.count() == plain.count() > 13_000
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert any("SortMergeJoin" in line and "_salt" in line for line in plan.splitlines())
+    assert scoring.hot_loci(rows.limit(0), "s").count() == 0
+
+
+def ran(node):
+    """The nodes of a plan that has run, through its query stages."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from ran(node.finalPhysicalPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from ran(node.plan())
+    else:
+        yield node
+        for k in range(node.children().size()):
+            yield from ran(node.children().apply(k))
+
+
+def test_folders_without_a_weight_are_not_read(spark, tmp_path):
+    """Dynamic pruning: the weights' blocks become a partition filter of the scan of calls."""
+    from doseloom.sources import readers, writers
+    calls = spark.range(2000).select(F.lit("chr1").alias("contig"), F.col("id").cast("int").alias("position"), F.array(F.lit("A"), F.lit("C")).alias("alleles"),
+                                     F.lit("s").alias("s"), F.array(F.lit(0), F.lit(1)).alias("gt"), F.lit(True).alias("ft"))
+    root = writers.genotypes(calls.select("contig", "position", "alleles"), calls.select("s").distinct(), calls, str(tmp_path / "g"), block_size=100)
+    weights = spark.createDataFrame([("chr1", p, "C", 1.0) for p in (5, 42, 1501)], "contig string, position int, effect_allele string, weight double")
+    pruned = scoring.prune_calls(readers.genotypes(spark, root), weights)
+    assert sorted(r.position for r in pruned.collect()) == [*range(100), *range(1500, 1600)]
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    scans = [n for n in ran(pruned._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Scan parquet")]
+    assert [n.metrics().apply("numPartitions").value() for n in scans] == [2]
+
+
 def test_calls_of_samples_do_not_depend_on_a_count(spark, fixture):
     _, _, calls, _ = fixture
     some = calls.select("s").distinct().limit(2)

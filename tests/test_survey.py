@@ -1,3 +1,4 @@
+import glob
 import datetime
 
 import pytest
@@ -138,6 +139,19 @@ def test_matrix_of_very_many_nodes(spark, tmp_path):
     assert width == 12_001 and total == {'p,"0': 4001, 'p,"1': 4000, 'p,"2': 4000}
 
 
+def test_a_block_is_many_files(spark, tmp_path):
+    """Pieces of names: each file has its header, several tasks write one block, and the reader gives all blocks back."""
+    pairs = spark.range(3000).select(F.concat(F.lit("p"), F.col("id") % 500).alias("name"), F.concat(F.lit("n"), F.col("id") % 40).alias("node_id"))
+    uri = writers.presence_csv(pairs, str(tmp_path / "m"), width=25, file_rows=60)
+    for block in (0, 1):
+        files = [p for k in range(9) for p in glob.glob(f"{uri}/block={block}/piece={k}/part-*")]
+        assert len(files) == 9 and all(open(p).readline().startswith("participant,n") for p in files)
+    blocks = readers.incidence_blocks(spark, uri)
+    assert [len(b.columns) - 1 for b in blocks] == [25, 15] and all(b.count() == 500 for b in blocks)
+    total = sum(sum(r[1:]) for b in blocks for r in b.collect())
+    assert total == pairs.distinct().count()
+
+
 def test_lists_in_pieces_and_text(spark, records, tmp_path):
     pairs = incidence.node_pairs(records)
     got = {(r.name, r.part): r.nodes for r in incidence.node_lists(pairs, 2).collect()}

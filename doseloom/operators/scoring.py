@@ -102,18 +102,18 @@ def call_dosages(calls: DataFrame, weights: DataFrame, allele_specific: bool = F
             .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place"))
 
 
-def prune_calls(data: Genotypes, weights: DataFrame) -> DataFrame:
+def prune_calls(data: Genotypes, weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Calls whose (contig, block) holds a weight; all calls where they are not stored in blocks.
 
-    The block size is the stored one. A semi join, whatever the number of blocks: where the weights' blocks are few, Spark
-    broadcasts them and turns them into a partition filter of the scan.
+    The block size is the stored one. Blocks that are counted as few are broadcast, which makes them a partition
+    filter of the scan as well: folders without a weight are not read. Beyond that a shuffled semi join drops their calls.
     """
     if not data.block_size:
         return data.calls
     # Positions count from 1; a comparison, unlike a null test, lets Spark expect that the blocks prune folders.
     blocks = (weights.where(F.col("contig").isNotNull() & (F.col("position") > 0))
               .select("contig", F.floor(F.col("position") / data.block_size).alias("block")).distinct())
-    return data.calls.join(blocks, ["contig", "block"], "left_semi")
+    return data.calls.join(F.broadcast(blocks) if blocks.count() <= max_broadcast else blocks, ["contig", "block"], "left_semi")
 
 
 def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:

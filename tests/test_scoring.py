@@ -175,6 +175,8 @@ def test_folders_without_a_weight_are_not_read(spark, tmp_path):
     assert "dynamicpruning" in plan.lower()
     scans = [n for n in ran(pruned._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Scan parquet")]
     assert [n.metrics().apply("numPartitions").value() for n in scans] == [2]
+    many = scoring.prune_calls(readers.genotypes(spark, root), weights, max_broadcast=0)
+    assert sorted(map(str, many.collect())) == sorted(map(str, pruned.collect()))
 
 
 def test_calls_of_samples_do_not_depend_on_a_count(spark, fixture):

@@ -7,7 +7,7 @@ of their source go on to the root in the same way.
 
 * Leaves are sorted by range and numbered by counts of the sorted pieces, so a source that holds a third of
   all rows is many pieces. A piece of ``ARITY ** DEPTH`` neighbours is folded in one go, ``DEPTH`` levels at a time, and only
-  its top goes on: a round for each factor of 19,683 in the longest source.
+  its top goes on: a round for each factor of 729 in the longest source.
 * A leaf partition is up to ``_LOT`` wanted rows that lie side by side in the sorted order. It works out the
   coordinates (tree, level, index) that the paths of all its leaves need and that follow from none of them: the
   octopus of their siblings, which is what they share, once. One join brings these nodes to it; it derives the shared
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from doseloom.llm.tables import saved
 
 ARITY = 3
-DEPTH = 9
+DEPTH = 6
 _PIECE = ARITY ** DEPTH
 _LOT = 1 << 15
 _TOP = "r"  # the tree over the subroots; a source's tree is "" for null, else "s" and its name

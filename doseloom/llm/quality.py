@@ -108,13 +108,17 @@ class Ftrl:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
-    """``doc_id, label, text`` of at most ``sample`` labelled rows outside the held-out part."""
+    """``doc_id, label, text`` of at most ``sample`` labelled ids outside the held-out part.
+
+    Of an id that comes with several texts the one with the least digest is taken, so every run learns from the same.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("double").alias("label")) \
         .where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` ids: broadcast
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")) \
-        .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")).alias("least")
+    return rows.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "least.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = 20_000, passes: int = 4) -> np.ndarray:

@@ -12,8 +12,9 @@ nothing alone. It is trained by AdaGrad steps over small batches, first on the t
 is ``strange_by`` standard deviations from the mean, then on all; soft thresholds keep at 0 what
 labels don't move among the others. Of the models after the first stage and each later pass, the one with
 the least loss on a tenth of the rows, which is not trained on, is taken. The fit reads at most ``sample`` labelled rows outside the
-held-out part (the documented bound of the fit), in ``SHARDS`` tasks whose models are averaged
-after each pass.
+held-out part (the documented bound of the fit). These rows are dealt to ``SHARDS`` shards and saved once, each shard's terms
+packed into one row, so a pass reads files and shuffles nothing. A pass returns for each shard the terms that it has
+changed, in 32 bits; the changes are averaged.
 
 Defined results: null and empty texts score the intercept; labels with a null id or value are
 not learned from; repeated rows are scored each; without labelled rows every
@@ -89,6 +90,11 @@ def _shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
 
+def _sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Column sums of the rows of each group."""
+    return np.stack([np.bincount(group, column, groups) for column in rows.T], 1)
+
+
 def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np.ndarray, told: np.ndarray, l2: float,
            everything: bool, batch: int = 32) -> None:
     """AdaGrad over batches of the logistic loss; few rows are gone through several times.
@@ -106,8 +112,7 @@ def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np
         rows = np.concatenate([docs[k] for k in own])
         at = np.repeat(np.arange(len(own)), lengths)
         v = model.factor[rows]
-        total = np.zeros((len(own), FACTORS))
-        np.add.at(total, at, v)
+        total = _sums(v, at, len(own))
         squares = np.bincount(at, (v * v).sum(1), len(own))
         x = model.bias + np.bincount(at, model.weight[rows], len(own)) + 0.5 * ((total * total).sum(1) - squares)
         error = _sigmoid(x) - labels[own]
@@ -116,9 +121,7 @@ def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np
         gw[known] += step * step
         pace, shrink = rate / np.sqrt(gw[known]), everything * ~told[known]
         model.weight[known] = _shrunk(model.weight[known] - pace * step, pace * shrink * _WEIGHT_L1)
-        step = np.zeros((len(known), FACTORS))
-        np.add.at(step, back, error[at][:, None] * (total[at] - v))
-        step += l2 * model.factor[known]
+        step = _sums(error[at][:, None] * (total[at] - v), back, len(known)) + l2 * model.factor[known]
         gv[known] += step * step
         pace = 0.2 * rate / np.sqrt(gv[known])
         model.factor[known] = _shrunk(model.factor[known] - pace * step, pace * shrink[:, None] * _FACTOR_L1)
@@ -129,63 +132,97 @@ def _train(model: Machine, docs: list[np.ndarray], labels: np.ndarray, order: np
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = 20_000, least: int = 8, passes: int = 6,
         passes_on_all: int = 5, l2: float = 0.02, strange_by: float = 5.0) -> Machine:
     spark = docs.sparkSession
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("label", pa.int32()), ("slots", pa.list_(pa.int32()))])
+    rows = saved(labelled(docs, labels, column, sample).select("doc_id", "label", "text"), "labelled")
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots_of(batch: pa.RecordBatch, texts: Texts) -> list[np.ndarray]:
+        slots, begin = terms(texts)
+        return [distinct(slots[a:b]) for a, b in zip(begin[:-1], begin[1:])]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many of a task's documents, and of those with label 1, hold a slot."""
+        seen = np.zeros((1 << BITS, 2), np.int32)
         for batch, texts in portions(batches):
-            slots, begin = terms(texts)
-            yield as_batch({"shard": [d % SHARDS for d in batch.column(0).to_pylist()], "doc_id": batch.column(0),
-                            "label": batch.column(1).cast(pa.int32()),
-                            "slots": [distinct(slots[a:b]) for a, b in zip(begin[:-1], begin[1:])]}, schema)
-
-    rows = saved(labelled(docs, labels, column, sample).select("doc_id", "label", "text")
-                 .mapInArrow(listed, "shard int, doc_id long, label int, slots array<int>"), "terms").repartition(SHARDS, "shard")
-    total = rows.count()
-    if not total:
+            for own, label in zip(slots_of(batch, texts), batch.column(1).to_pylist()):
+                seen[own, 0] += 1
+                seen[own, 1] += label
+        at = np.flatnonzero(seen[:, 0])
+        for a in range(0, len(at), 1 << 16):
+            part = at[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (part, seen[part, 0], seen[part, 1])], ["slot", "n", "k"])
+
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
+    if not facts.n:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
     # Every term of ``least`` documents is in the model, also one that says nothing alone: a pair of such may.
-    share = rows.agg(F.avg("label")).first()[0]
-    strange = F.abs(F.col("k") - F.col("n") * F.lit(share)) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
-    known = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot") \
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).where(F.col("n") >= least) \
-        .select("slot", (strange >= strange_by).alias("told")).toArrow().sort_by("slot")
+    strange = F.abs(F.col("k") - F.col("n") * F.lit(facts.share)) / F.sqrt(F.col("n") * F.lit(max(facts.share * (1 - facts.share), 1e-9)))
+    known = rows.mapInArrow(counted, "slot int, n int, k int").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k")) \
+        .where(F.col("n") >= least).select("slot", (strange >= strange_by).alias("told")).toArrow().sort_by("slot")
     slots, told = (known.column(c).to_numpy() for c in ("slot", "told"))
     slots, told = slots.astype(np.int64), told.astype(bool)
-    rng = np.random.default_rng(11)
-    factor = rng.normal(0, 1, (len(slots), FACTORS)) * np.where(told, 0.01, 0)[:, None]  # the others begin with the second stage
-    model = Machine(slots, np.zeros(len(slots)), factor, 0.0)
+    model = Machine(slots, np.zeros(len(slots)), np.zeros((len(slots), FACTORS)), 0.0)
+    model.factor[told] = np.random.default_rng(11).normal(0, 0.01, (int(told.sum()), FACTORS))  # the others begin with the second stage
+    shared_slots, shared_told = spark.sparkContext.broadcast(slots.astype(np.int32)), spark.sparkContext.broadcast(told)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents' terms as places in the model."""
+        own = shared_slots.value
+        for batch, texts in portions(batches):
+            found = [np.searchsorted(own, x[np.isin(x, own, assume_unique=True)]).astype(np.int32).tobytes() for x in slots_of(batch, texts)]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([d % SHARDS for d in batch.column(0).to_pylist()], pa.int32()),
+                                              "doc_id": batch.column(0), "label": batch.column(1).cast(pa.int32()), "places": found})
+
+    def packed(table: pa.Table) -> pa.Table:
+        """A shard as one row, in order of its ids."""
+        table = table.sort_by("doc_id")
+        places = table.column("places").to_pylist()
+        return pa.table({"ids": [table.column("doc_id").to_numpy().tobytes()], "labels": [table.column("label").to_numpy().tobytes()],
+                         "sizes": [np.array([len(p) // 4 for p in places], np.int32).tobytes()], "places": [b"".join(places)]})
+
+    shards = saved(rows.mapInArrow(listed, "shard int, doc_id long, label int, places binary").groupBy("shard")
+                   .applyInArrow(packed, "ids binary, labels binary, sizes binary, places binary"), "shards")
     best, least_loss = model, np.inf
     for turn in range(passes + passes_on_all + 1):  # the last one only weighs the model
-        common = spark.sparkContext.broadcast(model)
-
-        def learned(table: pa.Table) -> pa.Table:
-            start = common.value
-            own = Machine(start.slots, start.weight.copy(), start.factor.copy(), start.bias)
-            index = own.index()
-            lists = [index[np.array(s, np.int64)] for s in table.column("slots").to_pylist()]
-            lists = [r[r >= 0] for r in lists]
-            ids, marks = table.column("doc_id").to_numpy().astype(U), table.column("label").to_numpy()
-            aside = mix(ids + U(99)) % U(10) == 0
-            margins = np.array([start.value(lists[k]) for k in np.flatnonzero(aside)])
-            loss = float(np.logaddexp(0, np.where(marks[aside] == 1, -margins, margins)).sum())
-            order = np.argsort(mix(ids + U(turn)))
-            order = order[~aside[order]]
-            if turn == passes:
-                noise = np.random.default_rng(12).normal(0, 0.1, own.factor.shape)
-                own.factor[~told] = noise[~told]
-            if turn < passes + passes_on_all and len(order):
-                _train(own, lists, marks, order, told, l2 / len(lists), turn >= passes)
-            return pa.table({"loss": [loss], "bias": [float(own.bias)], "weight": [own.weight.tobytes()],
-                             "factor": [own.factor.tobytes()]})
-
-        parts = rows.groupBy("shard").applyInArrow(learned, "loss double, bias double, weight binary, factor binary").collect()
-        loss = sum(p.loss for p in parts)
+        start = model.factor.copy()
+        if turn == passes:  # the second stage sets out from small factors; the model that is weighed here has none of them
+            start[~told] = np.random.default_rng(12).normal(0, 0.1, (int((~told).sum()), FACTORS))
+        common = spark.sparkContext.broadcast((model.weight.astype(np.float32), start.astype(np.float32), model.bias))
+
+        def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight, factor, bias = common.value
+            strange_ones = shared_told.value
+            for batch in batches:
+                for shard in batch.to_pylist():
+                    ids, marks, sizes = (np.frombuffer(shard[c], d) for c, d in (("ids", np.int64), ("labels", np.int32), ("sizes", np.int32)))
+                    lists = np.split(np.frombuffer(shard["places"], np.int32), np.cumsum(sizes)[:-1])
+                    own = Machine(np.zeros(0, np.int64), weight.astype(float), factor.astype(float), bias)
+                    aside = mix(ids.astype(U) + U(99)) % U(10) == 0
+                    loss = 0.0
+                    if turn >= passes:
+                        plain = Machine(own.slots, own.weight, np.where(strange_ones[:, None], own.factor, 0) if turn == passes else own.factor, bias)
+                        margins = np.array([plain.value(lists[k]) for k in np.flatnonzero(aside)])
+                        loss = float(np.logaddexp(0, np.where(marks[aside] == 1, -margins, margins)).sum())
+                    order = np.argsort(mix(ids.astype(U) + U(turn)))
+                    order = order[~aside[order]]
+                    if turn < passes + passes_on_all and len(order):
+                        _train(own, lists, marks, order, strange_ones, l2 / len(lists), turn >= passes)
+                    moved = np.column_stack([own.weight - weight, own.factor - factor]).astype(np.float32)
+                    at = np.flatnonzero(moved.any(1))
+                    yield pa.RecordBatch.from_pydict({"loss": [loss], "bias": [float(own.bias)], "at": [at.astype(np.int32).tobytes()],
+                                                      "moved": [moved[at].tobytes()]})
+
+        # A row per shard; what it has changed is of the model's size at most.
+        found = shards.mapInArrow(learned, "loss double, bias double, at binary, moved binary").toArrow()
+        loss = sum(found.column("loss").to_pylist())
         if turn >= passes and loss < least_loss:
             best, least_loss = model, loss
-        weight = np.mean([np.frombuffer(p.weight) for p in parts], 0)
-        factor = np.mean([np.frombuffer(p.factor) for p in parts], 0).reshape(-1, FACTORS)
-        model = Machine(slots, weight, factor, float(np.mean([p.bias for p in parts])))
-        common.unpersist()
+        change = np.zeros((len(slots), 1 + FACTORS))
+        for at, moved in zip(found.column("at"), found.column("moved")):
+            change[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(moved.as_buffer(), np.float32).reshape(-1, 1 + FACTORS)
+        change /= found.num_rows
+        model = Machine(slots, model.weight + change[:, 0], start + change[:, 1:], float(np.mean(found.column("bias").to_pylist())))
+        common.destroy()
+    shared_slots.destroy()
+    shared_told.destroy()
     return best
 
 

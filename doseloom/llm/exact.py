@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseloom.llm.tables import saved, text_rows, whole_text
+from doseloom.llm.tables import free_names, saved, text_rows, whole_text
 
 Digest = Callable[[Column], Column]
 
@@ -111,9 +111,10 @@ def without_duplicates(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     best = marked.groupBy("blocks", "name").agg(F.max("doc_id").alias("_keep"))
     stay = marked.join(saved(best, "copy-groups"), ["blocks", "name"]).where(F.col("doc_id").eqNullSafe(F.col("_keep")))
     stay = saved(stay.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("rows")), "stay")
-    tagged = docs.withColumns({"_tag": F.xxhash64(whole_text().cast("binary")), "_key": F.col("doc_id").cast("long")})
-    ids = stay.select(F.col("doc_id").alias("_stay"), F.col("tag").alias("_stay_tag"))
-    kept = tagged.join(ids, (F.col("_tag") == F.col("_stay_tag")) & F.col("_key").eqNullSafe(F.col("_stay")), "left_semi")
+    tag, key, stay_id, stay_tag = free_names(docs, "_tag", "_key", "_stay", "_stay_tag")
+    tagged = docs.withColumns({tag: F.xxhash64(whole_text().cast("binary")), key: F.col("doc_id").cast("long")})
+    ids = stay.select(F.col("doc_id").alias(stay_id), F.col("tag").alias(stay_tag))
+    kept = tagged.join(ids, (F.col(tag) == F.col(stay_tag)) & F.col(key).eqNullSafe(F.col(stay_id)), "left_semi")
     if not stay.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key", "_tag"])
+        kept = kept.dropDuplicates([key, tag])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,9 +24,9 @@ have to be told apart pair by pair: that part grows with the square of a group o
 documents, and is spread over blocks.
 
 Defined results: null and empty texts have no set, are linked with nothing and stay; an id
-that comes with several texts is linked by one of them (the least digest); a null ``doc_id`` is
-linked with nothing and stays; an empty table gives no rows; columns other than ``doc_id`` and
-``text`` are not read, and ``without_near_copies`` keeps all columns.
+that comes with several texts is a document for each of them, linked, reported and removed by
+its own text; a null ``doc_id`` is linked with nothing and stays; an empty table gives no rows; columns
+other than ``doc_id`` and ``text`` are not read, and ``without_near_copies`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doseloom.llm.tables import as_batch, buckets, saved, text_rows
+from doseloom.llm.tables import as_batch, buckets, free_names, saved, text_rows, whole_text
 from doseloom.llm.text import LOWER, U, Texts, distinct, mix, portions, windows
 
 K = 64
@@ -49,11 +49,11 @@ WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 _SEEDS, _ODD = (mix(np.arange(1, K + LONG + 1, dtype=U) * U(c)) >> U(32) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _SEEDS, _ODD = _SEEDS.astype(np.uint32), _ODD.astype(np.uint32) | np.uint32(1)
-_INFO = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("signature", pa.binary())])
+_INFO = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("signature", pa.binary())])
 _LISTS = pa.schema([("bucket", pa.int32()), ("portion", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 _COUNTS = pa.schema([("portion", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 _POSTED = pa.schema([("doc", pa.int64()), ("token", pa.int64()), ("place", pa.int32())])
-_SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.list_(pa.int64())), ("cls", pa.binary()), ("long", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("cls", pa.binary()), ("long", pa.binary())])
 _NEAR = pa.schema([("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc", pa.int64()), ("pairs", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -90,7 +90,7 @@ def _least_values(shingles: np.ndarray, first: int, last: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, cls, signature`` per row; no class or signature without words."""
+    """``doc_id, tag, n_shingles, cls, signature`` per row; ``tag`` is a hash of the text; no class or signature without words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches):
@@ -99,9 +99,10 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 sizes.append(len(shingles))
                 classes.append(digest or None)
                 marks.append(_least_values(shingles, 0, K).tobytes() if len(shingles) else None)
-            yield as_batch({"doc_id": batch.column(0), "n_shingles": sizes, "cls": classes, "signature": marks}, _INFO)
+            yield as_batch({"doc_id": batch.column(0), "tag": batch.column(2), "n_shingles": sizes, "cls": classes, "signature": marks}, _INFO)
 
-    return text_rows(docs).mapInArrow(made, "doc_id long, n_shingles long, cls binary, signature binary")
+    return text_rows(docs).withColumn("tag", F.xxhash64("text")) \
+        .mapInArrow(made, "doc_id long, tag long, n_shingles long, cls binary, signature binary")
 
 
 def postings(reps: DataFrame, match: int) -> DataFrame:
@@ -316,47 +317,56 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    return _classified(docs, shingle, percent).drop("tag")
+
+
+def _classified(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The same with the ``tag`` of each row's text."""
     match = least_match(K, percent)
     info = saved(signatures(docs, shingle), "signatures")
-    # An id that comes with several texts is linked by the one whose digest is least.
-    one_text = info.where("cls is not null and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("cls"))
-    one_text = saved(one_text, "one-text")
-    reps = one_text.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    reps = saved(info.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "cls"])
-                 .select("cls", "rep", "signature").dropDuplicates(["rep"]), "class-heads")
+    # A class is one word sequence under a number of its own; its least id is where its text is read again.
+    heads = info.where("cls is not null and doc_id is not null").groupBy("cls") \
+        .agg(F.min(F.struct("doc_id", "signature")).alias("least")).select("cls", "least.doc_id", "least.signature")
+    reps = saved(heads.withColumn("rep", F.monotonically_increasing_id()), "class-heads")
     posted = saved(postings(reps, match), "postings")
     involved = posted.select("doc").distinct()
-    marks = saved(reps.join(involved.withColumnRenamed("doc", "rep"), "rep", "left_semi").select("rep", "cls", "signature"),
+    marks = saved(reps.join(involved.withColumnRenamed("doc", "rep"), "rep", "left_semi").select("rep", "cls", "doc_id", "signature"),
                   "marks")
-    named = marks.select(F.col("rep").alias("doc"), "cls")
+    named = marks.select("doc_id", F.col("rep").alias("doc"), "cls")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches):
             rows = [(d, s, c) for d, (s, c) in zip(batch.column(0).to_pylist(), shingle_sets(texts, shingle)) if c]
-            yield as_batch({"doc": [r[0] for r in rows], "shingles": [r[1].view(np.int64) for r in rows], "cls": [r[2] for r in rows],
+            yield as_batch({"doc_id": [r[0] for r in rows], "shingles": [r[1].view(np.int64) for r in rows], "cls": [r[2] for r in rows],
                             "long": [_least_values(r[1], K, K + LONG).astype(np.uint8).tobytes() for r in rows]}, _SETS)
 
     texts = text_rows(docs)
-    wanted = texts.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi") \
-        .mapInArrow(listed, "doc long, shingles array<long>, cls binary, long binary")
-    sets = saved(wanted.join(named, ["doc", "cls"], "left_semi").dropDuplicates(["doc"]).select("doc", "shingles", "long"), "sets")
+    wanted = texts.join(marks.select("doc_id").distinct(), "doc_id", "left_semi") \
+        .mapInArrow(listed, "doc_id long, shingles array<long>, cls binary, long binary")
+    sets = saved(wanted.join(named, ["doc_id", "cls"]).dropDuplicates(["doc"]).select("doc", "shingles", "long"), "sets")
 
     leaders = posted.groupBy("token").agg(F.min("doc").alias("a"))
     meet = posted.join(saved(leaders, "leaders"), "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     links = saved(confirmed(meet, marks, sets, match, percent), "links")
     more = saved(across(posted, components(links), marks, sets, match, percent), "links")
     labels = components(links.unionByName(more))
-    heads = saved(reps.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
-                  .select("cls", F.coalesce("label", "rep").alias("component_id")), "heads")
-    own = one_text.join(heads, "cls").select(F.col("doc_id").alias("_id"), F.col("component_id"))
-    out = info.join(own, F.col("doc_id") == F.col("_id"), "left") \
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id",
+    placed = saved(reps.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
+                   .select("cls", "doc_id", F.coalesce("label", "rep").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = placed.join(least, "component").select(F.col("cls").alias("_cls"), "component_id")
+    linked = F.col("doc_id").isNotNull()
+    out = info.join(own, F.col("cls") == F.col("_cls"), "left") \
+        .withColumn("component_id", F.coalesce(F.when(linked, F.col("component_id")), "doc_id"))
+    return out.select("doc_id", "tag", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each group the document with the least id."""
-    gone = saved(classes(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(),
-                 "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, all columns: of each group the document with the least id.
+
+    A row goes by its id and text, so another text under the same id is judged by itself.
+    """
+    gone_id, gone_tag = free_names(docs, "_gone", "_gone_tag")
+    gone = saved(_classified(docs, shingle, percent).where("not kept")
+                 .select(F.col("doc_id").alias(gone_id), F.col("tag").alias(gone_tag)).distinct(), "near-copies")
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64(whole_text()) == F.col(gone_tag)), "left_anti")

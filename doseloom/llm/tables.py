@@ -33,6 +33,17 @@ def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` doesn't have, in any letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_text(name: str = "text") -> Column:
     """The text as a string; null is the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

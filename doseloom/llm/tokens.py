@@ -7,7 +7,8 @@ ids of the parts put together are the ids of the text:
 * ``spaces="kept"`` (byte level, a blank goes with the word after it): where white space
   begins, and after a line feed that stands alone.
 
-Next to bytes that may belong to white space outside ASCII nothing is cut. The tokenizer encodes
+Special tokens that a text spells out are matched, as the tokenizer's file says; none of them holds white space, so no cut
+goes through one. Next to bytes that may belong to white space outside ASCII nothing is cut. The tokenizer encodes
 each distinct part; a table of bounded size remembers parts, known again by a 64-bit hash
 and by their first bytes.
 """
@@ -38,7 +39,6 @@ class Encoder:
         if spaces not in ("dropped", "kept"):
             raise ValueError("spaces is 'dropped' or 'kept'")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.mark = " \x01 " if spaces == "dropped" else "\n"

@@ -53,6 +53,13 @@ def test_repeated_rows_and_ids_with_several_texts(spark):
     assert len(one) == 1
 
 
+def test_clashing_columns(spark):
+    rows = [(1, "a", "T", "K", 5, 6), (2, "a", "U", "L", 7, 8), (3, "b", "V", "M", 9, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tag string, _key string, _stay long, _stay_tag long")
+    kept = exact.without_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[1:]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact.duplicates(docs).count() == 0 and exact.without_duplicates(docs).count() == 0

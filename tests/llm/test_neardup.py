@@ -68,6 +68,23 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (2, 2, True), (4, 2, False), (4, 2, False)]
 
 
+def test_an_id_with_several_texts_is_a_document_for_each(spark):
+    a, b, near = "one two three four five six seven", "quite another text that nobody copies here", "quite another text that nobody copies here too"
+    rows = [(1, a, None, None), (5, a, None, None), (5, b, None, None), (7, near, None, None), (7, a, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = neardup.classes(docs, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 1, False), (7, 5, False)]
+    kept = neardup.without_near_copies(docs, shingle=3).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (5, b)]
+
+
+def test_clashing_columns_of_the_stage(spark):
+    rows = [(1, "a b c d e f", 3, 4, 5), (2, "a b c d e f", 3, 4, 5), (9, None, 3, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _gone_tag long, TAG long")
+    kept = neardup.without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rows = fixture()
     kept = neardup.without_near_copies(spark.createDataFrame(rows, SCHEMA))

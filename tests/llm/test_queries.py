@@ -31,9 +31,7 @@ def rows(spark, sf, n):
 
 def tokenizer(name):
     from tokenizers import Tokenizer
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("n,column,threshold", [(1, "quality", 0.3), (8, "toxic", 0.5)])
@@ -43,8 +41,8 @@ def test_scores(spark, sf, texts, n, column, threshold):
     assert sorted(r.doc_id for r in got) == sorted(texts)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= threshold) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
-    seen = [r for r in got if r.doc_id in known and not r.held_out]
-    assert sum(r.predicted == known[r.doc_id] for r in seen) > 0.85 * len(seen)
+    unseen = [r for r in got if r.doc_id in known and r.held_out]
+    assert sum(r.predicted == known[r.doc_id] for r in unseen) >= 0.8 * len(unseen) > 10
 
 
 def test_pieces(spark, sf, texts):
@@ -112,3 +110,9 @@ def test_personal_data(spark, sf, texts):
         assert got[d].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         places = [int(m) for m in re.findall(r":(\d+):", got[d].spans)]
         assert places == sorted(places) and set(filter(None, listed.split(","))) <= set(got[d].spans.split(","))
+
+
+@pytest.mark.parametrize("n", [11, 12, 13])
+def test_against_sql(spark, sf, n):
+    con = oracle_check.connect(sf)
+    assert oracle_check.compare(QUERIES[named(n)](spark, sf), con, entry.oracle_sql()[named(n)]) is None

@@ -19,9 +19,10 @@ def joined(texts):
     return Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
-def check(encoder, texts):
+def check(encoder, texts, name):
+    from tokenizers import Tokenizer
     ids, first = encoder.encode(joined(texts))
-    direct = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    direct = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)
     for k, e in enumerate(direct):
         assert ids[first[k]:first[k + 1]].tolist() == e.ids, repr(texts[k][:200])
 
@@ -35,11 +36,21 @@ def test_odd_texts(name, spaces):
     texts = ["", " ", "\n", "a", " a", "a ", "a\n", "  a"] + \
         ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     encoder = Encoder(__import__("public_tokenizers").path(name), spaces, slots=1 << 8)
-    check(encoder, texts)
-    check(encoder, texts[::-1])
+    check(encoder, texts, name)
+    check(encoder, texts[::-1], name)
 
 
 @pytest.mark.parametrize("name,spaces", FILES)
 def test_given_documents(name, spaces, sf):
     texts = [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet'").fetchall()]
-    check(Encoder(__import__("public_tokenizers").path(name), spaces), texts)
+    check(Encoder(__import__("public_tokenizers").path(name), spaces), texts, name)
+
+
+@pytest.mark.parametrize("name,spaces", FILES)
+def test_special_tokens_that_a_text_spells_out(name, spaces):
+    texts = ["a<|endoftext|>b", "<|startoftext|> The end <|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|>", "<|endoftext|><|endoftext|> 's"]
+    encoder = Encoder(public_tokenizers.path(name), spaces)
+    check(encoder, texts, name)
+    special = encoder.tokenizer.token_to_id("<|endoftext|>")
+    ids, first = encoder.encode(joined(texts))
+    assert [(ids[first[k]:first[k + 1]] == special).sum() for k in range(4)] == [1, 1, 2, 2]

@@ -19,6 +19,7 @@ Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,23 +44,48 @@ LOOKS = {
     "card": r"^([0-9][ .-]?){11,18}[0-9]$",
     "phone": r"^[+(]?([0-9][ ().-]{0,3}){6,14}[0-9]$",
 }
+_PAGE = 1024  # characters that are read at a time
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, weight: Callable[[Column], Column], join: Callable[[Column, Column], Column],
+             place: Callable[[Column, Column], Column], of: str) -> Column:
+    """``place(what came before, item)`` of every item, where ``join`` adds an item's weight to what came before.
+
+    An array that grows by an item is copied, so the items go by blocks of the square root of their number.
+    """
+    def blocks_of(held: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(held))).cast("int"), F.lit(16))
+        last = F.floor(F.greatest(F.size(held) - 1, F.lit(0)) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(held, k * size + 1, size))
+
+    def listed(held: Column, begin: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column],
+               kind: str) -> Column:
+        first = F.struct(begin.alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(held, first, lambda s, x: F.struct(
+            step(s["at"], x).alias("at"), F.concat(s["out"], F.array(out(s["at"], x))).alias("out")), lambda s: s["out"])
+
+    def walked(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda t, x: join(t, weight(x))))
+        begins = listed(totals, F.lit(0), join, lambda at, _: at, "array<int>")
+        return F.flatten(F.zip_with(blocks, begins, lambda block, begin: listed(
+            block, begin, lambda at, x: join(at, weight(x)), place, of)))
+
+    return _let(_let(items, blocks_of), walked)
+
+
 def located(text: Column, form: str) -> Column:
     """All matches of a form with their places: the pieces between matches give the offsets."""
     found, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)),
-                       lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-
-    def place(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["b"])
-        end = start + F.length(pair["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(pairs, first, place, lambda s: s["spans"])
+    pairs = _let(found, lambda f: F.zip_with(f, F.slice(between, F.lit(1), F.size(f)), lambda m, b: F.struct(
+        m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("size"))))
+    return _running(pairs, lambda p: p["gap"] + p["size"], lambda a, b: a + b, lambda at, p: F.struct(
+        (at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["m"].alias("value")), _SPAN)
 
 
 def _digits(value: Column) -> Column:
@@ -110,13 +136,27 @@ def _entities(text: Column) -> Column:
     return F.array_sort(F.concat(*[_strict(text, n, kind) for n, kind in enumerate(KINDS)]))
 
 
-def _clear_of(span: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _clear_of(spans: Column, others: Column) -> Column:
+    """The spans that no other one overlaps: of those that begin before a span's end, none may end after its start.
+
+    ``spans`` are in order and don't overlap each other.
+    """
+    event = lambda at, span, s: F.struct(
+        at.alias("at"), span.alias("other"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s["end"], F.lit(0), s)),
+                                   F.transform(others, lambda s: event(s["start"], F.lit(1), s))))
+    reach = lambda e: F.when(e["other"] == 1, e["end"]).otherwise(0)
+    marked = _running(events, reach, F.greatest, lambda far, e: F.struct(
+        e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"),
+        ((e["other"] == 0) & (far <= e["start"])).alias("clear")), "array<struct<start:int,end:int,value:string,clear:boolean>>")
+    return F.transform(F.filter(marked, lambda e: e["clear"]), lambda e: F.struct(
+        e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value")))
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The last two words before a place, lower-cased, marks kept; at most 80 characters are read."""
-    near = F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
+def _before(pages: Column, start: Column, reach: int) -> Column:
+    """The last words within ``reach`` characters before a place, lower-cased, marks kept."""
+    k, page = F.floor(start / _PAGE).cast("int"), lambda i: F.coalesce(F.get(pages, i), F.lit(""))
+    near = F.right(F.concat(page(k - 1), F.left(page(k), start % _PAGE)), F.lit(reach))
     return F.filter(F.split(F.lower(near), r"\s+"), lambda w: w != "")
 
 
@@ -128,14 +168,20 @@ def _patterns(words: Column) -> Column:
         .when(n == 1, F.array(F.concat(F.lit("1 "), one))).otherwise(F.array().cast("array<string>"))
 
 
-def located_rows(docs: DataFrame) -> DataFrame:
+def located_rows(docs: DataFrame, reach: int = 80) -> DataFrame:
     """Per row: ``rid``, ``doc_id``, entities of the strict forms and further candidates."""
+    if not 0 < reach <= _PAGE:
+        raise ValueError(f"reach is 1 to {_PAGE}")
     rows = text_rows(docs).withColumn("base", _entities(F.col("text")))
-    tokens = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
-    rows = rows.withColumn("tokens", F.filter(F.transform(tokens, _trimmed), lambda s: _clear_of(s, F.col("base"))))
+    marked = F.col("text").rlike("[0-9@]")
+    tokens = F.when(marked, located(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
+    rows = rows.withColumn("tokens", F.transform(tokens, _trimmed)).withColumn("tokens", _clear_of(F.col("tokens"), F.col("base")))
+    # A place is read from its page: to count to it from the start of a long text takes as long as the text.
+    pages = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{_PAGE}}}"), F.lit(0))
+    rows = rows.withColumn("pages", F.when(marked, pages).otherwise(F.array().cast("array<string>")))
     kept = F.filter("tokens", lambda t: reduce(lambda a, b: a | b, (t["value"].rlike(p) for p in LOOKS.values())))
     rows = rows.withColumn("tokens", kept)
-    context = lambda s: _patterns(_before(F.col("text"), s["start"]))
+    context = lambda s: _patterns(_before(F.col("pages"), s["start"], reach))
     return saved(rows.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id",
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["end"].alias("end"),
@@ -172,9 +218,12 @@ def _of_kind(value: Column, kind: Column) -> Column:
     return reduce(lambda a, b: a | b, ((kind == k) & value.rlike(p) for k, p in LOOKS.items()))
 
 
-def spans(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.6) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``base`` and ``added`` spans (start, n, end, kind, value)."""
-    rows = located_rows(docs)
+def spans(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.6, reach: int = 80) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``base`` and ``added`` spans (start, n, end, kind, value).
+
+    A pattern is what stands within ``reach`` characters before an identifier; a longer word counts by its end.
+    """
+    rows = located_rows(docs, reach)
     accepted = learn(rows, rounds, support, confidence)
     met = saved(rows.select("rid", F.explode("tokens").alias("t"))
                 .select("rid", "t.start", "t.end", "t.value", F.explode("t.patterns").alias("pattern")), "candidates")

@@ -68,5 +68,32 @@ def test_copies_support_a_pattern_once(spark):
     assert got[60] == "" and got[0] == "phone:9:26"
 
 
+def test_many_places_in_one_text(spark):
+    # More matches than a block of the running sums and more characters than a page, entities beside candidates.
+    rng = random.Random(4)
+    text = "é " + " ".join(rng.choice(["ask 10.0.0.%d" % rng.randint(0, 300), "user%d@mail.example.com," % rng.randint(0, 99), "lot 77-a",
+                                       "🙂 call +1 (212) 555-0147 or 212 555 0147"]) for _ in range(3000))
+    rows = [(1, text, None), (2, text[:1023], None), (3, text[:1024], None), (4, text[:1025], None)]
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for d, text, _ in rows:
+        assert [(s.start, s.n, s.end, s.kind) for s in got[d].base] == base(text)
+        assert all(text[s.start:s.end] == s.value for s in [*got[d].base, *got[d].added])
+        covered = {i for s, _, e, _ in base(text) for i in range(s, e)}
+        assert not any(i in covered for s in got[d].added for i in range(s.start, s.end))
+    found = located_tokens(spark, rows)
+    for d, text, _ in rows:
+        covered = {i for s, _, e, _ in base(text) for i in range(s, e)}
+        places = [(s.start, s.end) for s in found[d].tokens]
+        assert places == sorted(places) and not any(i in covered for s, e in places for i in range(s, e))
+        for s in [*found[d].base, *found[d].tokens]:
+            words = text[max(0, s.start - 80):s.start].lower().split()
+            assert s.patterns == [f"1 {words[-1]}"] * (len(words) > 0) + [f"2 {' '.join(words[-2:])}"] * (len(words) > 1)
+    assert "212 555 0147" in {s.value for s in found[1].tokens}
+
+
+def located_tokens(spark, rows):
+    return {r.doc_id: r for r in pii.located_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
 def test_empty_table(spark):
     assert pii.digests(spark.createDataFrame([], SCHEMA)).count() == 0

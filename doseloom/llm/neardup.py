@@ -6,8 +6,10 @@ documents, and two documents collide once for each coordinate they share.
 
 * Copies are one class: documents with the same word sequence are judged once.
 * Skip: a document with fewer than ``match`` coordinates that anyone else has can't reach
-  ``match`` collisions, so it posts nothing. Prefix: only the first ``PREFIX`` coordinates are
-  posted; the collisions of a pair that meets there are counted over whole signatures.
+  ``match`` collisions, so it posts nothing. Prefix: a document posts its ``K - match + 1`` rarest
+  coordinates only, those that nobody shares counted in. Two documents with ``match`` collisions have one
+  of them in common, and what most documents have is posted last. The collisions of a pair that
+  meets there are counted over whole signatures.
 * First each document meets only its lists' leaders, a pair per posting. Pairs with ``match``
   collisions or more are confirmed or refuted on their full shingle sets, with whole-number
   arithmetic, and the links make components.
@@ -44,7 +46,6 @@ from doseloom.llm.text import LOWER, U, Texts, distinct, mix, portions, windows
 
 K = 64
 LONG = 512  # coordinates of the longer signature, a byte each
-PREFIX = 12
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 _SEEDS, _ODD = (mix(np.arange(1, K + LONG + 1, dtype=U) * U(c)) >> U(32) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -52,7 +53,7 @@ _SEEDS, _ODD = _SEEDS.astype(np.uint32), _ODD.astype(np.uint32) | np.uint32(1)
 _INFO = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("signature", pa.binary())])
 _LISTS = pa.schema([("bucket", pa.int32()), ("portion", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 _COUNTS = pa.schema([("portion", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
-_POSTED = pa.schema([("doc", pa.int64()), ("token", pa.int64()), ("place", pa.int32())])
+_POSTED = pa.schema([("doc", pa.int64()), ("token", pa.int64()), ("place", pa.int32()), ("posted", pa.int64())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("cls", pa.binary()), ("long", pa.binary())])
 _NEAR = pa.schema([("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc", pa.int64()), ("pairs", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -106,7 +107,9 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def postings(reps: DataFrame, match: int) -> DataFrame:
-    """``doc, token, place``: the lists of each document's first coordinates that others share.
+    """``doc, token, place, posted``: the lists of each document's rarest coordinates, as far as others share them.
+
+    ``posted`` has a bit for each coordinate that the document posts.
 
     The documents are dealt to portions. A portion sends each of its tokens once, with a
     count, and gets back how many documents have it, so a token that a third of all
@@ -156,7 +159,7 @@ def postings(reps: DataFrame, match: int) -> DataFrame:
     def prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         if not left.num_rows or not right.num_rows:
-            return pa.table([empty, empty, empty.astype(np.int32)], schema=_POSTED)
+            return pa.table([empty, empty, empty.astype(np.int32), empty], schema=_POSTED)
         keys = np.frombuffer(b"".join(right.column("tokens").to_pylist()), U)
         df = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
         order = np.argsort(keys)
@@ -165,15 +168,19 @@ def postings(reps: DataFrame, match: int) -> DataFrame:
         at = np.searchsorted(keys, tokens)
         at[at == len(keys)] = 0
         many = np.where(keys[at] == tokens, df[at], 1)
-        shared = (many > 1).sum(1)
-        row, place = np.nonzero((many[:, :PREFIX] > 1) & (shared >= match)[:, None])
-        docs = left.column("doc").to_numpy()
-        return pa.table([docs[row], tokens[row, place].view(np.int64), place.astype(np.int32)], schema=_POSTED)
+        # One order for all documents: by how many have a coordinate, then by its name.
+        rarest = np.lexsort((tokens, many), axis=1)[:, :K - match + 1]
+        chosen = np.zeros(tokens.shape, bool)
+        np.put_along_axis(chosen, rarest, True, 1)
+        chosen &= (many > 1) & ((many > 1).sum(1) >= match)[:, None]
+        row, place = np.nonzero(chosen)
+        docs, bits = left.column("doc").to_numpy(), np.packbits(chosen, 1, "little").view("<i8").ravel()
+        return pa.table([docs[row], tokens[row, place].view(np.int64), place.astype(np.int32), bits[row]], schema=_POSTED)
 
     lists = base.groupBy("portion").applyInArrow(listed, "bucket int, portion int, tokens binary, counts binary")
     shared = lists.groupBy("bucket").applyInArrow(counted, "portion int, tokens binary, counts binary")
     return base.groupBy("portion").cogroup(shared.groupBy("portion")).applyInArrow(
-        prefixes, "doc long, token long, place int")
+        prefixes, "doc long, token long, place int, posted long")
 
 
 def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
@@ -220,7 +227,7 @@ def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFra
     """
     spark = posted.sparkSession
     lists = saved(posted.join(labels, "doc", "left")
-                  .select("token", "place", "doc", F.coalesce("label", "doc").alias("label")), "labelled-lists")
+                  .select("token", "place", "doc", "posted", F.coalesce("label", "doc").alias("label")), "labelled-lists")
     sizes = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     spread = max(1, round((buckets(spark, 1) / 4) ** 0.5))  # block pairs for the tasks of a quarter of the partitions
     mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"),
@@ -231,7 +238,7 @@ def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFra
     facts = marks.select(F.col("rep").alias("doc"), "signature").join(sets.select("doc", "long"), "doc")
     rows = lists.join(mixed, "token").join(facts, "doc") \
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")) \
-        .select("token", "place", "doc", (F.col("label") != F.col("top")).alias("outside"), "label", "signature", "long", "block",
+        .select("token", "place", "doc", "posted", (F.col("label") != F.col("top")).alias("outside"), "label", "signature", "long", "block",
                 F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     least_long = least_match(LONG, percent)
@@ -241,6 +248,7 @@ def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFra
         col = {c: table.column(c).to_numpy() for c in ("doc", "label", "block", "outside")}
         short = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, K)
         long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
+        posted = np.unpackbits(table.column("posted").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") > 0
         token, i, j, place = (table.column(c)[0].as_py() for c in ("token", "i", "j", "place"))
         left, right = np.flatnonzero(col["block"] == i), np.flatnonzero(col["block"] == j)
         found = [np.zeros((0, 2), np.int64)]
@@ -248,7 +256,7 @@ def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFra
             rest = right if i != j else right[col["doc"][right] > col["doc"][a]]
             rest = rest[(col["label"][rest] != col["label"][a]) & (col["outside"][rest] | col["outside"][a])]
             if place:  # an earlier list has looked at those that meet there
-                rest = rest[~(short[rest, :place] == short[a, :place]).any(1)]
+                rest = rest[~((short[rest, :place] == short[a, :place]) & posted[rest, :place] & posted[a, :place]).any(1)]
             rest = rest[(short[rest] == short[a]).sum(1, dtype=np.uint8) >= match]
             rest = rest[(long[rest] == long[a]).sum(1, dtype=np.uint16) >= least_long]
             if len(rest):

@@ -5,9 +5,10 @@ A window is ``n`` consecutive words of an item; an item with fewer words, but no
 is one window. The hashes of all windows of a document are looked up in the set; each
 hit is verified word by word before it counts.
 
-Only a block of the benchmark of at most ``block_bytes`` of words is broadcast at a
-time. A larger benchmark is scanned block by block and the hits are put together, so
-the size of what is broadcast doesn't depend on the data.
+Only a block of the benchmark of about ``block_bytes`` of words is made and broadcast at a
+time. With a larger benchmark each block is a pass over the documents that writes its hits
+down and drops its broadcast; the hits are put together at the end, so neither the driver nor a
+worker ever holds more than two blocks, whatever the data.
 
 Defined results: null and empty texts have no words and no hits; items without words
 match nothing; items that repeat a text are each found, rows that repeat an item id
@@ -18,15 +19,18 @@ no hits; extra columns are kept by ``cleaned`` and not read by ``scan``.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doseloom.llm.tables import as_batch, free_names, saved, text_rows, whole_text
 from doseloom.llm.text import LOWER, Texts, portions, windows
+from doseloom.plans.storage import new_folder
 
 WORD = np.ones(256, bool)
 for _a, _b in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
@@ -111,42 +115,81 @@ def ngram_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Ngr
         yield Ngrams(items, n)
 
 
+_SPAN = "struct<a:long,b:long,from:long,to:long>"
+_HITS = f"id long, n_words long, spans array<{_SPAN}>, items array<string>"
+_FOUND = pa.schema([("id", pa.int64()), ("n_words", pa.int64()),
+                    ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("a", "b", "from", "to")]))),
+                    ("items", pa.list_(pa.string()))])
+
+
+def _runs(hit: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2)
+
+
+def _cut(texts: Texts, d: int, bytes_of: list[tuple[int, int]]) -> str:
+    """Text ``d`` without these runs of bytes."""
+    raw = texts.data[texts.offsets[d]:texts.offsets[d + 1]].tobytes()
+    ends = [0, *(int(x) for pair in bytes_of for x in pair), len(raw)]
+    return b"".join(raw[x:y] for x, y in zip(ends[::2], ends[1::2])).decode()
+
+
+def _scanned(rows: DataFrame, block: Broadcast) -> DataFrame:
+    """``id, n_words, spans, items`` per row of ``rows`` (id, text)."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(batches):
+            found: dict[str, list] = {f.name: [] for f in _FOUND}
+            for _, hit, items, starts, ends in block.value.scan(texts):
+                found["n_words"].append(len(hit))
+                found["spans"].append([{"a": int(a), "b": int(b), "from": int(starts[a]), "to": int(ends[b - 1])} for a, b in _runs(hit)])
+                found["items"].append(sorted({block.value.names[i] for i in items} - {None}))
+            yield as_batch(found | {"id": batch.column(0)}, _FOUND)
+
+    return rows.mapInArrow(scanned, _HITS)
+
+
+def _first_two(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[Ngrams, Iterator[Ngrams] | None]:
+    """The first block and, where there are more, all blocks but the first."""
+    blocks = ngram_blocks(benchmark, n, block_bytes)
+    first, second = next(blocks, Ngrams([], n)), next(blocks, None)
+    return first, None if second is None else itertools.chain([second], blocks)
+
+
+def _by_blocks(rows: DataFrame, blocks: Iterator[Ngrams]) -> DataFrame:
+    """What ``_scanned`` gives, from one pass per block over ``rows`` (id, text), whose ids differ."""
+    spark = rows.sparkSession
+    uri = new_folder(spark, "block-hits")
+    for k, block in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(block)
+        found = _scanned(rows, sent)
+        (found if k == 0 else found.where(F.size("spans") > 0)).write.parquet(f"{uri}/block={k}")  # the first one has every row
+        sent.destroy()
+    hits = spark.read.schema(f"{_HITS}, block int").parquet(uri)
+    order = Window.partitionBy("id").orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.select("id", F.inline("spans")).withColumn("new", (F.col("a") > F.coalesce(before, F.lit(-1))).cast("int")) \
+        .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy("id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("from").alias("from"), F.max("to").alias("to"))
+    spans = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "from", "to"))).alias("spans"))
+    items = hits.select("id", F.explode("items").alias("item")).groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return hits.where("block = 0").select("id", "n_words").join(spans, "id", "left").join(items, "id", "left") \
+        .select("id", "n_words", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"),
+                F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, spans, items``.
 
     ``spans`` are the maximal runs of hit words as (first word, last word + 1, first
     byte, last byte + 1); ``items`` the distinct ids with occurring windows, as sorted strings.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = [spark.sparkContext.broadcast(b) for b in ngram_blocks(benchmark, n, block_bytes)] \
-        or [spark.sparkContext.broadcast(Ngrams([], n))]
-    schema = "doc_id long, n_words long, spans array<struct<a:long,b:long,from:long,to:long>>, items array<string>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
-                       ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("a", "b", "from", "to")]))),
-                       ("items", pa.list_(pa.string()))])
-
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in portions(batches):
-            counts, spans, names = [0] * len(texts), [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
-            merged: dict[int, tuple] = {}
-            for block in blocks:
-                for d, hit, items, starts, ends in block.value.scan(texts):
-                    old = merged.get(d)
-                    ids = {block.value.names[i] for i in items} - {None}
-                    merged[d] = (hit | old[0], ids | old[1], starts, ends) if old else (hit, ids, starts, ends)
-            for d, (hit, ids, starts, ends) in merged.items():
-                counts[d] = len(hit)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                spans[d] = [{"a": int(a), "b": int(b), "from": int(starts[a]), "to": int(ends[b - 1])}
-                            for a, b in edge.reshape(-1, 2)]
-                names[d] = sorted(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()),
-                                              pa.array(spans, arrow.field("spans").type),
-                                              pa.array(names, arrow.field("items").type)], schema=arrow)
-
-    return rows.mapInArrow(scanned, schema)
+    first, more = _first_two(benchmark, n, block_bytes)
+    rows = text_rows(docs)
+    if more is None:
+        return _scanned(rows, docs.sparkSession.sparkContext.broadcast(first)).withColumnRenamed("id", "doc_id")
+    rows = saved(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    found = _by_blocks(rows.select("id", "text"), itertools.chain([first], more))
+    return rows.select("id", "doc_id").join(found, "id").drop("id")
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -167,28 +210,40 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "d
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in ngram_blocks(benchmark, n, block_bytes)]
+    first, more = _first_two(benchmark, n, block_bytes)
+    if more is None:
+        return _cleaned(docs, docs.sparkSession.sparkContext.broadcast(first), remove)
+    number, runs = free_names(docs, "_number", "_runs")
+    rows = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = _by_blocks(rows.select(F.col(number).alias("id"), whole_text().alias("text")), itertools.chain([first], more))
+    hit = saved(found.where(F.size("spans") > 0).select(F.col("id").alias(number), F.transform(
+        "spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))).alias(runs)), "hits")
+    if remove == "documents":
+        return rows.join(hit, number, "left_anti").drop(number)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(b for b in batches if b.num_rows):
+            at, last = batch.schema.get_field_index("text"), batch.num_columns - 1
+            new = [t if not spans else _cut(texts, d, [(s["from"], s["to"]) for s in spans])
+                   for d, (t, spans) in enumerate(zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()))]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).select(list(range(last)))
+
+    return rows.join(hit, number, "left").drop(number).mapInArrow(cut, docs.schema)
+
+
+def _cleaned(docs: DataFrame, block: Broadcast, remove: str) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(b for b in batches if b.num_rows):
-            bad = [np.zeros(0, bool)] * len(texts)
-            place: list[tuple] = [()] * len(texts)
-            for block in blocks:
-                for d, hit, _, starts, ends in block.value.scan(texts):
-                    bad[d] = hit | bad[d] if len(bad[d]) else hit
-                    place[d] = (starts, ends)
+            found = list(block.value.scan(texts))
             if remove == "documents":
-                yield batch.filter(pa.array([not b.any() for b in bad]))
+                yield batch.filter(pa.array([not hit.any() for _, hit, _, _, _ in found]))
                 continue
             at = batch.schema.get_field_index("text")
             new = batch.column(at).to_pylist()
-            for d, hit in enumerate(bad):
+            for d, hit, _, starts, ends in found:
                 if hit.any():
-                    raw = texts.data[texts.offsets[d]:texts.offsets[d + 1]].tobytes()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2)
-                    cuts = [0, *(int(x) for a, b in edge for x in (place[d][0][a], place[d][1][b - 1])), len(raw)]
-                    new[d] = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2])).decode()
+                    new[d] = _cut(texts, d, [(starts[a], ends[b - 1]) for a, b in _runs(hit)])
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     return docs.mapInArrow(judged, docs.schema)

@@ -64,6 +64,9 @@ def test_against_plain_scan(spark, block_bytes):
     kept = decontaminate.cleaned(docs, benchmark, block_bytes=block_bytes)
     assert kept.columns == docs.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(e[0]) for e in expected(rows, items) if not e[5])
+    cut = decontaminate.cleaned(docs, benchmark, remove="spans", block_bytes=block_bytes)
+    assert cut.columns == docs.columns
+    assert sorted(map(str, cut.collect())) == sorted(map(str, decontaminate.cleaned(docs, benchmark, remove="spans").collect()))
 
 
 def test_spans_go_with_their_bytes(spark):

@@ -91,6 +91,9 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 SQL: dict[str, str] = {
     "op4_block_naming": sql.EXACT,
+    "op6_decontamination": sql.DECONTAMINATION,
+    "op7_repeats": sql.REPEATS,
+    "op9_near_duplicates": sql.NEAR_DUPLICATES,
     "op11_octopus_manifest": sql.MERKLE,
     "op12_redirect_filter": sql.url_filter(URL_RULES),
     "op13_slot_negatives": sql.NEGATIVES,

@@ -140,3 +140,65 @@ NEGATIVES = """
                FROM positives p JOIN scores s ON s.anchor = p.anchor AND NOT s.same
                     AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
     SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM inside WHERE rank <= 5"""
+
+#: The text with A-Z, and nothing else, lower-cased.
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+    WITH low AS (
+        SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (
+        SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    gram AS (
+        SELECT DISTINCT item, least(len(w), 10) AS m, w[i:i + least(len(w), 10) - 1] AS g
+        FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT m FROM gram),
+    met AS (
+        SELECT r, i, t.m, item FROM (
+            SELECT r, m, i, w[i:i + m - 1] AS g
+            FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM low, sizes WHERE len(w) >= m)) t JOIN gram USING (m, g)),
+    hit AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + m)) AS place FROM met) GROUP BY r),
+    named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT r, item FROM met WHERE item IS NOT NULL) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+    FROM low LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+REPEATS = r"""
+    WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    page AS (  -- 500 strings each, since a place far into a long text is slow to reach
+        SELECT doc_id, p, substring(h, 2 * p + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 49, 500)) AS p FROM doc)),
+    string AS (
+        SELECT doc_id, p + i AS i, substring(h, 2 * i + 1, 100) AS s
+        FROM (SELECT doc_id, p, h, unnest(range(0, strlen(h) // 2 - 49)) AS i FROM page)),
+    first AS (SELECT s, min(doc_id) AS d FROM string GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    mark AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS ahead FROM string JOIN first USING (s) WHERE doc_id > d),
+    run AS (
+        SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+        FROM (SELECT *, sum((ahead IS NULL OR i > ahead + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark)
+        GROUP BY doc_id, k),
+    runs AS (
+        SELECT doc_id, count(*) AS n, sum(b - a) AS size, list_concat([0], list(b ORDER BY a)) AS begins, list(a ORDER BY a) AS ends
+        FROM run GROUP BY doc_id)
+    SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(size, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+           sha256(CASE WHEN n IS NULL THEN unhex(h) ELSE unhex(array_to_string(
+               list_transform(begins, lambda b, k: substring(h, 2 * b + 1, 2 * (coalesce(ends[k], strlen(h) // 2) - b))), '')) END) AS kept_sha256
+    FROM doc LEFT JOIN runs USING (doc_id)"""
+
+NEAR_DUPLICATES = rf"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    class AS (SELECT w, min(doc_id) AS c FROM doc WHERE len(w) > 0 GROUP BY w),
+    shingle AS (
+        SELECT DISTINCT c, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS s
+        FROM (SELECT c, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM class)),
+    numbered AS (SELECT c, dense_rank() OVER (ORDER BY s) AS s FROM shingle),
+    size AS (SELECT c, count(*) AS n FROM numbered GROUP BY c),
+    pair AS (SELECT x.c AS a, y.c AS b, count(*) AS n FROM numbered x JOIN numbered y ON x.s = y.s AND x.c < y.c GROUP BY ALL),
+    link AS (
+        SELECT a, b FROM pair JOIN size x ON x.c = a JOIN size y ON y.c = b WHERE 100 * pair.n >= 85 * (x.n + y.n - pair.n)),
+    edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach(c, m) AS (SELECT a, a FROM edge UNION SELECT b, m FROM reach JOIN edge ON a = c WHERE m < b),
+    label AS (SELECT c, min(m) AS m FROM reach GROUP BY c)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, class.c, doc_id) AS component_id, doc_id = coalesce(m, class.c, doc_id) AS kept
+    FROM doc LEFT JOIN class USING (w) LEFT JOIN size USING (c) LEFT JOIN label USING (c)"""

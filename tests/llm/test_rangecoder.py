@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from doseloom.llm import rangecoder
-from doseloom.llm.rangecoder import BLOCK, decode_blocks, encode_blocks
+from doseloom.llm.rangecoder import BLOCK, Start, decode_blocks, documents_of, encode_blocks, segment
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, n_ids string"
@@ -25,6 +25,45 @@ def test_blocks_come_back(kind):
         assert sum(map(len, blocks)) < n // 2
 
 
+@pytest.mark.parametrize("kind", ["random", "zipf", "constant", "cycle", "large", "one"])
+def test_segments_come_back(kind):
+    rng = np.random.default_rng(5)
+    n = 2 * BLOCK + 9
+    ids = {"random": rng.integers(0, 50_257, n), "zipf": np.minimum(rng.zipf(1.3, n), 50_000), "constant": np.full(n, 7),
+           "cycle": np.arange(n) % 90, "large": rng.integers(0, 1 << 20, n), "one": np.array([5])}[kind].astype(np.uint32)
+    names, lengths, got = documents_of(segment([None, 4], np.array([0, len(ids)]), ids))
+    assert (names, lengths.tolist(), got.tolist()) == ([None, 4], [0, len(ids)], ids.tolist())
+    start = Start.of(ids)
+    blocks = encode_blocks(ids, start)
+    assert decode_blocks(blocks[-1:], Start.unpack(start.pack())).tolist() == ids[(len(ids) - 1) // BLOCK * BLOCK:].tolist()
+    with pytest.raises(ValueError):
+        encode_blocks(np.array([1_000_003], np.uint32), start)
+
+
+def test_damaged_segments():
+    payload = segment([1], np.array([5000]), (np.arange(5000) * 7 % 911).astype(np.uint32))
+    for at in (9, 60, len(payload) // 2, len(payload) - 30):
+        bad = bytearray(payload)
+        bad[at] ^= 4
+        with pytest.raises(ValueError):
+            documents_of(bytes(bad))
+
+
+def test_fewer_bytes_than_counts_alone(sf):
+    """On documents: below a code by counts over all ids, for which nothing is charged, and below zlib."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.concatenate([np.array(e.ids + [0], np.uint32) for e in tokenizer.encode_batch(
+        [t or "" for t in texts], add_special_tokens=False)])
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    size = len(segment([0], np.array([len(ids)]), ids))
+    assert size < -(share * np.log2(share)).sum() / 8 * len(ids)
+    assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
 def test_each_block_stands_alone():
     ids = np.random.default_rng(1).integers(0, 300, 4 * BLOCK).astype(np.uint32)
     blocks = encode_blocks(ids)

@@ -202,15 +202,17 @@ def _take(interval: list, other: list) -> None:
 
 
 def _digest(string: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") or 1
+    return int.from_bytes(hashlib.sha256(string).digest()[:8], "big") or 1
 
 
-def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_bytes: int,
+                  every: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Maximal repeat groups of distinct strings that may share passages.
 
     The rows (string number, and group, parent, first document, at, size) list each
-    occurrence with its deepest group and with every group around it that reaches an earlier
-    document; a group's ``parent`` is the next group around it, 0 if there is none.
+    occurrence with its deepest group and with every group around it, at most one per window of a
+    string; without ``every`` only with those that reach an earlier document than the ones inside.
+    A group's ``parent`` is the next group around it, 0 if there is none.
     """
     sizes = np.array([len(s) for s in strings])
     longest = int(sizes.max())
@@ -251,7 +253,7 @@ def suffix_groups(strings: list[bytes], low: np.ndarray, high: np.ndarray, min_b
     depth, first = np.array([x[0] for x in kept] + [0]), np.array([x[1] for x in kept] + [0], np.int64)
     now, told = owner[at_once], np.full(len(at_once), np.iinfo(np.int64).max)
     while len(at_once):
-        tell = first[now] < told
+        tell = (first[now] < told) | every
         own, group = at_once[tell], now[tell]
         part = np.zeros(len(own), _GROUP)
         part["group"], part["parent"], part["first"] = digest[group], digest[around[group]], first[group]
@@ -456,7 +458,7 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = _HO
                 if len(part):
                     some = [strings[k] for k in part.tolist()]
                     number, rows = groups(some, least[part], most[part]) if groups else \
-                        suffix_groups(some, least[part], most[part], min_bytes)
+                        suffix_groups(some, least[part], most[part], min_bytes, with_groups)
                     found.append((part[number], rows))
             string, rows = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             if not with_groups:

@@ -22,7 +22,8 @@ hash, so no key brings its contexts together in one task; a string or window goe
 once per portion however often it stands there. Both ways give the same spans. Where
 groups are named, windows would name pieces of a passage, so keys stay whole there.
 
-On the way back a string is named by a 64-bit digest of its bytes.
+On the way back a string is named by a 64-bit digest of its bytes, and the crc32 of the bytes
+must agree as well before a place is marked.
 
 Defined results: null text is the empty text; texts shorter than ``min_bytes`` match
 nothing; a null ``doc_id`` counts as greater than all others; rows that repeat an id are
@@ -34,6 +35,7 @@ character: bytes are what the contract counts.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +58,8 @@ _HITS, _SQL_HITS = _rows(portion=int, keys=bytes, hot=bytes, copies=bytes)
 _STRINGS, _SQL_STRINGS = _rows(bucket=int, portion=int, keys=bytes, low=bytes, several=bytes, sizes=bytes, bytes=bytes, hot=bytes)
 _GROUPS, _SQL_GROUPS = _rows(portion=int, groups=bytes, hot=bytes, copies=bytes)
 _COPY = np.dtype([("doc_id", "<i8"), ("tag", "<i8"), ("first", "<i8")])
-_GROUP = np.dtype([("name", "<u8"), ("group", "<u8"), ("parent", "<u8"), ("first", "<i8"), ("at", "<u4"), ("size", "<u4")])
+_GROUP = np.dtype([("name", "<u8"), ("group", "<u8"), ("parent", "<u8"), ("first", "<i8"), ("at", "<u4"), ("size", "<u4"),
+                   ("check", "<u4")])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                    ("groups", pa.list_(pa.struct([("group", pa.int64()), ("parent", pa.int64()), ("start", pa.int64()),
                                                   ("length", pa.int64()), ("first_doc", pa.int64())]))),
@@ -374,16 +377,17 @@ def shared_keys(base: DataFrame, copies: DataFrame, n: int, min_bytes: int = 50,
 
 
 def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = _HOT, windows_at_once: int = 250_000,
-            with_groups: bool = True) -> DataFrame:
+            with_groups: bool = True, name_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, groups, spans, kept_sha256``.
 
     ``groups`` are the occurrences of maximal repeat groups (group, the group around it, start,
     length, first document), as ``suffix_groups`` lists them; a copy of a whole text has
     that text as its group. Without ``with_groups`` they stay unnamed, which saves shuffling names.
     ``spans`` are the maximal byte ranges covered by strings of ``min_bytes`` bytes that also
-    stand in a document with a smaller id; ``kept_sha256`` is of the other bytes.
+    stand in a document with a smaller id; ``kept_sha256`` is of the other bytes. ``name_bits`` of a
+    string's digest name it on the way back; fewer bring strings of one name, told apart by their crc32.
     """
-    spark = docs.sparkSession
+    spark, bits = docs.sparkSession, U((1 << name_bits) - 1)
     n = buckets(spark, 1)
     base = _based(docs, n)
 
@@ -469,7 +473,9 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = _HO
             runs.total = np.zeros(len(data) + 1, U)
             np.cumsum((data.astype(U) + U(1)) * _power(len(data), "up"), out=runs.total[1:])
             runs.start, runs.count = np.cumsum(lengths) - lengths, lengths - min_bytes + 1
-            rows["name"] = runs.names(min_bytes)[string]
+            rows["name"] = runs.names(min_bytes)[string] & bits
+            told_of, back = np.unique(string, return_inverse=True)
+            rows["check"] = np.array([zlib.crc32(strings[k]) for k in told_of.tolist()], np.uint32)[back]
             by = np.argsort(string, kind="stable")
             rows, string = rows[by], string[by]
             lo, hi = np.searchsorted(string, which), np.searchsorted(string, which, "right")
@@ -503,17 +509,20 @@ def repeats(docs: DataFrame, min_bytes: int = 50, gram: int = 24, hot: int = _HO
             ids = _ids(batch)
             tags = batch.column(batch.schema.get_field_index("tag")).to_pylist()
             found: list[list] = [[] for _ in range(len(texts))]
+            data = texts.data
             if len(names):
                 runs = Runs(texts, min_bytes, gram).singled(busy)
-                called = runs.names(min_bytes)
+                ends = runs.start + runs.count + min_bytes - 1
+                called = runs.names(min_bytes) & bits
                 at = np.searchsorted(names, called)
                 at[at == len(names)] = 0
                 for k in np.flatnonzero(names[at] == called).tolist():
                     d = int(runs.doc[k])
                     place = int(runs.start[k] - texts.offsets[d])
+                    check = zlib.crc32(data[runs.start[k]:ends[k]])
                     for row in rows[first[at[k]]:upto[at[k]]].tolist():
-                        found[d].append((row[1], row[2], place + row[4], row[5], row[3]))
-            data = texts.data
+                        if row[6] == check:
+                            found[d].append((row[1], row[2], place + row[4], row[5], row[3]))
             for d in range(len(texts)):
                 a, b, doc = int(texts.offsets[d]), int(texts.offsets[d + 1]), int(ids[d])
                 raw, spans = data[a:b].tobytes(), []

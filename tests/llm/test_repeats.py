@@ -110,3 +110,10 @@ def test_spans_without_names(spark, hot):
     got = repeats.repeats(spark.createDataFrame(rows, SCHEMA), hot=hot, with_groups=False).collect()
     mine = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got)
     assert mine == removed(rows)
+
+
+def test_strings_of_one_name_are_told_apart(spark):
+    rows = fixture()
+    got = repeats.repeats(spark.createDataFrame(rows, SCHEMA), with_groups=False, name_bits=4).collect()
+    mine = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got)
+    assert mine == removed(rows)

@@ -49,11 +49,14 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float =
 def fit_forest(df: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,
                max_depth: int | None = None, min_samples_split: int = 2, seed: int = 42):
     """Random forest. No depth limit means MLlib's deepest tree (30); a node is
-    split only when both children can hold half of ``min_samples_split``."""
+    split only when both children can hold half of ``min_samples_split``.
+
+    Each row's node of each tree is kept from level to level: otherwise every level sends all
+    trees grown so far to the tasks, and walks them from the root. The trees are the same."""
     return RandomForestClassifier(
         featuresCol=FEATURES, labelCol=label, numTrees=n_estimators,
         maxDepth=30 if max_depth is None else max_depth,
-        minInstancesPerNode=max(1, min_samples_split // 2), seed=seed).fit(assemble(df, features))
+        minInstancesPerNode=max(1, min_samples_split // 2), seed=seed, cacheNodeIds=True).fit(assemble(df, features))
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], label: str, n_estimators: int = 100,

@@ -312,3 +312,14 @@ def test_boosting_is_exact_greedy_and_alike_in_both_ways(spark, second, least):
         assert models[0].margins(boosting.binned([pa.array(x[use, 0]), pa.array(x[use, 1])], ends)) == pytest.approx(other, abs=1e-9)
         assert models[0].first(5).margins(np.zeros((1, 2), np.uint8)).shape == (1,)
         assert models[0].importances(2).sum() == pytest.approx(1)
+
+
+def test_forest_keeps_each_rows_node(table):
+    """The trees are those that MLlib grows by walking every tree again at each level."""
+    from pyspark.ml.classification import RandomForestClassifier
+    table = table[2]
+    kept = classifiers.fit_forest(table, NAMES, "y", n_estimators=7, min_samples_split=4)
+    walked = RandomForestClassifier(featuresCol=classifiers.FEATURES, labelCol="y", numTrees=7, maxDepth=30, minInstancesPerNode=2, seed=42) \
+        .fit(classifiers.assemble(table, NAMES))
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]

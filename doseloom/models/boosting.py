@@ -87,12 +87,16 @@ def leaves(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray
 
 def histogram(bins: np.ndarray, place: np.ndarray, nodes: int, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
     """Count, gradient and Hessian by (node of the level, feature, bin); rows with a place under 0 are settled."""
-    use = place >= 0
-    width = bins.shape[1]
-    cell = ((place[use, None] * width + np.arange(width)) * BINS + bins[use]).ravel()
-    cells = nodes * width * BINS
-    sums = [np.bincount(cell, None if w is None else np.repeat(w[use], width), cells) for w in (None, gradient, hessian)]
-    return np.stack(sums, -1).reshape(nodes, width, BINS, 3).astype(float)
+    out = np.empty((nodes, bins.shape[1], BINS, 3))
+    if place.min(initial=0) < 0:
+        use = np.flatnonzero(place >= 0)
+        place, bins, gradient, hessian = place[use], bins[use], gradient[use], hessian[use]
+    begin = place * BINS
+    for f in range(bins.shape[1]):  # one feature at a time: no weight is repeated for each of them
+        cell = begin + bins[:, f]
+        for k, w in enumerate((None, gradient, hessian)):
+            out[:, f, :, k] = np.bincount(cell, w, nodes * BINS).reshape(nodes, BINS)
+    return out
 
 
 class Tree:
@@ -132,6 +136,12 @@ class Tree:
         steep = sums[2] + (_L2 if own.newton else 0.0)
         return -own.learning_rate * sums[1] / steep if steep > 1e-12 else 0.0
 
+    def descend(self, bins: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Each row's node after the level last grown, from its node before."""
+        split = self.feature[node]
+        right = bins[np.arange(len(bins)), split] > self.cut[node]
+        return np.where(split < 0, node, 2 * node + 1 + right)
+
     def places(self, bins: np.ndarray, level: int) -> np.ndarray:
         """Each row's node of the level, -1 where its path has ended before."""
         place = leaves(bins, self.feature, self.cut) - ((1 << level) - 1)
@@ -151,13 +161,14 @@ def _fit_here(bins: np.ndarray, y: np.ndarray, base: float, own: Settings) -> li
     margin, trees = np.full(len(y), base), []
     for _ in range(own.n_estimators):
         gradient, hessian = _slopes(margin, y)
-        tree = Tree(own.max_depth)
+        tree, node = Tree(own.max_depth), np.zeros(len(y), np.int64)
         for level in range(own.max_depth):
-            place = tree.places(bins, level) if level else np.zeros(len(y), np.int64)
+            place = np.maximum(node - ((1 << level) - 1), -1)  # -1 where a path has ended before
             if (place < 0).all():
                 break
             tree.grow(level, histogram(bins, place, 1 << level, gradient, hessian), own)
-        margin += tree.value[leaves(bins, tree.feature, tree.cut)]
+            node = tree.descend(bins, node)
+        margin += tree.value[node]
         trees.append(tree)
     return trees
 

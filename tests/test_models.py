@@ -323,3 +323,30 @@ def test_forest_keeps_each_rows_node(table):
         .fit(classifiers.assemble(table, NAMES))
     assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
     assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+
+
+@pytest.mark.parametrize("newton", [True, False])
+def test_boosting_walks_no_tree_from_its_root(monkeypatch, newton):
+    """A fit on one task's table goes down one level at a time, with the same trees to the last bit."""
+    rng = np.random.default_rng(5)
+    bins, y = rng.integers(0, 40, (900, 3)).astype(np.uint8), (rng.random(900) < 0.3).astype(float)
+    bins[:500] = bins[0]  # most rows alike: paths that end early
+    own = boosting.Settings(n_estimators=6, max_depth=4, min_child_weight=2, newton=newton)
+    margin, want, walk = np.full(900, -0.5), [], boosting.leaves
+    for _ in range(own.n_estimators):
+        slopes, tree = boosting._slopes(margin, y), boosting.Tree(own.max_depth)
+        for level in range(own.max_depth):
+            place = tree.places(bins, level)
+            use = place >= 0
+            cell = ((place[use, None] * 3 + np.arange(3)) * boosting.BINS + bins[use]).ravel()
+            sums = [np.bincount(cell, None if w is None else np.repeat(w[use], 3), 3 * boosting.BINS << level) for w in (None, *slopes)]
+            tree.grow(level, np.stack(sums, -1).reshape(1 << level, 3, boosting.BINS, 3).astype(float), own)
+        margin += tree.value[walk(bins, tree.feature, tree.cut)]
+        want.append(tree)
+
+    def refuse(*_):
+        raise AssertionError("walked from the root")
+    monkeypatch.setattr(boosting, "leaves", refuse)
+    got = boosting._fit_here(bins, y, -0.5, own)
+    for a, b in zip(got, want, strict=True):
+        assert all((getattr(a, c) == getattr(b, c)).all() for c in ("feature", "cut", "value", "gain"))

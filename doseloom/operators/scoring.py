@@ -50,11 +50,13 @@ def few_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> bool
 def hot_loci(rows: DataFrame, salt_by: str, one_in: int = 64) -> DataFrame:
     """Loci that hold so many rows that they would fill a shuffle task, with their rows in a hash sample.
 
-    One in ``one_in`` rows is counted by locus; a locus is hot with more than a quarter of the rows that a shuffle task
-    gets on average. At most four times as many loci as tasks can be hot, however many rows there are.
+    The rows of one in ``one_in`` values of ``salt_by`` are counted by locus; a locus is hot with more than a quarter of the rows
+    that a shuffle task gets on average. At most four times as many loci as tasks can be hot, however many rows there are.
+    The choice by that column alone reaches below joins and aggregates that make the rows, so these are not made twice as a
+    whole; rows that share its value could not be spread by it anyway.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sampled = rows.where(F.pmod(F.xxhash64(*LOCUS, salt_by), F.lit(one_in)) == 0).groupBy(*LOCUS).agg(F.count(F.lit(1)).alias("sampled"))
+    sampled = rows.where(F.pmod(F.xxhash64(salt_by), F.lit(one_in)) == 0).groupBy(*LOCUS).agg(F.count(F.lit(1)).alias("sampled"))
     total = sampled.agg(F.sum("sampled")).scalar()
     return sampled.where((F.col("sampled") * (4 * tasks) > total) & (F.col("sampled") > 1))
 

@@ -149,6 +149,18 @@ def test_only_hot_loci_are_salted(spark):
     assert scoring.hot_loci(rows.limit(0), "s").count() == 0
 
 
+def test_hot_loci_do_not_make_all_rows_again(spark):
+    """The sample is taken below the aggregate that makes the rows, and rows without a sample are in none."""
+    made = spark.range(5000).select(F.lit("chr1").alias("contig"), (F.col("id") % 9).cast("int").alias("position"),
+                                    F.when(F.col("id") % 10 > 0, F.col("id") % 700).alias("s")) \
+        .groupBy("contig", "position", "s").agg(F.count(F.lit(1)).alias("n"))
+    hot = scoring.hot_loci(made, "s")
+    plan = hot._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sampled = [i for i, line in enumerate(plan) if "Filter" in line and "xxhash64" in line]
+    assert sampled and sampled[-1] > max(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert hot.count() <= 9
+
+
 def ran(node):
     """The nodes of a plan that has run, through its query stages."""
     kind = node.getClass().getSimpleName()

@@ -11,9 +11,9 @@ stored calls. The variant count is the number of matched variants for everyone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseloom.functions import genotype as g
@@ -24,6 +24,7 @@ from doseloom.sources.readers import Genotypes
 
 LOCUS = ["contig", "position"]
 SALTS = 16
+ONE_IN = 64  # of the values that rows are salted by, those in the sample for hot loci
 RISK_LABELS: Sequence[str] = ("Very Low", "Low", "Average", "High", "Very High")
 
 
@@ -47,7 +48,7 @@ def few_weights(weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> bool
     return weights.count() <= max_broadcast
 
 
-def hot_loci(rows: DataFrame, salt_by: str, one_in: int = 64) -> DataFrame:
+def hot_loci(rows: DataFrame, salt_by: str, one_in: int = ONE_IN) -> DataFrame:
     """Loci that hold so many rows that they would fill a shuffle task, with their rows in a hash sample.
 
     The rows of one in ``one_in`` values of ``salt_by`` are counted by locus; a locus is hot with more than a quarter of the rows
@@ -62,19 +63,20 @@ def hot_loci(rows: DataFrame, salt_by: str, one_in: int = 64) -> DataFrame:
 
 
 def with_weights(rows: DataFrame, weights: DataFrame, how: str = "inner", salt_by: str | None = None,
-                 few: bool | None = None) -> DataFrame:
+                 few: bool | None = None, sampled: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Rows met with the one weight at their locus.
 
     Few weights are broadcast. Otherwise both sides are shuffled and merged; with
     ``salt_by`` the rows of each hot locus go to ``SALTS`` tasks by that column,
-    each with its copy of the weight, and all other weights are sent once.
+    each with its copy of the weight, and all other weights are sent once. ``sampled`` makes the rows of
+    ``hot_loci``'s sample, where there is a cheaper way to them than through ``rows``.
     """
     chosen = one_weight_per_locus(weights)
     if few_weights(weights) if few is None else few:
         return rows.join(F.broadcast(chosen), LOCUS, how)
     if salt_by is None:
         return rows.join(chosen.hint("merge"), LOCUS, how)
-    hot = F.broadcast(cut_lineage(hot_loci(rows, salt_by).select(*LOCUS, F.lit(True).alias("_hot"))))
+    hot = F.broadcast(cut_lineage(hot_loci(sampled() if sampled else rows, salt_by).select(*LOCUS, F.lit(True).alias("_hot"))))
     copies = chosen.join(hot, LOCUS, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))).drop("_hot")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)
@@ -97,11 +99,36 @@ def _placed(weighted: DataFrame) -> DataFrame:
     return weighted.withColumn("_place", g.effect_place(F.col("alleles"), F.col("effect_allele")))
 
 
+def _slim(calls: DataFrame) -> DataFrame:
+    """Calls with all that a dosage needs in short columns as well; the arrays stay out of a shuffle unless they are read after it.
+
+    Alleles are a list joined by commas; only an array that such a list can't say (a comma, a null, no allele) is kept as it is.
+    The two indices of a call are the halves of one number.
+    """
+    one, two = (F.get("gt", F.lit(i)).cast("long") for i in (0, 1))
+    plain = (F.size("alleles") > 0) & ~F.exists("alleles", lambda a: a.isNull() | a.contains(","))
+    return calls.withColumns({"_listed": F.when(plain, F.array_join("alleles", ",")),
+                              "_odd": F.when(plain, F.lit(None)).otherwise(F.col("alleles")),
+                              "_pair": F.shiftleft(one, 32).bitwiseOR(two.bitwiseAND(F.lit(0xFFFFFFFF)))})
+
+
+def _placed_calls(calls: DataFrame, weights: DataFrame, few: bool | None = None,
+                  sampled: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, Column]:
+    """Weighted calls with the place of the effect allele, and their genotype."""
+    few = few_weights(weights) if few is None else few
+    if few:
+        return _placed(with_weights(calls, weights, salt_by="s", few=True)), F.col("gt")
+    met = with_weights(_slim(calls), weights, salt_by="s", few=False, sampled=sampled)
+    place = F.coalesce(g.effect_place(F.col("_odd"), F.col("effect_allele")), F.find_in_set("effect_allele", "_listed"))
+    one, two = F.shiftright("_pair", 32), F.shiftright(F.shiftleft("_pair", 32), 32)
+    return met.withColumn("_place", place).drop("_listed", "_odd"), F.array(one.cast("int"), two.cast("int"))
+
+
 def call_dosages(calls: DataFrame, weights: DataFrame, allele_specific: bool = False) -> DataFrame:
     """Stored calls at weighted loci with dosage and contribution."""
-    return (_placed(with_weights(calls, weights, salt_by="s"))
-            .withColumn("dosage", g.effect_dosage(F.col("gt"), F.col("_place"), allele_specific))
-            .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place"))
+    met, gt = _placed_calls(calls, weights)
+    return (met.withColumn("dosage", g.effect_dosage(gt, F.col("_place"), allele_specific))
+            .withColumn("contribution", F.col("dosage") * F.col("weight")).drop("_place", "_pair"))
 
 
 def prune_calls(data: Genotypes, weights: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
@@ -126,13 +153,14 @@ def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAS
 
 
 def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, weights: DataFrame,
-                  allele_specific: bool = False, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+                  allele_specific: bool = False, max_broadcast: int = BROADCAST_ROWS,
+                  sampled: Callable[[], DataFrame] | None = None) -> DataFrame:
     """``s, total_score, variant_count, normalized_score`` for every sample.
 
     ``variants`` is one row per (contig, position, alleles); ``calls`` holds the
     stored entries only, with ``alleles`` and ``gt``. Partial sums per sample
     are made before the shuffle, so a sample with very many calls is one row
-    per task by then.
+    per task by then. ``sampled``: see ``with_weights``.
     """
     few = few_weights(weights, max_broadcast)
     place, weight = F.col("_place"), F.col("weight")
@@ -140,9 +168,9 @@ def score_samples(samples: DataFrame, variants: DataFrame, calls: DataFrame, wei
     base = (_placed(with_weights(variants, weights, few=few))
             .agg(F.struct(F.coalesce(F.sum(miss * weight), F.lit(0.0)).alias("total"),
                           F.count("weight").alias("n")).alias("base")).scalar())
-    delta = g.effect_dosage(F.col("gt"), place, allele_specific) - miss
-    moved = (_placed(with_weights(calls, weights, salt_by="s", few=few))
-             .groupBy("s").agg(F.sum(delta * weight).alias("delta")))
+    met, gt = _placed_calls(calls, weights, few, sampled)
+    delta = g.effect_dosage(gt, place, allele_specific) - miss
+    moved = met.groupBy("s").agg(F.sum(delta * weight).alias("delta"))
     return (samples.select("s").join(moved, "s", "left")
             .select("s", (base["total"] + F.coalesce("delta", F.lit(0.0))).alias("total_score"),
                     base["n"].alias("variant_count"))

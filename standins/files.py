@@ -131,7 +131,7 @@ SELECT cast(s AS varchar) AS s, total_score, variant_count, normalized_score FRO
 def file_scores(spark, sf):
     """Score table, its CSV, and the CSV read back."""
     scored = _rounded(scoring.score_samples(f.samples(spark, sf), f.variants(spark, sf),
-                                            f.calls(spark, sf), f.weights(spark, sf)))
+                                            f.calls(spark, sf), f.weights(spark, sf), sampled=f.sampled_calls(spark, sf)))
     uri = _uri(spark, "scores-csv")
     writers.scores(scored, _uri(spark, "scores"), uri)
     return readers.scores_csv(spark, uri)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from doseloom.operators import scoring
+from doseloom.plans.sizing import BROADCAST_ROWS
 from doseloom.sources.readers import locate_weights
 
 
@@ -55,11 +57,17 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("s"))
 
 
-def calls(spark: SparkSession, sf: str) -> DataFrame:
+def calls(spark: SparkSession, sf: str, one_in: int = 1) -> DataFrame:
     """One stored call per customer and part; the summed quantity gives the
-    genotype: 0/0, 0/1, 1/1, missing, and 1/2 (0/1 without a second alternative)."""
+    genotype: 0/0, 0/1, 1/1, missing, and 1/2 (0/1 without a second alternative).
+
+    ``one_in`` takes the calls of a hash sample of the customers; where their orders are counted as few
+    they are broadcast, so that the line items are not shuffled for it."""
     bought = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
     who = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    if one_in > 1:
+        who = who.where(F.pmod(F.xxhash64("o_custkey"), F.lit(one_in)) == 0)
+        who = F.broadcast(who) if who.count() <= BROADCAST_ROWS else who
     kind = (F.sum("l_quantity").cast("long") % 5).alias("kind")
     per_pair = (bought.join(who, bought.l_orderkey == who.o_orderkey)
                 .groupBy(F.col("o_custkey").alias("s"), F.col("l_partkey").alias("p_partkey"))
@@ -78,6 +86,11 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
         "contig", "position", "alleles", "s", gt.alias("gt"), ft.alias("ft"))
 
 
+def sampled_calls(spark: SparkSession, sf: str) -> Callable[[], DataFrame]:
+    """What ``scoring.hot_loci`` looks at, made when it is asked for."""
+    return lambda: calls(spark, sf, scoring.ONE_IN)
+
+
 def spend(spark: SparkSession, sf: str) -> DataFrame:
     """Total order value per customer, as a score."""
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("s")).agg(

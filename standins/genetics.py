@@ -139,20 +139,20 @@ def dosage(spark, sf):
 @query("score_sparse", f"WITH {_FULL}, {_dense(_DOSAGE)} SELECT {_SCORE_COLUMNS} FROM scores")
 def score_sparse(spark, sf):
     return _rounded(scoring.score_samples(f.samples(spark, sf), f.variants(spark, sf),
-                                          f.calls(spark, sf), f.weights(spark, sf)))
+                                          f.calls(spark, sf), f.weights(spark, sf), sampled=f.sampled_calls(spark, sf)))
 
 
 @query("score_allele_specific", f"WITH {_FULL}, {_dense(_CARRIED)} SELECT {_SCORE_COLUMNS} FROM scores")
 def score_allele_specific(spark, sf):
     return _rounded(scoring.score_samples(f.samples(spark, sf), f.variants(spark, sf), f.calls(spark, sf),
-                                          f.weights(spark, sf), allele_specific=True))
+                                          f.weights(spark, sf), allele_specific=True, sampled=f.sampled_calls(spark, sf)))
 
 
 @query("score_shuffled", f"WITH {_FULL}, {_dense(_DOSAGE)} SELECT {_SCORE_COLUMNS} FROM scores")
 def score_shuffled(spark, sf):
     """The same score when the weights are too many to broadcast."""
     return _rounded(scoring.score_samples(f.samples(spark, sf), f.variants(spark, sf), f.calls(spark, sf),
-                                          f.weights(spark, sf), max_broadcast=0))
+                                          f.weights(spark, sf), max_broadcast=0, sampled=f.sampled_calls(spark, sf)))
 
 
 @query("score_found_variants", f"""WITH {f.VARIANTS_SQL}, {f.WEIGHTS_SQL}
@@ -189,7 +189,7 @@ def score_cohort(spark, sf):
     """Select the cohort, score it, standardise, rank and name the risk fifth."""
     kept = _cohort_samples(spark, sf)
     calls = scoring.calls_of(f.calls(spark, sf), kept)
-    scored = scoring.score_samples(kept, f.variants(spark, sf), calls, f.weights(spark, sf))
+    scored = scoring.score_samples(kept, f.variants(spark, sf), calls, f.weights(spark, sf), sampled=f.sampled_calls(spark, sf))
     # Equal scores may differ in the last bits after summing in another order.
     # The scores are saved once; all statistics below read the saved rows.
     scored = cut_lineage(scored.withColumn("total_score", F.round("total_score", 6)))

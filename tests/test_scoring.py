@@ -201,3 +201,32 @@ def test_calls_of_samples_do_not_depend_on_a_count(spark, fixture):
 def test_missing_column(spark):
     with pytest.raises(ValueError, match="weight"):
         scoring.one_weight_per_locus(spark.createDataFrame([("chr1", 1)], "contig string, position int"))
+
+
+def test_calls_are_shuffled_without_their_arrays(spark):
+    """With many weights the wide arrays stay out of the shuffle by locus, and odd alleles and calls score as with few weights."""
+    odd = [["A", "C"], ["A", "C", "A"], ["A,C", "T"], ["A", None, "C"], [], None, [""], ["", "C"], [None], ["A", "C", "G"]]
+    gts = [[0, 0], [0, 1], [1, 0], [1, 1], [1, 2], [2, 2], None, [0], [None, 1], [-1, 0], [0, 1, 2], []]
+    calls = spark.createDataFrame([("chr1", i % 10, odd[i % 10], f"s{i % 7}", gts[i % 12]) for i in range(840)],
+                                  "contig string, position int, alleles array<string>, s string, gt array<int>")
+    weights = spark.createDataFrame([("chr1", p, ["A", "C", "A,C", "", "T"][p % 5], 2.0 ** p) for p in range(10)],
+                                    "contig string, position int, effect_allele string, weight double")
+    for effect in ("A", "C", "A,C", "", "G", None):
+        same = weights.withColumn("effect_allele", F.lit(effect).cast("string"))
+        for specific in (False, True):
+            few, many = (sorted(map(str, scoring.score_samples(calls.select("s").distinct(), calls.select("contig", "position", "alleles"), calls, same,
+                                                               specific, n).collect())) for n in (100, 0))
+            assert few == many and len(few) == 7
+    met = scoring.score_samples(calls.select("s").distinct(), calls, calls, weights, max_broadcast=0)
+    met.collect()
+    salted = [str(n.output()) for n in ran(met._jdf.queryExecution().executedPlan()) if "Exchange" in n.nodeName() and "_salt" in n.toString().splitlines()[0]]
+    assert any("_pair" in columns for columns in salted) and not any("alleles" in columns or "gt#" in columns for columns in salted)
+
+
+def test_the_sample_for_hot_loci_may_come_from_elsewhere(spark, fixture):
+    samples, variants, calls, weights = fixture
+    asked = []
+    got = scoring.score_samples(samples, variants, calls, weights, max_broadcast=0, sampled=lambda: asked.append(1) or calls)
+    assert {r.s: r.total_score for r in got.collect()} == pytest.approx({s: t for s, (t, _) in dense(fixture).items()}) and asked == [1]
+    scoring.score_samples(samples, variants, calls, weights, sampled=lambda: asked.append(1) or calls)
+    assert asked == [1]  # few weights need no sample

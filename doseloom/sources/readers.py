@@ -11,6 +11,7 @@ from doseloom.functions import genotype as g
 from doseloom.functions import text
 from doseloom.operators.guards import conforms
 from doseloom.operators.intervals import valid_intervals
+from doseloom.plans.sizing import BROADCAST_ROWS
 from doseloom.plans.storage import exists, folder_names
 from doseloom.sources import schemas
 
@@ -205,6 +206,9 @@ def vcf(spark: SparkSession, uri: str, region: str | None = None, end_inclusive:
         rows = rows.where(in_region(region, end_inclusive))
     whole = headers.groupBy(_folder("file").alias("folder")).agg(
         F.max("names").alias("folder_names"), F.min("names").alias("least")).where("folder_names = least").drop("least")
+    # Names that are counted as few are broadcast, so the lines of a file or a folder are not gathered in a task.
+    if (headers.agg(F.sum(F.size("names"))).first()[0] or 0) <= BROADCAST_ROWS:
+        headers, whole = F.broadcast(headers), F.broadcast(whole)
     cells = (rows.join(headers, "file", "left").withColumn("folder", _folder("file")).join(whole, "folder", "left")
              .withColumn("names", F.coalesce("names", "folder_names"))
              .select("contig", "position", "alleles", "format",

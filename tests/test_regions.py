@@ -159,3 +159,21 @@ def test_sequence_files(spark, tmp_path):
                                    str(tmp_path / "f"), 1)
     lines = [line for f in sorted(glob.glob(f"{uri}/s=x/part-*")) for line in open(f).read().splitlines()]
     assert lines == [">chr6", "x1", "x1001", "x2001"]
+
+
+def test_vcf_lines_are_not_gathered_by_file(spark, tmp_path):
+    """Headers with few names are broadcast whatever their size is taken to be; many names give the same calls."""
+    from doseloom.sources import readers
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty\n"
+    (tmp_path / "a.vcf").write_text(head + "chr1\t5\t.\tA\tC\t.\t.\t.\tGT\t0/1\t./.\n")
+    (tmp_path / "b.vcf").write_text("chr1\t9\t.\tA\tC\t.\t.\t.\tGT\t1/1\t0/0\n")  # a split file without a header
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        calls = readers.vcf(spark, str(tmp_path))
+        rows = sorted((r.position, r.s, r.gt) for r in calls.collect())
+        plan = calls._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == [(5, "x", [0, 1]), (5, "y", None), (9, "x", [1, 1]), (9, "y", [0, 0])]
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan

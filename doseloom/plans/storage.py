@@ -87,6 +87,25 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return fs.exists(path)
 
 
+def local_path(spark: SparkSession, uri: str) -> str | None:
+    """The path below which every machine finds a local or mounted folder; None on other stores."""
+    fs, path = _path(spark, uri)
+    return fs.makeQualified(path).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def empty_folder(spark: SparkSession, uri: str) -> None:
+    """A folder with nothing in it; what was there is deleted."""
+    fs, path = _path(spark, uri)
+    fs.delete(path, True)
+    fs.mkdirs(path)
+
+
+def mark_whole(spark: SparkSession, uri: str) -> None:
+    """The empty file by which Spark's writers say that a folder is whole."""
+    fs, path = _path(spark, f"{uri.rstrip('/')}/_SUCCESS")
+    fs.create(path).close()
+
+
 def folder_names(spark: SparkSession, uri: str) -> list[str]:
     """Names of the files and folders right below ``uri``."""
     fs, path = _path(spark, uri)

@@ -13,7 +13,7 @@ from doseloom.operators.guards import conforms
 from doseloom.operators.intervals import valid_intervals
 from doseloom.plans.sizing import BROADCAST_ROWS
 from doseloom.plans.storage import exists, folder_names
-from doseloom.sources import schemas
+from doseloom.sources import folders, schemas
 
 
 class Genotypes(NamedTuple):
@@ -234,6 +234,11 @@ def vcf_samples(spark: SparkSession, uri: str) -> DataFrame:
         .select((F.col("begin") + F.col("nth")).cast("int").alias("place"), "s")
 
 
+def sample_lines(spark: SparkSession, uri: str, samples: DataFrame) -> DataFrame:
+    """``s, value``: the lines of these samples' folders, one folder per sample."""
+    return folders.read_lines(spark, uri, "s", samples)
+
+
 def first_sample(samples: DataFrame) -> DataFrame:
     return samples.agg(F.min_by("s", "place").alias("s"))
 

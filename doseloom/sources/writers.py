@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doseloom.operators import incidence, regions
 from doseloom.operators.intervals import point_intervals
-from doseloom.sources import schemas
+from doseloom.sources import folders, schemas
 
 
 def csv(df: DataFrame, uri: str, header: bool = True, sep: str = ",") -> str:
@@ -141,8 +141,7 @@ def sample_variant_files(calls: DataFrame, uri: str) -> str:
         F.concat(F.lit(header), F.col("s").cast("string")).alias("line"))
     ordered = (lines.unionByName(heads).repartitionByRange(_write_tasks(calls), "s", "contig", "position")
                .sortWithinPartitions("s", "contig", "position"))
-    ordered.select("s", "line").write.mode("overwrite").partitionBy("s").text(uri)
-    return uri
+    return folders.write(ordered.select("s", "line"), uri, ["s"], "text")
 
 
 def sample_sequences(sequences: DataFrame, uri: str, start: int) -> str:
@@ -155,5 +154,4 @@ def sample_sequences(sequences: DataFrame, uri: str, start: int) -> str:
     ordered = (lines.where(F.length("line") > 0)
                .repartitionByRange(_write_tasks(sequences), "s", "contig", "chunk_start")
                .sortWithinPartitions("s", "contig", "chunk_start"))
-    ordered.select("s", "line").write.mode("overwrite").partitionBy("s").text(uri)
-    return uri
+    return folders.write(ordered.select("s", "line"), uri, ["s"], "text")

@@ -175,10 +175,10 @@ UNION ALL SELECT c_custkey, '>chr6' FROM customer""")
 def file_sample_sequences(spark, sf):
     """One FASTA folder per sample."""
     from standins.regions import CONSENSUS_REGION, reference_bases
-    sequences = regions.consensus(f.samples(spark, sf), f.calls(spark, sf), reference_bases(spark, sf),
-                                  CONSENSUS_REGION)
+    samples = f.samples(spark, sf)
+    sequences = regions.consensus(samples, f.calls(spark, sf), reference_bases(spark, sf), CONSENSUS_REGION)
     uri = writers.sample_sequences(sequences, _uri(spark, "sequences"), start=101)
-    return spark.read.schema("value string, s long").text(uri).select("s", F.col("value").alias("line"))
+    return readers.sample_lines(spark, uri, samples).select(F.col("s").cast("long").alias("s"), F.col("value").alias("line"))
 
 
 @query("file_saved_model", f"""WITH RECURSIVE {fits.ROWS}, models AS (SELECT 0 AS model, 1.0 AS lam),

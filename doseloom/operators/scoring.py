@@ -136,13 +136,17 @@ def prune_calls(data: Genotypes, weights: DataFrame, max_broadcast: int = BROADC
 
     The block size is the stored one. Blocks that are counted as few are broadcast, which makes them a partition
     filter of the scan as well: folders without a weight are not read. Beyond that a shuffled semi join drops their calls.
+    A folder of several blocks is read if one of them holds a weight, and the calls of its other blocks are dropped.
     """
     if not data.block_size:
         return data.calls
     # Positions count from 1; a comparison, unlike a null test, lets Spark expect that the blocks prune folders.
     blocks = (weights.where(F.col("contig").isNotNull() & (F.col("position") > 0))
               .select("contig", F.floor(F.col("position") / data.block_size).alias("block")).distinct())
-    return data.calls.join(F.broadcast(blocks) if blocks.count() <= max_broadcast else blocks, ["contig", "block"], "left_semi")
+    by = ["contig", "block"]
+    if data.folder_blocks > 1:
+        blocks, by = blocks.withColumn("span", F.floor(F.col("block") / data.folder_blocks)), [*by, "span"]
+    return data.calls.join(F.broadcast(blocks) if blocks.count() <= max_broadcast else blocks, by, "left_semi")
 
 
 def calls_of(calls: DataFrame, samples: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:

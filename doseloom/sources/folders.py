@@ -1,4 +1,4 @@
-"""A folder for each value of some columns, where these are as many as samples or blocks.
+"""A folder of text for each value of a column, where these are as many as samples.
 
 On a local or mounted store Spark's partitioned writer starts two ``chmod`` processes for every file, and the
 driver moves the folders one by one. There the tasks write the files of their own rows, in the same folders. On other
@@ -10,11 +10,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator, Sequence
-from itertools import pairwise
+from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,75 +30,43 @@ def folder_name(column: str, value: str | None) -> str:
     return f"{column}=" + (_SPECIAL.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else NO_VALUE)
 
 
-class _Text:
-    """A file of lines."""
-
-    def __init__(self, path: str, schema: pa.Schema):
-        self.file = open(path, "wb")
-
-    def write(self, rows: pa.RecordBatch) -> None:
-        self.file.write(b"".join((line or "").encode() + b"\n" for line in rows.column(0).to_pylist()))
-
-    def close(self) -> None:
-        self.file.close()
-
-
-class _Parquet:
-    """A Parquet file; rows are written as they come, so a crowded folder is never held whole."""
-
-    def __init__(self, path: str, schema: pa.Schema):
-        self.file = pq.ParquetWriter(path, schema)
-
-    def write(self, rows: pa.RecordBatch) -> None:
-        self.file.write_batch(rows)
-
-    def close(self) -> None:
-        self.file.close()
-
-
-def write(ordered: DataFrame, uri: str, by: Sequence[str], kind: str) -> str:
-    """The rows' other columns as ``text`` or ``parquet`` files in folders by the columns ``by``; what was there goes.
+def write_lines(ordered: DataFrame, uri: str) -> str:
+    """The ``line``s of the rows as text files in a folder for each value of the other column; what was there goes.
 
     Rows stay in the order of their partition. A task writes a file for each run of rows of one folder, numbered by its
     partition and the run and renamed when it is whole, so a task that runs again replaces its own files.
     """
     spark = ordered.sparkSession
+    column, = (c for c in ordered.columns if c != "line")
     root = storage.local_path(spark, uri)
     if root is None:
-        ordered.write.mode("overwrite").partitionBy(*by).format(kind).save(uri)
+        ordered.write.mode("overwrite").partitionBy(column).text(uri)
         return uri
     storage.empty_folder(spark, uri)
-    columns = [c for c in ordered.columns if c not in by]
-    opened = {"text": _Text, "parquet": _Parquet}[kind]
-    keys = len(by)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, end = TaskContext.get().partitionId(), {"text": "txt", "parquet": "snappy.parquet"}[kind]
+        part = TaskContext.get().partitionId()
         aside = f".part-{part:05d}-{uuid.uuid4().hex}"
         now, folder, out, files = None, "", None, 0
 
         def close() -> None:
             out.close()
-            os.replace(f"{folder}/{aside}", f"{folder}/part-{part:05d}-{files:07d}.{end}")
+            os.replace(f"{folder}/{aside}", f"{folder}/part-{part:05d}-{files:07d}.txt")
 
         for batch in batches:
-            values = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
-            rest = batch.select(list(range(keys, batch.num_columns)))
-            cuts = [k for k in range(1, len(values)) if values[k] != values[k - 1]]
-            for a, b in pairwise([0, *cuts, len(values)] if values else []):
-                if out is None or values[a] != now:
+            for value, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or value != now:
                     if out is not None:
                         close()
-                    now, files = values[a], files + 1
-                    folder = "/".join([root, *map(folder_name, by, now)])
+                    now, folder, files = value, f"{root}/{folder_name(column, value)}", files + 1
                     os.makedirs(folder, exist_ok=True)
-                    out = opened(f"{folder}/{aside}", rest.schema)
-                out.write(rest.slice(a, b - a))
+                    out = open(f"{folder}/{aside}", "wb")
+                out.write((line or "").encode() + b"\n")
         if out is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
 
-    named = ordered.select(*[F.col(c).cast("string").alias(f"_by{k}") for k, c in enumerate(by)], *columns)
+    named = ordered.select(F.col(column).cast("string").alias("value"), "line")
     named.mapInArrow(written, "files long").collect()  # one number a task
     storage.mark_whole(spark, uri)
     return uri

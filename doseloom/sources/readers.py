@@ -23,16 +23,18 @@ class Genotypes(NamedTuple):
     samples: DataFrame
     calls: DataFrame
     block_size: int | None = None
+    folder_blocks: int = 1  # neighbouring blocks in a folder
 
 
 def genotypes(spark: SparkSession, root: str) -> Genotypes:
     """Three Parquet tables below ``root``, and the block size if calls are stored by (contig, block)."""
-    root, size = root.rstrip("/"), None
+    root, size, several = root.rstrip("/"), None, 1
     if exists(spark, f"{root}/layout"):
-        size = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout").first().block_size
+        layout = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout").first()
+        size, several = layout.block_size, layout.folder_blocks or 1
     kinds = {"variants": schemas.VARIANTS, "samples": schemas.SAMPLES,
-             "calls": schemas.CALLS + (", block bigint" if size else "")}
-    return Genotypes(*(spark.read.schema(kind).parquet(f"{root}/{part}") for part, kind in kinds.items()), size)
+             "calls": schemas.CALLS + (", block bigint" if size else "") + (", span bigint" if several > 1 else "")}
+    return Genotypes(*(spark.read.schema(kind).parquet(f"{root}/{part}") for part, kind in kinds.items()), size, several)
 
 
 def warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -14,7 +14,7 @@ SCORES = "s string, total_score double, variant_count bigint, normalized_score d
 VARIANTS = "contig string, position int, alleles array<string>"
 SAMPLES = "s string"
 CALLS = VARIANTS + ", s string, gt array<int>, ft boolean"
-LAYOUT = "block_size int"
+LAYOUT = "block_size int, folder_blocks int"
 ALIGNMENT = ("name string, path struct<mapping: array<struct<"
              "position: struct<node_id: string>>>>")
 

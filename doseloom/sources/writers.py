@@ -9,6 +9,8 @@ from doseloom.operators import incidence, regions
 from doseloom.operators.intervals import point_intervals
 from doseloom.sources import folders, schemas
 
+FOLDERS = 4_096  # of (contig, block); a file costs more time than its rows where folders are many and small
+
 
 def csv(df: DataFrame, uri: str, header: bool = True, sep: str = ",") -> str:
     df.write.mode("overwrite").option("header", header).option("sep", sep).csv(uri)
@@ -50,17 +52,23 @@ def genotypes(variants: DataFrame, samples: DataFrame, calls: DataFrame, root: s
               block_size: int = 1_000_000) -> str:
     """Genotype tables; calls in (contig, block) folders, sorted by position.
 
-    Ranges over (contig, position, sample) split a crowded block over tasks. The block size is
-    kept with the tables, so that a reader prunes by the size that was written.
+    Ranges over (contig, position, sample) split a crowded block over tasks. Where the variants lie in more blocks than
+    ``FOLDERS``, a folder (contig, span) holds several neighbouring blocks, and each call keeps its block as a column. The block size
+    and the blocks in a folder are kept with the tables, so that a reader prunes by what was written.
     """
-    root = root.rstrip("/")
-    parquet(calls.sparkSession.createDataFrame([(block_size,)], schemas.LAYOUT).coalesce(1), f"{root}/layout")
+    root, spark = root.rstrip("/"), calls.sparkSession
     parquet(variants, f"{root}/variants")
     parquet(samples.withColumn("s", F.col("s").cast("string")), f"{root}/samples")
-    blocked = calls.withColumn("s", F.col("s").cast("string")).withColumn("block", F.floor(F.col("position") / block_size))
-    (blocked.repartitionByRange("contig", "position", "s")
-     .sortWithinPartitions("contig", "position", "s")
-     .write.mode("overwrite").partitionBy("contig", "block").parquet(f"{root}/calls"))
+    block = F.floor(F.col("position") / block_size)
+    stored = spark.read.schema(variants.schema).parquet(f"{root}/variants")
+    folder_blocks = max(1, -(-stored.select("contig", block).distinct().count() // FOLDERS))
+    parquet(spark.createDataFrame([(block_size, folder_blocks)], schemas.LAYOUT).coalesce(1), f"{root}/layout")
+    blocked, folder = calls.withColumn("s", F.col("s").cast("string")).withColumn("block", block), "block"
+    if folder_blocks > 1:
+        blocked, folder = blocked.withColumn("span", F.floor(F.col("block") / folder_blocks)), "span"
+    (blocked.repartitionByRange(_write_tasks(calls), "contig", "position", "s")
+     .sortWithinPartitions("contig", folder, "position", "s")  # begins with the folders, so the writer sorts no more
+     .write.mode("overwrite").partitionBy("contig", folder).parquet(f"{root}/calls"))
     return root
 
 
@@ -141,7 +149,7 @@ def sample_variant_files(calls: DataFrame, uri: str) -> str:
         F.concat(F.lit(header), F.col("s").cast("string")).alias("line"))
     ordered = (lines.unionByName(heads).repartitionByRange(_write_tasks(calls), "s", "contig", "position")
                .sortWithinPartitions("s", "contig", "position"))
-    return folders.write(ordered.select("s", "line"), uri, ["s"], "text")
+    return folders.write_lines(ordered.select("s", "line"), uri)
 
 
 def sample_sequences(sequences: DataFrame, uri: str, start: int) -> str:
@@ -154,4 +162,4 @@ def sample_sequences(sequences: DataFrame, uri: str, start: int) -> str:
     ordered = (lines.where(F.length("line") > 0)
                .repartitionByRange(_write_tasks(sequences), "s", "contig", "chunk_start")
                .sortWithinPartitions("s", "contig", "chunk_start"))
-    return folders.write(ordered.select("s", "line"), uri, ["s"], "text")
+    return folders.write_lines(ordered.select("s", "line"), uri)

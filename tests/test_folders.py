@@ -26,7 +26,7 @@ def test_folders_are_those_of_sparks_writer(spark, tmp_path):
     mine, sparks = str(tmp_path / "mine"), str(tmp_path / "sparks")
     lines.write.partitionBy("s").text(sparks)
     for _ in range(2):  # the second time over the first
-        folders.write(lines, mine, ["s"], "text")
+        folders.write_lines(lines, mine)
     assert written(mine).keys() == written(sparks).keys()
     for name in written(sparks):
         one, two = ("".join(open(f"{uri}/{name}/{f}").read() for f in written(uri)[name]) for uri in (mine, sparks))
@@ -42,7 +42,7 @@ def test_lines_of_samples(spark, tmp_path, monkeypatch, local):
     if not local:
         monkeypatch.setattr(storage, "local_path", lambda spark, uri: None)
     lines = spark.createDataFrame([(s, f"{k}\r\nof {s}") for s in ODD for k in range(3)], "s string, line string")
-    uri = folders.write(lines.repartitionByRange(4, "s").sortWithinPartitions("s"), str(tmp_path / "f"), ["s"], "text")
+    uri = folders.write_lines(lines.repartitionByRange(4, "s").sortWithinPartitions("s"), str(tmp_path / "f"))
     asked = ["a", "a", "é", "", None, "x/y=1%", "nobody"]
     got = sorted(map(str, readers.sample_lines(spark, uri, spark.createDataFrame([(s,) for s in asked], "s string")).collect()))
     kept = spark.read.schema("value string, s string").text(uri).select("s", "value")

@@ -191,6 +191,34 @@ def test_folders_without_a_weight_are_not_read(spark, tmp_path):
     assert sorted(map(str, many.collect())) == sorted(map(str, pruned.collect()))
 
 
+def test_many_blocks_share_folders(spark, tmp_path, monkeypatch):
+    """Beyond the greatest number of folders neighbouring blocks share one; the calls that stay are those of the weights' blocks alone."""
+    import glob
+
+    from doseloom.sources import readers, writers
+    calls = spark.range(2000).select(F.lit("chr1").alias("contig"), F.col("id").cast("int").alias("position"), F.array(F.lit("A"), F.lit("C")).alias("alleles"),
+                                     F.lit("s").alias("s"), F.array(F.lit(0), F.lit(1)).alias("gt"), F.lit(True).alias("ft"))
+    calls = calls.unionByName(calls.limit(3).withColumn("position", F.lit(None).cast("int")))
+    weights = spark.createDataFrame([("chr1", p, "C", 1.0) for p in (5, 42, 1501, 1999)] + [(None, 5, "C", 1.0)],
+                                    "contig string, position int, effect_allele string, weight double")
+    kept = {}
+    for most in (4096, 8):
+        monkeypatch.setattr(writers, "FOLDERS", most)
+        root = writers.genotypes(calls.select("contig", "position", "alleles"), calls.select("s").distinct(), calls, str(tmp_path / f"g{most}"), block_size=10)
+        data = readers.genotypes(spark, root)
+        assert data.block_size == 10 and data.calls.count() == 2003
+        assert len(glob.glob(f"{root}/calls/*/*")) == (201 if most > 8 else 9)  # one of them for the null positions
+        for n in (0, 1000):
+            pruned = scoring.prune_calls(data, weights, max_broadcast=n)
+            kept[most, n] = sorted(r.position for r in pruned.collect())
+        scans = [n for n in ran(pruned._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Scan parquet")]
+        assert [n.metrics().apply("numPartitions").value() for n in scans] == [4 if most > 8 else 3]
+    assert all(rows == [*range(10), *range(40, 50), *range(1500, 1510), *range(1990, 2000)] for rows in kept.values())
+    spark.createDataFrame([(10,)], "block_size int").write.mode("overwrite").parquet(f"{tmp_path}/g4096/layout")  # as written before
+    before = readers.genotypes(spark, f"{tmp_path}/g4096")
+    assert before.folder_blocks == 1 and scoring.prune_calls(before, weights).count() == 40
+
+
 def test_calls_of_samples_do_not_depend_on_a_count(spark, fixture):
     _, _, calls, _ = fixture
     some = calls.select("s").distinct().limit(2)

@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doseloom.llm.tables import as_batch, buckets, free_names, saved, text_rows, whole_text
@@ -46,6 +46,8 @@ from doseloom.llm.text import LOWER, U, Texts, distinct, mix, portions, windows
 
 K = 64
 LONG = 512  # coordinates of the longer signature, a byte each
+ID_BITS = 26  # of the bitmap of ids: 8 MB, however many ids there are
+_LEAST_BLOCK, _MOST_BLOCK = 1024, 4096  # documents of a list's block; a pair of the smaller ones takes under a second
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 _SEEDS, _ODD = (mix(np.arange(1, K + LONG + 1, dtype=U) * U(c)) >> U(32) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -183,6 +185,23 @@ def postings(reps: DataFrame, match: int) -> DataFrame:
         prefixes, "doc long, token long, place int, posted long")
 
 
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is one of the ``ids``, which are distinct.
+
+    A broadcast bitmap of hashed ids, of bounded size, drops nearly all others where they are read, so that the join
+    shuffles the wanted texts instead of all. It never drops a wanted row, and the join decides.
+    """
+    def place() -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+
+    marks = ids.groupBy(F.bitmap_bucket_number(place()).alias("_bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("_bits"))
+    bit = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (F.bitmap_bucket_number(place()) == F.col("_bucket")) & (F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return rows.join(F.broadcast(marks), marked, "left_semi").join(ids, "doc_id")  # no semi join, which would be moved below the first
+
+
 def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, among those whose signatures agree."""
 
@@ -233,7 +252,7 @@ def across(posted: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFra
     mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"),
                                        F.sum("n").alias("n")).where("labels > 1") \
         .select("token", F.col("top.label").alias("top"),
-                F.greatest(F.ceil(F.col("n") / 4096), F.least(F.ceil(F.col("n") / 256), F.lit(spread))).cast("int").alias("blocks"))
+                F.greatest(F.ceil(F.col("n") / _MOST_BLOCK), F.least(F.ceil(F.col("n") / _LEAST_BLOCK), F.lit(spread))).cast("int").alias("blocks"))
     mixed = saved(mixed, "mixed-lists")
     facts = marks.select(F.col("rep").alias("doc"), "signature").join(sets.select("doc", "long"), "doc")
     rows = lists.join(mixed, "token").join(facts, "doc") \
@@ -349,7 +368,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                             "long": [_least_values(r[1], K, K + LONG).astype(np.uint8).tobytes() for r in rows]}, _SETS)
 
     texts = text_rows(docs)
-    wanted = texts.join(marks.select("doc_id").distinct(), "doc_id", "left_semi") \
+    wanted = rows_of(texts, marks.select("doc_id").distinct()) \
         .mapInArrow(listed, "doc_id long, shingles array<long>, cls binary, long binary")
     sets = saved(wanted.join(named, ["doc_id", "cls"]).dropDuplicates(["doc"]).select("doc", "shingles", "long"), "sets")
 

@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from doseloom.llm import neardup
 
 SCHEMA = "doc_id long, text string, lang string, label string"
@@ -94,3 +96,20 @@ def test_stage_keeps_one_of_each_group(spark):
 
 def test_empty_table(spark):
     assert neardup.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_unwanted_texts_are_not_shuffled(spark):
+    """The bitmap of ids drops texts where they are read; what is left is joined exactly, with null, negative and repeated ids."""
+    rows = spark.range(-500, 20_000).select(F.when(F.col("id") % 1000 == 3, None).otherwise(F.col("id") * 7919).alias("doc_id"), F.lit("x").alias("text"))
+    rows = rows.unionByName(rows.limit(50))
+    ids = rows.where("doc_id % 41 = 0").select("doc_id").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.rows_of(rows, ids)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(ids, "doc_id", "left_semi").collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "Join Inner" in joins[0] and "Join LeftSemi" in joins[1] and "bitmapBucketNumber" in joins[1]

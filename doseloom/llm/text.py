@@ -28,7 +28,7 @@ def _power(n: int, which: str) -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
         base = int(_STEP) if which == "up" else pow(int(_STEP), -1, 1 << 64)
-        grown = np.full(max(n, 1 << 22), base, U)
+        grown = np.full((n >> 20) + 1 << 20, base, U)
         grown[0] = 1
         np.multiply.accumulate(grown, out=grown)
         _powers[which] = have = grown
@@ -71,7 +71,10 @@ class Texts:
         data = LOWER[self.data] if lower else self.data
         n = len(data)
         total = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * _power(n, "up"), out=total[1:])
+        own = total[1:]
+        np.add(data, U(1), out=own)
+        own *= _power(n, "up")
+        np.cumsum(own, out=own)
         return mix((total[ends] - total[starts]) * _power(n + 1, "down")[starts])
 
 
@@ -86,8 +89,11 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data[offsets[0]:offsets[-1]], offsets - offsets[0])
 
 
-def portions(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """The rows in portions of about ``size`` bytes of text, each text whole."""
+def portions(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The rows in portions of about ``size`` bytes of text, each text whole.
+
+    A step holds some 100 bytes for each byte of its portion, in every worker of an executor.
+    """
     for batch in batches:
         texts = texts_of(batch.column(batch.schema.get_field_index("text")))
         a, n = 0, batch.num_rows

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from doseloom.llm import packing
+from doseloom.llm import packing, text
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, offset string"
@@ -52,3 +54,16 @@ def test_repeated_rows_and_empty_table(spark):
     got = packing.pieces(spark.createDataFrame(rows, SCHEMA), path).collect()
     assert len(got) == 3 and len({r.offset for r in got}) == 3
     assert packing.pieces(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_a_step_holds_little_beside_a_large_batch():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 600)) for _ in range(2000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(texts)})
+    text._powers.update(up=np.ones(1, text.U), down=np.ones(1, text.U))
+    tracemalloc.start()
+    cells = np.concatenate([packing.grid(t) for _, t in text.portions([batch])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cells) == 2000 and np.array_equal(cells, packing.grid(text.texts_of(batch.column(1))))
+    assert peak < 90e6, peak  # 6.5 MB of text

@@ -107,6 +107,17 @@ class Ftrl:
         self.n[slots] = n + g * g
 
 
+def learn_shard(own: Ftrl, table: pa.Table, turn: int) -> None:
+    """One pass over a shard's rows, which stay flat arrays: as Python numbers they take ten times their size."""
+    slots, shares = (table.column(c).combine_chunks() for c in ("slots", "shares"))
+    edges, marks = slots.offsets.to_numpy(), table.column("label").to_numpy()
+    slots, shares = slots.values.to_numpy(), shares.values.to_numpy()
+    order = np.argsort(mix(table.column("doc_id").to_numpy().astype(U) + U(turn)))
+    for k in order.tolist():
+        a, b = edges[k], edges[k + 1]
+        own.learn(np.append(slots[a:b], len(own.z) - 1), np.append(shares[a:b], 1.0), marks[k])
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
     """``doc_id, label, text`` of at most ``sample`` labelled ids outside the held-out part.
 
@@ -145,10 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
         def learned(table: pa.Table) -> pa.Table:
             own = Ftrl(size)
             own.z, own.n = (x.copy() for x in common.value)
-            slots, shares, marks = (table.column(c).to_pylist() for c in ("slots", "shares", "label"))
-            order = np.argsort(mix(table.column("doc_id").to_numpy().astype(U) + U(turn)))
-            for k in order.tolist():
-                own.learn(np.array(slots[k] + [size - 1]), np.array(shares[k] + [1.0]), marks[k])
+            learn_shard(own, table, turn)
             at = np.flatnonzero((own.n != common.value[1]) | (own.z != common.value[0]))
             return pa.table({"slots": [at.astype(np.int32).tobytes()], "z": [own.z[at].tobytes()], "n": [own.n[at].tobytes()]})
 
@@ -173,7 +181,7 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
-        for batch, texts in portions(batches, 1 << 21):
+        for batch, texts in portions(batches):
             dots = np.array([w[s] @ v for s, v in features(texts)]) + w[-1]
             yield as_batch({"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-dots))}, _SCORED)
 

@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from doseloom.llm import decontaminate
+from doseloom.llm import decontaminate, text
 
 SCHEMA = "doc_id long, text string, items string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,3 +86,17 @@ def test_empty_tables(spark):
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     assert decontaminate.digests(spark.createDataFrame([], SCHEMA), benchmark).count() == 0
     assert decontaminate.cleaned(spark.createDataFrame(rows, SCHEMA), none).count() == len(rows)
+
+
+def test_a_scan_holds_little_beside_a_large_batch():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 600)) for _ in range(2000)]
+    grams = decontaminate.Ngrams([("one", decontaminate._words(texts[7])[:30])], 10)
+    batch = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(texts)})
+    text._powers.update(up=np.ones(1, text.U), down=np.ones(1, text.U))
+    tracemalloc.start()
+    hits = [hit.sum() for _, t in text.portions([batch]) for _, hit, _, _, _ in grams.scan(t)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hits) == 2000 and hits[7] == 30 and sum(hits) == 30
+    assert peak < 90e6, peak  # 6.5 MB of text

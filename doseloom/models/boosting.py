@@ -3,7 +3,8 @@
 Features are cut into at most ``BINS`` bins at sketched quantiles, once for all models. A tree grows level by level: of
 each open node a histogram holds count, gradient and Hessian per feature and bin, and the best cut comes from its running sums.
 
-* A table whose packed bins are counted as at most ``FEW_BYTES`` is broadcast, and each model is one task.
+* A table whose packed bins are counted as at most ``FEW_BYTES`` is broadcast, and each model is one task. Of more than ``MANY_ROWS``
+  rows, those alike in all bins are one cell with its rows and cases by fold: they have the same margin in every model.
 * Beyond that rows stay in blocks of the shared folder, each with its own margins, and one aggregate a level adds up the histograms
   of all models at once; what reaches the driver is bounded by models x nodes x features x bins. Margins are
   written again every ``KEEP`` rounds; in between tasks add the trees grown since.
@@ -17,6 +18,7 @@ in both. Rows with a null feature or label are left out of a fit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -31,6 +33,7 @@ from doseloom.plans.storage import new_folder
 
 BINS = 256
 FEW_BYTES = 32 << 20
+MANY_ROWS = 1 << 16
 KEEP = 10
 _BLOCK_ROWS = 1 << 16
 _L2 = 1.0
@@ -85,16 +88,17 @@ def leaves(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray
     return node
 
 
-def histogram(bins: np.ndarray, place: np.ndarray, nodes: int, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
+def histogram(bins: np.ndarray, place: np.ndarray, nodes: int, gradient: np.ndarray, hessian: np.ndarray,
+              count: np.ndarray | None = None) -> np.ndarray:
     """Count, gradient and Hessian by (node of the level, feature, bin); rows with a place under 0 are settled."""
     out = np.empty((nodes, bins.shape[1], BINS, 3))
     if place.min(initial=0) < 0:
         use = np.flatnonzero(place >= 0)
-        place, bins, gradient, hessian = place[use], bins[use], gradient[use], hessian[use]
+        place, bins, gradient, hessian, count = place[use], bins[use], gradient[use], hessian[use], None if count is None else count[use]
     begin = place * BINS
     for f in range(bins.shape[1]):  # one feature at a time: no weight is repeated for each of them
         cell = begin + bins[:, f]
-        for k, w in enumerate((None, gradient, hessian)):
+        for k, w in enumerate((count, gradient, hessian)):
             out[:, f, :, k] = np.bincount(cell, w, nodes * BINS).reshape(nodes, BINS)
     return out
 
@@ -157,16 +161,19 @@ def _grown(candidate: int, fold: int, base: float, trees: Sequence[Tree]) -> Boo
     return Boosted(candidate, fold, base, *(np.stack([getattr(t, c) for t in trees]) for c in ("feature", "cut", "value", "gain")))
 
 
-def _fit_here(bins: np.ndarray, y: np.ndarray, base: float, own: Settings) -> list[Tree]:
+def _fit_here(bins: np.ndarray, y: np.ndarray, base: float, own: Settings, count: np.ndarray | None = None) -> list[Tree]:
+    """The trees on rows, or on cells with ``y`` cases among ``count`` rows."""
     margin, trees = np.full(len(y), base), []
     for _ in range(own.n_estimators):
-        gradient, hessian = _slopes(margin, y)
+        gradient, hessian = _slopes(margin, y if count is None else 0.0)
+        if count is not None:
+            gradient, hessian = count * gradient - y, count * hessian
         tree, node = Tree(own.max_depth), np.zeros(len(y), np.int64)
         for level in range(own.max_depth):
             place = np.maximum(node - ((1 << level) - 1), -1)  # -1 where a path has ended before
             if (place < 0).all():
                 break
-            tree.grow(level, histogram(bins, place, 1 << level, gradient, hessian), own)
+            tree.grow(level, histogram(bins, place, 1 << level, gradient, hessian, count), own)
             node = tree.descend(bins, node)
         margin += tree.value[node]
         trees.append(tree)
@@ -223,21 +230,48 @@ def _unpacked(y: bytes, fold: bytes, bins: bytes) -> tuple[np.ndarray, np.ndarra
     return case, np.frombuffer(fold, np.int32), np.frombuffer(bins, np.uint8).reshape(len(case), -1)
 
 
+def _alike(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and which of them each row is; all rows where a row does not fit into a long."""
+    if bins.shape[1] > 7:
+        return bins, np.arange(len(bins))
+    key, own = np.unique(bins.astype(np.int64) @ (1 << 8 * np.arange(bins.shape[1])), return_inverse=True)
+    return (key[:, None] >> 8 * np.arange(bins.shape[1])).astype(np.uint8), own
+
+
+def _cells(y: np.ndarray, fold: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct bins of rows, and for each of these the cases and the rows of each fold; last the folds."""
+    alike, own = _alike(bins)
+    folds, at = np.unique(fold, return_inverse=True)
+    place, shape = own * len(folds) + at, (len(alike), len(folds))
+    cases, count = (np.bincount(place, w, math.prod(shape)).reshape(shape).astype(np.int32) for w in (y, None))
+    return alike, cases, count, folds
+
+
 def _fit_in_tasks(rows: DataFrame, ends: Sequence[np.ndarray], models: Sequence[tuple]) -> list[Boosted]:
     """Each model in a task of its own, on the broadcast table."""
     spark = rows.sparkSession
     # In a fixed order of the rows: sums of doubles depend on it.
     parts = [_unpacked(r.y, r.fold, r.bins) for r in _blocks(rows.orderBy(FOLD, "_y", *rows.columns[2:]), ends).collect()]
-    shared = spark.sparkContext.broadcast((tuple(np.concatenate(c) for c in zip(*parts)), list(models)))
+    table = tuple(np.concatenate(c) for c in zip(*parts))
+    cells = _cells(*table) if len(table[0]) > MANY_ROWS else None
+    many = cells is not None and sum(c.nbytes for c in cells) < sum(c.nbytes for c in table)
+    shared = spark.sparkContext.broadcast((cells if many else table, list(models)))
     names = ("feature", "cut", "value", "gain")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (y, fold, bins), all_models = shared.value
+        table, all_models = shared.value
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 _, out, base, own = all_models[k]
-                train = fold != out
-                trees = _fit_here(bins[train], y[train], base, own)
+                if many:
+                    bins, cases, count, folds = table
+                    cases, count = (c[:, folds != out].sum(1).astype(float) for c in (cases, count))
+                    train = count > 0
+                    trees = _fit_here(bins[train], cases[train], base, own, count[train])
+                else:
+                    y, fold, bins = table
+                    train = fold != out
+                    trees = _fit_here(bins[train], y[train], base, own)
                 yield pa.RecordBatch.from_pydict({"model": pa.array([k], pa.int64()), **{
                     c: [np.stack([getattr(t, c) for t in trees]).tobytes()] for c in names}})
 
@@ -343,10 +377,14 @@ def with_probability(df: DataFrame, ends: Sequence[np.ndarray], models: Sequence
             known = np.all([c.is_valid().to_numpy(zero_copy_only=False) for c in x], axis=0)
             bins = binned([c.fill_null(0.0) for c in x], own_ends)
             fold = batch.column("_fold").to_numpy(zero_copy_only=False)
+            found = {}
             for m in own:
-                use = np.flatnonzero(fold == m.fold) if by_fold else np.arange(len(bins))
+                if m.fold not in found:
+                    use = np.flatnonzero(fold == m.fold) if by_fold else np.arange(len(bins))
+                    found[m.fold] = use, *_alike(bins[use])  # rows alike are worked out once
+                use, alike, which = found[m.fold]
                 if len(use):
-                    chance = 1 / (1 + np.exp(-m.margins(bins[use])))
+                    chance = 1 / (1 + np.exp(-m.margins(alike)[which]))
                     yield pa.RecordBatch.from_arrays(
                         [*(batch.column(c).take(pa.array(use)) for c in keep), pa.array(np.full(len(use), m.candidate, np.int32)),
                          pa.array(chance, mask=~known[use])], names=[*keep, "candidate", "probability"])

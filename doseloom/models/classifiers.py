@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseloom.functions.tails import chi2_p_value
+from doseloom.models import forests
 from doseloom.models.newton import class_weights
 
 FEATURES, WEIGHT = "_features", "_weight"
@@ -52,7 +53,12 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str, n_estimators:
     split only when both children can hold half of ``min_samples_split``.
 
     Each row's node of each tree is kept from level to level: otherwise every level sends all
-    trees grown so far to the tasks, and walks them from the root. The trees are the same."""
+    trees grown so far to the tasks, and walks them from the root. The trees are the same.
+
+    A table of many rows is fitted by ``forests``, on counted cells."""
+    many = forests.fit(df, features, label, n_estimators=n_estimators, max_depth=max_depth, min_samples_split=min_samples_split, seed=seed)
+    if many is not None:
+        return many
     return RandomForestClassifier(
         featuresCol=FEATURES, labelCol=label, numTrees=n_estimators,
         maxDepth=30 if max_depth is None else max_depth,
@@ -69,6 +75,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, n_estimators
 
 def first_trees(model: Any, count: int) -> Any:
     """The forest or boosted model of the first ``count`` trees of ``model``."""
+    if isinstance(model, forests.Forest):
+        return model.first(count)
     have = model._java_obj
     if count >= model.getNumTrees:
         return model
@@ -93,6 +101,8 @@ def first_trees(model: Any, count: int) -> Any:
 
 def with_probability(model: Any, df: DataFrame, features: Sequence[str], into: str = "probability") -> DataFrame:
     """Add the model's probability of class 1."""
+    if isinstance(model, forests.Forest):
+        return model.with_probability(df, features, into)
     kept = df.columns
     scored = model.transform(assemble(df, features))
     return scored.select(*kept, vector_to_array(F.col(model.getProbabilityCol()))[1].alias(into))

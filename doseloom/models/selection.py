@@ -1,7 +1,7 @@
 """Grid search and cross-validation with exact scorers.
 
 Folds are a column of a saved table, written by fold. Logistic candidates are fitted together by Newton steps
-(``newton``), boosted ones together as well (``boosting``). Other models are fitted one by one in a pool over folds and
+(``newton``), boosted ones together as well (``boosting``), and forests on many rows (``forests``). Other models are fitted one by one in a pool over folds and
 candidates: each fit reads its training folders only, scores its validation folder and writes these rows on their own. All
 scores come from one aggregate. Candidates that differ only in the number of trees share one fit of the most trees: a smaller
 one is its first trees.
@@ -20,7 +20,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseloom.models import boosting, classifiers, newton
+from doseloom.models import boosting, classifiers, forests, newton
 from doseloom.models.features import scale, scaling_facts
 from doseloom.models.folds import stratified_folds
 from doseloom.operators import metrics
@@ -99,6 +99,11 @@ def out_of_fold(folded: DataFrame, folds: int, fit: Fit, grid: Sequence[Mapping[
         models = [replace(m.first(grid[c].get("n_estimators", len(m.feature))), candidate=c)
                   for m in found for c, own in enumerate(which) if own == m.candidate]
         return boosting.with_probability(folded, ends, models, features, [id_column, label, "fold"], by_fold=True).select(*columns)
+    if fit is classifiers.fit_forest:
+        sizes = [[(c, forests.Settings(**grid[c]).n_estimators) for c, used in enumerate(which) if used == own] for own in range(len(fits))]
+        many = forests.out_of_fold(folded, features, label, fits, sizes, range(folds), [id_column, label, "fold"])
+        if many is not None:
+            return many.select(*columns)
     spark, parts = folded.sparkSession, _table_parts(folded, features)
     uri = new_folder(spark, "out-of-fold")
 

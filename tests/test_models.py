@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doseloom.functions.tails import chi2_p_value, erfc, t_p_value
-from doseloom.models import boosting, classifiers, features, folds, newton, selection
+from doseloom.models import boosting, classifiers, features, folds, forests, newton, selection
 from doseloom.operators import metrics
 
 NAMES = ["a", "b"]
@@ -350,3 +350,94 @@ def test_boosting_walks_no_tree_from_its_root(monkeypatch, newton):
     got = boosting._fit_here(bins, y, -0.5, own)
     for a, b in zip(got, want, strict=True):
         assert all((getattr(a, c) == getattr(b, c)).all() for c in ("feature", "cut", "value", "gain"))
+
+
+@pytest.fixture(scope="module")
+def lumpy(spark):
+    """Few, many and skewed values, and a constant."""
+    rng = np.random.default_rng(3)
+    n = 1500
+    a = np.where(rng.random(n) < 0.6, 2.0, rng.integers(0, 6, n))
+    b, c = rng.normal(size=n).round(2), np.exp(2 * rng.normal(size=n)).round()
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - b - a / 4))).astype(int)
+    rows = [(i, *map(float, x), 1.0, int(k), i % 3) for i, (*x, k) in enumerate(zip(a, b, c, y))]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, d double, y int, fold int").coalesce(1).cache()
+
+
+WIDE = ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("depth,least", [(None, 2), (None, 10), (5, 2)])
+def test_cells_grow_the_tree_that_mllib_grows_on_rows(lumpy, depth, least, monkeypatch):
+    """Without draws both are the same to the last bit: ends of bins, cuts, merged leaves and importances."""
+    from pyspark.ml.classification import RandomForestClassifier
+    want = RandomForestClassifier(featuresCol=classifiers.FEATURES, labelCol="y", numTrees=1, maxDepth=depth or 30, bootstrap=False,
+                                  minInstancesPerNode=least // 2, featureSubsetStrategy="all").fit(classifiers.assemble(lumpy, WIDE))
+    monkeypatch.setattr(forests, "MANY_ROWS", 0)
+    rows = lumpy.repartition(5)
+    ends, cells = forests._counted(forests._numeric(rows, WIDE, "y", F.lit(-2)), WIDE, (boosting.ALL_ROWS,))
+    own = cells[boosting.ALL_ROWS]
+    assert own.counts.sum() == 1500 and len(own.bins) < 1500 and len(ends[boosting.ALL_ROWS][3]) == 0
+    tree, shares = forests.grow(own.bins, own.counts.astype(float), forests.Settings(1, depth, least), 4, np.random.default_rng(0))
+    table = lumpy.orderBy("id").select(*WIDE).toArrow().combine_chunks()
+    got = tree.chances(boosting.binned([c.chunk(0) for c in table.columns], ends[boosting.ALL_ROWS]))
+    assert list(got) == [r.probability for r in classifiers.with_probability(want, lumpy, WIDE).orderBy("id").collect()]
+    assert list(shares) == pytest.approx(list(want.featureImportances.toArray()), abs=1e-12)
+
+
+def test_many_rows_take_no_forest_of_mllib(lumpy, monkeypatch):
+    """Search, fit and prediction on cells: every row once, alike for any partitions, close to MLlib's forest."""
+    plain = classifiers.fit_forest(lumpy, WIDE, "y", n_estimators=40)
+    near = [r.probability for r in classifiers.with_probability(plain, lumpy, WIDE).orderBy("id").collect()]
+
+    def refuse(*_, **__):
+        raise AssertionError("rows through MLlib's trees")
+    monkeypatch.setattr(classifiers, "RandomForestClassifier", refuse)
+    monkeypatch.setattr(forests, "MANY_ROWS", 1000)
+    model = classifiers.fit_forest(lumpy, WIDE, "y", n_estimators=40)
+    scored = classifiers.with_probability(model, lumpy, WIDE)
+    assert scored.columns == [*lumpy.columns, "probability"]
+    got = [r.probability for r in scored.orderBy("id").collect()]
+    assert len(got) == 1500 and np.corrcoef(got, near)[0, 1] > 0.97 and abs(np.mean(got) - np.mean(near)) < 0.01
+    assert list(model.featureImportances.toArray()) == pytest.approx(list(plain.featureImportances.toArray()), abs=0.05)
+    again = classifiers.fit_forest(lumpy.repartition(7), WIDE, "y", n_estimators=60)
+    fewer = classifiers.first_trees(again, 40)
+    monkeypatch.setattr(forests, "CELLS", 100)  # scored piece by piece
+    assert fewer.getNumTrees == 40 and [r.probability for r in classifiers.with_probability(fewer, lumpy, WIDE).orderBy("id").collect()] == got
+    monkeypatch.setattr(forests, "CELLS", 1 << 18)
+    grid = {"n_estimators": [10, 30], "max_depth": [None, 3], "min_samples_split": [2, 5]}
+    monkeypatch.setattr(forests, "MANY_ROWS", 1499)
+    best, scores, pooled = selection.search_with_calls(lumpy.drop("fold"), classifiers.fit_forest, grid, WIDE, "y", "id", folds=3)
+    assert scores.count() == 24 and best in selection.candidates(grid)
+    assert pooled.count() == 1500 and pooled.select("id").distinct().count() == 1500
+    calls = selection.out_of_fold(lumpy, 3, classifiers.fit_forest, [{"n_estimators": 10}, {"n_estimators": 40}], WIDE, "y", "id")
+    held = [r.probability for r in calls.where("candidate = 1 and fold = 0").orderBy("id").collect()]
+    monkeypatch.setattr(forests, "MANY_ROWS", 0)
+    outside = classifiers.fit_forest(lumpy.where("fold <> 0"), WIDE, "y", n_estimators=40)
+    assert held == [r.probability for r in classifiers.with_probability(outside, lumpy.where("fold = 0"), WIDE).orderBy("id").collect()]
+
+
+def test_cells_are_for_whole_rows_of_two_classes(lumpy, monkeypatch):
+    monkeypatch.setattr(forests, "MANY_ROWS", 0)
+    model = forests.fit(lumpy, WIDE, "y", n_estimators=2)
+    holes = lumpy.withColumn("b", F.when(F.col("id") != 7, F.col("b")))
+    with pytest.raises(Exception, match="a feature is missing"):
+        classifiers.with_probability(model, holes, WIDE).collect()
+    three = lumpy.withColumn("y", F.when(F.col("id") == 7, 2).otherwise(F.col("y")))
+    assert [forests.fit(df, WIDE, "y") for df in (holes, three, lumpy.where("y = 0"))] == [None] * 3
+    monkeypatch.setattr(forests, "CELLS", 100)
+    assert forests.fit(lumpy, WIDE, "y") is None
+
+
+def test_boosting_takes_rows_alike_as_one(lumpy, monkeypatch):
+    """The same trees from cells as from rows, for one fold and for all."""
+    grid = [{"n_estimators": 8, "max_depth": 4}, {"n_estimators": 4, "max_depth": 3, "newton": True, "min_child_weight": 3}]
+    names = ["a", "c", "d"]
+    _, rows = boosting.fit_many(lumpy, names, "y", grid, (0, boosting.ALL_ROWS))
+    sizes, fit = [], boosting._cells
+    monkeypatch.setattr(boosting, "_cells", lambda *x: sizes.append((len(x[0]), len(fit(*x)[0]))) or fit(*x))
+    monkeypatch.setattr(boosting, "MANY_ROWS", 1000)
+    _, cells = boosting.fit_many(lumpy, names, "y", grid, (0, boosting.ALL_ROWS))
+    assert sizes and 2 * sizes[0][1] < sizes[0][0] == 1500
+    for a, b in zip(rows, cells, strict=True):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.abs(a.value - b.value).max() < 1e-12
